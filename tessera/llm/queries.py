@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii
 from .ann import nearest
 from .embedding_dedup import near_vectors
 from .mixing import mixed
@@ -54,6 +55,11 @@ def op6_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), *vocabulary()).drop("ids")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.found_spans(docs, pii.train(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -70,7 +76,7 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_dedup, op2_embedding_dedup, op3_toxicity, op4_mix_sources, op5_nearest_neighbours, op6_pack_mixture, op8_simhash_groups, op9_preference_rows, op10_shuffle_shards,
+        op1_suffix_dedup, op2_embedding_dedup, op3_toxicity, op4_mix_sources, op5_nearest_neighbours, op6_pack_mixture, op7_personal_data, op8_simhash_groups, op9_preference_rows, op10_shuffle_shards,
     )
 }
 

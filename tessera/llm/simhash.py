@@ -225,3 +225,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     named = own.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """docs with one row of each group: a row of the smallest doc_id.  Rows without a doc_id stay."""
+    groups = near_groups(docs.where("doc_id is not null"), shingle, radius)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
