@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_key
+from .common import discard, materialise, text_key
 
 #: Windows that a run of the second level holds at most.
 STEP = 16
@@ -203,6 +203,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, q: int = 32) -> DataFrame:
     first = materialise(docs.mapInArrow(_first_level(length, q), _RUN), "anchors")
     shared = first.groupBy("bucket").agg(F.count("*").alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("c > 1")
     alike = materialise(first.join(shared.select("bucket", (F.col("s0") < F.col("s1")).alias("mixed")), "bucket"), "alike")
+    discard(first)
     spans = materialise(alike.groupBy("bucket", "span").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct(*_PLACE)).alias("place")).where("n > 1 or mixed"), "spans")
     found = alike.join(spans.where("n > 1").select("bucket", "span"), ["bucket", "span"], "left_semi").select("doc_id", "tk", "lo", "hi")
 
