@@ -202,23 +202,36 @@ def repeated_runs(docs: DataFrame, length: int = 200, q: int = 32) -> DataFrame:
     """
     first = materialise(docs.mapInArrow(_first_level(length, q), _RUN), "anchors")
     shared = first.groupBy("bucket").agg(F.count("*").alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("c > 1")
-    alike = materialise(first.join(shared.select("bucket", (F.col("s0") < F.col("s1")).alias("mixed")), "bucket"), "alike")
+    # written first, so that both sides of the join are plain exchanges and a hot bucket can be split
+    shared = materialise(shared.select("bucket", (F.col("s0") < F.col("s1")).alias("mixed")), "shared")
+    alike = materialise(first.join(shared, "bucket"), "alike")
     discard(first)
+    discard(shared)
     spans = materialise(alike.groupBy("bucket", "span").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct(*_PLACE)).alias("place")).where("n > 1 or mixed"), "spans")
-    found = alike.join(spans.where("n > 1").select("bucket", "span"), ["bucket", "span"], "left_semi").select("doc_id", "tk", "lo", "hi")
+    found = _places(alike, spans.where("n > 1"))
+    discard(alike)
 
     todo = spans.where("mixed").select("place.*", "bucket", F.col("span").alias("class"), F.least("n", F.lit(2)).alias("n"))
     for step in (STEP, 1):
         cut = _texts_of(docs, todo).mapInArrow(_next_level(length, step), f"{_RUN}, class long, n long")
         cut = materialise(cut, "cut")
+        discard(spans)
         spans, mixed = _refined(cut)
         spans = materialise(spans, "spans")
-        found = found.unionByName(cut.join(spans.where("whole").select("bucket", "span"), ["bucket", "span"], "left_semi").select("doc_id", "tk", "lo", "hi"))
+        found = found.unionByName(_places(cut, spans.where("whole")))
         if step > 1:  # of each string one representative goes on; it stands for all of its places
+            mixed = materialise(mixed, "mixed")
             todo = spans.join(mixed, "bucket", "left_semi").select("place.*", "bucket", F.xxhash64("bucket", "span", "c0", "c1").alias("class"), F.when(F.col("whole"), 2).otherwise(1).cast("long").alias("n"))
+        discard(cut)
+    discard(spans)
     return found
 
 
+def _places(runs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The places of the runs whose bucket and span are repeated."""
+    return materialise(runs.join(repeated.select("bucket", "span"), ["bucket", "span"], "left_semi").select("doc_id", "tk", "lo", "hi"), "found")
+
+
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
 
 
