@@ -79,7 +79,7 @@ def _keys(basis: np.ndarray, seed: int):
 
 
 def _scores(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k rows of largest inner product of each query; rows of another length than the query do not count."""
+    """Of the k rows of largest inner product of each query those that reach its bar; rows of another length than the query do not count."""
     out = []
     lengths = rows["e"].map(len).to_numpy()
     for n, some in queries.groupby(queries["e"].map(len)):
@@ -91,10 +91,10 @@ def _scores(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
             part = some.iloc[at : at + 512]
             s = np.array(part["e"].tolist()) @ x.T
             if len(ids) > k:
-                bar = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
-                i, j = np.nonzero(s >= bar[:, None])  # all ties at the end too
+                bar = np.maximum(part["bar"].to_numpy(), np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k])
             else:
-                i, j = np.nonzero(np.ones_like(s, bool))
+                bar = part["bar"].to_numpy()
+            i, j = np.nonzero(s >= bar[:, None])  # all ties at the end too
             out.append(pd.DataFrame({"query": part["id"].to_numpy()[i], "id": ids[j], "score": s[i, j]}))
     return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
@@ -129,7 +129,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5)
     targets = asked.select("id").distinct()
 
     # the window: places between a query and its true neighbours, in the order where they are closest
-    sample = targets.join(index, "id").orderBy(F.xxhash64("id"), "id").limit(FITTED).toPandas()
+    sample = targets.join(index, "id").orderBy(F.xxhash64("id"), "id").limit(FITTED).withColumn("bar", F.lit(float("-inf"))).toPandas()
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -143,15 +143,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5)
     window = distances[min(len(distances) - 1, int(SHARE * len(distances)))] if distances else 0
 
     reach = -(-window // BLOCK)
-    block = F.floor(F.col("place") / BLOCK).cast("long")
-    rows = placed.select("curve", block.alias("block"), "id", "e", F.lit(0).alias("asks"))
-    ask = rows.join(targets, "id", "left_semi").withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.lit((total - 1) // BLOCK), F.col("block") + reach)))).withColumn("asks", F.lit(1))
+    rows = placed.select("curve", F.floor(F.col("place") / BLOCK).cast("long").alias("block"), "id", "e", F.lit(None).cast("double").alias("bar"))
+    here = rows.join(targets, "id", "left_semi").select("curve", "block", "id", "e")
 
     def met(group: pd.DataFrame) -> pd.DataFrame:
-        return _scores(group[group["asks"] == 1], group[group["asks"] == 0], k + 1)
-
-    both = rows.unionByName(ask.select("curve", "block", "id", "e", "asks"))
-    found = both.groupBy("curve", "block").applyInPandas(met, "query long, id long, score double")
+        asks = group["bar"].notna()
+        return _scores(group[asks], group[~asks], k + 1)
+
+    def searched(ask: DataFrame) -> DataFrame:
+        both = rows.unionByName(ask.select(rows.columns))
+        return both.groupBy("curve", "block").applyInPandas(met, "query long, id long, score double")
+
+    # first the query's own block in each order; the k-th best there is the bar that a row of any other block has to reach
+    near = materialise(_best(searched(here.withColumn("bar", F.lit(float("-inf")))).groupBy("query", "id").agg(F.max("score").alias("score")), k + 1), "near")
+    found = near
+    if reach:
+        bars = near.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("bar")).withColumnRenamed("query", "id")
+        others = F.array_except(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.lit((total - 1) // BLOCK), F.col("block") + reach)), F.array("block"))
+        found = near.unionByName(searched(here.join(bars, "id").withColumn("block", F.explode(others))))
     best = _best(found.groupBy("query", "id").agg(F.max("score").alias("score")), k + 1)
     full = asked.withColumnRenamed("id", "query").join(best, "query").join(members.select("id", "vec_id"), "id").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
