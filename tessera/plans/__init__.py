@@ -1 +1,117 @@
+"""Models trained by passes over a DataFrame: the weights stay small and on the driver, the rows on executors."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_ACTIVATIONS: dict[str, tuple[Callable, Callable]] = {
+    "linear": (lambda z: z, lambda z, a: np.ones_like(z)), "relu": (lambda z: np.maximum(z, 0), lambda z, a: (z > 0).astype(float)),
+    "sigmoid": (lambda z: 1 / (1 + np.exp(-z)), lambda z, a: a * (1 - a)), "tanh": (np.tanh, lambda z, a: 1 - a * a),
+}
+
+
+@dataclass
+class Sgd:
+    rate: float = 0.01
+    momentum: float = 0.0
+    _v: dict = field(default_factory=dict)
+
+    def step(self, name: str, p: np.ndarray, g: np.ndarray) -> np.ndarray:
+        self._v[name] = self.momentum * self._v.get(name, 0.0) - self.rate * g
+        return p + self._v[name]
+
+
+@dataclass
+class RmsProp:
+    rate: float = 0.01
+    decay: float = 0.9
+    _c: dict = field(default_factory=dict)
+
+    def step(self, name: str, p: np.ndarray, g: np.ndarray) -> np.ndarray:
+        self._c[name] = self.decay * self._c.get(name, 0.0) + (1 - self.decay) * g * g
+        return p - self.rate * g / (np.sqrt(self._c[name]) + 1e-8)
+
+
+@dataclass
+class Adam:
+    rate: float = 0.001
+    b1: float = 0.9
+    b2: float = 0.999
+    _m: dict = field(default_factory=dict)
+
+    def step(self, name: str, p: np.ndarray, g: np.ndarray) -> np.ndarray:
+        m, v, t = self._m.get(name, (0.0, 0.0, 0))
+        m, v, t = self.b1 * m + (1 - self.b1) * g, self.b2 * v + (1 - self.b2) * g * g, t + 1
+        self._m[name] = m, v, t
+        return p - self.rate * (m / (1 - self.b1**t)) / (np.sqrt(v / (1 - self.b2**t)) + 1e-8)
+
+
+class Sequential:
+    """Dense layers: sizes[k] to sizes[k + 1] with an activation each, trained on the mean squared error."""
+
+    def __init__(self, sizes: list[int], activations: list[str], seed: int = 0):
+        rng = np.random.default_rng(seed)
+        self.activations = activations
+        self.weights = [(rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
+
+    def _pass(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = [(x, x)]
+        for (w, b), f in zip(self.weights, self.activations, strict=True):
+            z = out[-1][1] @ w + b
+            out.append((z, _ACTIVATIONS[f][0](z)))
+        return out
+
+    def forward(self, rows: DataFrame, x: str = "x", out: str = "p") -> DataFrame:
+        """rows with the column out: array<double>."""
+        model = self
+
+        @F.pandas_udf("array<double>")
+        def predict(s: pd.Series) -> pd.Series:
+            return pd.Series(list(model._pass(np.array(s.tolist(), float))[-1][1])) if len(s) else pd.Series([], dtype=object)
+
+        return rows.withColumn(out, predict(x))
+
+    def _gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        states = self._pass(x)
+        delta = 2 * (states[-1][1] - y)
+        loss = ((states[-1][1] - y) ** 2).sum()
+        grads: list[np.ndarray] = []
+        for k in range(len(self.weights) - 1, -1, -1):
+            z, a = states[k + 1]
+            delta = delta * _ACTIVATIONS[self.activations[k]][1](z, a)
+            grads = [states[k][1].T @ delta, delta.sum(0), *grads]
+            delta = delta @ self.weights[k][0].T
+        return [np.array([loss, y.size]), *grads]
+
+    def fit(self, rows: DataFrame, optimiser: Sgd | RmsProp | Adam, epochs: int) -> list[float]:
+        """Full-batch epochs over rows with x and y (arrays): each partition sends one sum of gradients.  Returns the losses."""
+        losses = []
+        for _ in range(epochs):
+            model = self
+
+            def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                total = None
+                for b in batches:
+                    if len(b):
+                        g = model._gradients(np.array(b["x"].tolist(), float), np.array(b["y"].tolist(), float))  # noqa: B023
+                        total = g if total is None else [p + q for p, q in zip(total, g, strict=True)]
+                if total is not None:
+                    flat = np.concatenate([t.ravel() for t in total])
+                    yield pd.DataFrame({"k": np.arange(len(flat)), "g": flat})
+
+            sums = rows.select("x", "y").mapInPandas(partial, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).orderBy("k")
+            flat = np.array([r.g for r in sums.collect()])  # as many numbers as the model has weights
+            losses.append(float(flat[0] / flat[1]))
+            at, new = 2, []
+            for k, (w, b) in enumerate(self.weights):
+                gw, gb = flat[at : at + w.size].reshape(w.shape) / flat[1], flat[at + w.size : at + w.size + b.size] / flat[1]
+                at += w.size + b.size
+                new.append((optimiser.step(f"w{k}", w, gw), optimiser.step(f"b{k}", b, gb)))
+            self.weights = new
+        return losses

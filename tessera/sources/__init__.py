@@ -1 +1,29 @@
+"""Arrays from and to files."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """Headerless numbers as c0, c1, ...; an empty cell is null and shifts nothing, bad cells raise."""
+    schema = ", ".join(f"c{k} double" for k in range(columns))
+    return spark.read.csv(path, schema=schema, header=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="FAILFAST")
+
+
+def write_csv(a: DataFrame, path: str, columns: int) -> None:
+    """A matrix (i, j, v) as headerless rows, in order; a vector is the matrix of one row."""
+    wide = a.groupBy("i").pivot("j", list(range(columns))).agg(F.first("v")).orderBy("i")
+    wide.select(*(F.col(str(k)) for k in range(columns))).write.csv(path, header=False)
+
+
+def save(a: DataFrame, path: str, shape: tuple[int, ...]) -> None:
+    """An array as Parquet, its shape with it."""
+    a.withColumn("__shape", F.array(*map(F.lit, shape)).cast("array<long>")).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, ...]]:
+    a = spark.read.parquet(path)
+    row = a.select("__shape").first()
+    return a.drop("__shape"), tuple(row[0]) if row else ()
