@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..errors import DimensionMismatch, IndexOutOfBounds, ShapeMismatch
 from .order import ordinal
 
-V = F.col("v")
+def v() -> Column:
+    return F.col("v")
+
 
 # shapes
 
@@ -132,18 +134,18 @@ def find(a: DataFrame, predicate: Column, at: str = "idx") -> DataFrame:
 
 
 def nonzero(a: DataFrame, axes: list[str]) -> DataFrame:
-    return a.where((V != 0) | F.isnan(V)).select(*axes)
+    return a.where((v() != 0) | F.isnan(v())).select(*axes)
 
 
 def replace_end(a: DataFrame, old: float, new: float, at: str = "idx", last: bool = False) -> DataFrame:
     """Replaces the first or last cell that equals old."""
-    place = a.where(V == old).agg((F.max if last else F.min)(at).alias("__m"))
-    return a.crossJoin(F.broadcast(place)).withColumn("v", F.when(F.col(at) == F.col("__m"), F.lit(new)).otherwise(V)).drop("__m")
+    place = a.where(v() == old).agg((F.max if last else F.min)(at).alias("__m"))
+    return a.crossJoin(F.broadcast(place)).withColumn("v", F.when(F.col(at) == F.col("__m"), F.lit(new)).otherwise(v())).drop("__m")
 
 
 def search(a: DataFrame, target: float, at: str = "idx") -> DataFrame:
     """The first place of a value, null if there is none; the rule of all three searches of sorted or unsorted vectors."""
-    return a.where(V == target).agg(F.min(at).alias(at))
+    return a.where(v() == target).agg(F.min(at).alias(at))
 
 
 # reductions: by=[] reduces all cells, else the axes in `by` are kept
@@ -160,23 +162,23 @@ REDUCTIONS = {
 }
 
 
-def reduce_(a: DataFrame, how: list[str], by: list[str] | None = None, value: Column = V) -> DataFrame:
-    x = value.cast("double")
+def reduce_(a: DataFrame, how: list[str], by: list[str] | None = None, value: Column | None = None) -> DataFrame:
+    x = (v() if value is None else value).cast("double")
     return a.groupBy(*(by or [])).agg(*(REDUCTIONS[h](x).alias(h) for h in how))
 
 
 def argmax(a: DataFrame, at: str, by: list[str] | None = None) -> DataFrame:
     """The first place of the greatest value."""
-    return a.where(~F.isnan(V)).groupBy(*(by or [])).agg(F.min_by(at, F.struct(-V, F.col(at))).alias("argmax"))
+    return a.where(~F.isnan(v())).groupBy(*(by or [])).agg(F.min_by(at, F.struct(-v(), F.col(at))).alias("argmax"))
 
 
 def argmin(a: DataFrame, at: str, by: list[str] | None = None) -> DataFrame:
-    return a.where(~F.isnan(V)).groupBy(*(by or [])).agg(F.min_by(at, F.struct(V, F.col(at))).alias("argmin"))
+    return a.where(~F.isnan(v())).groupBy(*(by or [])).agg(F.min_by(at, F.struct(v(), F.col(at))).alias("argmin"))
 
 
 def bincount(a: DataFrame) -> DataFrame:
     """(bin, n) for 0 to the greatest value, bins without rows too."""
-    counts = a.groupBy(V.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    counts = a.groupBy(v().cast("long").alias("bin")).agg(F.count("*").alias("n"))
     low, high = counts.agg(F.min("bin"), F.max("bin")).first()
     if low is not None and low < 0:
         raise DimensionMismatch("negative value")
@@ -247,7 +249,7 @@ def diff(a: DataFrame, axis: str, by: list[str], n: int = 1) -> DataFrame:
     """The n-th forward difference along an axis numbered without gaps; the axis starts at 0 again."""
     for _ in range(n):
         w = Window.partitionBy(*by).orderBy(axis)
-        a = a.withColumn("v", F.lead("v").over(w) - V).where(V.isNotNull())
+        a = a.withColumn("v", F.lead("v").over(w) - v()).where(v().isNotNull())
     return a
 
 
@@ -255,7 +257,7 @@ def gradient(a: DataFrame, axis: str, by: list[str]) -> DataFrame:
     """Central differences inside, one-sided ones at both ends."""
     w = Window.partitionBy(*by).orderBy(axis)
     before, after = F.lag("v").over(w), F.lead("v").over(w)
-    return a.withColumn("v", F.when(before.isNull(), after - V).when(after.isNull(), V - before).otherwise((after - before) / 2.0))
+    return a.withColumn("v", F.when(before.isNull(), after - v()).when(after.isNull(), v() - before).otherwise((after - before) / 2.0))
 
 
 def convolve(a: DataFrame, kernel: list[float], n: int, mode: str = "full", by: list[str] | None = None) -> DataFrame:
@@ -264,7 +266,7 @@ def convolve(a: DataFrame, kernel: list[float], n: int, mode: str = "full", by:
     if not m or not n:
         raise DimensionMismatch("empty operand")
     taps = F.array(*(F.struct(F.lit(j).cast("long").alias("j"), F.lit(float(x)).alias("x")) for j, x in enumerate(kernel)))
-    spread = a.withColumn("t", F.explode(taps)).select(*(by or []), (F.col("idx") + F.col("t.j")).alias("idx"), (V * F.col("t.x")).alias("v"))
+    spread = a.withColumn("t", F.explode(taps)).select(*(by or []), (F.col("idx") + F.col("t.j")).alias("idx"), (v() * F.col("t.x")).alias("v"))
     out = spread.groupBy(*(by or []), "idx").agg(F.sum("v").alias("v"))
     if mode == "full":
         return out
@@ -296,14 +298,15 @@ def interp1d(knots: list[tuple[float, float]], x: Column, kind: str = "linear",
 def softmax(a: DataFrame, by: list[str]) -> DataFrame:
     """Per lane, shifted by its greatest value: two aggregates that combine before the shuffle."""
     top = a.groupBy(*by).agg(F.max("v").alias("__m"))
-    e = a.join(top, by).withColumn("v", F.exp(V - F.col("__m"))).drop("__m")
-    return e.join(e.groupBy(*by).agg(F.sum("v").alias("__s")), by).withColumn("v", V / F.col("__s")).drop("__s")
-
-
-# losses over rows with y and p
-
-_P = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
-LOSSES = {
-    "mse": F.avg(F.pow(F.col("y") - F.col("p"), 2)), "mae": F.avg(F.abs(F.col("y") - F.col("p"))), "hinge": F.avg(F.greatest(F.lit(0.0), 1 - F.col("y") * F.col("p"))),
-    "bce": F.avg(-(F.col("y") * F.ln(_P) + (1 - F.col("y")) * F.ln(1 - _P))), "cce_sum": F.sum(-F.col("y") * F.ln(_P)),
-}
+    e = a.join(top, by).withColumn("v", F.exp(v() - F.col("__m"))).drop("__m")
+    return e.join(e.groupBy(*by).agg(F.sum("v").alias("__s")), by).withColumn("v", v() / F.col("__s")).drop("__s")
+
+
+def loss(kind: str) -> Column:
+    """An aggregate over rows with y and p: mse, mae, hinge, bce, or cce_sum, the cross entropy that is yet to be divided by the rows."""
+    y, p = F.col("y"), F.col("p")
+    inside = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+    return {
+        "mse": lambda: F.avg(F.pow(y - p, 2)), "mae": lambda: F.avg(F.abs(y - p)), "hinge": lambda: F.avg(F.greatest(F.lit(0.0), 1 - y * p)),
+        "bce": lambda: F.avg(-(y * F.ln(inside) + (1 - y) * F.ln(1 - inside))), "cce_sum": lambda: F.sum(-y * F.ln(inside)),
+    }[kind]()

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..errors import SingularMatrix
 
-V = F.col("v")
+def v() -> Column:
+    return F.col("v")
+
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """A join on the inner axis and a sum; products combine before the shuffle."""
-    x, y = a.select("i", F.col("j").alias("k"), V.alias("x")), b.select(F.col("i").alias("k"), "j", V.alias("y"))
+    x, y = a.select("i", F.col("j").alias("k"), v().alias("x")), b.select(F.col("i").alias("k"), "j", v().alias("y"))
     return x.join(y, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
@@ -30,7 +32,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: DataFrame) -> DataFrame:
-    return a.agg(F.sqrt(F.sum(V * V)).alias("norm"))
+    return a.agg(F.sqrt(F.sum(v() * v())).alias("norm"))
 
 
 def trace(a: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def to_dense(a: DataFrame, rows: int, cols: int) -> DataFrame:
 
 
 def from_dense(a: DataFrame) -> DataFrame:
-    return a.where((V != 0) | F.isnan(V))
+    return a.where((v() != 0) | F.isnan(v()))
 
 
 def row_pointers(a: DataFrame, rows: int) -> DataFrame:
@@ -155,4 +157,4 @@ def dft(a: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """The transform of vectors of n cells as a sum over an exploded frequency axis, all in Catalyst."""
     k = a.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     turn = -2 * np.pi / n * F.pmod(F.col("k") * F.col("idx"), F.lit(n))
-    return k.groupBy(*(by or []), "k").agg(F.sum(V * F.cos(turn)).alias("re"), F.sum(V * F.sin(turn)).alias("im"))
+    return k.groupBy(*(by or []), "k").agg(F.sum(v() * F.cos(turn)).alias("re"), F.sum(v() * F.sin(turn)).alias("im"))

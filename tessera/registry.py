@@ -1,6 +1,477 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries over the driver's tables, and the SQL that gives the same rows.
+
+Sums of floating-point numbers depend on the order of addition, so such results are rounded on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import elementwise as ew
+from .operators import arrays as ar
+from .operators import create, graph, linalg
+from .plans import Sequential, Sgd
+from .streaming import windowed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _c(x: str) -> F.Column:
+    return F.col(x)
+
+
+def _prices(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "orders").select(_c("o_orderkey").alias("idx"), _c("o_custkey").alias("lane"), _c("o_totalprice").alias("v"))
+
+
+def _lanes(s: SparkSession, d: str) -> DataFrame:
+    """Events as one lane per user, numbered by time."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _t(s, d, "events").select("user_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), _c("value").alias("v"))
+
+
+_LANES = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS v FROM events)"
+
+
+def _nation(s: SparkSession, d: str) -> DataFrame:
+    """A 5 by 5 matrix of region keys."""
+    key = _c("n_nationkey")
+    return _t(s, d, "nation").select(F.floor(key / 5).alias("i"), F.pmod(key, F.lit(5)).cast("long").alias("j"), (_c("n_regionkey") + key * 0.5).cast("double").alias("v"))
+
+
+_NATION = "(SELECT CAST(floor(n_nationkey / 5) AS BIGINT) AS i, CAST(n_nationkey % 5 AS BIGINT) AS j, CAST(n_regionkey + n_nationkey * 0.5 AS DOUBLE) AS v FROM nation)"
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(sum(x), 2) AS total, round(avg(x), 4) AS mean, round(var_pop(x), 2) AS variance, round(stddev_pop(x), 4) AS deviation
+FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) AS x FROM lineitem WHERE l_quantity > 25) GROUP BY l_returnflag""")
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "lineitem").where(ew.greater(_c("l_quantity"), F.lit(25))).select("l_returnflag", ew.mul(_c("l_extendedprice"), ew.sub(F.lit(1), _c("l_discount"))).alias("v"))
+    r = ar.reduce_(rows, ["count", "sum", "mean", "var", "std"], ["l_returnflag"])
+    return r.select("l_returnflag", _c("count").alias("n"), F.round("sum", 2).alias("total"), F.round("mean", 4).alias("mean"), F.round("var", 2).alias("variance"), F.round("std", 4).alias("deviation"))
+
+
+@query("""SELECT o_orderkey, o_totalprice + o_custkey AS a, o_totalprice - o_custkey AS s, o_totalprice * 2.5 AS m, round(o_totalprice / (o_custkey % 3), 6) AS d, -o_totalprice AS n,
+abs(o_totalprice - 200000) AS ab FROM orders WHERE o_custkey % 3 <> 0
+UNION ALL SELECT o_orderkey, o_totalprice + o_custkey, o_totalprice - o_custkey, o_totalprice * 2.5, CASE WHEN o_totalprice > 0 THEN CAST('inf' AS DOUBLE) ELSE CAST('nan' AS DOUBLE) END, -o_totalprice, abs(o_totalprice - 200000) FROM orders WHERE o_custkey % 3 = 0""")
+def elementwise_arithmetic(s: SparkSession, d: str) -> DataFrame:
+    x, y = _c("o_totalprice"), _c("o_custkey")
+    return _t(s, d, "orders").select(
+        "o_orderkey", ew.add(x, y).alias("a"), ew.sub(x, y).alias("s"), ew.mul(x, F.lit(2.5)).alias("m"), F.round(ew.div(x, y % 3), 6).alias("d"), ew.neg(x).alias("n"), ew.abs_(x - 200000).alias("ab")
+    )
+
+
+@query("""SELECT o_orderkey, round(exp(x), 6) AS e, round(CASE WHEN x - 1 = 0 THEN CAST('-inf' AS DOUBLE) WHEN x - 1 < 0 THEN CAST('nan' AS DOUBLE) ELSE ln(x - 1) END, 6) AS l, round(log2(x + 1), 6) AS l2, round(log10(x + 1), 6) AS l10,
+round(sqrt(x), 6) AS q, round(pow(x, 1.5), 6) AS p, round(sin(x), 6) AS s, round(cos(x), 6) AS c, round(tan(x), 4) AS t, round(asin(x / 10), 6) AS ai, round(acos(x / 10), 6) AS ac, round(atan(x), 6) AS at, round(sinh(x), 4) AS sh, round(cosh(x), 4) AS ch, round(tanh(x), 6) AS th
+FROM (SELECT o_orderkey, o_totalprice / 100000 AS x FROM orders)""")
+def elementwise_math(s: SparkSession, d: str) -> DataFrame:
+    x = _c("x")
+    f = {"e": ew.exp(x), "l": ew.log(x - 1), "l2": ew.log2(x + 1), "l10": ew.log10(x + 1), "q": ew.sqrt(x), "p": ew.pow_(x, 1.5), "s": ew.sin(x), "c": ew.cos(x), "ai": ew.arcsin(x / 10), "ac": ew.arccos(x / 10), "at": ew.arctan(x), "th": ew.tanh(x)}
+    g = {"t": ew.tan(x), "sh": ew.sinh(x), "ch": ew.cosh(x)}
+    rows = _t(s, d, "orders").select("o_orderkey", (_c("o_totalprice") / 100000).alias("x"))
+    return rows.select("o_orderkey", *(F.round(v, 6).alias(k) for k, v in f.items()), *(F.round(v, 4).alias(k) for k, v in g.items()))
+
+
+@query("""SELECT c_custkey, round(c_acctbal) AS r, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, CAST(sign(c_acctbal + 0.0) AS DOUBLE) AS s, greatest(c_acctbal, 1000.0) AS mx, least(c_acctbal, 1000.0) AS mn,
+least(greatest(c_acctbal, 0.0), 5000.0) AS cl, CAST(trunc(c_acctbal) AS BIGINT) AS t FROM customer""")
+def elementwise_rounding(s: SparkSession, d: str) -> DataFrame:
+    x = _c("c_acctbal")
+    return _t(s, d, "customer").select(
+        "c_custkey", ew.round_(x).alias("r"), ew.floor(x).alias("f"), ew.ceil(x).alias("c"), ew.sign(x).alias("s"), ew.maximum(x, F.lit(1000.0)).alias("mx"), ew.minimum(x, F.lit(1000.0)).alias("mn"),
+        ew.clip(x, 0, 5000).alias("cl"), ew.astype(x, "long").alias("t"),
+    )
+
+
+@query("""SELECT p_partkey, p_size = 10 AS eq, p_size <> 10 AS ne, p_size > 25 AS gt, p_size >= 25 AS ge, p_size < 25 AS lt, p_size <= 25 AS le, p_size > 10 AND p_size < 40 AS a, p_size < 10 OR p_size > 40 AS o,
+(p_size > 10) <> (p_size > 40) AS x, NOT p_size > 10 AS n, p_size & 12 AS ba, p_size | 12 AS bo, xor(p_size, 12) AS bx FROM part""")
+def elementwise_logic(s: SparkSession, d: str) -> DataFrame:
+    x, k = _c("p_size"), F.lit
+    gt = lambda n: ew.greater(x, k(n))
+    return _t(s, d, "part").select(
+        "p_partkey", ew.equal(x, k(10)).alias("eq"), ew.not_equal(x, k(10)).alias("ne"), gt(25).alias("gt"), ew.greater_equal(x, k(25)).alias("ge"), ew.less(x, k(25)).alias("lt"), ew.less_equal(x, k(25)).alias("le"),
+        ew.logical_and(gt(10), ew.less(x, k(40))).alias("a"), ew.logical_or(ew.less(x, k(10)), gt(40)).alias("o"), ew.logical_xor(gt(10), gt(40)).alias("x"), ew.logical_not(gt(10)).alias("n"),
+        ew.bitwise_and(x, k(12)).alias("ba"), ew.bitwise_or(x, k(12)).alias("bo"), ew.bitwise_xor(x, k(12)).alias("bx"),
+    )
+
+
+@query("""SELECT vec_id, embedding[1]::DOUBLE AS re, embedding[2]::DOUBLE AS im, -embedding[2]::DOUBLE AS conj, round(atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE), 9) AS angle,
+round(sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2), 9) AS size, round(embedding[1]::DOUBLE ** 2 - embedding[2]::DOUBLE ** 2, 9) AS square FROM embeddings""")
+def complex_parts(s: SparkSession, d: str) -> DataFrame:
+    c = _c("c")
+    rows = _t(s, d, "embeddings").select("vec_id", ew.complex_(_c("embedding")[0], _c("embedding")[1]).alias("c"))
+    return rows.select("vec_id", ew.real(c).alias("re"), ew.imag(c).alias("im"), ew.imag(ew.conj(c)).alias("conj"), F.round(ew.angle(c), 9).alias("angle"), F.round(ew.magnitude(c), 9).alias("size"), F.round(ew.real(ew.complex_mul(c, c)), 9).alias("square"))
+
+
+@query("""SELECT event_id, greatest(x, 0) AS relu, round(1 / (1 + exp(-x)), 9) AS sigmoid, round(tanh(x), 9) AS tanh, CASE WHEN x > 0 THEN x ELSE 0.01 * x END AS leaky, round(ln(1 + exp(x)), 9) AS softplus
+FROM (SELECT event_id, value / 100 - 0.5 AS x FROM events)""")
+def activations(s: SparkSession, d: str) -> DataFrame:
+    x = _c("x")
+    rows = _t(s, d, "events").select("event_id", (_c("value") / 100 - 0.5).alias("x"))
+    return rows.select("event_id", ew.relu(x).alias("relu"), F.round(ew.sigmoid(x), 9).alias("sigmoid"), F.round(ew.tanh(x), 9).alias("tanh"), ew.leaky_relu(x).alias("leaky"), F.round(ew.softplus(x), 9).alias("softplus"))
+
+
+@query("""SELECT o_orderkey AS idx, CASE WHEN o_totalprice > 100000 THEN o_totalprice ELSE 0.0 END AS chosen, CASE WHEN o_totalprice > 300000 THEN 300000.0 ELSE o_totalprice END AS replaced FROM orders""")
+def where_and_replace(s: SparkSession, d: str) -> DataFrame:
+    v = _c("v")
+    return _prices(s, d).select("idx", ew.where(v > 100000, v, F.lit(0.0)).alias("chosen"), ew.replace_where(v, v > 300000, F.lit(300000.0)).alias("replaced"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_totalprice AS v FROM orders WHERE o_totalprice > 200000")
+def boolean_mask(s: SparkSession, d: str) -> DataFrame:
+    a = _t(s, d, "orders").select("o_orderkey", _c("o_totalprice").alias("v"))
+    return ar.boolean_mask(a, _c("v") > 200000, ["o_orderkey"])
+
+
+@query(f"""SELECT k.pos AS i, a.j, a.v FROM {_NATION} a JOIN (VALUES (0, 3), (1, 0), (2, 3)) AS k(pos, i) ON a.i = k.i""")
+def take(s: SparkSession, d: str) -> DataFrame:
+    return ar.take(_nation(s, d), "i", [3, 0, 3], 5)
+
+
+@query(f"SELECT CAST((i - 1) / 2 AS BIGINT) AS i, j, v FROM {_NATION} WHERE i >= 1 AND i < 5 AND (i - 1) % 2 = 0")
+def slice_rows(s: SparkSession, d: str) -> DataFrame:
+    return ar.slice_(_nation(s, d), "i", 1, 5, 2)
+
+
+@query("SELECT event_id AS idx FROM events WHERE value > 90")
+def find(s: SparkSession, d: str) -> DataFrame:
+    return ar.find(_t(s, d, "events").select(_c("event_id").alias("idx"), _c("value").alias("v")), _c("v") > 90)
+
+
+@query("SELECT l_orderkey AS idx FROM lineitem WHERE l_discount <> 0")
+def nonzero(s: SparkSession, d: str) -> DataFrame:
+    return ar.nonzero(_t(s, d, "lineitem").select(_c("l_orderkey").alias("idx"), _c("l_discount").alias("v")), ["idx"])
+
+
+@query("""SELECT p_partkey AS idx, CASE WHEN p_partkey = (SELECT min(p_partkey) FROM part WHERE p_size = 7) THEN -1.0 WHEN p_partkey = (SELECT max(p_partkey) FROM part WHERE p_size = 8) THEN -2.0 ELSE CAST(p_size AS DOUBLE) END AS v FROM part""")
+def replace_first_and_last(s: SparkSession, d: str) -> DataFrame:
+    a = _t(s, d, "part").select(_c("p_partkey").alias("idx"), _c("p_size").cast("double").alias("v"))
+    return ar.replace_end(ar.replace_end(a, 7.0, -1.0), 8.0, -2.0, last=True)
+
+
+@query("SELECT min(p_partkey) AS idx FROM part WHERE p_size = 7")
+def linear_search(s: SparkSession, d: str) -> DataFrame:
+    return ar.search(_t(s, d, "part").select(_c("p_partkey").alias("idx"), _c("p_size").alias("v")), 7)
+
+
+@query("""SELECT count(v) AS count, round(sum(v), 2) AS sum, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, round(var_pop(v) / 1e6, 4) AS var, round(stddev_pop(v), 6) AS std, median(v) AS median FROM (SELECT o_totalprice AS v FROM orders)""")
+def reduce_all(s: SparkSession, d: str) -> DataFrame:
+    r = ar.reduce_(_prices(s, d), ["count", "sum", "mean", "min", "max", "var", "std", "median"])
+    return r.select("count", F.round("sum", 2).alias("sum"), F.round("mean", 6).alias("mean"), "min", "max", F.round(_c("var") / 1e6, 4).alias("var"), F.round("std", 6).alias("std"), "median")
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum, round(avg(l_quantity), 9) AS mean, min(l_quantity) AS min, max(l_quantity) AS max, round(var_pop(l_quantity), 6) AS var, round(stddev_pop(l_quantity), 6) AS std, median(l_quantity) AS median
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def reduce_axis(s: SparkSession, d: str) -> DataFrame:
+    r = ar.reduce_(_t(s, d, "lineitem").withColumn("v", _c("l_quantity")), ["sum", "mean", "min", "max", "var", "std", "median"], ["l_returnflag", "l_linestatus"])
+    return r.select("l_returnflag", "l_linestatus", F.round("sum", 2).alias("sum"), F.round("mean", 9).alias("mean"), "min", "max", F.round("var", 6).alias("var"), F.round("std", 6).alias("std"), "median")
+
+
+@query("SELECT l_returnflag, round(product(1 + l_discount / 1000), 6) AS prod FROM lineitem WHERE l_orderkey < 200 GROUP BY l_returnflag")
+def product(s: SparkSession, d: str) -> DataFrame:
+    r = ar.reduce_(_t(s, d, "lineitem").where("l_orderkey < 200"), ["prod"], ["l_returnflag"], 1 + _c("l_discount") / 1000)
+    return r.select("l_returnflag", F.round("prod", 6).alias("prod"))
+
+
+@query("SELECT lane, arg_min(idx, struct_pack(a := -v, b := idx)) AS argmax FROM (SELECT o_orderkey AS idx, o_custkey AS lane, o_totalprice AS v FROM orders) GROUP BY lane")
+def argmax(s: SparkSession, d: str) -> DataFrame:
+    return ar.argmax(_prices(s, d), "idx", ["lane"])
+
+
+@query("SELECT lane, arg_min(idx, struct_pack(a := v, b := idx)) AS argmin FROM (SELECT o_orderkey AS idx, o_custkey AS lane, o_totalprice AS v FROM orders) GROUP BY lane")
+def argmin(s: SparkSession, d: str) -> DataFrame:
+    return ar.argmin(_prices(s, d), "idx", ["lane"])
+
+
+@query("SELECT bin, count(p_size) AS n FROM (SELECT unnest(range(0, (SELECT max(p_size) + 1 FROM part))) AS bin) LEFT JOIN part ON p_size = bin GROUP BY bin")
+def bincount(s: SparkSession, d: str) -> DataFrame:
+    return ar.bincount(_t(s, d, "part").select(_c("p_size").alias("v")))
+
+
+def _custkeys(s: SparkSession, d: str, status: str) -> DataFrame:
+    return _t(s, d, "orders").where(_c("o_orderstatus") == status).select(_c("o_custkey").alias("v"))
+
+
+_F, _O = ("SELECT o_custkey AS v FROM orders WHERE o_orderstatus = 'F'", "SELECT o_custkey AS v FROM orders WHERE o_orderstatus = 'O'")
+
+
+@query(f"SELECT DISTINCT v FROM ({_F})")
+def unique(s: SparkSession, d: str) -> DataFrame:
+    return ar.unique(_custkeys(s, d, "F"))
+
+
+@query(f"{_F} INTERSECT {_O}")
+def intersect1d(s: SparkSession, d: str) -> DataFrame:
+    return ar.intersect1d(_custkeys(s, d, "F"), _custkeys(s, d, "O"))
+
+
+@query(f"{_F} UNION {_O}")
+def union1d(s: SparkSession, d: str) -> DataFrame:
+    return ar.union1d(_custkeys(s, d, "F"), _custkeys(s, d, "O"))
+
+
+@query(f"{_F} EXCEPT {_O}")
+def setdiff1d(s: SparkSession, d: str) -> DataFrame:
+    return ar.setdiff1d(_custkeys(s, d, "F"), _custkeys(s, d, "O"))
+
+
+@query(f"({_F} EXCEPT {_O}) UNION ({_O} EXCEPT {_F})")
+def setxor1d(s: SparkSession, d: str) -> DataFrame:
+    return ar.setxor1d(_custkeys(s, d, "F"), _custkeys(s, d, "O"))
+
+
+@query(f"SELECT c_custkey AS v, c_custkey IN ({_F}) AS found FROM customer")
+def in1d(s: SparkSession, d: str) -> DataFrame:
+    return ar.in1d(_t(s, d, "customer").select(_c("c_custkey").alias("v")), _custkeys(s, d, "F"))
+
+
+@query("SELECT o_custkey AS lane, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) - 1 AS idx, o_totalprice AS v FROM orders")
+def sort_axis(s: SparkSession, d: str) -> DataFrame:
+    return ar.sort(_prices(s, d), "idx", ["lane"])
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice) - 1 AS idx, o_totalprice AS v FROM orders")
+def sort1d(s: SparkSession, d: str) -> DataFrame:
+    return ar.sort1d(_prices(s, d).select("idx", "v"))
+
+
+@query("SELECT o_custkey AS lane, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) - 1 AS k, o_orderkey AS idx FROM orders")
+def argsort(s: SparkSession, d: str) -> DataFrame:
+    return ar.argsort(_prices(s, d), "idx", ["lane"])
+
+
+@query("SELECT o_orderkey AS idx, o_totalprice AS v FROM orders ORDER BY v, idx LIMIT 100")
+def partition_smallest(s: SparkSession, d: str) -> DataFrame:
+    return ar.smallest(_prices(s, d).select("idx", "v"), 100)
+
+
+@query(f"SELECT user_id, idx, round(n2, 9) AS v FROM (SELECT user_id, idx, lead(v, 2) OVER w - 2 * lead(v) OVER w + v AS n2 FROM {_LANES} WINDOW w AS (PARTITION BY user_id ORDER BY idx)) WHERE n2 IS NOT NULL")
+def diff_second(s: SparkSession, d: str) -> DataFrame:
+    return ar.diff(_lanes(s, d), "idx", ["user_id"], 2).select("user_id", "idx", F.round("v", 9).alias("v"))
+
+
+@query(f"""SELECT user_id, idx, round(CASE WHEN b IS NULL THEN a - v WHEN a IS NULL THEN v - b ELSE (a - b) / 2 END, 9) AS v
+FROM (SELECT user_id, idx, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM {_LANES} WINDOW w AS (PARTITION BY user_id ORDER BY idx))""")
+def gradient(s: SparkSession, d: str) -> DataFrame:
+    return ar.gradient(_lanes(s, d), "idx", ["user_id"]).select("user_id", "idx", F.round("v", 9).alias("v"))
+
+
+@query(f"SELECT user_id, idx + j AS idx, round(sum(v * x), 6) AS v FROM {_LANES}, (VALUES (0, 1.0), (1, 2.0), (2, 0.5)) AS k(j, x) GROUP BY user_id, idx + j")
+def convolve(s: SparkSession, d: str) -> DataFrame:
+    return ar.convolve(_lanes(s, d), [1.0, 2.0, 0.5], 10**9, by=["user_id"]).select("user_id", "idx", F.round("v", 6).alias("v"))
+
+
+@query(f"SELECT user_id, idx + j AS idx, round(sum(v * x), 6) AS v FROM {_LANES}, (VALUES (0, 0.5), (1, 2.0), (2, 1.0)) AS k(j, x) GROUP BY user_id, idx + j")
+def correlate(s: SparkSession, d: str) -> DataFrame:
+    return ar.correlate(_lanes(s, d), [1.0, 2.0, 0.5], 10**9, by=["user_id"]).select("user_id", "idx", F.round("v", 6).alias("v"))
+
+
+@query("""SELECT event_id, round(CASE WHEN value < 10 THEN 0.0 WHEN value > 90 THEN 5.0 WHEN value < 50 THEN (value - 10) * 20.0 / 40 ELSE 20.0 + (value - 50) * -15.0 / 40 END, 9) AS linear,
+CASE WHEN value < 10 THEN 0.0 WHEN value > 90 THEN 5.0 WHEN value < 50 THEN CASE WHEN value - 10 <= 50 - value THEN 0.0 ELSE 20.0 END ELSE CASE WHEN value - 50 <= 90 - value THEN 20.0 ELSE 5.0 END END AS nearest FROM events""")
+def interp1d(s: SparkSession, d: str) -> DataFrame:
+    knots = [(10, 0), (50, 20), (90, 5)]
+    return _t(s, d, "events").select("event_id", F.round(ar.interp1d(knots, _c("value")), 9).alias("linear"), ar.interp1d(knots, _c("value"), "nearest").alias("nearest"))
+
+
+@query(f"SELECT i, j, v / 2 AS v FROM {_NATION} UNION ALL SELECT i + 5, j, v FROM {_NATION}")
+def concatenate(s: SparkSession, d: str) -> DataFrame:
+    a = _nation(s, d)
+    return ar.concatenate([(a.withColumn("v", _c("v") / 2), 5), (a, 5)], "i")
+
+
+@query(f"SELECT i, j, v, 0 AS k FROM {_NATION} UNION ALL SELECT i, j, v, 1 FROM {_NATION}")
+def stack(s: SparkSession, d: str) -> DataFrame:
+    return ar.stack([_nation(s, d)] * 2, "k")
+
+
+@query(f"SELECT i, j + 5 * r AS j, v FROM {_NATION}, range(3) AS t(r)")
+def tile(s: SparkSession, d: str) -> DataFrame:
+    return ar.tile(_nation(s, d), "j", 5, 3)
+
+
+@query(f"SELECT i, j * 3 + r AS j, v FROM {_NATION}, range(3) AS t(r)")
+def repeat(s: SparkSession, d: str) -> DataFrame:
+    return ar.repeat(_nation(s, d), "j", 3)
+
+
+@query(f"SELECT 4 - i AS i, (j + 3) % 5 AS j, v FROM {_NATION}")
+def flip_and_roll(s: SparkSession, d: str) -> DataFrame:
+    return ar.roll(ar.flip(_nation(s, d), "i", 5), "j", 5, -2)
+
+
+@query(f"SELECT i * 5 + j AS idx, v FROM {_NATION}")
+def flatten(s: SparkSession, d: str) -> DataFrame:
+    return ar.flatten(_nation(s, d), ["i", "j"], (5, 5))
+
+
+@query(f"SELECT j AS i, i AS j, v FROM {_NATION}")
+def transpose(s: SparkSession, d: str) -> DataFrame:
+    return ar.permute(_nation(s, d), ["i", "j"], ["j", "i"])
+
+
+@query(f"SELECT row_number() OVER (ORDER BY i, j) - 1 AS idx, v FROM {_NATION} WHERE i * 5 + j NOT IN (1, 7, 24)")
+def delete(s: SparkSession, d: str) -> DataFrame:
+    return ar.delete(ar.flatten(_nation(s, d), ["i", "j"], (5, 5)), [7, 1, 1, 24, 99])
+
+
+@query(f"SELECT a.i, a.j, a.v - m.v AS v FROM {_NATION} a JOIN (SELECT j, avg(v) AS v FROM {_NATION} GROUP BY j) m USING (j)")
+def broadcast_subtract(s: SparkSession, d: str) -> DataFrame:
+    a = _nation(s, d)
+    return ar.broadcast_binary(a, ar.reduce_(a, ["mean"], ["j"]).withColumnRenamed("mean", "v"), ["j"], ew.sub)
+
+
+@query("SELECT i, round(i * 0.25 - 1, 9) AS a, round(i * 0.01, 9) AS l FROM range(100) AS t(i)")
+def ranges(s: SparkSession, d: str) -> DataFrame:
+    a, b = create.arange(s, -1.0, 24.0, 0.25), create.linspace(s, 0.0, 0.99, 100)
+    return a.select(_c("idx").alias("i"), F.round("v", 9).alias("a")).join(b.select(_c("idx").alias("i"), F.round("v", 9).alias("l")), "i")
+
+
+@query("SELECT CAST(i // 4 AS BIGINT) AS i0, CAST(i % 4 AS BIGINT) AS i1, 2.5 AS v FROM range(12) AS t(i)")
+def full(s: SparkSession, d: str) -> DataFrame:
+    return create.full(s, (3, 4), 2.5)
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 9) AS dot FROM embeddings")
+def dot(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "embeddings").select("vec_id", F.round(linalg.dot(_c("embedding"), _c("embedding")), 9).alias("dot"))
+
+
+@query("""WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT a.i, b.i AS j, round(sum(a.x * b.x), 6) AS v FROM c a JOIN c b USING (vec_id) GROUP BY a.i, b.i""")
+def gram(s: SparkSession, d: str) -> DataFrame:
+    return linalg.gram(_t(s, d, "embeddings"), "embedding", 64).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"SELECT a.i, b.j, round(sum(a.v * b.v), 6) AS v FROM {_NATION} a JOIN {_NATION} b ON a.j = b.i GROUP BY a.i, b.j")
+def matmul(s: SparkSession, d: str) -> DataFrame:
+    return linalg.matmul(_nation(s, d), _nation(s, d)).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"SELECT round(sqrt(sum(v * v)), 9) AS norm, sum(CASE WHEN i = j THEN v END) AS trace FROM {_NATION}")
+def norm_and_trace(s: SparkSession, d: str) -> DataFrame:
+    return linalg.norm(_nation(s, d)).select(F.round("norm", 9).alias("norm")).crossJoin(F.broadcast(linalg.trace(_nation(s, d))))
+
+
+@query(f"SELECT i, count(*) AS n FROM {_NATION} WHERE v <> 0 GROUP BY i")
+def sparse_rows(s: SparkSession, d: str) -> DataFrame:
+    return linalg.row_pointers(_nation(s, d), 5)
+
+
+@query(f"SELECT i, j, CASE WHEN v > 5 THEN v ELSE 0.0 END AS v FROM {_NATION}")
+def sparse_round_trip(s: SparkSession, d: str) -> DataFrame:
+    return linalg.to_dense(linalg.from_dense(_nation(s, d).where("v > 5")), 5, 5)
+
+
+@query("SELECT event_id, round(((3 * x + 2) * x + 1) * x - 4, 9) AS p, round((9 * x + 4) * x + 1, 9) AS derivative FROM (SELECT event_id, value / 100 AS x FROM events)")
+def polyval(s: SparkSession, d: str) -> DataFrame:
+    p, x = [3.0, 2.0, 1.0, -4.0], _c("x")
+    return _t(s, d, "events").select("event_id", (_c("value") / 100).alias("x")).select("event_id", F.round(ew.polyval(p, x), 9).alias("p"), F.round(ew.polyval(linalg.polyder(p), x), 9).alias("derivative"))
+
+
+@query("""SELECT k, round(sum(v * cos(-2 * pi() * k * idx / 25)), 6) + 0.0 AS re, round(sum(v * sin(-2 * pi() * k * idx / 25)), 6) + 0.0 AS im
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS idx, CAST(n_regionkey AS DOUBLE) AS v FROM nation), range(25) AS t(k) GROUP BY k""")
+def dft(s: SparkSession, d: str) -> DataFrame:
+    a = _t(s, d, "nation").select(_c("n_nationkey").cast("long").alias("idx"), _c("n_regionkey").cast("double").alias("v"))
+    return linalg.dft(a, 25).select("k", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+
+
+@query("""SELECT user_id, event_id, round(exp(value / 100 - m) / sum(exp(value / 100 - m)) OVER (PARTITION BY user_id), 9) AS v
+FROM (SELECT *, max(value / 100) OVER (PARTITION BY user_id) AS m FROM events)""")
+def softmax(s: SparkSession, d: str) -> DataFrame:
+    return ar.softmax(_t(s, d, "events").select("user_id", "event_id", (_c("value") / 100).alias("v")), ["user_id"]).select("user_id", "event_id", F.round("v", 9).alias("v"))
+
+
+@query("""SELECT round(avg((y - p) ** 2), 9) AS mse, round(avg(abs(y - p)), 9) AS mae, round(avg(greatest(0, 1 - y * p)), 9) AS hinge, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 9) AS bce
+FROM (SELECT *, least(greatest(p, 1e-7), 1 - 1e-7) AS q FROM (SELECT CAST(toxic AS DOUBLE) AS y, 0.1 + 0.5 * quality AS p FROM labels))""")
+def losses(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "labels").select(_c("toxic").cast("double").alias("y"), (0.1 + 0.5 * _c("quality")).alias("p"))
+    return rows.agg(*(F.round(ar.loss(k), 9).alias(k) for k in ("mse", "mae", "hinge", "bce")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey % 100 AS BIGINT) AS u, CAST(l_partkey % 97 AS BIGINT) AS v FROM lineitem WHERE l_orderkey < 200),
+w(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.v, w.depth + 1 FROM w JOIN e ON e.u = w.node WHERE w.depth < 40) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
+def bfs(s: SparkSession, d: str) -> DataFrame:
+    e = _t(s, d, "lineitem").where("l_orderkey < 200").select((_c("l_suppkey") % 100).cast("long").alias("u"), (_c("l_partkey") % 97).cast("long").alias("v")).distinct()
+    return graph.bfs(e, 1, 40)
+
+
+@query("SELECT i AS target, i IN (0, 3, 4, 5, 7, 8, 9, 12) AS reachable FROM range(13) AS t(i)")
+def subset_sum(s: SparkSession, d: str) -> DataFrame:
+    sums = graph.subset_sums(F.array(F.lit(3), F.lit(4), F.lit(5)))
+    return s.range(13).select(_c("id").alias("target"), F.array_contains(sums, _c("id")).alias("reachable"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 9) AS mean FROM events GROUP BY ALL""")
+def windowed_events(s: SparkSession, d: str) -> DataFrame:
+    return windowed(_t(s, d, "events")).select("start", "event_type", "n", F.round("total", 6).alias("total"), F.round("mean", 9).alias("mean"))
+
+
+@query()
+def random_draws(s: SparkSession, d: str) -> DataFrame:
+    draws = {"uniform": create.uniform(s, 1000, 42), "normal": create.normal(s, 1000, 42), "randint": create.randint(s, 1000, 42, 0, 10), "exponential": create.exponential(s, 1000, 42), "poisson": create.poisson(s, 1000, 42, 3.0)}
+    out = None
+    for k, a in draws.items():
+        r = a.select(F.lit(k).alias("kind"), "idx", _c("v").cast("double").alias("v"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query()
+def permutation(s: SparkSession, d: str) -> DataFrame:
+    return create.permutation(s, 1000, 42)
+
+
+def _square(s: SparkSession, d: str) -> DataFrame:
+    return _nation(s, d).select(F.lit(0).cast("long").alias("m"), "i", "j", (_c("v") + F.when(_c("i") == _c("j"), 20.0).otherwise(0.0)).alias("v"))
+
+
+def _dense(kernel: str, symmetric: bool = False) -> None:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        a = _square(s, d)
+        if symmetric:
+            a = a.unionByName(a.select("m", _c("j").alias("i"), _c("i").alias("j"), "v")).groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
+        return linalg.dense(a, kernel, 5, 5)
+
+    run.__name__ = f"linalg_{kernel}"
+    query()(run)
+
+
+for _kernel, _symmetric in {"inverse": False, "determinant": False, "qr": False, "lu": False, "svd": False, "eigvals": False, "cholesky": True, "eig": True}.items():
+    _dense(_kernel, _symmetric)
+
+
+@query()
+def linalg_solve(s: SparkSession, d: str) -> DataFrame:
+    a = _square(s, d)
+    return linalg.solve(a, a.groupBy("m", "i").agg(F.sum("v").alias("v")), 5)
+
+
+@query()
+def fft(s: SparkSession, d: str) -> DataFrame:
+    return linalg.fft(_lanes(s, d).select(_c("user_id").alias("key"), "idx", _c("v").alias("re"), F.lit(0.0).alias("im")))
+
+
+@query()
+def train_dense(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "embeddings").select("vec_id", _c("embedding").cast("array<double>").alias("x"), F.array((_c("label") % 2).cast("double")).alias("y"))
+    model = Sequential([64, 8, 1], ["tanh", "sigmoid"])
+    model.fit(rows, Sgd(1.0), 3)
+    return model.forward(rows).select("vec_id", "p")
