@@ -169,6 +169,15 @@ def replace_where(x: Column, predicate: Column, value: Column | float) -> Column
     return F.when(predicate, value).otherwise(x)
 
 
+def replace(x: Column, old: float, new: float) -> Column:
+    return F.when(equal(x, F.lit(old)), F.lit(new)).otherwise(x)
+
+
+def dropout(x: Column, rate: float, seed: int) -> Column:
+    """0 by the chance `rate`, else scaled so that the mean stays; for training only."""
+    return F.when(F.rand(seed) > rate, x / F.lit(1.0 - rate)).otherwise(F.lit(0.0)) if rate < 1 else F.lit(0.0)
+
+
 # complex numbers: struct<re: double, im: double>
 
 
@@ -200,6 +209,15 @@ def complex_add(a: Column, b: Column) -> Column:
     return complex_(a["re"] + b["re"], a["im"] + b["im"])
 
 
+def complex_sub(a: Column, b: Column) -> Column:
+    return complex_(a["re"] - b["re"], a["im"] - b["im"])
+
+
+def complex_div(a: Column, b: Column) -> Column:
+    size = b["re"] * b["re"] + b["im"] * b["im"]
+    return complex_(div(a["re"] * b["re"] + a["im"] * b["im"], size), div(a["im"] * b["re"] - a["re"] * b["im"], size))
+
+
 def complex_mul(a: Column, b: Column) -> Column:
     return complex_(a["re"] * b["re"] - a["im"] * b["im"], a["re"] * b["im"] + a["im"] * b["re"])
 

@@ -83,6 +83,28 @@ def stack(parts: list[DataFrame], axis: str) -> DataFrame:
     return concatenate([(a.withColumn(axis, F.lit(0).cast("long")), 1) for a in parts], axis)
 
 
+def vstack(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Matrices with their row counts, one below another; vectors (idx, v) are rows."""
+    if parts and "idx" in parts[0][0].columns:
+        return stack([a.select(F.col("idx").alias("j"), "v") for a, _ in parts], "i")
+    return concatenate(parts, "i")
+
+
+def hstack(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Matrices with their column counts side by side, vectors with their lengths end to end."""
+    return concatenate(parts, "idx" if parts and "idx" in parts[0][0].columns else "j")
+
+
+def dstack(parts: list[DataFrame]) -> DataFrame:
+    """Matrices along a third axis k."""
+    return stack(parts, "k")
+
+
+def broadcast_to(a: DataFrame, axis: str, size: int) -> DataFrame:
+    """An array without the axis, repeated along it."""
+    return a.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))) if size > 0 else expand_dims(a, axis).where("false")
+
+
 def tile(a: DataFrame, axis: str, size: int, times: int) -> DataFrame:
     return a.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn(axis, F.col(axis) + F.col("__r") * size).drop("__r") if times > 0 else a.where("false")
 
@@ -137,6 +159,10 @@ def nonzero(a: DataFrame, axes: list[str]) -> DataFrame:
     return a.where((v() != 0) | F.isnan(v())).select(*axes)
 
 
+def flatnonzero(a: DataFrame, axes: list[str], shape: tuple[int, ...]) -> DataFrame:
+    return nonzero(flatten(a, axes, shape), ["idx"])
+
+
 def replace_end(a: DataFrame, old: float, new: float, at: str = "idx", last: bool = False) -> DataFrame:
     """Replaces the first or last cell that equals old."""
     place = a.where(v() == old).agg((F.max if last else F.min)(at).alias("__m"))

@@ -22,6 +22,11 @@ def bfs(edges: DataFrame, start: int, most: int = 1_000) -> DataFrame:
     return seen
 
 
+def reachable(edges: DataFrame, start: int, most: int = 1_000) -> DataFrame:
+    """(node) of what a search of either order visits; the order of a depth-first search has no distributed form."""
+    return bfs(edges, start, most).select("node")
+
+
 def subset_sums(a: Column) -> Column:
     """All sums of subsets of an integer array, distinct; 0 is one."""
     return F.aggregate(a, F.array(F.lit(0).cast("long")), lambda s, x: F.array_union(s, F.transform(s, lambda y: y + x.cast("long"))))

@@ -105,15 +105,15 @@ def dense(a: DataFrame, kernel: str, rows: int, cols: int, key: str = "m") -> Da
 
 
 def solve(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
-    """x of A x = b for matrices (m, i, j, v) and right sides (m, i, v)."""
+    """x of A x = b for matrices (m, i, j, v) and right sides (m, i, v), which go along as column n of the matrix."""
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.zeros((n, n)), np.zeros(n)
-        x[left["i"], left["j"]] = left["v"]
-        y[right["i"]] = right["v"]
-        return pd.DataFrame({"m": left["m"].iloc[0], "i": np.arange(n), "v": _solve(x, y)})
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((n, n + 1))
+        x[group["i"], group["j"]] = group["v"]
+        return pd.DataFrame({"m": group["m"].iloc[0], "i": np.arange(n), "v": _solve(x[:, :n], x[:, n])})
 
-    return a.groupBy("m").cogroup(b.groupBy("m")).applyInPandas(one, "m long, i long, v double")
+    both = a.select("m", "i", "j", "v").unionByName(b.select("m", "i", F.lit(n).cast("long").alias("j"), "v"))
+    return both.groupBy("m").applyInPandas(one, "m long, i long, v double")
 
 
 # polynomials: coefficients as Python lists, highest power first; they are parameters, not data
@@ -153,6 +153,25 @@ def fft(series: DataFrame, inverse: bool = False) -> DataFrame:
     return series.groupBy("key").applyInPandas(one, "key long, idx long, re double, im double")
 
 
+def fftn(cells: DataFrame, axes: list[str], inverse: bool = False) -> DataFrame:
+    """The transform of an array (axes, re, im) along each of two or more axes, a task per lane; no lane crosses tasks."""
+    f = np.fft.ifft if inverse else np.fft.fft
+    schema = ", ".join(f"{x} long" for x in axes) + ", re double, im double"
+    out = cells.select(*axes, "re", "im")
+
+    def along(axis: str):  # noqa: ANN202
+        def lane(group: pd.DataFrame) -> pd.DataFrame:
+            g = group.sort_values(axis)
+            y = f(g["re"].to_numpy() + 1j * g["im"].to_numpy())
+            return g.assign(re=y.real, im=y.imag)
+
+        return lane
+
+    for axis in axes:
+        out = out.groupBy(*(x for x in axes if x != axis)).applyInPandas(along(axis), schema)
+    return out
+
+
 def dft(a: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """The transform of vectors of n cells as a sum over an exploded frequency axis, all in Catalyst."""
     k = a.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))

@@ -7,12 +7,34 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+#: Activations and how a gradient g passes back through them, from input z and output a.
 _ACTIVATIONS: dict[str, tuple[Callable, Callable]] = {
-    "linear": (lambda z: z, lambda z, a: np.ones_like(z)), "relu": (lambda z: np.maximum(z, 0), lambda z, a: (z > 0).astype(float)),
-    "sigmoid": (lambda z: 1 / (1 + np.exp(-z)), lambda z, a: a * (1 - a)), "tanh": (np.tanh, lambda z, a: 1 - a * a),
+    "linear": (lambda z: z, lambda z, a, g: g), "relu": (lambda z: np.maximum(z, 0), lambda z, a, g: g * (z > 0)),
+    "sigmoid": (lambda z: 1 / (1 + np.exp(-z)), lambda z, a, g: g * a * (1 - a)), "tanh": (np.tanh, lambda z, a, g: g * (1 - a * a)),
+    "softmax": (_softmax, lambda z, a, g: a * (g - (a * g).sum(axis=1, keepdims=True))),
+}
+
+
+def _cross_entropy(p: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, int]:
+    inside = np.clip(p, 1e-7, 1 - 1e-7)
+    return -(y * np.log(inside)).sum(), -y / inside, len(y)
+
+
+#: Losses: the sum over cells, its gradient, and what the sum is to be divided by.
+_LOSSES: dict[str, Callable] = {"mse": lambda p, y: (((p - y) ** 2).sum(), 2 * (p - y), y.size), "cross_entropy": _cross_entropy}
+
+#: Bounds of the starting weights of a layer from m to n values, or the deviation for he.
+_STARTS: dict[str, Callable] = {
+    "uniform": lambda rng, m, n: rng.uniform(-1, 1, (m, n)), "xavier": lambda rng, m, n: rng.uniform(-1, 1, (m, n)) * np.sqrt(6 / (m + n)), "he": lambda rng, m, n: rng.standard_normal((m, n)) * np.sqrt(2 / m),
 }
 
 
@@ -53,12 +75,15 @@ class Adam:
 
 
 class Sequential:
-    """Dense layers: sizes[k] to sizes[k + 1] with an activation each, trained on the mean squared error."""
+    """Dense layers: sizes[k] to sizes[k + 1] with an activation each (linear, relu, sigmoid, tanh, softmax).
+
+    start: uniform, xavier or he; loss: mse, or cross_entropy for outputs that are probabilities.
+    """
 
-    def __init__(self, sizes: list[int], activations: list[str], seed: int = 0):
+    def __init__(self, sizes: list[int], activations: list[str], seed: int = 0, start: str = "xavier", loss: str = "mse"):
         rng = np.random.default_rng(seed)
-        self.activations = activations
-        self.weights = [(rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
+        self.activations, self.loss = activations, loss
+        self.weights = [(_STARTS[start](rng, a, b), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
 
     def _pass(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         out = [(x, x)]
@@ -77,17 +102,28 @@ class Sequential:
 
         return rows.withColumn(out, predict(x))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One Parquet row per layer."""
+        rows = [(k, f, self.loss, w.shape[0], w.ravel().tolist(), b.tolist()) for k, ((w, b), f) in enumerate(zip(self.weights, self.activations, strict=True))]
+        spark.createDataFrame(rows, "layer int, activation string, loss string, inputs int, w array<double>, b array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Sequential:
+        rows = spark.read.parquet(path).orderBy("layer").collect()  # one per layer
+        out = cls([], [r.activation for r in rows], loss=rows[0].loss if rows else "mse")
+        out.weights = [(np.array(r.w).reshape(r.inputs, -1), np.array(r.b)) for r in rows]
+        return out
+
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         states = self._pass(x)
-        delta = 2 * (states[-1][1] - y)
-        loss = ((states[-1][1] - y) ** 2).sum()
+        loss, delta, count = _LOSSES[self.loss](states[-1][1], y)
         grads: list[np.ndarray] = []
         for k in range(len(self.weights) - 1, -1, -1):
             z, a = states[k + 1]
-            delta = delta * _ACTIVATIONS[self.activations[k]][1](z, a)
+            delta = _ACTIVATIONS[self.activations[k]][1](z, a, delta)
             grads = [states[k][1].T @ delta, delta.sum(0), *grads]
             delta = delta @ self.weights[k][0].T
-        return [np.array([loss, y.size]), *grads]
+        return [np.array([loss, count]), *grads]
 
     def fit(self, rows: DataFrame, optimiser: Sgd | RmsProp | Adam, epochs: int) -> list[float]:
         """Full-batch epochs over rows with x and y (arrays): each partition sends one sum of gradients.  Returns the losses."""

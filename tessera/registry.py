@@ -464,9 +464,157 @@ def linalg_solve(s: SparkSession, d: str) -> DataFrame:
     return linalg.solve(a, a.groupBy("m", "i").agg(F.sum("v").alias("v")), 5)
 
 
-@query()
+def _series(s: SparkSession, d: str) -> DataFrame:
+    return _lanes(s, d).select(_c("user_id").alias("key"), "idx", _c("v").alias("re"), F.lit(0.0).alias("im"))
+
+
+def _wave(*columns: str) -> list[F.Column]:
+    return [*columns, *((F.round(x, 6) + 0.0).alias(x) for x in ("re", "im"))]
+
+
+@query(f"""WITH a AS (SELECT user_id AS key, idx, v, count(*) OVER (PARTITION BY user_id) AS n FROM {_LANES})
+SELECT b.key, b.idx, round(sum(a.v * cos(-2 * pi() * (a.idx * b.idx % a.n) / a.n)), 6) + 0.0 AS re, round(sum(a.v * sin(-2 * pi() * (a.idx * b.idx % a.n) / a.n)), 6) + 0.0 AS im FROM a JOIN a b USING (key) GROUP BY b.key, b.idx""")
 def fft(s: SparkSession, d: str) -> DataFrame:
-    return linalg.fft(_lanes(s, d).select(_c("user_id").alias("key"), "idx", _c("v").alias("re"), F.lit(0.0).alias("im")))
+    return linalg.fft(_series(s, d)).select(*_wave("key", "idx"))
+
+
+@query(f"SELECT user_id AS key, idx, round(v, 6) AS re, 0.0::DOUBLE AS im FROM {_LANES}")
+def fft_round_trip(s: SparkSession, d: str) -> DataFrame:
+    return linalg.fft(linalg.fft(_series(s, d)), inverse=True).select(*_wave("key", "idx"))
+
+
+def _waves(s: SparkSession, d: str) -> DataFrame:
+    return _nation(s, d).select("i", "j", _c("v").alias("re"), (_c("v") / 2).alias("im"))
+
+
+@query(f"""SELECT k AS i, l AS j, round(sum(v * cos(t) - v / 2 * sin(t)), 6) + 0.0 AS re, round(sum(v * sin(t) + v / 2 * cos(t)), 6) + 0.0 AS im
+FROM (SELECT k, l, v, -2 * pi() * ((i * k + j * l) % 5) / 5 AS t FROM {_NATION}, range(5) AS x(k), range(5) AS y(l)) GROUP BY k, l""")
+def fft2(s: SparkSession, d: str) -> DataFrame:
+    return linalg.fftn(_waves(s, d), ["i", "j"]).select(*_wave("i", "j"))
+
+
+@query(f"SELECT i, j, round(v, 6) AS re, round(v / 2, 6) AS im FROM {_NATION}")
+def fft2_round_trip(s: SparkSession, d: str) -> DataFrame:
+    return linalg.fftn(linalg.fftn(_waves(s, d), ["i", "j"]), ["i", "j"], inverse=True).select(*_wave("i", "j"))
+
+
+def _part(x: DataFrame, part: str) -> DataFrame:
+    return x.where(_c("part") == part).select("i", "j", "v")
+
+
+_SQUARE = f"(SELECT i, j, v + CASE WHEN i = j THEN 20 ELSE 0 END AS v FROM {_NATION})"
+_SYMMETRIC = f"(SELECT a.i, a.j, a.v + b.v AS v FROM {_SQUARE} a JOIN {_SQUARE} b ON a.i = b.j AND a.j = b.i)"
+
+
+def _product(kernel: str, of, symmetric: bool = False, sql: str = "") -> None:  # noqa: ANN001
+    """Factors multiplied back give the matrix."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from .operators.order import fixed
+
+        parts = fixed(QUERIES[f"linalg_{kernel}"](s, d))
+        return of(parts, _square(s, d).drop("m")).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+    run.__name__ = f"{kernel}_product"
+    query(sql or f"SELECT i, j, round(v, 6) + 0.0 AS v FROM {_SYMMETRIC if symmetric else _SQUARE}")(run)
+
+
+def _scaled(x: DataFrame, values: DataFrame) -> DataFrame:
+    """Columns of x times the values (i)."""
+    return x.join(values.select(_c("i").alias("j"), _c("v").alias("s")), "j").select("i", "j", (_c("v") * _c("s")).alias("v"))
+
+
+def _t_of(x: DataFrame) -> DataFrame:
+    return ar.permute(x, ["i", "j"], ["j", "i"])
+
+
+_product("lu", lambda p, a: linalg.matmul(_part(p, "l"), _part(p, "u")))
+_product("qr", lambda p, a: linalg.matmul(_part(p, "q"), _part(p, "r")))
+_product("svd", lambda p, a: linalg.matmul(_scaled(_part(p, "u"), _part(p, "s")), _part(p, "vt")))
+_product("cholesky", lambda p, a: linalg.matmul(_part(p, "l"), _t_of(_part(p, "l"))), True)
+_product("eig", lambda p, a: linalg.matmul(_scaled(_part(p, "vectors"), _part(p, "values")), _t_of(_part(p, "vectors"))), True)
+_product("inverse", lambda p, a: linalg.matmul(a, _part(p, "inverse")), sql=f"SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM {_NATION}")
+
+
+@query(f"SELECT i, round(sum(v), 6) AS v FROM {_SQUARE} GROUP BY i")
+def solve_product(s: SparkSession, d: str) -> DataFrame:
+    x = linalg_solve(s, d).select("i", F.lit(0).cast("long").alias("j"), "v")
+    return linalg.matmul(_square(s, d).drop("m"), x).select("i", F.round("v", 6).alias("v"))
+
+
+@query(f"SELECT round(sum(v), 6) AS total FROM {_SQUARE} WHERE i = j")
+def eigvals_sum(s: SparkSession, d: str) -> DataFrame:
+    return QUERIES["linalg_eigvals"](s, d).agg(F.round(F.sum("v"), 6).alias("total"))
+
+
+@query("SELECT s_suppkey AS m, round(s_acctbal * 3 - s_nationkey * s_suppkey, 4) AS determinant FROM supplier")
+def determinants(s: SparkSession, d: str) -> DataFrame:
+    cells = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.cast("double").alias("v")) for i, j, v in ((0, 0, _c("s_acctbal")), (0, 1, _c("s_nationkey")), (1, 0, _c("s_suppkey")), (1, 1, F.lit(3)))))
+    a = _t(s, d, "supplier").select(_c("s_suppkey").alias("m"), F.inline(cells))
+    return linalg.dense(a, "determinant", 2, 2).select("m", F.round("v", 4).alias("determinant"))
+
+
+@query(f"SELECT i, j, v FROM {_NATION} UNION ALL SELECT i + 5, j, v * 2 FROM {_NATION}")
+def vstack(s: SparkSession, d: str) -> DataFrame:
+    a = _nation(s, d)
+    return ar.vstack([(a, 5), (a.withColumn("v", _c("v") * 2), 5)])
+
+
+@query(f"SELECT i, j, v FROM {_NATION} UNION ALL SELECT i, j + 5, v * 2 FROM {_NATION}")
+def hstack(s: SparkSession, d: str) -> DataFrame:
+    a = _nation(s, d)
+    return ar.hstack([(a, 5), (a.withColumn("v", _c("v") * 2), 5)])
+
+
+@query(f"SELECT i, j, v, 0 AS k FROM {_NATION} UNION ALL SELECT i, j, v * 2, 1 FROM {_NATION}")
+def dstack(s: SparkSession, d: str) -> DataFrame:
+    a = _nation(s, d)
+    return ar.dstack([a, a.withColumn("v", _c("v") * 2)])
+
+
+@query(f"SELECT CAST((i * 5 + j) // 10 AS BIGINT) AS i0, CAST((i * 5 + j) % 10 AS BIGINT) AS i1, v FROM {_NATION} WHERE i < 4")
+def reshape(s: SparkSession, d: str) -> DataFrame:
+    return ar.reshape(ar.slice_(_nation(s, d), "i", 0, 4), ["i", "j"], (4, 5), (2, 10))
+
+
+@query(f"SELECT r AS i, j, v FROM (SELECT j, avg(v) AS v FROM {_NATION} GROUP BY j), range(3) AS t(r)")
+def broadcast_to(s: SparkSession, d: str) -> DataFrame:
+    return ar.broadcast_to(ar.reduce_(_nation(s, d), ["mean"], ["j"]).withColumnRenamed("mean", "v"), "i", 3)
+
+
+@query(f"SELECT i * 5 + j AS idx FROM {_NATION} WHERE v <> 0")
+def flatnonzero(s: SparkSession, d: str) -> DataFrame:
+    return ar.flatnonzero(_nation(s, d), ["i", "j"], (5, 5))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 7 THEN -1 ELSE p_size END AS v FROM part")
+def replace(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "part").select("p_partkey", ew.replace(_c("p_size"), 7, -1).alias("v"))
+
+
+@query("""SELECT vec_id, round((a * c + b * d) / (c * c + d * d), 6) AS re, round((b * c - a * d) / (c * c + d * d), 6) AS im, a - c AS dre, b - d AS dim
+FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE + 2 AS c, embedding[4]::DOUBLE AS d FROM embeddings)""")
+def complex_quotients(s: SparkSession, d: str) -> DataFrame:
+    e = _c("embedding")
+    rows = _t(s, d, "embeddings").select("vec_id", ew.complex_(e[0], e[1]).alias("x"), ew.complex_(e[2].cast("double") + 2, e[3]).alias("y"))
+    q, m = ew.complex_div(_c("x"), _c("y")), ew.complex_sub(_c("x"), _c("y"))
+    return rows.select("vec_id", F.round(ew.real(q), 6).alias("re"), F.round(ew.imag(q), 6).alias("im"), ew.real(m).alias("dre"), ew.imag(m).alias("dim"))
+
+
+@query("""SELECT * FROM (VALUES ('add', 0, 1.0::DOUBLE), ('add', 1, 3.0), ('add', 2, -2.0), ('sub', 0, 1.0), ('sub', 1, 1.0), ('sub', 2, -2.0), ('mul', 0, 1.0), ('mul', 1, 0.0), ('mul', 2, -4.0), ('mul', 3, 0.0),
+('der', 0, 2.0), ('der', 1, 2.0), ('int', 0, 0.333333), ('int', 1, 1.0), ('int', 2, -2.0), ('int', 3, 4.0), ('roots', 0, 0.732051), ('roots', 1, -2.732051)) AS t(what, k, v)""")
+def polynomials(s: SparkSession, d: str) -> DataFrame:
+    p, q = [1.0, 2.0, -2.0], [1.0, 0.0]
+    found = {"add": linalg.polyadd(p, q), "sub": linalg.polyadd(p, q, -1.0), "mul": linalg.polymul([1.0, 2.0, 0.0], [1.0, -2.0]), "der": linalg.polyder(p), "int": linalg.polyint(p, k=4.0), "roots": linalg.roots(p)}
+    rows = [(what, k, round(x, 6) + 0.0) for what, c in found.items() for k, x in enumerate(c)]
+    return s.createDataFrame(rows, "what string, k int, v double")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey % 100 AS BIGINT) AS u, CAST(l_partkey % 97 AS BIGINT) AS v FROM lineitem),
+w(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.v FROM w JOIN e ON e.u = w.node) SELECT node FROM w""")
+def reachable(s: SparkSession, d: str) -> DataFrame:
+    e = _t(s, d, "lineitem").select((_c("l_suppkey") % 100).cast("long").alias("u"), (_c("l_partkey") % 97).cast("long").alias("v")).distinct()
+    return graph.reachable(e, 1)
 
 
 @query()
