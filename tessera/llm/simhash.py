@@ -228,7 +228,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one row of each group: a row of the smallest doc_id.  Rows without a doc_id stay."""
+    """docs with one row of each group: a row of the smallest doc_id.  Rows without a doc_id stay; rows that share one count as one document."""
     groups = near_groups(docs.where("doc_id is not null"), shingle, radius)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
