@@ -69,7 +69,7 @@ def _keys(basis: np.ndarray, seed: int):
                 x = unit(np.array([(r + [0.0] * n)[:n] for r in rows]) + 1e-300)
                 for c in range(CURVES):
                     y = (x @ (basis @ turns[c])) * np.sqrt(n) / 8 + 0.5  # unit vectors spread over about one root of n
-                    y = np.clip((y + shifts[c] / 4) / 1.25, 0, 1 - 1e-9)
+                    y = np.clip((y + shifts[c, : y.shape[1]] / 4) / 1.25, 0, 1 - 1e-9)
                     y = np.hstack([y, np.zeros((len(y), DIRECTIONS - y.shape[1]))])
                     yield pa.RecordBatch.from_pydict({
                         "curve": pa.array(np.full(len(x), c, np.int32)), "key": pa.array(hilbert((y * (1 << BITS)).astype(np.int64), BITS)), "id": part.column("id"), "e": part.column("e"),

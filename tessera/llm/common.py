@@ -65,6 +65,17 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df in which columns of these names, in upper or lower case, have `_in` appended, as often as it takes to be free."""
+    for c in df.columns:
+        if c.lower() in names:
+            new = f"{c}_in"
+            while new.lower() in {x.lower() for x in df.columns}:
+                new += "_in"
+            df = df.withColumnRenamed(c, new)
+    return df
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

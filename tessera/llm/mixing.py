@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words, ranked
+from .common import materialise, n_words, ranked, set_aside
 
 #: Bits of a rank, narrowed LEVEL bits at a time.
 BITS, LEVEL = 40, 10
@@ -60,8 +60,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     left together.  Null sources form a source of their own; a source without words has target 0.  Own columns of
     these names come back with `_in` appended.  An empty table gives an empty table.
     """
-    for c in ("size", "source_size", "target", "copies", "taken"):
-        docs = docs.withColumnRenamed(c, f"{c}_in") if c in docs.columns else docs
+    docs = set_aside(docs, "size", "source_size", "target", "copies", "taken")
     odds = F.lit(1.0) / F.sqrt(F.greatest(F.col("size"), F.lit(1)).cast("double"))
     draw = _uniform(seed, "doc_id", "text")
     value = draw / (1 - draw) / odds  # the Pareto ranking value, with odds up to a factor that a source's documents share
@@ -77,22 +76,22 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     for at in range(BITS - LEVEL, -1, -LEVEL):
         width = 1 << at
         state = materialise(state, "ranks")
-        s = state.select(F.col("source").alias("source_"), "__low", "__done", "__left")
-        inside = narrow.join(s, narrow.source.eqNullSafe(s.source_)).where(f"__rank >= __low and __rank < __low + {width << LEVEL}")
-        ranges = inside.groupBy("source_", F.shiftright("__rank", at).alias("__range")).agg(F.sum("size").alias("words"), F.first("__done").alias("__done"), F.first("__left").alias("__left"))
+        s = state.select(F.col("source").alias("__source"), "__low", "__done", "__left")
+        inside = narrow.join(s, narrow.source.eqNullSafe(s["__source"])).where(f"__rank >= __low and __rank < __low + {width << LEVEL}")
+        ranges = inside.groupBy("__source", F.shiftright("__rank", at).alias("__range")).agg(F.sum("size").alias("words"), F.first("__done").alias("__done"), F.first("__left").alias("__left"))
         # at most 2**LEVEL rows per source
-        by = Window.partitionBy("source_").orderBy("__range")
+        by = Window.partitionBy("__source").orderBy("__range")
         sums = ranges.withColumn("__end", F.col("__done") + F.sum("words").over(by))
-        last = sums.where("__end > __left").groupBy("source_").agg(F.min(F.struct("__range", "__end", "words")).alias("x"))
-        last = last.select("source_", (F.col("x.__range") * width).alias("l"), (F.col("x.__end") - F.col("x.words")).alias("d"), F.col("x.words").alias("w"))
-        state = state.join(last, state.source.eqNullSafe(last.source_), "left").select(
+        last = sums.where("__end > __left").groupBy("__source").agg(F.min(F.struct("__range", "__end", "words")).alias("x"))
+        last = last.select("__source", (F.col("x.__range") * width).alias("l"), (F.col("x.__end") - F.col("x.words")).alias("d"), F.col("x.words").alias("w"))
+        state = state.join(last, state.source.eqNullSafe(last["__source"]), "left").select(
             "source", "source_size", "target", "__sure", "__left",
             # nothing passes the target: all of the range is in
             F.coalesce("l", F.col("__low") + (width << LEVEL)).alias("__low"), F.coalesce("d", F.col("__done")).alias("__done"), F.coalesce("w", F.lit(0).cast("long")).alias("__next"),
         )
     nearer = (F.col("__next") > 0) & (F.col("__done") + F.col("__next") - F.col("__left") < F.col("__left") - F.col("__done"))
-    state = state.withColumn("__below", F.col("__low") + nearer.cast("long")).select(F.col("source").alias("source_"), "source_size", "target", "__sure", "__below", "__left")
+    state = state.withColumn("__below", F.col("__low") + nearer.cast("long")).select(F.col("source").alias("__source"), "source_size", "target", "__sure", "__below", "__left")
     state = materialise(state, "ranks")
     sampled = ((F.col("__rank") < F.col("__below")) & (F.col("__left") > 0)).cast("long")
-    out = sized.join(state, sized.source.eqNullSafe(state.source_)).withColumn("copies", F.col("__sure") + sampled)
+    out = sized.join(state, sized.source.eqNullSafe(state["__source"])).withColumn("copies", F.col("__sure") + sampled)
     return out.select(*docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, set_aside
 
 #: Hash slots; a bucket is a range of slots.
 SLOTS = 1 << 20
@@ -26,8 +26,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 0, bucket_byt
     or repeat (rows equal in doc_id and text share a bucket).  Own columns of these four names come back with
     `_in` appended.  An empty table gives an empty table.
     """
-    for c in ("size", "text_crc32", "shard", "slot"):
-        docs = docs.withColumnRenamed(c, f"{c}_in") if c in docs.columns else docs
+    docs = set_aside(docs, "size", "text_crc32", "shard", "slot")
     columns = docs.columns
     text = F.coalesce("text", F.lit(""))
     hashed = docs.withColumns({

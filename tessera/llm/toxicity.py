@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are features beside whole words.
 _BEGINNINGS = (4, 5, 6)
@@ -143,8 +145,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     Own columns of these names come back with `_in` appended.
     """
-    for c in ("score", "predicted"):
-        docs = docs.withColumnRenamed(c, f"{c}_in") if c in docs.columns else docs
+    docs = set_aside(docs, "score", "predicted")
 
     @F.pandas_udf("double")
     def score(texts):  # noqa: ANN001, ANN202  a Series to a Series

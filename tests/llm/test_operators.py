@@ -12,7 +12,7 @@ from tessera.llm.ann import nearest
 from tessera.llm.embedding_dedup import near_vectors
 from tessera.llm.mixing import mixed
 from tessera.llm.sharding import shuffled_shards
-from tessera.llm.simhash import fingerprint, near_groups
+from tessera.llm.simhash import fingerprint, near_groups, one_of_each
 from tessera.llm.suffix_dedup import remove_repeats
 
 
@@ -86,6 +86,30 @@ def test_mixing_and_sharding(spark):
     assert len(placed) == 200 and counts["count"].max() - counts["count"].min() <= 1 and (counts["max"] + 1 == counts["count"]).all()
 
 
+def test_clashing_columns(spark):
+    names = ["Size", "size_in", "source_", "Taken", "shard", "slot", "fp", "component_id", "n_bytes", "uid", "u", "v", "node", "root", "n"]
+    rows = [(i % 6, "a b c d " * (i % 3) or None, "s" if i % 2 else None, *range(len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    out = mixed(docs)
+    assert out.count() == 12 and {"Size_in_in", "size_in", "Taken_in", "source_", "size", "taken"} <= set(out.columns)
+    out = shuffled_shards(docs, 5)
+    assert out.count() == 12 and {"Size_in_in", "shard_in", "slot_in", "shard"} <= set(out.columns)
+    assert near_groups(docs).count() == 12 and remove_repeats(docs).count() == 12
+    assert sorted(r.doc_id for r in one_of_each(docs).collect()) == [0, 1, 2]
+
+
+def test_vectors_edges(spark):
+    kind = "vec_id long, embedding array<float>, label int"
+    none = spark.createDataFrame([], kind)
+    assert near_vectors(none).count() == 0 and nearest(none, none).count() == 0
+    # equal vectors: all linked, and ties go to the smaller vec_id
+    same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(30)] + [(40, [1.0, None], 0), (60, [], 0)], kind)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(same).collect()}
+    assert got == {i: (29, 0, i == 0) for i in range(30)} | {40: (0, 40, True), 60: (0, 60, True)}
+    rows = nearest(same, same.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in rows] == [*range(1, 21), *range(20)] and {r.score for r in rows} == {5.0}
+
+
 @pytest.mark.parametrize("f", [lambda d: remove_repeats(d), lambda d: near_groups(d), lambda d: mixed(d), lambda d: shuffled_shards(d)])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
