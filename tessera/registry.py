@@ -185,9 +185,9 @@ def reduce_axis(s: SparkSession, d: str) -> DataFrame:
     return r.select("l_returnflag", "l_linestatus", F.round("sum", 2).alias("sum"), F.round("mean", 9).alias("mean"), "min", "max", F.round("var", 6).alias("var"), F.round("std", 6).alias("std"), "median")
 
 
-@query("SELECT l_returnflag, round(product(1 + l_discount / 1000), 6) AS prod FROM lineitem WHERE l_orderkey < 200 GROUP BY l_returnflag")
+@query("SELECT l_returnflag, round(product(1 + l_discount / 1e6), 6) AS prod FROM lineitem GROUP BY l_returnflag")
 def product(s: SparkSession, d: str) -> DataFrame:
-    r = ar.reduce_(_t(s, d, "lineitem").where("l_orderkey < 200"), ["prod"], ["l_returnflag"], 1 + _c("l_discount") / 1000)
+    r = ar.reduce_(_t(s, d, "lineitem"), ["prod"], ["l_returnflag"], 1 + _c("l_discount") / 1e6)
     return r.select("l_returnflag", F.round("prod", 6).alias("prod"))
 
 
@@ -406,10 +406,10 @@ def losses(s: SparkSession, d: str) -> DataFrame:
     return rows.agg(*(F.round(ar.loss(k), 9).alias(k) for k in ("mse", "mae", "hinge", "bce")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey % 100 AS BIGINT) AS u, CAST(l_partkey % 97 AS BIGINT) AS v FROM lineitem WHERE l_orderkey < 200),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey % 100 AS BIGINT) AS u, CAST(l_partkey % 97 AS BIGINT) AS v FROM lineitem),
 w(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.v, w.depth + 1 FROM w JOIN e ON e.u = w.node WHERE w.depth < 40) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def bfs(s: SparkSession, d: str) -> DataFrame:
-    e = _t(s, d, "lineitem").where("l_orderkey < 200").select((_c("l_suppkey") % 100).cast("long").alias("u"), (_c("l_partkey") % 97).cast("long").alias("v")).distinct()
+    e = _t(s, d, "lineitem").select((_c("l_suppkey") % 100).cast("long").alias("u"), (_c("l_partkey") % 97).cast("long").alias("v")).distinct()
     return graph.bfs(e, 1, 40)
 
 
