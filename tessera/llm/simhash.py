@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, materialise, partitions
+from .common import connected_components, forest, materialise, partitions, text_key
 
 #: Fingerprints that the plan is made from at most.
 SAMPLE = 4096
@@ -60,14 +60,14 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a (signed) long."""
+    """doc_id, key (of the text) and fingerprint as a (signed) long."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(out.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "key": b.column("key"), "fp": pa.array(out.view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).mapInArrow(scored, "doc_id long, key long, fp long")
 
 
 def _parts(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -210,6 +210,15 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return met.mapInArrow(_links(radius), "u long, v long")
 
 
+def _rooted(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of each row, and of each fingerprint its least doc_id and the root of its component."""
+    prints = materialise(fingerprints(docs, shingle), "prints")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = connected_components(near_links(distinct.select("fp"), radius))
+    own = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, materialise(own, "own")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp (long), fingerprint (16 hex digits) and component_id of each document.
 
@@ -217,18 +226,22 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
     blank texts have fingerprint 0 and are linked like others.  Rows with one doc_id each have their row; a null doc_id is
     passed over for the smallest, unless a component has no other.  An empty table gives an empty table.
     """
-    prints = materialise(fingerprints(docs, shingle), "prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(near_links(distinct.select("fp"), radius))
-    own = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    own = materialise(own, "own")
+    prints, own = _rooted(docs, shingle, radius)
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     named = own.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def kept_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """docs with one row of each root of named (doc_id, key of the text, root): one of the smallest doc_id, a null doc_id last."""
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.key").alias("__key"))
+    marked = docs.withColumn("__text", text_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    return marked.join(best, same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one row of each group: a row of the smallest doc_id.  Rows without a doc_id stay; rows that share one count as one document."""
-    groups = near_groups(docs.where("doc_id is not null"), shingle, radius)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs with one row of each group: a row of the smallest doc_id.  Rows that share a doc_id are told apart by their texts."""
+    prints, roots = _rooted(docs, shingle, radius)
+    return kept_rows(docs, prints.join(roots, "fp").select("doc_id", "key", "root"))

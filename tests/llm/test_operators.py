@@ -118,3 +118,14 @@ def test_empty(spark, f):
 def test_personal_data():
     text = "mail a.b@c.de, call +1 (626) 555-5759 or 4111 1111 1111 1111 at 1.2.3.4 not 1.2.3.444"
     assert [text[s:e] for _, s, e in pii.base_spans(text)] == ["a.b@c.de", "+1 (626) 555-5759", "4111 1111 1111 1111", "1.2.3.4"]
+
+
+def test_one_of_each_row(spark):
+    rng = random.Random(7)
+    a, b = (" ".join(rng.choices([f"w{k}" for k in range(90)], k=60)) for _ in range(2))
+    c, d = (" ".join(rng.choices([f"v{k}" for k in range(90)], k=60)) for _ in range(2))
+    # doc_id 5 holds a text of its own and a copy of 3; rows without doc_id copy 3 or each other
+    rows = [(3, a), (5, b), (5, a), (7, c), (7, c), (None, a), (None, d), (None, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(3, a), (5, b), (7, c), (None, d)], key=repr)
+    assert sorted(map(tuple, one_of_each(docs).collect()), key=repr) == want
