@@ -10,7 +10,7 @@ from tessera.llm.common import materialise
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import packed
 from tessera.llm.queries import vocabulary
-from tessera.llm.simhash import one_of_each
+from tessera.llm.similar import one_of_similar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    return one_of_each(docs).select(COLUMNS)
+    """One document, that of the smallest doc_id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return one_of_similar(docs).select(COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

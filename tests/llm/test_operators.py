@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import pii
+from tessera.llm import pii, similar
 from tessera.llm.ann import nearest
 from tessera.llm.embedding_dedup import near_vectors
 from tessera.llm.mixing import mixed
@@ -129,3 +129,38 @@ def test_one_of_each_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted([(3, a), (5, b), (7, c), (None, d)], key=repr)
     assert sorted(map(tuple, one_of_each(docs).collect()), key=repr) == want
+
+
+def words_of(text, k=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
+
+
+def one_of_each_brute(rows):
+    """Of rows (doc_id, text) one of each group by five-word shingles and similarity 0.8, all pairs compared."""
+    sets = [words_of(t) for _, t in rows]
+    label = list(range(len(rows)))
+    near = [[j for j in label if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])] for i in label]
+    while (new := [min(label[j] for j in near[i]) for i in range(len(rows))]) != label:
+        label = new
+    return sorted((min((r for r, k in zip(rows, label, strict=True) if k == own), key=lambda r: (r[0] is None, r[0] or 0)) for own in set(label)), key=repr)
+
+
+def test_similar(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda n: rng.choices([f"w{k}" for k in range(400)], k=n)
+    rows = []
+    for _ in range(6):
+        base = word(rng.choice([12, 60, 200]))
+        for share in (0.0, 0.0, 0.01, 0.02, 0.03, 0.04, 0.06):
+            rows.append(" ".join(w if rng.random() >= share else "x" + w for w in base))
+        rows.append(" ".join(base[: len(base) * 5 // 6]))
+    rows += [None, "", " \t", "one two", "ONE  two", "one two three", " ".join(word(100))]
+    rows = [(i if i != 9 else None, t) for i, t in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = one_of_each_brute(rows)
+    assert 12 < len(want) < len(rows) - 12
+    for block in (similar.BLOCK, 3):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        got = sorted(((r.doc_id, r.text) for r in similar.one_of_similar(docs).collect()), key=repr)
+        assert [i for i, _ in got] == [i for i, _ in want]

@@ -157,3 +157,17 @@ def test_pipeline(spark):
     for r in kept["packing"]:
         got[r.doc_id] += r.length
     assert got == want
+
+
+def test_near_copies_stage(spark):
+    # five-word shingles, Jaccard similarity of 0.8 or more, all pairs compared
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    given = sorted(docs.collect())
+    words = [(r.text or "").lower().split() for r in given]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in words]
+    label = list(range(len(given)))
+    near = [[j for j in label if 10 * len(a & sets[j]) >= 8 * len(a | sets[j])] for a in sets]
+    while (new := [min(label[j] for j in n) for n in near]) != label:
+        label = new
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted(kept) == [r for i, r in enumerate(given) if label[i] == i]
