@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import array
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ class Encoder:
     No piece of the split pattern has a space or line end inside or at its end, unless white space meets white space.  So a
     text in which that does not occur has the ids of its chunks, each with the space or line end before it, one after
     another; the ids of common chunks are remembered.  Any other text is encoded whole.
+
+    Tokens that the .json of the same name adds to the vocabulary are found in texts first; what lies between is encoded.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -43,8 +47,19 @@ class Encoder:
             raise ValueError("ids must be under 65536")
         self.whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known = _Chunks(self.whole)
+        self.added = _added(f"{path.removesuffix('.tiktoken')}.json")
+        self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def ids(self, text: str) -> bytes:
+        if not self.split or not (found := list(self.split.finditer(text))):
+            return self._plain(text)
+        out, at = [], 0
+        for m in found:
+            out += [self._plain(text[at : m.start()]), self.added[m.group()]]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
             if first and first[-1].isspace():
@@ -54,6 +69,15 @@ class Encoder:
             return _packed(self.whole(text))
 
 
+def _added(path: str) -> dict[str, bytes]:
+    """The added tokens of a tokenizer's JSON with their ids."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError("added tokens must be found as they are")
+    return {t["content"]: _packed([t["id"]]) for t in tokens}
+
+
 class _Unsafe(Exception):
     pass
 

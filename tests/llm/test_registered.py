@@ -159,6 +159,14 @@ def test_pipeline(spark):
     assert got == want
 
 
+def test_encoder_added_tokens():
+    ids, encoder = reference_ids(), Encoder(*queries.vocabulary())
+    assert np.frombuffer(encoder.ids("hello <|endoftext|> world"), "<u2").tolist() == [31373, 220, 50256, 995]
+    rng, end = random.Random(2), "<|endoftext|>"
+    for text in [end, end * 2, f" {end}\n", "<|endoftext|", f"<{end}>", f"a{end}b", *(rng.choice(["", " ", "\n"]).join([a, end, b]) for a, b in zip(nasty(1000), nasty(1000, 3), strict=True))]:
+        assert np.frombuffer(encoder.ids(text), "<u2").tolist() == ids(text), repr(text)
+
+
 def test_near_copies_stage(spark):
     # five-word shingles, Jaccard similarity of 0.8 or more, all pairs compared
     docs = spark.read.parquet(f"{SF}/documents.parquet")
