@@ -27,3 +27,7 @@ class SingularMatrix(ArrayError):
 
 class InvalidShape(ArrayError):
     pass
+
+
+class DepthLimit(ArrayError):
+    pass

@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import DepthLimit
 from .order import fixed
 
 
-def bfs(edges: DataFrame, start: int, most: int = 1_000) -> DataFrame:
-    """(node, depth) of what can be reached along directed edges: a frontier join per level.  The start counts even without edges."""
+def bfs(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
+    """(node, depth) of what can be reached along directed edges: a frontier join per level.  The start counts even without edges.
+
+    Goes on until no level has new nodes; where `most` is given and nodes lie deeper, raises DepthLimit.
+    """
     seen = edges.sparkSession.createDataFrame([(start, 0)], "node long, depth int")
     frontier, depth = seen, 0
-    while depth < most:
+    while True:
         depth += 1
         new = frontier.join(edges, frontier.node == edges.u).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = fixed(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
+        if most is not None and depth > most:
+            raise DepthLimit(f"nodes lie deeper than {most} levels")
         seen = fixed(seen.unionByName(frontier))
-    return seen
 
 
-def reachable(edges: DataFrame, start: int, most: int = 1_000) -> DataFrame:
+def reachable(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
     """(node) of what a search of either order visits; the order of a depth-first search has no distributed form."""
     return bfs(edges, start, most).select("node")
 

@@ -410,7 +410,27 @@ def losses(s: SparkSession, d: str) -> DataFrame:
 w(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.v, w.depth + 1 FROM w JOIN e ON e.u = w.node WHERE w.depth < 40) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def bfs(s: SparkSession, d: str) -> DataFrame:
     e = _t(s, d, "lineitem").select((_c("l_suppkey") % 100).cast("long").alias("u"), (_c("l_partkey") % 97).cast("long").alias("v")).distinct()
-    return graph.bfs(e, 1, 40)
+    return graph.bfs(e, 1)
+
+
+def _trade(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers and the parts they sell, part k as node -1 - k, linked both ways."""
+    e = _t(s, d, "lineitem").select(_c("l_suppkey").cast("long").alias("u"), (-1 - _c("l_partkey").cast("long")).alias("v")).distinct()
+    return e.unionByName(e.select(_c("v").alias("u"), _c("u").alias("v")))
+
+
+_TRADE = "e AS (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS u, CAST(-1 - l_partkey AS BIGINT) AS v FROM lineitem), g AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e)"
+
+
+@query(f"""WITH RECURSIVE {_TRADE}, w(node, depth) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), 0 UNION
+SELECT g.v, min(w.depth) + 1 FROM w JOIN g ON g.u = w.node WHERE g.v NOT IN (SELECT node FROM recurring.w) GROUP BY g.v) SELECT node, depth FROM w""")
+def bfs_trade(s: SparkSession, d: str) -> DataFrame:
+    return graph.bfs(_trade(s, d), 1)
+
+
+@query(f"WITH RECURSIVE {_TRADE}, w(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT g.v FROM w JOIN g ON g.u = w.node) SELECT node FROM w")
+def reachable_trade(s: SparkSession, d: str) -> DataFrame:
+    return graph.reachable(_trade(s, d), 1)
 
 
 @query("SELECT i AS target, i IN (0, 3, 4, 5, 7, 8, 9, 12) AS reachable FROM range(13) AS t(i)")
