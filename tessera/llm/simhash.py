@@ -34,26 +34,34 @@ SAMPLE = 4096
 BLOCK = 512
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of a text.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 hashes, seed 42, of a text's shingles, repeats included.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z in lower case; a shingle is `shingle` words joined by
-    a space, hashed by XXH64 with seed 42, repeats included.  Fewer words give one shingle of all; no word gives 0.
-    A bit is 1 if over half of the hashes have it.
+    a space.  Fewer words give one shingle of all; no word gives none.
     """
     words = (text or "").encode("utf-8").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     k = min(shingle, len(words))
     joined = b" ".join(words)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(words) - k + 1)  # noqa: B905
+    return np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(words) - k + 1)  # noqa: B905
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: those that over half of the hashes have; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int((1 << np.flatnonzero(2 * ones > len(hashes)).astype(np.uint64)).sum(dtype=np.uint64)) if (2 * ones > len(hashes)).any() else 0
+    return sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist())
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of a text: the majority of its shingles' hashes."""
+    return majority(shingle_hashes(text, shingle))
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

@@ -1,6 +1,10 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of at least `least`, without loss.
 
-Candidates come from prefix filtering.  With the shingles of each text in one order that all texts share, two texts of
+Most links are found by SimHash: fingerprints of the sets meet by the generalised pigeonhole principle, and what meets is compared
+by whole sets.  No fingerprint of 64 bits tells all pairs of that similarity from others (they differ in up to 17 bits in the tables
+at hand), so an exact pass finds those that are left, between sets which the links so far leave in different groups.
+
+Its candidates come from prefix filtering.  With the shingles of each text in one order that all texts share, two texts of
 similarity t or more have a shingle in common among the first n - ceil(t n) + 1 of each, n being the shingles of the
 text.  The order puts shingles that a bounded sample of texts holds often last; it only sets the cost: any order finds
 every pair.  Lengths and the places of a common shingle bound the overlap from above, and what is left is compared
@@ -13,7 +17,6 @@ and each pair of blocks is a group of its own.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, partitions, text_key
-from .simhash import _LOWER, BLOCK, kept_rows
+from .simhash import BLOCK, kept_rows, majority, near_links, shingle_hashes
 
 #: Texts that the order of shingles is made from at most, and shingles that it ranks.
 SAMPLE, RANKED = 16_384, 200_000
@@ -32,15 +35,7 @@ SAMPLE, RANKED = 16_384, 200_000
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
     """The distinct shingles of a text, hashed as for its fingerprint, as sorted longs."""
-    words = (text or "").encode("utf-8").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.int64)
-    k = min(shingle, len(words))
-    joined = b" ".join(words)
-    ends = list(itertools.accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(words) - k + 1).view(np.int64))  # noqa: B905
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
 def _order(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,27 +53,28 @@ def _order(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, shingle: int, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, key (of the text), node (of the set of shingles) and tokens, the shingles in the order."""
+    """doc_id, key (of the text), node (of the set of shingles), fp (its fingerprint) and tokens, the shingles in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                nodes, tokens = [], []
+                nodes, prints, tokens = [], [], []
                 for t in b.column("text").slice(at, 500):
                     own = shingles(t.as_py(), shingle)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                    prints.append(majority(own.view(np.uint64)))
                     place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                     rank = np.where(known[place] == own, often[place], 0) if len(known) else np.zeros(len(own))
                     tokens.append(own[np.argsort(rank, kind="stable")])
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": b.column("doc_id").slice(at, 500), "key": b.column("key").slice(at, 500),
-                    "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "tokens": pa.array(tokens, pa.list_(pa.int64())),
+                    "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "tokens": pa.array(tokens, pa.list_(pa.int64())),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    return rows.mapInArrow(sets, "doc_id long, key long, node long, tokens array<long>")
+    return rows.mapInArrow(sets, "doc_id long, key long, node long, fp long, tokens array<long>")
 
 
 def _may(least: Fraction, n: Column, m: Column, p: Column, q: Column) -> Column:
@@ -128,8 +124,35 @@ def _pairs(least: Fraction):
     return pairs
 
 
-def similar_links(sets: DataFrame, least: Fraction) -> DataFrame:
-    """Links (u, v) between sets (node, tokens), enough to connect all pairs of at least that similarity; rows of one node are one set."""
+def _verified(sets: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
+    """Of pairs (a, b) of nodes those of enough similarity, by whole sets, as links (u, v)."""
+    pairs = materialise(pairs.distinct(), "pairs")
+    some = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "tokens").dropDuplicates(["node"])
+    x, y = (some.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    enough = common * (least.numerator + least.denominator) >= (F.size("tokens_a") + F.size("tokens_b")) * least.numerator
+    return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+
+def fingerprint_links(sets: DataFrame, least: Fraction, radius: int) -> DataFrame:
+    """Links (u, v) between sets (node, fp, tokens) whose fingerprints are equal or meet within the radius, verified by whole sets.
+
+    Each fingerprint's least node stands for it, and of the fingerprints that meet a spanning forest is compared; what that misses is left
+    to the exact pass.
+    """
+    named = materialise(sets.where(F.size("tokens") > 0).groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("other")), "named")
+    met = near_links(named.select("fp"), radius)
+    x, y = (named.select(F.col("fp").alias(k), F.col("rep").alias(n)) for k, n in (("u", "a"), ("v", "b")))
+    across = met.join(x, "u").join(y, "v").select("a", "b")
+    within = sets.select("node", "fp").join(named.where("rep < other").select("fp", "rep"), "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return _verified(sets, across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), least)
+
+
+def similar_links(sets: DataFrame, least: Fraction, radius: int = 3) -> DataFrame:
+    """Links (u, v) between sets (node, fp, tokens), enough to connect all pairs of at least that similarity; rows of one node are one set."""
+    near = fingerprint_links(sets, least, radius)
+    known = materialise(connected_components(near), "known")
     n = F.size("tokens")
     first = n - F.ceil(n * least.numerator / F.lit(least.denominator)).cast("int") + 1
     # ceil of a double: integers below 2^31 over a small denominator come out right
@@ -139,27 +162,22 @@ def similar_links(sets: DataFrame, least: Fraction) -> DataFrame:
     counts = keyed.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("node", "n", "at")).alias("pivot")).where("held > 1")
     shared = materialise(keyed.join(counts, "token"), "shared")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.distinct(), "pairs")
-        some = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "tokens").dropDuplicates(["node"])
-        x, y = (some.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
-        both = pairs.join(x, "a").join(y, "b")
-        common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-        enough = common * (least.numerator + least.denominator) >= (F.size("tokens_a") + F.size("tokens_b")) * least.numerator
-        return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-
     to = F.col("pivot.node")
-    met = shared.where((F.col("node") != to) & _may(least, F.col("n"), F.col("pivot.n"), F.col("at"), F.col("pivot.at")))
-    links = similar(met.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")))
+    met = shared.where((F.col("node") != to) & _may(least, F.col("n"), F.col("pivot.n"), F.col("at"), F.col("pivot.at"))).select("node", to.alias("to")).distinct()
+    there = known.select(F.col("node").alias("to"), F.col("root").alias("to_root"))
+    met = met.join(known, "node", "left").join(there, "to", "left").where(F.coalesce("root", "node") != F.coalesce("to_root", "to"))
+    links = near.unionByName(_verified(sets, met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")), least))
     roots = connected_components(links)
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    rest = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = rest.withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    rest = materialise(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
+    # a shingle whose texts are one group already has nothing to compare
+    several = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    rest = rest.join(materialise(several, "several"), "token", "left_semi").withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     groups = ["token", "left", "right"]
     rest = rest.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
     rest = rest.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
-    return links.unionByName(similar(rest.mapInArrow(_pairs(least), "a long, b long")))
+    return links.unionByName(_verified(sets, rest.mapInArrow(_pairs(least), "a long, b long"), least))
 
 
 def one_of_similar(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:

@@ -13,7 +13,6 @@ import corpus_pipeline
 from tessera.llm import pii, queries, toxicity
 from tessera.llm.packing import Encoder, packed
 from tessera.llm.preferences import preference_rows
-from tessera.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -22,6 +21,11 @@ SPACES = ["", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", " ", " ", "　",
 BITS = ["don't", "I'LL", "a1b2", "...", "!?", "naïve", "日本語", "é", "🙂", "١٢٣", "x" * 50, "<|end|>", "_", "​"]
 
 
+def words_of(text, k=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
+
+
 def reference_ids():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -136,13 +140,11 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), labels)
     assert sorted(r for r in kept["toxicity"]) == sorted(r for r in given if model.score(r.text) < 0.5)
-    # of each group of fingerprints the document of the smallest id
-    fp = {r.doc_id: fingerprint(r.text) for r in kept["toxicity"]}
-    label = {i: i for i in fp}
-    while True:
-        new = {i: min(label[j] for j in fp if (fp[i] ^ fp[j]).bit_count() <= 3) for i in fp}
-        if new == label:
-            break
+    # of each group of similar texts (five-word shingles, 0.8 or more) the document of the smallest id
+    sets = {r.doc_id: words_of(r.text) for r in kept["toxicity"]}
+    near = {i: [j for j in sets if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])] for i in sets}
+    label = {i: i for i in sets}
+    while (new := {i: min(label[j] for j in near[i]) for i in sets}) != label:
         label = new
     assert sorted(r for r in kept["simhash_dedup"]) == sorted(r for r in kept["toxicity"] if label[r.doc_id] == r.doc_id)
     before, after = {r.doc_id: r for r in kept["simhash_dedup"]}, {r.doc_id: r for r in kept["pii"]}
