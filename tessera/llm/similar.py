@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, partitions, text_key
+from .common import connected_components, discard, materialise, partitions, text_key
 from .simhash import BLOCK, kept_rows, majority, near_links, shingle_hashes
 
 #: Texts that the order of shingles is made from at most, and shingles that it ranks.
@@ -43,38 +43,46 @@ def _order(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column("text"):
-                yield pa.RecordBatch.from_pydict({"token": pa.array(shingles(t.as_py(), shingle))})
+            for at in range(0, b.num_rows, 500):
+                yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([shingles(t.as_py(), shingle) for t in b.column("text").slice(at, 500)]))})
 
-    some = docs.select("text", text_key().alias("key")).orderBy("key").limit(SAMPLE).repartition(partitions(docs), "key")
+    keyed = docs.select("text", text_key().alias("key"))
+    bound = keyed.select("key").distinct().orderBy("key").limit(SAMPLE).agg(F.max("key")).first()[0]
+    some = keyed.where(F.col("key") <= F.lit(bound)).dropDuplicates(["key"])
     counts = some.select("text").mapInArrow(exploded, "token long").groupBy("token").count().where("count > 2")
     rows = counts.orderBy(F.desc("count"), "token").limit(RANKED).toPandas().sort_values("token")
     return rows["token"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
 
-def _sets(docs: DataFrame, shingle: int, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, key (of the text), node (of the set of shingles), fp (its fingerprint) and tokens, the shingles in the order."""
+def _first(n: int, least: Fraction) -> int:
+    """How many shingles of a set of n, in the order, a similar set has one of at the least."""
+    return n + (-n * least.numerator) // least.denominator + 1
+
+
+def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, key (of the text), node (of the set of shingles), fp (its fingerprint), n (its size) and head, its first shingles in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                nodes, prints, tokens = [], [], []
+                nodes, prints, sizes, heads = [], [], [], []
                 for t in b.column("text").slice(at, 500):
                     own = shingles(t.as_py(), shingle)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
                     prints.append(majority(own.view(np.uint64)))
                     place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                     rank = np.where(known[place] == own, often[place], 0) if len(known) else np.zeros(len(own))
-                    tokens.append(own[np.argsort(rank, kind="stable")])
+                    sizes.append(len(own))
+                    heads.append(own[np.argsort(rank, kind="stable")[: _first(len(own), least)]] if len(own) else own)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": b.column("doc_id").slice(at, 500), "key": b.column("key").slice(at, 500),
-                    "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "tokens": pa.array(tokens, pa.list_(pa.int64())),
+                    "doc_id": b.column("doc_id").slice(at, 500), "key": b.column("key").slice(at, 500), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "head": pa.array(heads, pa.list_(pa.int64())),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    return rows.mapInArrow(sets, "doc_id long, key long, node long, fp long, tokens array<long>")
+    return rows.mapInArrow(sets, "doc_id long, key long, node long, fp long, n int, head array<long>")
 
 
 def _may(least: Fraction, n: Column, m: Column, p: Column, q: Column) -> Column:
@@ -124,60 +132,105 @@ def _pairs(least: Fraction):
     return pairs
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, node, n, at), sorted by token and node, those whose token another node has too, each with the token's first node, the pivot."""
+    names = ["token", "node", "n", "at"]
+    last: list[np.ndarray] | None = None  # the row before, where it may still turn out to be shared
+    pivot: list[np.ndarray] | None = None
+    for b in batches:
+        c = [b.column(k).to_numpy() for k in names]
+        if not len(c[0]):
+            continue
+        c = [np.concatenate([x, y]) for x, y in zip(last, c, strict=True)] if last else c
+        token = c[0]
+        start = np.concatenate([[True], token[1:] != token[:-1]])
+        first = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
+        ends = np.concatenate([start[1:], [False]])  # the last row waits for the next batch
+        shared = ~(start & ends)
+        lead = [x[first] for x in c[1:]]
+        if pivot is not None and pivot[0][0] == token[0]:  # the group goes on from an earlier batch
+            own = first == 0
+            lead = [np.where(own, y, x) for x, y in zip(lead, pivot[1:], strict=True)]
+            shared |= own
+        keep = np.flatnonzero(shared[:-1])
+        yield pa.RecordBatch.from_pydict({k: pa.array(x[keep]) for k, x in zip([*names, "to", "to_n", "to_at"], [*c, *lead], strict=True)})
+        go_on = not start[-1] or (pivot is not None and pivot[0][0] == token[-1])
+        pivot = [token[-1:], *(x[-1:] for x in lead)] if go_on else None
+        last = [x[-1:] for x in c]
+    if last is not None and pivot is not None:
+        yield pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in zip([*names, "to", "to_n", "to_at"], [*last, *pivot[1:]], strict=True)})
+
+
+def _tokens(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, tokens) of some nodes, from one text of each."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                own = [shingles(t.as_py(), shingle) for t in b.column("text").slice(at, 500)]
+                yield pa.RecordBatch.from_pydict({"node": b.column("node").slice(at, 500), "tokens": pa.array(own, pa.list_(pa.int64()))})
+
+    held = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("x"))
+    held = held.select("node", F.col("x.doc_id").alias("id"), F.col("x.key").alias("key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("own"))
+    found = texts.join(held, (F.col("own") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"])
+    return found.mapInArrow(tokens, "node long, tokens array<long>")
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """Of pairs (a, b) of nodes those of enough similarity, by whole sets, as links (u, v)."""
     pairs = materialise(pairs.distinct(), "pairs")
-    some = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "tokens").dropDuplicates(["node"])
+    some = materialise(_tokens(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "tokens")
     x, y = (some.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     enough = common * (least.numerator + least.denominator) >= (F.size("tokens_a") + F.size("tokens_b")) * least.numerator
-    return materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    discard(some)
+    discard(pairs)
+    return links
 
 
-def fingerprint_links(sets: DataFrame, least: Fraction, radius: int) -> DataFrame:
-    """Links (u, v) between sets (node, fp, tokens) whose fingerprints are equal or meet within the radius, verified by whole sets.
+def fingerprint_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fraction, radius: int) -> DataFrame:
+    """Links (u, v) between sets whose fingerprints are equal or meet within the radius, verified by whole sets.
 
     Each fingerprint's least node stands for it, and of the fingerprints that meet a spanning forest is compared; what that misses is left
     to the exact pass.
     """
-    named = materialise(sets.where(F.size("tokens") > 0).groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("other")), "named")
+    named = materialise(sets.where("n > 0").groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("other")), "named")
     met = near_links(named.select("fp"), radius)
     x, y = (named.select(F.col("fp").alias(k), F.col("rep").alias(n)) for k, n in (("u", "a"), ("v", "b")))
     across = met.join(x, "u").join(y, "v").select("a", "b")
     within = sets.select("node", "fp").join(named.where("rep < other").select("fp", "rep"), "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    return _verified(sets, across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), least)
+    return _verified(docs, sets, across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), shingle, least)
 
 
-def similar_links(sets: DataFrame, least: Fraction, radius: int = 3) -> DataFrame:
-    """Links (u, v) between sets (node, fp, tokens), enough to connect all pairs of at least that similarity; rows of one node are one set."""
-    near = fingerprint_links(sets, least, radius)
+def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fraction, radius: int = 3) -> DataFrame:
+    """Links (u, v) between the sets of docs, enough to connect all pairs of at least that similarity; rows of one node are one set."""
+    near = fingerprint_links(docs, sets, shingle, least, radius)
     known = materialise(connected_components(near), "known")
-    n = F.size("tokens")
-    first = n - F.ceil(n * least.numerator / F.lit(least.denominator)).cast("int") + 1
-    # ceil of a double: integers below 2^31 over a small denominator come out right
-    heads = sets.where(n > 0).select("node", n.alias("n"), F.slice("tokens", F.lit(1), first).alias("head")).dropDuplicates(["node"])
-    heads = materialise(heads, "heads")
-    keyed = heads.select("node", "n", F.posexplode("head").alias("at", "token"))
-    counts = keyed.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("node", "n", "at")).alias("pivot")).where("held > 1")
-    shared = materialise(keyed.join(counts, "token"), "shared")
-
-    to = F.col("pivot.node")
-    met = shared.where((F.col("node") != to) & _may(least, F.col("n"), F.col("pivot.n"), F.col("at"), F.col("pivot.at"))).select("node", to.alias("to")).distinct()
+    heads = sets.where("n > 0").select("node", "n", "head").dropDuplicates(["node"])
+    keyed = heads.select("node", "n", F.posexplode("head").alias("at", "token")).select("token", "node", "n", "at")
+    placed = keyed.repartition(partitions(sets), "token").sortWithinPartitions("token", "node")
+    shared = materialise(placed.mapInArrow(_met, "token long, node long, n int, at int, to long, to_n int, to_at int"), "shared")
+
+    met = shared.where((F.col("node") != F.col("to")) & _may(least, F.col("n"), F.col("to_n"), F.col("at"), F.col("to_at"))).select("node", "to").distinct()
     there = known.select(F.col("node").alias("to"), F.col("root").alias("to_root"))
     met = met.join(known, "node", "left").join(there, "to", "left").where(F.coalesce("root", "node") != F.coalesce("to_root", "to"))
-    links = near.unionByName(_verified(sets, met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")), least))
+    links = near.unionByName(_verified(docs, sets, met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")), shingle, least))
     roots = connected_components(links)
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    rest = materialise(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
+    rest = materialise(shared.drop("to", "to_n", "to_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
+    discard(shared)
     # a shingle whose texts are one group already has nothing to compare
-    several = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    rest = rest.join(materialise(several, "several"), "token", "left_semi").withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    several = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low < high")
+    several = materialise(several.select("token", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "several")
+    rest_ = rest.join(several, "token").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     groups = ["token", "left", "right"]
-    rest = rest.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
-    rest = rest.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
-    return links.unionByName(_verified(sets, rest.mapInArrow(_pairs(least), "a long, b long"), least))
+    rest_ = rest_.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
+    rest_ = rest_.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
+    more = _verified(docs, sets, rest_.mapInArrow(_pairs(least), "a long, b long"), shingle, least)
+    discard(rest)
+    return links.unionByName(more)
 
 
 def one_of_similar(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -186,7 +239,7 @@ def one_of_similar(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction
     A group is what can be reached by steps between texts whose sets of `shingle`-word shingles have a Jaccard similarity
     of at least `least`; a text of fewer words is one shingle, and texts without words are similar to each other.
     """
-    sets = materialise(_sets(docs, shingle, _order(docs, shingle)), "sets")
-    roots = connected_components(similar_links(sets, least))
+    sets = materialise(_sets(docs, shingle, least, _order(docs, shingle)), "sets")
+    roots = connected_components(similar_links(docs, sets, shingle, least))
     named = sets.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     return kept_rows(docs, named)
