@@ -1,11 +1,12 @@
 """Mixture-controlled packing: deficit round-robin over one queue per source.
 
 In each round a source may send its quantum, its target share of a window, plus the deficit it carries; what it
-sends is whole tokens, and the rest is carried on.  After r rounds a source with quantum q has sent floor(r q)
-tokens, so the round of any token, and with it the deficit at any point, follow from the token's place in its
+sends is whole tokens, and the rest is carried on.  A source whose quantum is under `least` tokens saves up: it has a turn every
+k-th round, with k quanta, and sources take different rounds of the k.  After t turns a source with quantum q has
+sent floor(t k q) tokens, so the round of any token, and with it the deficit at any point, follow from the token's place in its
 queue: rounds need not be played one after another, and deficits carry across windows and partitions alike.
 The rounds' pieces in order, cut at each `window` tokens, are the sequences.  Targets are the sources' shares of all
-tokens, so all queues last to the end, and only the last sequence is short.
+tokens unless others are given; a queue that runs dry leaves its share to the others, by their targets.  Only the last sequence is short.
 """
 
 from __future__ import annotations
@@ -127,28 +128,32 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end: int = 1) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(encode, "doc_id long, source string, ids binary, n long")
 
 
-def schedule(sizes: DataFrame, window: int) -> DataFrame:
+def schedule(sizes: DataFrame, window: int, targets: dict[str | None, float] | None = None, least: int = 16) -> DataFrame:
     """Pieces of documents in sequences: sizes has (uid, source, n); rows (uid, start, length, sequence_id, offset)."""
     queued = ranked(sizes.withColumn("__null", F.col("source").isNull().cast("int")), ["__null", "source", "uid"], weight="n", label="queues")
     queued = materialise(queued, "queues")
     sources = queued.groupBy("__null", "source").agg(F.min("__start").alias("first"), F.sum("n").alias("tokens")).withColumnRenamed("source", "source_").withColumnRenamed("__null", "null_")
-    total = queued.agg(F.sum("n")).first()[0] or 1
-    sources = sources.withColumn("q", F.lit(float(window)) * F.col("tokens") / F.lit(float(total)))
-    d = queued.join(sources, queued.source.eqNullSafe(sources.source_)).select("uid", "n", "first", "q", (F.col("__start") - F.col("first")).alias("at"))
-
-    # the round of a token is the last r with floor(r q) at or before it; doubles may be off by one either way
-    def round_of(token):  # noqa: ANN001, ANN202
+    share = F.col("tokens").cast("double")
+    for name, weight in (targets or {}).items():
+        share = F.when(F.col("source_").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(share)
+    sources = materialise(sources.withColumn("share", share), "shares")
+    total = sources.agg(F.sum("share")).first()[0] or 1.0
+    quantum = F.lit(float(window)) * F.col("share") / F.lit(total)
+    sources = sources.withColumn("k", F.greatest(F.lit(1), F.ceil(F.lit(float(least)) / quantum)).cast("long"))
+    sources = sources.withColumns({"q": quantum * F.col("k"), "phase": F.pmod(F.xxhash64("source_"), F.col("k"))})
+    d = queued.join(sources, queued.source.eqNullSafe(sources.source_)).select("uid", "n", "first", "q", "k", "phase", (F.col("__start") - F.col("first")).alias("at"))
+
+    # the turn of a token is the last t with floor(t q) at or before it; doubles may be off by one either way
+    def turn_of(token):  # noqa: ANN001, ANN202
         guess = F.floor((token + 1) / F.col("q"))
-        sent = lambda r: F.floor(r * F.col("q"))
+        sent = lambda t: F.floor(t * F.col("q"))
         return F.when(sent(guess + 1) <= token, guess + 1).when(sent(guess) <= token, guess).when(sent(guess - 1) <= token, guess - 1).otherwise(guess - 2)
 
     last = F.col("at") + F.col("n") - 1
-    # a source with under a token a round sends single tokens, others one piece a round
-    rounds = F.when(F.col("q") >= 1, F.sequence(round_of(F.col("at")), round_of(last))).otherwise(F.transform(F.sequence(F.col("at"), last), round_of))
-    turns = d.withColumn("round", F.explode(rounds))
-    low = F.greatest(F.col("at"), F.floor(F.col("round") * F.col("q")))
-    high = F.least(last + 1, F.floor((F.col("round") + 1) * F.col("q")))
-    pieces = turns.select("uid", "round", "first", (low - F.col("at")).alias("start"), (high - low).alias("length")).where("length > 0")
+    turns = d.withColumn("turn", F.explode(F.sequence(turn_of(F.col("at")), turn_of(last))))
+    low = F.greatest(F.col("at"), F.floor(F.col("turn") * F.col("q")))
+    high = F.least(last + 1, F.floor((F.col("turn") + 1) * F.col("q")))
+    pieces = turns.select("uid", (F.col("turn") * F.col("k") + F.col("phase")).alias("round"), "first", (low - F.col("at")).alias("start"), (high - low).alias("length")).where("length > 0")
     placed = ranked(pieces, ["round", "first", "uid", "start"], weight="length", label="pieces")
     end = F.col("__start") + F.col("length")
     cut = placed.withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("__start") / window), F.floor((end - 1) / window))))
@@ -173,15 +178,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
 
 
-def packed(docs: DataFrame, path: str, pattern: str, window: int = 2048, end: int = 1) -> DataFrame:
-    """Sequences of `window` tokens in which each source has its share of all tokens.
+def packed(docs: DataFrame, path: str, pattern: str, window: int = 2048, end: int = 1, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """Sequences of `window` tokens in which each source has its target share.
+
+    targets: weights above 0 by source; a source that is not named weighs as many as it has tokens, which is also the default for all.
+    A window holds each source's share to within a token a source and, for sources with a share under 16 tokens, a turn of 16.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian 32-bit).  Each
     document is its ids and `end`; each id lies in one piece, and only the last sequence is shorter than the window.  A null or
-    empty text is the id `end` alone.  Null sources share a queue.  Repeated rows are packed each.  An empty table gives an
-    empty table.
+    empty text is the id `end` alone; a text of any length is encoded whole, in one task.  Null sources share a queue.  Repeated rows are
+    packed each, whatever their doc_id; other columns are ignored.  An empty table gives an empty table.
     """
+    if any(not 0 < w < float("inf") for w in (targets or {}).values()):
+        raise ValueError("targets must be above 0")
     tokens = materialise(tokenised(docs, path, pattern, end).withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    pieces = schedule(tokens.select("uid", "source", "n"), window)
+    pieces = schedule(tokens.select("uid", "source", "n"), window, targets)
     lists = pieces.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     return tokens.select("uid", "doc_id", "ids", "n").join(lists, "uid").select("doc_id", "ids", "n", "pieces").mapInArrow(_pieces, _PIECES)
