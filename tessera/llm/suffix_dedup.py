@@ -6,7 +6,9 @@ as it takes to tell whether a bucket holds one window or more:
 
 * Initial buckets: of the q-grams in a window the one with the smallest hash is its anchor, so equal windows
   have equal anchors at equal offsets.  Windows next to each other mostly share their anchor; such a run is one
-  pointer, filed in the bucket of the anchor's q-gram (about 1 pointer for each 80 bytes).
+  pointer, filed in the bucket of the anchor's q-gram (about 1 pointer for each 80 bytes).  Runs of one buffer
+  that are the same, as in texts with a period, are repeats already: one of them goes on, with their number, and
+  the places of all are noted, neighbouring ones as one.
 * Refinement: a bucket with one pointer is finished.  In the others pointers are sorted on the identifier of
   the string which their run covers, at the offsets after and before the anchor.  A run whose identifier occurs
   again is repeated as a whole.  Any other run in a bucket with several identifiers is cut into smaller runs,
@@ -37,6 +39,8 @@ STEP = 16
 #: Windows taken at a time; a longer document is cut, and runs end at the cut.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Bits of a place in a buffer of CHUNK bytes and a window.
+_PLACE_BITS = CHUNK.bit_length() + 1
 
 
 class _Tables:
@@ -73,7 +77,7 @@ def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int, q: i
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(tables.values[buf] * tables.up[:n], out=sums[1:])
         grams = _mix((sums[q:] - sums[:-q]) * tables.down[: n - q + 1])
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(_PLACE_BITS)  # the same for all buffers, else equal windows could choose different anchors
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)  # the leftmost of equal ones
     size = 1
     while size * 2 <= w:
@@ -98,6 +102,24 @@ def _signed(h: np.ndarray | list[int]) -> np.ndarray:
     return np.asarray(h, dtype=np.uint64).view(np.int64)
 
 
+def _alike(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of the runs of a buffer the first of each kind, how many there are of it, and the places (row, lo, hi) of the kinds with several.
+
+    Runs come ordered by place; places that touch are one.
+    """
+    order = np.lexsort((span, gram))
+    new = np.concatenate([[True], (gram[order[1:]] != gram[order[:-1]]) | (span[order[1:]] != span[order[:-1]])])
+    at = np.flatnonzero(new)
+    n = np.diff(np.concatenate([at, [len(order)]]))
+    several = np.sort(order[np.repeat(n, n) > 1])
+    row, low, high = rows[several], lo[several], hi[several]
+    if len(several):
+        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (low[1:] > high[:-1] + 1)]))
+        row, low, high = row[start], low[start], np.maximum.reduceat(high, start)
+    first = order[at]  # the sort keeps the order of equal runs
+    return first, n, (row, low, high)
+
+
 def _first_level(length: int, q: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _Tables(CHUNK + length)
@@ -113,25 +135,33 @@ def _first_level(length: int, q: int):
                 ends = np.cumsum([len(p[2]) for p in pieces])
                 starts = ends - np.array([len(p[2]) for p in pieces])
                 t, lo, hi, a, gram = anchors(data, starts, ends, length, q, tables)
-                rows = np.array([p[0] for p in pieces])[t] if len(t) else t
-                shift = (np.array([p[1] for p in pieces]) - starts)[t] if len(t) else t
-                span = [digest(data[x : y + length], seed=int(s)) for x, y, s in zip(lo.tolist(), hi.tolist(), ((a - lo) << 16 | (a - hi)).tolist(), strict=True)]
-                return pa.RecordBatch.from_pydict({
-                    "doc_id": ids.take(pa.array(rows)), "tk": keys.take(pa.array(rows)), "a": pa.array(a + shift), "lo": pa.array(lo + shift), "hi": pa.array(hi + shift),
-                    "bucket": pa.array(_signed(gram)), "span": pa.array(_signed(span)),
+                if not len(t):
+                    return
+                rows = np.array([p[0] for p in pieces])[t]
+                shift = (np.array([p[1] for p in pieces]) - starts)[t]
+                span = np.array([digest(data[x : y + length], seed=s) for x, y, s in zip(lo.tolist(), hi.tolist(), ((a - lo) << 16 | (a - hi)).tolist(), strict=True)], np.uint64)
+                a, lo, hi = a + shift, lo + shift, hi + shift
+                first, n, (row, low, high) = _alike(rows, lo, hi, gram, span)
+                first, n = first[order := np.argsort(first)], n[order]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": ids.take(pa.array(rows[first])), "tk": keys.take(pa.array(rows[first])), "a": pa.array(a[first]), "lo": pa.array(lo[first]), "hi": pa.array(hi[first]),
+                    "bucket": pa.array(_signed(gram[first])), "span": pa.array(_signed(span[first])), "n": pa.array(n, pa.int64()),
                 })
+                if len(row):
+                    none = pa.nulls(len(row), pa.int64())
+                    yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(row)), "tk": keys.take(pa.array(row)), "a": none, "lo": pa.array(low), "hi": pa.array(high), "bucket": none, "span": none, "n": none})
 
             for row in np.flatnonzero(sizes >= length).tolist():
                 data = texts[row].as_py().encode("utf-8")
                 for at in range(0, len(data) - length + 1, CHUNK):
                     piece = data[at : at + CHUNK + length - 1]
                     if pieces and held + len(piece) > CHUNK:
-                        yield flush()
+                        yield from flush()
                         pieces, held = [], 0
                     pieces.append((row, at, piece))
                     held += len(piece)
             if pieces:
-                yield flush()
+                yield from flush()
 
     return runs
 
@@ -200,15 +230,17 @@ def repeated_runs(docs: DataFrame, length: int = 200, q: int = 32) -> DataFrame:
 
     docs has doc_id, tk (text_key()) and text.  Rows of one document may overlap or repeat.
     """
-    first = materialise(docs.mapInArrow(_first_level(length, q), _RUN), "anchors")
-    shared = first.groupBy("bucket").agg(F.count("*").alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("c > 1")
+    first = materialise(docs.mapInArrow(_first_level(length, q), f"{_RUN}, n long"), "anchors")
+    found = materialise(first.where("bucket is null").select("doc_id", "tk", "lo", "hi"), "found")
+    pointers = first.where("bucket is not null")
+    shared = pointers.groupBy("bucket").agg(F.count("*").alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("c > 1")
     # written first, so that both sides of the join are plain exchanges and a hot bucket can be split
     shared = materialise(shared.select("bucket", (F.col("s0") < F.col("s1")).alias("mixed")), "shared")
-    alike = materialise(first.join(shared, "bucket"), "alike")
+    alike = materialise(pointers.join(shared, "bucket"), "alike")
     discard(first)
     discard(shared)
-    spans = materialise(alike.groupBy("bucket", "span").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct(*_PLACE)).alias("place")).where("n > 1 or mixed"), "spans")
-    found = _places(alike, spans.where("n > 1"))
+    spans = materialise(alike.groupBy("bucket", "span").agg(F.sum("n").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct(*_PLACE)).alias("place")).where("n > 1 or mixed"), "spans")
+    found = found.unionByName(_places(alike, spans.where("n > 1")))
     discard(alike)
 
     todo = spans.where("mixed").select("place.*", "bucket", F.col("span").alias("class"), F.least("n", F.lit(2)).alias("n"))
