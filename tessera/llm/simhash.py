@@ -9,8 +9,9 @@ of at least one part i: were each part over its threshold, the differences would
   expect: the keys a part probes with and the pairs that meet in it.  The plan only sets the cost; any plan
   finds every pair.
 * Each fingerprint is filed under its own value of a part and probes with all values within the threshold; what
-  meets is compared on all 64 bits.  A key with many fingerprints is cut into blocks, and each pair of blocks is
-  a group of its own, so no group grows without bound.
+  meets is compared on all 64 bits.  The fingerprints of a key with many are told apart once more, by radius + 1 parts of the
+  bits outside the key's, one of which a pair within the radius has in common.  Where many agree even in that, they
+  are cut into blocks, and each pair of blocks is a group of its own, so no group grows without bound.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def _links(radius: int):
     """Compares the fingerprints of each group; the rows come sorted by group."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["part", "value", "left", "right"]
+        columns = ["part", "value", "sub", "rest", "left", "right"]
         held: pd.DataFrame | None = None
 
         def compared(rows: pd.DataFrame) -> pa.RecordBatch:
@@ -207,17 +208,31 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     chosen = plan(sample, total, radius)
     keyed = materialise(distinct.mapInArrow(_keys(chosen), "part int, value long, own boolean, fp long"), "keys")
     counts = keyed.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("own").alias("filed")).where("n > 1 and filed")
-    counts = counts.select("part", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = keyed.join(counts.select("part", "value", "n"), ["part", "value"]).select("part", "value", "n", "fp")
+    many = F.col("n") > BLOCK
+    few = met.where(~many).select("part", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest"), "fp", F.lit(1).alias("blocks"))
+    masks = F.array(*(F.array(*(F.lit(m) for m in _outside(bits, radius))) for bits, _ in chosen)) if chosen else F.array(F.array(F.lit(0)))
+    mask = F.get(F.get(masks, F.col("part")), F.col("sub"))
+    cut = met.where(many).withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(radius)))).withColumn("rest", F.col("fp").bitwiseAND(mask)).drop("n")
+    key = ["part", "value", "sub", "rest"]
+    sizes = cut.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = few.unionByName(cut.join(sizes, key).select(*key, "fp", "blocks"))
     block = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
-    met = keyed.join(counts, ["part", "value"]).withColumn("block", block)
     # a row meets the rows of each block: one group for each pair of blocks
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("part", "value", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "fp")
-    groups = ["part", "value", "left", "right"]
+    met = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(*key, F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "fp")
+    groups = [*key, "left", "right"]
     met = met.repartition(partitions(distinct), *groups).sortWithinPartitions(*groups, "fp")
     return met.mapInArrow(_links(radius), "u long, v long")
 
 
+def _outside(bits: list[int], radius: int) -> list[int]:
+    """Masks, as signed longs, of radius + 1 parts of the bits that are not among these."""
+    free = [b for b in range(64) if b not in bits]
+    masks = [sum(1 << b for b in free[i :: radius + 1]) for i in range(radius + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def _rooted(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """The fingerprint of each row, and of each fingerprint its least doc_id and the root of its component."""
     prints = materialise(fingerprints(docs, shingle), "prints")

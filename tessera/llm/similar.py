@@ -11,7 +11,8 @@ every pair.  Lengths and the places of a common shingle bound the overlap from a
 by whole sets.
 
 Texts that share a shingle are first compared with one of them, the pivot; only pairs that this leaves in different groups are compared
-after that, so a large group of near copies does not make all of its pairs.  A shingle with many texts is cut into blocks,
+after that, so a large group of near copies does not make all of its pairs.  A pair is compared only if enough of its first shingles are
+common: of those behind the shorter list of first shingles no more than ceil(t n) - 1 can be.  A shingle with many texts is cut into blocks,
 and each pair of blocks is a group of its own.
 """
 
@@ -97,10 +98,10 @@ def _pairs(least: Fraction):
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        names = ["token", "left", "right", "node", "root", "n", "at"]
+        names = ["token", "left", "right", "node", "root", "n", "at", "block"]
 
         def compared(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, left, right, node, root, n, place = c
+            token, left, right, node, root, n, place, block = c
             change = (token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
             group = np.concatenate([[0], np.cumsum(change)])
             x = np.arange(len(node))
@@ -111,10 +112,11 @@ def _pairs(least: Fraction):
                     break
                 y = x + shift
                 most = np.minimum(place[x], place[y]) + 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
-                good = (root[x] != root[y]) & (most * (up + down) >= (n[x] + n[y]) * up)
-                a, b = node[x[good]], node[y[good]]
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                once = (left[x] == right[x]) | (block[x] != block[y])  # pairs within a block are compared in the block's own group
+                good = once & (root[x] != root[y]) & (most * (up + down) >= (n[x] + n[y]) * up)
+                if good.any():
+                    i, j = x[good], y[good]  # rows of a group come by node
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(node[i]), "b": pa.array(node[j]), "n_a": pa.array(n[i]), "n_b": pa.array(n[j])})
 
         for batch in batches:
             c = [batch.column(k).to_numpy() for k in names]
@@ -191,10 +193,17 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int,
     return links
 
 
-def fingerprint_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fraction, radius: int) -> DataFrame:
-    """Links (u, v) between sets whose fingerprints are equal or meet within the radius, verified by whole sets.
+def _likely(met: DataFrame, least: Fraction) -> DataFrame:
+    """Of rows (a, b, n_a, n_b), one for each first shingle that two sets share, the pairs that can be similar enough."""
+    behind = F.greatest(*(F.ceil(F.col(c) * least.numerator / F.lit(least.denominator)) for c in ("n_a", "n_b"))) - 1
+    common = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    return common.where((F.col("common") + behind) * (least.numerator + least.denominator) >= (F.col("n_a") + F.col("n_b")) * least.numerator).select("a", "b")
 
-    Each fingerprint's least node stands for it, and of the fingerprints that meet a spanning forest is compared; what that misses is left
+
+def fingerprint_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or meet within the radius.
+
+    Each fingerprint's least node stands for it, and of the fingerprints that meet a spanning forest is given; what that misses is left
     to the exact pass.
     """
     named = materialise(sets.where("n > 0").groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("other")), "named")
@@ -202,33 +211,34 @@ def fingerprint_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fra
     x, y = (named.select(F.col("fp").alias(k), F.col("rep").alias(n)) for k, n in (("u", "a"), ("v", "b")))
     across = met.join(x, "u").join(y, "v").select("a", "b")
     within = sets.select("node", "fp").join(named.where("rep < other").select("fp", "rep"), "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    return _verified(docs, sets, across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), shingle, least)
+    return across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fraction, radius: int = 3) -> DataFrame:
     """Links (u, v) between the sets of docs, enough to connect all pairs of at least that similarity; rows of one node are one set."""
-    near = fingerprint_links(docs, sets, shingle, least, radius)
-    known = materialise(connected_components(near), "known")
+    near = materialise(fingerprint_pairs(sets, radius), "near")
     heads = sets.where("n > 0").select("node", "n", "head").dropDuplicates(["node"])
     keyed = heads.select("node", "n", F.posexplode("head").alias("at", "token")).select("token", "node", "n", "at")
     placed = keyed.repartition(partitions(sets), "token").sortWithinPartitions("token", "node")
     shared = materialise(placed.mapInArrow(_met, "token long, node long, n int, at int, to long, to_n int, to_at int"), "shared")
 
-    met = shared.where((F.col("node") != F.col("to")) & _may(least, F.col("n"), F.col("to_n"), F.col("at"), F.col("to_at"))).select("node", "to").distinct()
-    there = known.select(F.col("node").alias("to"), F.col("root").alias("to_root"))
-    met = met.join(known, "node", "left").join(there, "to", "left").where(F.coalesce("root", "node") != F.coalesce("to_root", "to"))
-    links = near.unionByName(_verified(docs, sets, met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")), shingle, least))
+    # the pivot is the least node of its shingle; what this misses is left to the exact pass
+    met = shared.where((F.col("node") != F.col("to")) & _may(least, F.col("n"), F.col("to_n"), F.col("at"), F.col("to_at")))
+    pivots = _likely(met.select(F.col("to").alias("a"), F.col("node").alias("b"), F.col("to_n").alias("n_a"), F.col("n").alias("n_b")), least)
+    links = _verified(docs, sets, near.unionByName(pivots), shingle, least)
+    discard(near)
     roots = connected_components(links)
     rest = materialise(shared.drop("to", "to_n", "to_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
     discard(shared)
     # a shingle whose texts are one group already has nothing to compare
     several = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low < high")
     several = materialise(several.select("token", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "several")
-    rest_ = rest.join(several, "token").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    open_ = rest.join(several, "token").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     groups = ["token", "left", "right"]
-    rest_ = rest_.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
-    rest_ = rest_.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
-    more = _verified(docs, sets, rest_.mapInArrow(_pairs(least), "a long, b long"), shingle, least)
+    open_ = open_.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "block")
+    open_ = open_.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
+    found = open_.mapInArrow(_pairs(least), "a long, b long, n_a long, n_b long")
+    more = _verified(docs, sets, _likely(found, least), shingle, least)
     discard(rest)
     return links.unionByName(more)
 
