@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_aside
+from .common import materialise, set_aside
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are features beside whole words.
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     """A model from the rows that are not held out.
 
     At most `positives` documents labelled toxic and `unlabelled` documents of any kind take part, those with the smallest hashes
-    of doc_id; at most `vocabulary` features, of those that `least` toxic documents hold and that are commoner among them, are kept.
+    of doc_id, with one text of each doc_id; at most `vocabulary` features, of those that `least` toxic documents hold and that are commoner among them, are kept.
     The class prior is the toxic share of all labelled rows that are not held out.  Without a toxic label the model calls nothing toxic.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
@@ -121,18 +121,22 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     if not toxic:
         return Model({}, -10.0, 0.0, 0.0)
     prior = min(0.9, toxic / total)
-    by = F.xxhash64("doc_id"), F.col("doc_id")
-    p = known.where("toxic = 1").select("doc_id").distinct().orderBy(*by).limit(positives).select("doc_id", F.lit(1).alias("positive"))
-    u = docs.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(*by).limit(unlabelled).select("doc_id", F.lit(0).alias("positive"))
-    # at most positives + unlabelled ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(p.unionByName(u)), "doc_id").select("text", "positive")
+    def first(ids: DataFrame, n: int) -> DataFrame:
+        return ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+    p = first(known.where("toxic = 1").select("doc_id"), positives).select("doc_id", F.lit(1).alias("positive"))
+    u = first(docs.where(~held_out(F.col("doc_id"))).select("doc_id"), unlabelled).select("doc_id", F.lit(0).alias("positive"))
+    # at most positives + unlabelled ids, and of each the text with the smallest hash: texts that share an id are one document here
+    chosen = docs.select("doc_id", "text").join(F.broadcast(p.unionByName(u).groupBy("doc_id").agg(F.collect_set("positive").alias("as"))), "doc_id")
+    one = chosen.groupBy("doc_id").agg(F.min_by(F.struct("text", "as"), F.struct(F.xxhash64("text"), "text")).alias("x"))
+    sample = materialise(one.select("x.text", F.explode("x.as").alias("positive")), "sample")
     n_p, n_u = sample.agg(F.sum("positive"), F.sum(1 - F.col("positive"))).first()
     if not n_p or not n_u:
         return Model({}, -10.0, 0.0, prior)
     counts = sample.mapInArrow(_listed, "feature string, u long, p long").groupBy("feature").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
     lift = F.log((F.col("p") + 0.5) / n_p) - F.log((F.col("u") + 0.5) / n_u)
-    chosen = counts.where(F.col("p") >= least).withColumn("lift", lift).where(F.col("lift") > math.log(1.5)).orderBy(F.desc(F.col("lift") * F.sqrt("p")), "feature").limit(vocabulary)
-    names = [r.feature for r in chosen.select("feature").collect()]
+    best = counts.where(F.col("p") >= least).withColumn("lift", lift).where(F.col("lift") > math.log(1.5)).orderBy(F.desc(F.col("lift") * F.sqrt("p")), "feature").limit(vocabulary)
+    names = [r.feature for r in best.select("feature").collect()]
     rows = sample.mapInArrow(_encoded({f: i for i, f in enumerate(names)}), "positive int, words long, features array<int>").collect()
     rows.sort(key=lambda r: (r.positive, r.words, r.features))
     pos, rest = [r for r in rows if r.positive], [r for r in rows if not r.positive]
@@ -143,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on).  Null and empty texts have no features and get the score of the bias.
 
-    Own columns of these names come back with `_in` appended.
+    A text of any length is scored whole, by its set of features.  Rows, repeated ones too, have a score each, which depends on the text
+    alone.  Own columns of these names come back with `_in` appended.  An empty table gives an empty table.
     """
     docs = set_aside(docs, "score", "predicted")
 
