@@ -3,7 +3,7 @@
 Vectors are projected to a few random directions, shifted, and ordered along a Hilbert curve; several projections and
 shifts give several orders.  Each order is range-partitioned and cut into blocks of equal size.  A query meets the
 blocks within its window around its own place in each order; each block keeps its best, and the best of all are
-ranked by the exact measure.
+ranked by the exact measure.  A block that many queries reach is sent to several tasks, each with a bounded number of them.
 
 The window is fitted, not guessed: for a bounded sample of queries the true neighbours are found by a pass over all
 rows, and the window is chosen so that the stated share of them lies within it in at least one order.
@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, ranked
-from .vectors import principal, unit, valid
+from .vectors import matrices, principal, unit, valid
 
 CURVES, DIRECTIONS, BITS = 4, 6, 10
 #: Rows of a block; queries that the window is fitted on at most; share of neighbours that the window must hold.
 BLOCK, FITTED, SHARE = 4096, 64, 0.97
+#: Queries that meet a block in one task, about.
+ASKS = 4096
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,9 +66,11 @@ def _keys(basis: np.ndarray, seed: int):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                rows = part.column("e").to_pylist()
                 # vectors of another length than most are cut or filled up, for their order only
-                x = unit(np.array([(r + [0.0] * n)[:n] for r in rows]) + 1e-300)
+                x = np.zeros((part.num_rows, n))
+                for own, e in matrices(part.column("e")):
+                    x[own, : min(n, e.shape[1])] = e[:, :n]
+                x = unit(x + 1e-300)
                 for c in range(CURVES):
                     y = (x @ (basis @ turns[c])) * np.sqrt(n) / 8 + 0.5  # unit vectors spread over about one root of n
                     y = np.clip((y + shifts[c, : y.shape[1]] / 4) / 1.25, 0, 1 - 1e-9)
@@ -107,16 +111,17 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k vectors of largest inner product found for each query, ties to the smaller vec_id.
 
-    queries holds rows of vectors (vec_id, embedding); a query is no neighbour of itself.  Vectors that are null, zero, or hold
+    queries holds rows of vectors (vec_id, embedding); a query's own row is no neighbour of it.  Vectors that are null, zero, or hold
     null or non-finite components take no part, nor do rows without a vec_id; vectors of another length than the query are no
     neighbours.  Equal vectors are indexed once, with the k + 1 smallest vec_ids, which are all that can be among the nearest.
-    A vec_id that repeats counts once for each different vector.  Fewer than k candidates are all returned.
+    Rows that repeat whole count once; rows that share a vec_id are told apart by their vectors, and each that is a query has its own
+    ranks from 1.  Other columns are ignored.  Fewer than k candidates are all returned; an empty table gives an empty table.
     """
     rows = valid(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")).where("vec_id is not null").select("vec_id", "e").distinct()
-    by = Window.partitionBy("e").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = rows.withColumns({"r": F.row_number().over(Window.partitionBy("e").orderBy("vec_id")), "id": F.first("vec_id").over(by)}).where(F.col("r") <= k + 1)
-    members = materialise(members, "members")
-    index = members.where("r = 1").select("id", "e")
+    members = materialise(rows.withColumn("r", F.row_number().over(Window.partitionBy("e").orderBy("vec_id"))).where(F.col("r") <= k + 1), "members")
+    # each different vector is a node, with a number that is fixed by writing it
+    index = materialise(members.where("r = 1").select(F.monotonically_increasing_id().alias("id"), "e"), "index")
+    members = materialise(members.join(index, "e").select("id", "vec_id"), "members")
     asked = valid(queries.select(F.col("vec_id").cast("long").alias("query_id"), "embedding")).where("query_id is not null").select("query_id", "e").distinct()
     asked = materialise(asked.join(index, "e").select("query_id", "id"), "asked")
     total = index.count()
@@ -151,8 +156,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5)
         return _scores(group[asks], group[~asks], k + 1)
 
     def searched(ask: DataFrame) -> DataFrame:
-        both = rows.unionByName(ask.select(rows.columns))
-        return both.groupBy("curve", "block").applyInPandas(met, "query long, id long, score double")
+        parts = ask.groupBy("curve", "block").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        held = rows.join(parts, ["curve", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        sent = ask.join(parts, ["curve", "block"]).withColumn("part", part)
+        columns = [*rows.columns, "part"]
+        return held.select(columns).unionByName(sent.select(columns)).groupBy("curve", "block", "part").applyInPandas(met, "query long, id long, score double")
 
     # first the query's own block in each order; the k-th best there is the bar that a row of any other block has to reach
     near = materialise(_best(searched(here.withColumn("bar", F.lit(float("-inf")))).groupBy("query", "id").agg(F.max("score").alias("score")), k + 1), "near")
@@ -162,6 +171,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5)
         others = F.array_except(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.lit((total - 1) // BLOCK), F.col("block") + reach)), F.array("block"))
         found = near.unionByName(searched(here.join(bars, "id").withColumn("block", F.explode(others))))
     best = _best(found.groupBy("query", "id").agg(F.max("score").alias("score")), k + 1)
-    full = asked.withColumnRenamed("id", "query").join(best, "query").join(members.select("id", "vec_id"), "id").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    full = asked.withColumnRenamed("id", "query").join(best, "query").join(members, "id").where("vec_id <> query_id or id <> query")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return full.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,8 +2,9 @@
 
 Unit vectors are rotated to principal directions and sorted by the grid cells, of side epsilon, of the leading ones.
 Range partitioning deals the order out, and each partition's sequence is cut into blocks.  Two blocks meet
-only if cells of theirs touch and their bounding boxes are within epsilon.  What meets is joined
-recursively: intervals of the two sequences are halved, and a pair of intervals whose boxes are further
+only if cells of theirs touch and their bounding boxes are within epsilon.  Eight blocks in a row are a sequence; for each pair of
+sequences with blocks that meet, those blocks are sent to one task, once each.  What meets there is joined
+recursively: intervals of the two blocks are halved, and a pair of intervals whose boxes are further
 apart than epsilon is skipped.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, forest, materialise, partitions
-from .vectors import principal, unit, valid
+from .vectors import listed, matrices, principal, taking_part, unit, valid
 
 #: Leading directions whose cells order the vectors.
 LEADING = 6
 #: Vectors of a block, and of an interval that is not halved further.
 BLOCK, LEAF = 1024, 128
+#: Blocks of a sequence, as a power of two.
+SEQUENCE = 3
 
 
 def _projected(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -35,15 +39,12 @@ def _projected(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
 def _cells(basis: np.ndarray, epsilon: float):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = np.array(b.column("size").to_pylist(), np.int64)
-            rows = b.column("e").to_pylist()
-            out = np.zeros((len(rows), LEADING))
-            for n in np.unique(sizes):
-                own = np.flatnonzero(sizes == n)
-                out[own] = _projected(unit(np.array([rows[i] for i in own])), basis)
+            out = np.zeros((b.num_rows, LEADING))
+            for own, x in matrices(b.column("e")):
+                out[own] = _projected(unit(x), basis)
             cell = np.floor(out / epsilon).astype(np.int32)
             columns = {n: b.column(n) for n in b.schema.names} | {f"c{i}": pa.array(cell[:, i]) for i in range(LEADING)}
-            yield pa.RecordBatch.from_pydict(columns | {"p": pa.array(list(out), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict(columns | {"p": listed(out)})
 
     return cells
 
@@ -86,41 +87,67 @@ def _join(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, same: bo
         todo += [(a, m, c, n), (a, m, n, d), (m, b, c, n), (m, b, n, d)]
 
 
+@dataclass
+class _Block:
+    number: int
+    label: object
+    node: np.ndarray
+    n: np.ndarray
+    e: np.ndarray
+    p: np.ndarray
+    u: np.ndarray
+
+
+def _between(x: _Block, y: _Block, threshold: float, epsilon: float) -> pa.RecordBatch:
+    """Links of two blocks, or within one: (u, null, n), n more links of u, and (u, v, null), a link of the spanning forest."""
+    same = x is y
+    pairs = list(_join(x.e, y.e, x.p, y.p, same, threshold, epsilon, x.u, y.u))
+    i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+    ids = x.node if same else np.concatenate([x.node, y.node])
+    j2 = j if same else j + len(x.node)
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, i, y.n[j])
+    np.add.at(links, j2, x.n[i])
+    low = forest(len(ids), i, j2)
+    n, e = np.flatnonzero(links), np.flatnonzero(low != np.arange(len(ids)))
+    return pa.RecordBatch.from_pydict({
+        "u": pa.array(np.concatenate([ids[n], ids[e]])), "v": pa.array([None] * len(n) + ids[low[e]].tolist(), pa.int64()), "n": pa.array(links[n].tolist() + [None] * len(e), pa.int64()),
+    })
+
+
 def _linked(threshold: float, epsilon: float):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by pair of blocks, the left block first.  Gives (u, n): n more links of u, and (u, v): a link of the spanning forest."""
-        held: list[tuple] = []
-        key = None
-
-        def done() -> pa.RecordBatch:
-            sides = [[r for r in held if r[2] == s] for s in (0, 1)]
-            same = not sides[1]
-            left, right = sides[0], sides[0] if same else sides[1]
-            x, y = (np.array([r[5] for r in s]) for s in (left, right))
-            px, py = (np.array([r[6] for r in s]) for s in (left, right))
-            pairs = list(_join(x, y, px, py, same, threshold, epsilon, unit(x), unit(y)))
-            i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-            nx, ny = (np.array([r[4] for r in s], np.int64) for s in (left, right))
-            ids = np.array([r[3] for r in left] + ([] if same else [r[3] for r in right]), np.int64)
-            j2 = j if same else j + len(left)
-            links = np.zeros(len(ids), np.int64)
-            np.add.at(links, i, ny[j])
-            np.add.at(links, j2, nx[i])
-            low = forest(len(ids), i, j2)
-            n, e = np.flatnonzero(links), np.flatnonzero(low != np.arange(len(ids)))
-            return pa.RecordBatch.from_pydict({
-                "u": pa.array(np.concatenate([ids[n], ids[e]])), "v": pa.array([None] * len(n) + ids[low[e]].tolist(), pa.int64()), "n": pa.array(links[n].tolist() + [None] * len(e), pa.int64()),
-            })
+        """Rows come sorted by pair of sequences and block; a pair of sequences has 2 ** (SEQUENCE + 1) blocks at the most."""
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            number = rows.column("block").to_numpy()
+            first = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]])
+            blocks = []
+            for lo, hi in zip(first, first[1:], strict=False):
+                part = rows.slice(lo, hi - lo)
+                (_, e), (_, p) = (next(iter(matrices(part.column(c).combine_chunks()))) for c in ("e", "p"))
+                blocks.append(_Block(int(number[lo]), part.column("label")[0].as_py(), part.column("node").to_numpy(), part.column("n").to_numpy(), e, p, unit(e)))
+            left, right = (rows.column(c)[0].as_py() for c in ("a", "b"))
+            for x in blocks:
+                for y in blocks:
+                    here = x.number >> SEQUENCE == left and y.number >> SEQUENCE == right and x.number <= y.number
+                    if here and x.label == y.label and x.e.shape[1] == y.e.shape[1]:
+                        yield _between(x, y, threshold, epsilon)
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("a", "b", "side", "id", "n", "e", "p")), strict=True):
-                if r[:2] != key and held:
-                    yield done()
+            a, c = b.column("a").to_numpy(), b.column("b").to_numpy()
+            cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (c[1:] != c[:-1])) + 1).tolist(), len(a)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and (held[-1].column("a")[0].as_py(), held[-1].column("b")[0].as_py()) != (int(a[lo]), int(c[lo])):
+                    yield from done()
                     held = []
-                key = r[:2]
-                held.append(r)
+                held.append(b.slice(lo, hi - lo))
         if held:
-            yield done()
+            yield from done()
 
     return linked
 
@@ -131,19 +158,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     Vectors link if their labels are equal and not null and their cosine is at least the threshold (above 0).  Vectors that are null,
     zero, or hold null or non-finite components, and those without a label or vec_id, link with nothing: n_links 0, their own
     component.  Vectors of different lengths do not link.  Equal vectors are compared once, and each counts as a link of the
-    others, repeated rows too.  An empty table gives an empty table.
+    others, repeated rows too.  Rows that share a vec_id are told apart by their vectors and labels.  Other columns are ignored.  An empty
+    table gives an empty table.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     epsilon = math.sqrt(2 - 2 * threshold) + 1e-9
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").alias("label"))
     rows = valid(given).where("label is not null and vec_id is not null").select("vec_id", "label", "e")
-    alike = materialise(rows.groupBy("label", "e").agg(F.count("*").alias("n"), F.min("vec_id").alias("id")).withColumn("size", F.size("e")), "alike")
+    alike = rows.groupBy("label", "e").agg(F.count("*").alias("n"), F.min("vec_id").alias("id")).withColumn("size", F.size("e"))
+    # each different vector of a label is a node, with a number that is fixed by writing it
+    alike = materialise(alike.withColumn("node", F.monotonically_increasing_id()), "alike")
     basis = principal(alike)
-    order = ["label", "size", *(f"c{i}" for i in range(LEADING)), "id"]
+    order = ["label", "size", *(f"c{i}" for i in range(LEADING)), "node"]
     label = alike.schema["label"].dataType.simpleString()
-    schema = f"label {label}, e array<double>, n long, id long, size int, " + ", ".join(f"c{i} int" for i in range(LEADING)) + ", p array<double>"
-    cells = alike.mapInArrow(_cells(basis, epsilon), schema)
+    schema = f"label {label}, e array<double>, n long, node long, size int, " + ", ".join(f"c{i} int" for i in range(LEADING)) + ", p array<double>"
+    cells = alike.select("label", "e", "n", "node", "size").mapInArrow(_cells(basis, epsilon), schema)
     ordered = cells.repartitionByRange(partitions(alike), *order).sortWithinPartitions(*order)
     blocked = ordered.mapInArrow(_blocks, schema + ", block long").withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("block"))
     blocked = materialise(blocked, "blocks")
@@ -162,15 +192,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     pairs = at.withColumnRenamed("block", "a").join(near, ["label", "size", "x", "y"]).where(F.col("a") <= F.col("b")).where(apart <= epsilon * epsilon * (1 + 1e-9)).select("a", "b").distinct()
     pairs = materialise(pairs, "pairs")
 
-    own = blocked.select("block", "id", "n", "e", "p")
-    sides = [own.join(p.withColumn("block", F.col(c)), "block").select("a", "b", F.lit(s).alias("side"), "id", "n", "e", "p") for s, c, p in ((0, "a", pairs), (1, "b", pairs.where("a <> b")))]
-    met = sides[0].unionByName(sides[1]).repartition(partitions(alike), "a", "b").sortWithinPartitions("a", "b", "side", "id")
+    # each block once for each pair of sequences in which one of its pairs is
+    ends = pairs.select(F.shiftright("a", SEQUENCE).alias("left"), F.shiftright("b", SEQUENCE).alias("right"), F.explode(F.array("a", "b")).alias("block")).distinct()
+    own = blocked.select("block", "label", "node", "n", "e", "p")
+    met = own.join(ends, "block").select(F.col("left").alias("a"), F.col("right").alias("b"), "block", "label", "node", "n", "e", "p")
+    met = met.repartition(partitions(alike), "a", "b").sortWithinPartitions("a", "b", "block", "node")
     links = materialise(met.mapInArrow(_linked(threshold, epsilon), "u long, v long, n long"), "links")
 
     roots = connected_components(links.where("v is not null").select("u", "v"))
-    counts = links.where("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("more"))
-    classes = alike.select("label", "e", "id", "n").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select("label", "e", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    rest = given.withColumn("e", F.col("embedding").cast("array<double>")).join(rows.select("label", "e").distinct().join(classes, ["label", "e"]), ["label", "e"], "left")
-    out = rest.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    counts = links.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("more"))
+    named = alike.select("node", "id").join(roots, "node").groupBy("root").agg(F.min("id").alias("least"))
+    roots = roots.join(named, "root").select("node", "least")
+    classes = alike.select("label", "e", "node", "id", "n").join(counts, "node", "left").join(roots, "node", "left")
+    classes = classes.select("label", "e", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
+    # rows that take no part have no class; all others find that of their vector
+    whole = valid(given).where("label is not null and vec_id is not null").select("vec_id", "label", "e").join(classes, ["label", "e"]).select("vec_id", "n_links", "component_id")
+    takes_part = F.coalesce(taking_part(F.col("embedding")), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    alone = given.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = whole.unionByName(alone).withColumn("n_links", F.col("n_links").cast("long"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
