@@ -52,10 +52,10 @@ class Encoder:
         self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def ids(self, text: str) -> bytes:
-        if not self.split or not (found := list(self.split.finditer(text))):
+        if not self.split or not any(t in text for t in self.added):
             return self._plain(text)
         out, at = [], 0
-        for m in found:
+        for m in self.split.finditer(text):
             out += [self._plain(text[at : m.start()]), self.added[m.group()]]
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
