@@ -16,6 +16,11 @@ def _d(x: Column | float) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("double")
 
 
+def _nan(x: Column) -> Column:
+    """Whether a number is nan; the numbers themselves keep their types, so longs are compared as longs."""
+    return F.isnan(x.cast("double"))
+
+
 def add(a: Column, b: Column) -> Column:
     return a + b
 
@@ -30,7 +35,8 @@ def mul(a: Column, b: Column) -> Column:
 
 def div(a: Column, b: Column) -> Column:
     a, b = _d(a), _d(b)
-    zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
+    below = b.cast("string") == "-0.0"  # other functions take both zeros for 0.0
+    zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when((a > 0) != below, F.lit(INF)).otherwise(F.lit(-INF))
     return F.when(b == 0, zero).otherwise(F.try_divide(a, b))
 
 
@@ -72,12 +78,18 @@ def round_(x: Column) -> Column:
     return F.round(x)
 
 
+def _whole(f, x: Column) -> Column:  # noqa: ANN001
+    """f by way of longs; doubles that are not finite, or from 2**53 on, are whole already."""
+    d = _d(x)
+    return F.when(F.isnan(d) | (F.abs(d) >= 2.0**53), d).otherwise(f(x).cast("double"))
+
+
 def floor(x: Column) -> Column:
-    return F.floor(x).cast("double")
+    return _whole(F.floor, x)
 
 
 def ceil(x: Column) -> Column:
-    return F.ceil(x).cast("double")
+    return _whole(F.ceil, x)
 
 
 def sign(x: Column) -> Column:
@@ -87,12 +99,10 @@ def sign(x: Column) -> Column:
 
 def maximum(a: Column, b: Column) -> Column:
     """The number where one side is nan."""
-    a, b = _d(a), _d(b)
-    return F.when(F.isnan(a), b).when(F.isnan(b), a).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)))
+    return F.when(_nan(a), b).when(_nan(b), a).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)))
 
 
 def minimum(a: Column, b: Column) -> Column:
-    a, b = _d(a), _d(b)
     return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
 
 
@@ -102,8 +112,7 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def equal(a: Column, b: Column) -> Column:
-    a, b = _d(a), _d(b)
-    return (a == b) & ~F.isnan(a)
+    return (a == b) & ~_nan(a)
 
 
 def not_equal(a: Column, b: Column) -> Column:
@@ -111,13 +120,11 @@ def not_equal(a: Column, b: Column) -> Column:
 
 
 def greater(a: Column, b: Column) -> Column:
-    a, b = _d(a), _d(b)
-    return (a > b) & ~F.isnan(a)
+    return (a > b) & ~_nan(a)
 
 
 def greater_equal(a: Column, b: Column) -> Column:
-    a, b = _d(a), _d(b)
-    return (a >= b) & ~F.isnan(a) & ~F.isnan(b)
+    return (a >= b) & ~_nan(a) & ~_nan(b)
 
 
 def less(a: Column, b: Column) -> Column:
@@ -157,8 +164,8 @@ def bitwise_xor(a: Column, b: Column) -> Column:
 
 
 def astype(x: Column, to: str) -> Column:
-    """Truncates towards zero from float to integer."""
-    return x.cast(to)
+    """Truncates towards zero from float to integer; null for what the type cannot hold, nan and infinities among it."""
+    return x.try_cast(to)
 
 
 def where(condition: Column, x: Column, y: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import DimensionMismatch, IndexOutOfBounds, ShapeMismatch
+from ..errors import DimensionMismatch, IndexOutOfBounds, RankMismatch, ShapeMismatch
 from .order import ordinal
 
 def v() -> Column:
@@ -28,6 +28,14 @@ def broadcast_shape(*shapes: tuple[int, ...]) -> tuple[int, ...]:
     return tuple(out)
 
 
+def are_broadcastable(*shapes: tuple[int, ...]) -> bool:
+    try:
+        broadcast_shape(*shapes)
+    except ShapeMismatch:
+        return False
+    return True
+
+
 def broadcast_binary(a: DataFrame, b: DataFrame, on: list[str], f) -> DataFrame:  # noqa: ANN001
     """f of two arrays that share the axes `on`; axes that only one has are kept."""
     axes = [c for c in a.columns if c != "v"] + [c for c in b.columns if c != "v" and c not in a.columns]
@@ -138,6 +146,71 @@ def slice_(a: DataFrame, axis: str, start: int, stop: int, step: int = 1) -> Dat
     return a.where((F.col(axis) >= start) & (F.col(axis) < stop) & (at % step == 0)).withColumn(axis, F.floor(at / step))
 
 
+def _ends(part: tuple[int, ...], n: int) -> tuple[int, int, int]:
+    """start, stop, step of a range along an axis of n; the stop is clamped, a start past the axis is an error."""
+    start, stop, step = (*part, 1)[:3]
+    if step <= 0:
+        raise DimensionMismatch("step must be above 0")
+    if not 0 <= start < n:
+        raise IndexOutOfBounds(f"{start} of {n}")
+    return start, min(stop, n), step
+
+
+def _position(part: int, n: int) -> int:
+    if not 0 <= part < n:
+        raise IndexOutOfBounds(f"{part} of {n}")
+    return part
+
+
+def slices(a: DataFrame, axes: list[str], shape: tuple[int, ...], parts: list[int | tuple[int, ...] | None]) -> DataFrame:
+    """A part for each axis: None keeps it, a number takes one position and drops the axis, (start, stop) or (start, stop, step) a range."""
+    if not len(axes) == len(shape) == len(parts):
+        raise RankMismatch(f"{parts} for {axes}")
+    for axis, n, part in zip(axes, shape, parts, strict=True):
+        if isinstance(part, int):
+            a = a.where(F.col(axis) == _position(part, n)).drop(axis)
+        elif part is not None:
+            a = slice_(a, axis, *_ends(part, n))
+    return a
+
+
+def slice_shape(shape: tuple[int, ...], parts: list[int | tuple[int, ...] | None]) -> tuple[int, ...]:
+    """The shape that `slices` gives; here a stop past the axis is an error."""
+    if len(shape) != len(parts):
+        raise RankMismatch(f"{parts} for {shape}")
+    out = []
+    for n, part in zip(shape, parts, strict=True):
+        if isinstance(part, int):
+            _position(part, n)
+        elif part is None:
+            out.append(n)
+        else:
+            start, stop, step = _ends(part, n)
+            if part[1] > n:
+                raise IndexOutOfBounds(f"{part[1]} of {n}")
+            out.append(max(0, -(-(stop - start) // step)))
+    return tuple(out)
+
+
+def _at(axes: list[str], shape: tuple[int, ...], place: tuple[int, ...]) -> Column:
+    if not len(axes) == len(shape) == len(place):
+        raise RankMismatch(f"{place} for {axes}")
+    out = F.lit(True)
+    for axis, n, k in zip(axes, shape, place, strict=True):
+        out = out & (F.col(axis) == _position(k, n))
+    return out
+
+
+def get(a: DataFrame, axes: list[str], shape: tuple[int, ...], place: tuple[int, ...]) -> DataFrame:
+    """The cell at a place, one row v; the filter reaches the scan."""
+    return a.where(_at(axes, shape, place)).select("v")
+
+
+def set_(a: DataFrame, axes: list[str], shape: tuple[int, ...], place: tuple[int, ...], value: float) -> DataFrame:
+    """The array with another value at a place."""
+    return a.withColumn("v", F.when(_at(axes, shape, place), F.lit(value)).otherwise(v()))
+
+
 def boolean_mask(a: DataFrame, mask: Column, order: list[str]) -> DataFrame:
     """The cells where mask is true, numbered in the order of the axes."""
     return ordinal(a.where(mask), order, "idx").select("idx", "v")
@@ -188,14 +261,16 @@ REDUCTIONS = {
 }
 
 
-def reduce_(a: DataFrame, how: list[str], by: list[str] | None = None, value: Column | None = None) -> DataFrame:
+def reduce_(a: DataFrame, how: list[str], by: list[str] | None = None, value: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """keep: axes that are reduced and stay with size 1, as position 0."""
     x = (v() if value is None else value).cast("double")
-    return a.groupBy(*(by or [])).agg(*(REDUCTIONS[h](x).alias(h) for h in how))
+    out = a.groupBy(*(by or [])).agg(*(REDUCTIONS[h](x).alias(h) for h in how))
+    return out.withColumns({c: F.lit(0).cast("long") for c in keep or []})
 
 
 def argmax(a: DataFrame, at: str, by: list[str] | None = None) -> DataFrame:
     """The first place of the greatest value."""
-    return a.where(~F.isnan(v())).groupBy(*(by or [])).agg(F.min_by(at, F.struct(-v(), F.col(at))).alias("argmax"))
+    return a.where(~F.isnan(v())).groupBy(*(by or [])).agg(F.max_by(at, F.struct(v(), -F.col(at))).alias("argmax"))
 
 
 def argmin(a: DataFrame, at: str, by: list[str] | None = None) -> DataFrame:
@@ -275,7 +350,8 @@ def diff(a: DataFrame, axis: str, by: list[str], n: int = 1) -> DataFrame:
     """The n-th forward difference along an axis numbered without gaps; the axis starts at 0 again."""
     for _ in range(n):
         w = Window.partitionBy(*by).orderBy(axis)
-        a = a.withColumn("v", F.lead("v").over(w) - v()).where(v().isNotNull())
+        # a null cell gives null differences on both of its sides; only the last place of a lane goes
+        a = a.withColumns({"__more": F.lead(F.lit(True)).over(w), "v": F.lead("v").over(w) - v()}).where("__more").drop("__more")
     return a
 
 
@@ -286,21 +362,41 @@ def gradient(a: DataFrame, axis: str, by: list[str]) -> DataFrame:
     return a.withColumn("v", F.when(before.isNull(), after - v()).when(after.isNull(), v() - before).otherwise((after - before) / 2.0))
 
 
-def convolve(a: DataFrame, kernel: list[float], n: int, mode: str = "full", by: list[str] | None = None) -> DataFrame:
-    """A vector of n cells (or lanes of n) with a short kernel: each cell is spread over the kernel and summed per place."""
-    m = len(kernel)
-    if not m or not n:
+def convolve(a: DataFrame, kernel: list[float], n: int | None = None, mode: str = "full", by: list[str] | None = None) -> DataFrame:
+    """A vector of n cells, or lanes, with a short kernel: each cell is spread over the kernel and summed per place.
+
+    mode: full, same or valid.  Without n each lane has its own length, which reaches to its last cell.
+    """
+    m, by = len(kernel), by or []
+    if not m or n == 0:
         raise DimensionMismatch("empty operand")
     taps = F.array(*(F.struct(F.lit(j).cast("long").alias("j"), F.lit(float(x)).alias("x")) for j, x in enumerate(kernel)))
-    spread = a.withColumn("t", F.explode(taps)).select(*(by or []), (F.col("idx") + F.col("t.j")).alias("idx"), (v() * F.col("t.x")).alias("v"))
-    out = spread.groupBy(*(by or []), "idx").agg(F.sum("v").alias("v"))
+    spread = a.withColumn("t", F.explode(taps)).select(*by, (F.col("idx") + F.col("t.j")).alias("idx"), (v() * F.col("t.x")).alias("v"))
+    out = spread.groupBy(*by, "idx").agg(F.sum("v").alias("v"))
     if mode == "full":
         return out
-    size, first = (max(n, m) - min(n, m) + 1, min(n, m) - 1) if mode == "valid" else (max(n, m), (n + m - 1 - max(n, m)) // 2)
-    return out.where((F.col("idx") >= first) & (F.col("idx") < first + size)).withColumn("idx", F.col("idx") - first)
-
-
-def correlate(a: DataFrame, kernel: list[float], n: int, mode: str = "full", by: list[str] | None = None) -> DataFrame:
+    if n is None:
+        lengths = a.groupBy(*by).agg((F.max("idx") + 1).alias("__n"))
+        out, size = _joined(out, lengths, by), F.col("__n")
+    else:
+        out, size = out.withColumn("__n", F.lit(n)), F.lit(n)
+    short, long = F.least(size, F.lit(m)), F.greatest(size, F.lit(m))
+    kept, first = (long - short + 1, short - 1) if mode == "valid" else (long, F.floor((size + m - 1 - long) / 2))
+    return out.withColumn("__first", first).where((F.col("idx") >= F.col("__first")) & (F.col("idx") < F.col("__first") + kept)).withColumn("idx", F.col("idx") - F.col("__first")).drop("__n", "__first")
+
+
+def _joined(a: DataFrame, per_lane: DataFrame, by: list[str]) -> DataFrame:
+    """a with the columns of a table of one row per lane; null is a lane like others, and without lanes there is one row."""
+    if not by:
+        return a.crossJoin(F.broadcast(per_lane))  # one row
+    lane = per_lane.withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return a.join(lane, same).drop(*(f"__{c}" for c in by))
+
+
+def correlate(a: DataFrame, kernel: list[float], n: int | None = None, mode: str = "full", by: list[str] | None = None) -> DataFrame:
     return convolve(a, kernel[::-1], n, mode, by)
 
 
@@ -321,18 +417,20 @@ def interp1d(knots: list[tuple[float, float]], x: Column, kind: str = "linear",
     return F.when(x < xs[0], low).when(x > xs[-1], high).otherwise(inside)
 
 
-def softmax(a: DataFrame, by: list[str]) -> DataFrame:
-    """Per lane, shifted by its greatest value: two aggregates that combine before the shuffle."""
-    top = a.groupBy(*by).agg(F.max("v").alias("__m"))
-    e = a.join(top, by).withColumn("v", F.exp(v() - F.col("__m"))).drop("__m")
-    return e.join(e.groupBy(*by).agg(F.sum("v").alias("__s")), by).withColumn("v", v() / F.col("__s")).drop("__s")
+def softmax(a: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per lane, or over the whole array, shifted by the greatest value: two aggregates that combine before the shuffle."""
+    by = by or []
+    e = _joined(a, a.groupBy(*by).agg(F.max("v").alias("__m")), by).withColumn("v", F.exp(v() - F.col("__m"))).drop("__m")
+    return _joined(e, e.groupBy(*by).agg(F.sum("v").alias("__s")), by).withColumn("v", v() / F.col("__s")).drop("__s")
 
 
 def loss(kind: str) -> Column:
-    """An aggregate over rows with y and p: mse, mae, hinge, bce, or cce_sum, the cross entropy that is yet to be divided by the rows."""
+    """An aggregate over rows with y and p: mse, mae, hinge, bce, cce_sum over cells, or cce over rows whose y and p are arrays."""
     y, p = F.col("y"), F.col("p")
-    inside = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+    clipped = lambda x: F.least(F.greatest(x, F.lit(1e-7)), F.lit(1 - 1e-7))
+    inside = clipped(p)
     return {
         "mse": lambda: F.avg(F.pow(y - p, 2)), "mae": lambda: F.avg(F.abs(y - p)), "hinge": lambda: F.avg(F.greatest(F.lit(0.0), 1 - y * p)),
         "bce": lambda: F.avg(-(y * F.ln(inside) + (1 - y) * F.ln(1 - inside))), "cce_sum": lambda: F.sum(-y * F.ln(inside)),
+        "cce": lambda: F.avg(F.aggregate(F.zip_with(y, p, lambda a, b: -a * F.ln(clipped(b))), F.lit(0.0), lambda s, x: s + x)),
     }[kind]()

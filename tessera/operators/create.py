@@ -64,16 +64,26 @@ def exponential(spark: SparkSession, n: int, seed: int, scale: float = 1.0) -> D
     return spark.range(n).select(F.col("id").alias("idx"), (-scale * F.log1p(-F.rand(seed))).alias("v"))
 
 
-def poisson(spark: SparkSession, n: int, seed: int, lam: float, most: int | None = None) -> DataFrame:
-    """By the inverse of the distribution function, up to a count beyond which the chance is negligible."""
-    most = most or int(lam + 12 * math.sqrt(lam) + 20)
-    total, p, steps = 0.0, math.exp(-lam), []
-    for k in range(most):
-        total += p
-        steps.append(total)
-        p *= lam / (k + 1)
-    u = F.col("u")
-    return spark.range(n).select(F.col("id").alias("idx"), F.rand(seed).alias("u")).select("idx", F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= u)).cast("long").alias("v"))
+#: Means above this are drawn as sums of several draws.
+POISSON_STEP = 1000.0
+
+
+def poisson(spark: SparkSession, n: int, seed: int, lam: float) -> DataFrame:
+    """By the inverse of the distribution function, over the counts that are not negligible; a large mean is the sum of smaller ones."""
+    parts = max(1, math.ceil(lam / POISSON_STEP))
+    mean = lam / parts
+    low = max(0, int(mean - 12 * math.sqrt(mean) - 20))
+    total, steps = 0.0, []
+    for k in range(low, int(mean + 12 * math.sqrt(mean) + 20)):
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else float(k == 0)
+        steps.append(min(total, 1.0))
+    rows = spark.range(n).select(F.col("id").alias("idx"), *(F.rand(seed + i).alias(f"u{i}") for i in range(parts)), F.lit(steps).alias("steps"))
+
+    def drawn_by(u):  # noqa: ANN001, ANN202  the steps rise: the number of those at or below the draw is the place of the count
+        return low + F.size(F.filter("steps", lambda s: s <= u))
+
+    drawn = [drawn_by(F.col(f"u{i}")) for i in range(parts)]
+    return rows.select("idx", sum(drawn[1:], drawn[0]).cast("long").alias("v"))
 
 
 def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
@@ -84,6 +94,12 @@ def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return ordinal(keyed, ["key", "v"], "idx").select("idx", "v")
 
 
+def shuffle(a: DataFrame, axis: str, size: int, seed: int) -> DataFrame:
+    """An array with its positions along an axis in random order: whole slices move, each to its place in a permutation."""
+    moved = permutation(a.sparkSession, size, seed).select(F.col("idx").alias(axis), F.col("v").alias("__to"))
+    return a.join(moved, axis).withColumn(axis, F.col("__to")).select(*a.columns)
+
+
 def choice(values: DataFrame, k: int, seed: int, replace: bool = False) -> DataFrame:
     """k values (idx, v): without replacement those of the smallest seeded hashes; with it, those at random places."""
     spark = values.sparkSession

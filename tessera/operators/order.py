@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder; on one machine without such a setting, a temporary one."""
+    """df written to the checkpoint folder, spark.checkpoint.dir; only where Spark runs on one machine may that be unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 

@@ -13,17 +13,18 @@ def read_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
 
 
 def write_csv(a: DataFrame, path: str, columns: int) -> None:
-    """A matrix (i, j, v) as headerless rows, in order; a vector is the matrix of one row."""
+    """A matrix (i, j, v) as headerless rows, in order; a vector (idx, v) is the matrix of one row.  Cells that are left out are empty."""
+    if "idx" in a.columns:
+        a = a.select(F.lit(0).cast("long").alias("i"), F.col("idx").alias("j"), "v")
     wide = a.groupBy("i").pivot("j", list(range(columns))).agg(F.first("v")).orderBy("i")
     wide.select(*(F.col(str(k)) for k in range(columns))).write.csv(path, header=False)
 
 
 def save(a: DataFrame, path: str, shape: tuple[int, ...]) -> None:
-    """An array as Parquet, its shape with it."""
-    a.withColumn("__shape", F.array(*map(F.lit, shape)).cast("array<long>")).write.mode("overwrite").parquet(path)
+    """An array as Parquet; its shape goes with the schema, so an array without cells has one too."""
+    a.select(*(c for c in a.columns if c != "v"), F.col("v").alias("v", metadata={"shape": list(shape)})).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, ...]]:
     a = spark.read.parquet(path)
-    row = a.select("__shape").first()
-    return a.drop("__shape"), tuple(row[0]) if row else ()
+    return a, tuple(a.schema["v"].metadata["shape"])
