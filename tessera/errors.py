@@ -25,6 +25,10 @@ class SingularMatrix(ArrayError):
     pass
 
 
+class MatrixNotPositiveDefinite(ArrayError):
+    pass
+
+
 class InvalidShape(ArrayError):
     pass
 
