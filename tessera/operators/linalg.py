@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SingularMatrix
+from .blocks import as_cells, gram_matrix
+
 
 def v() -> Column:
     return F.col("v")
 
 
-
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """A join on the inner axis and a sum; products combine before the shuffle."""
     x, y = a.select("i", F.col("j").alias("k"), v().alias("x")), b.select(F.col("i").alias("k"), "j", v().alias("y"))
@@ -21,9 +26,8 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gram(rows: DataFrame, array: str, n: int) -> DataFrame:
-    """The n by n matrix of inner products of the positions of an array column: one partial sum per cell and task."""
-    cells = rows.select(F.posexplode(array).alias("i", "x"), F.col(array).alias("a")).select("i", "x", F.posexplode("a").alias("j", "y"))
-    return cells.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("v"))
+    """The n by n matrix of inner products of the positions of an array column: one matrix product for each batch of rows, one partial sum for each task."""
+    return as_cells(rows, gram_matrix(rows, array, n))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -116,64 +120,152 @@ def solve(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     return both.groupBy("m").applyInPandas(one, "m long, i long, v double")
 
 
-# polynomials: coefficients as Python lists, highest power first; they are parameters, not data
+# polynomials: array columns of coefficients, highest power first, all within the row
+
+
+def _padded(a: Column, n: Column) -> Column:
+    """a with zeros before it, up to n coefficients."""
+    return F.concat(F.array_repeat(F.lit(0.0), F.greatest(n - F.size(a), F.lit(0))), a.cast("array<double>"))
+
+
+def polyadd(a: Column, b: Column) -> Column:
+    n = F.greatest(F.size(a), F.size(b))
+    return F.zip_with(_padded(a, n), _padded(b, n), lambda x, y: x + y)
+
+
+def polysub(a: Column, b: Column) -> Column:
+    return polyadd(a, F.transform(b, lambda x: -x))
+
+
+def polymul(a: Column, b: Column) -> Column:
+    """Coefficient k of the product sums those pairs whose places sum to k; empty if either is."""
+    n, m = F.size(a), F.size(b)
+
+    def cell(k: Column) -> Column:
+        places = F.sequence(F.greatest(F.lit(0), k - m + 1), F.least(k, n - 1))
+        return F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get(a, i).cast("double") * F.get(b, k - i).cast("double"))
+
+    return F.when((n > 0) & (m > 0), F.transform(F.sequence(F.lit(0), F.greatest(n + m - 2, F.lit(0))), cell)).otherwise(F.array().cast("array<double>"))
 
 
-def polyadd(a: list[float], b: list[float], sign: float = 1.0) -> list[float]:
-    n = max(len(a), len(b))
-    return [x + sign * y for x, y in zip([0.0] * (n - len(a)) + list(a), [0.0] * (n - len(b)) + list(b), strict=True)]
+def polyder(a: Column, m: int = 1) -> Column:
+    """The m-th derivative; that of a constant is the polynomial 0."""
+    for _ in range(m):
+        a = F.when(F.size(a) > 1, _derived(a)).otherwise(F.array(F.lit(0.0)))
+    return a
 
 
-def polymul(a: list[float], b: list[float]) -> list[float]:
-    return np.convolve(a, b).tolist()
+def _derived(a: Column) -> Column:
+    n = F.size(a)
+    return F.transform(F.slice(a, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, i: x.cast("double") * (n - 1 - i))
 
 
-def polyder(a: list[float], m: int = 1) -> list[float]:
-    return np.polyder(np.array(a, float), m).tolist() if m < len(a) else [0.0]
+def polyint(a: Column, m: int = 1, k: float = 0.0) -> Column:
+    """The m-th integral, k the constant of each."""
+    for _ in range(m):
+        a = _integrated(a, k)
+    return a
 
 
-def polyint(a: list[float], m: int = 1, k: float = 0.0) -> list[float]:
-    return np.polyint(np.array(a, float), m, k=[k] * m).tolist() if m else list(a)
+def _integrated(a: Column, k: float) -> Column:
+    n = F.size(a)
+    return F.array_append(F.transform(a, lambda x, i: x.cast("double") / (n - i)), F.lit(float(k)))
 
 
-def roots(a: list[float]) -> list[float]:
-    if a and a[0] == 0:
+def _real_roots(c) -> list[float] | None:  # noqa: ANN001
+    if c is None or not len(c):
+        return None if c is None else []
+    if c[0] == 0:
         raise SingularMatrix("leading coefficient is 0")
-    return sorted(np.roots(a).real.tolist(), reverse=True) if len(a) > 1 else []
+    return sorted(np.roots(np.asarray(c, float)).real.tolist(), reverse=True)
 
 
-def fft(series: DataFrame, inverse: bool = False) -> DataFrame:
-    """The transform of each series (key, idx, re, im), numbered from 0 without gaps; the inverse is scaled by 1 / n."""
+def roots(a: Column) -> Column:
+    """The real parts of the roots, largest first: eigenvalues of the companion matrix, row by row in the tasks."""
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("idx")
-        y = (np.fft.ifft if inverse else np.fft.fft)(g["re"].to_numpy() + 1j * g["im"].to_numpy())
-        return pd.DataFrame({"key": g["key"].to_numpy(), "idx": np.arange(len(y)), "re": y.real, "im": y.imag})
+    @F.pandas_udf("array<double>")
+    def each(rows: pd.Series) -> pd.Series:
+        return rows.map(_real_roots, na_action=None)
 
-    return series.groupBy("key").applyInPandas(one, "key long, idx long, re double, im double")
+    return each(a.cast("array<double>"))
 
 
-def fftn(cells: DataFrame, axes: list[str], inverse: bool = False) -> DataFrame:
-    """The transform of an array (axes, re, im) along each of two or more axes, a task per lane; no lane crosses tasks."""
-    f = np.fft.ifft if inverse else np.fft.fft
-    schema = ", ".join(f"{x} long" for x in axes) + ", re double, im double"
-    out = cells.select(*axes, "re", "im")
+# transforms: lanes are gathered in the JVM, and all lanes of one length in a batch are transformed at once
+
+#: Cells of a lane that is transformed in one piece.
+LANE = 1 << 14
+
+
+def _lanes(series: DataFrame, by: list[str], at: str, inverse: bool) -> DataFrame:
+    """The unscaled transform along `at` (0 to n - 1 without gaps) of each lane: columns by, at, re, im."""
+    lane = F.array_sort(F.collect_list(F.struct(at, F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))))
+    held = series.groupBy(*by).agg(lane.alias("lane")).select(*by, F.col("lane.re").alias("re"), F.col("lane.im").alias("im"))
+
+    def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.diff(b.column("re").offsets.to_numpy())
+            flat = b.column("re").flatten().to_numpy(zero_copy_only=False) + 1j * b.column("im").flatten().to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.cumsum(sizes)])
+            for n in np.unique(sizes):
+                own = np.flatnonzero(sizes == n)
+                x = flat[start[own][:, None] + np.arange(n)]
+                y = np.fft.ifft(x, axis=1) * n if inverse else np.fft.fft(x, axis=1)
+                offsets = np.arange(0, y.size + 1, n, dtype=np.int32)
+                kept = b.take(pa.array(own))
+                yield pa.RecordBatch.from_pydict({c: kept.column(c) for c in by} | {k: pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v).ravel())) for k, v in (("re", y.real), ("im", y.imag))})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.select(*by).schema)
+    out = held.mapInArrow(transformed, f"{kinds}{', ' if by else ''}re array<double>, im array<double>")
+    return out.select(*by, F.posexplode(F.arrays_zip("re", "im")).alias(at, "z")).select(*by, F.col(at).cast("long").alias(at), "z.re", "z.im")
 
-    def along(axis: str):  # noqa: ANN202
-        def lane(group: pd.DataFrame) -> pd.DataFrame:
-            g = group.sort_values(axis)
-            y = f(g["re"].to_numpy() + 1j * g["im"].to_numpy())
-            return g.assign(re=y.real, im=y.imag)
 
-        return lane
+def fft(series: DataFrame, inverse: bool = False, lane: int = LANE) -> DataFrame:
+    """The transform of each series (key, idx, re, im), numbered from 0 without gaps; the inverse is scaled by 1 / n.
 
+    A series of n = a b cells, more than `lane`, is laid out as a by b: lanes of a cells are transformed, turned by their twiddles, and
+    transformed again across, b cells each, so no task holds more than a lane.  a is the divisor of n next above its root; a
+    prime number of cells is one lane.
+    """
+    lengths = series.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = [r.n for r in lengths.where(F.col("n") > lane).select("n").distinct().collect()]  # lengths above `lane` that occur
+    cut = {n: next(a for a in range(math.isqrt(n - 1) + 1, n + 1) if n % a == 0) for n in sizes}
+    a = F.col("n").cast("long")
+    for n, k in cut.items():
+        a = F.when(F.col("n") == n, F.lit(k).cast("long")).otherwise(a)
+    known = lengths.withColumnRenamed("key", "key_").withColumn("a", a).withColumn("b", F.floor(F.col("n") / F.col("a")))
+    laid = series.join(known, series["key"].eqNullSafe(known.key_)).drop("key_").withColumns({"i": F.floor(F.col("idx") / F.col("b")), "j": F.col("idx") % F.col("b")})
+    first = _lanes(laid.select("key", "n", "a", "b", "j", "i", "re", "im"), ["key", "n", "a", "b", "j"], "i", inverse)
+    whole, more = first.where("b = 1"), first.where("b > 1")
+    out = whole.select("key", F.col("i").alias("idx"), "n", "re", "im")
+    if cut:
+        turn = (2 if inverse else -2) * np.pi * (F.col("i") * F.col("j") % F.col("n")) / F.col("n")
+        c, s = F.cos(turn), F.sin(turn)
+        turned = more.select("key", "n", "a", "b", "i", "j", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
+        across = _lanes(turned, ["key", "n", "a", "b", "i"], "j", inverse)
+        out = out.unionByName(across.select("key", (F.col("i") + F.col("a") * F.col("j")).alias("idx"), "n", "re", "im"))
+    scale = F.col("n") if inverse else F.lit(1.0)
+    return out.select("key", "idx", (F.col("re") / scale).alias("re"), (F.col("im") / scale).alias("im"))
+
+
+def fftn(cells: DataFrame, axes: list[str], inverse: bool = False) -> DataFrame:
+    """The transform of an array (axes, re, im) along each of two or more axes; a lane along an axis is the most that a task holds."""
+    out, n = cells.select(*axes, "re", "im"), F.lit(1.0)
     for axis in axes:
-        out = out.groupBy(*(x for x in axes if x != axis)).applyInPandas(along(axis), schema)
+        rest = [x for x in axes if x != axis]
+        out = _lanes(out, rest, axis, inverse).select(*axes, "re", "im")
+    if inverse:
+        n = math.prod(int(r) for r in cells.agg(*(F.max(x) + 1 for x in axes)).first())
+        out = out.select(*axes, *((F.col(c) / n).alias(c) for c in ("re", "im")))
     return out
 
 
 def dft(a: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
-    """The transform of vectors of n cells as a sum over an exploded frequency axis, all in Catalyst."""
-    k = a.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    turn = -2 * np.pi / n * F.pmod(F.col("k") * F.col("idx"), F.lit(n))
-    return k.groupBy(*(by or []), "k").agg(F.sum(v() * F.cos(turn)).alias("re"), F.sum(v() * F.sin(turn)).alias("im"))
+    """The transform of vectors of n cells by its definition, all in Catalyst: each lane is gathered once, and its n sums are taken within the row."""
+    by = by or []
+    lane = a.groupBy(*by).agg(F.collect_list(F.struct(F.col("idx").alias("idx"), v().alias("v"))).alias("lane"))
+
+    def part(f, k: Column) -> Column:  # noqa: ANN001
+        return F.aggregate("lane", F.lit(0.0), lambda s, x: s + x["v"] * f(-2 * np.pi / n * F.pmod(k * x["idx"], F.lit(n))))
+
+    waves = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda k: F.struct(k.alias("k"), part(F.cos, k).alias("re"), part(F.sin, k).alias("im")))
+    return lane.select(*by, F.inline(waves))
