@@ -76,6 +76,20 @@ def _qr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q * s, r * s[:, None]
 
 
+def small_determinant(cells: Column, n: int) -> Column:
+    """The determinant of a small matrix, an array of n rows, by its first row, within the row of Spark."""
+
+    def minor(rows: list[int], columns: list[int]) -> Column:
+        if not rows:
+            return F.lit(1.0)
+        out = F.lit(0.0)
+        for k, c in enumerate(columns):
+            out = out + (-1) ** k * cells[rows[0]][c].cast("double") * minor(rows[1:], columns[:k] + columns[k + 1 :])
+        return out
+
+    return minor(list(range(n)), list(range(n)))
+
+
 def _solve(x: np.ndarray, b: np.ndarray) -> np.ndarray:
     try:
         return np.linalg.solve(x, b)
@@ -247,15 +261,15 @@ def fft(series: DataFrame, inverse: bool = False, lane: int = LANE) -> DataFrame
     return out.select("key", "idx", (F.col("re") / scale).alias("re"), (F.col("im") / scale).alias("im"))
 
 
-def fftn(cells: DataFrame, axes: list[str], inverse: bool = False) -> DataFrame:
-    """The transform of an array (axes, re, im) along each of two or more axes; a lane along an axis is the most that a task holds."""
-    out, n = cells.select(*axes, "re", "im"), F.lit(1.0)
+def fftn(cells: DataFrame, axes: list[str], inverse: bool = False, by: list[str] | None = None) -> DataFrame:
+    """The transform of an array (axes, re, im), or of one for each value of `by`, along two or more axes; a lane along an axis is the most that a task holds."""
+    by = by or []
+    out = cells.select(*by, *axes, "re", "im")
     for axis in axes:
-        rest = [x for x in axes if x != axis]
-        out = _lanes(out, rest, axis, inverse).select(*axes, "re", "im")
+        out = _lanes(out, [*by, *(x for x in axes if x != axis)], axis, inverse).select(*by, *axes, "re", "im")
     if inverse:
         n = math.prod(int(r) for r in cells.agg(*(F.max(x) + 1 for x in axes)).first())
-        out = out.select(*axes, *((F.col(c) / n).alias(c) for c in ("re", "im")))
+        out = out.select(*by, *axes, *((F.col(c) / n).alias(c) for c in ("re", "im")))
     return out
 
 

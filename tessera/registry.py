@@ -5,14 +5,17 @@ Sums of floating-point numbers depend on the order of addition, so such results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sources
 from .functions import elementwise as ew
 from .operators import arrays as ar
-from .operators import create, graph, linalg
+from .operators import blocks, create, graph, linalg
+from .operators.order import shared_folder
 from .plans import Sequential, Sgd
 from .streaming import windowed
 
@@ -53,13 +56,18 @@ def _lanes(s: SparkSession, d: str) -> DataFrame:
 _LANES = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS v FROM events)"
 
 
-def _nation(s: SparkSession, d: str) -> DataFrame:
-    """A 5 by 5 matrix of region keys."""
-    key = _c("n_nationkey")
-    return _t(s, d, "nation").select(F.floor(key / 5).alias("i"), F.pmod(key, F.lit(5)).cast("long").alias("j"), (_c("n_regionkey") + key * 0.5).cast("double").alias("v"))
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings as a matrix of _n rows and 64 columns."""
+    cells = _t(s, d, "embeddings").select(_c("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    return cells.select("i", _c("j").cast("long").alias("j"), _c("v").cast("double").alias("v"))
 
 
-_NATION = "(SELECT CAST(floor(n_nationkey / 5) AS BIGINT) AS i, CAST(n_nationkey % 5 AS BIGINT) AS j, CAST(n_regionkey + n_nationkey * 0.5 AS DOUBLE) AS v FROM nation)"
+def _n(s: SparkSession, d: str) -> int:
+    return _t(s, d, "embeddings").count()
+
+
+_GRID = "(SELECT vec_id AS i, unnest(range(0, 64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+_ROWS = "(SELECT count(*) FROM embeddings)"
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(sum(x), 2) AS total, round(avg(x), 4) AS mean, round(var_pop(x), 2) AS variance, round(stddev_pop(x), 4) AS deviation
@@ -113,12 +121,16 @@ def elementwise_logic(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT vec_id, embedding[1]::DOUBLE AS re, embedding[2]::DOUBLE AS im, -embedding[2]::DOUBLE AS conj, round(atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE), 9) AS angle,
-round(sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2), 9) AS size, round(embedding[1]::DOUBLE ** 2 - embedding[2]::DOUBLE ** 2, 9) AS square FROM embeddings""")
+@query("""SELECT vec_id, k, re, im, -im AS conj, round(atan2(im, re), 9) AS angle, round(sqrt(re ** 2 + im ** 2), 9) AS size, round(re ** 2 - im ** 2, 9) AS square, re + re AS twice
+FROM (SELECT vec_id, k, embedding[2 * k + 1]::DOUBLE AS re, embedding[2 * k + 2]::DOUBLE AS im FROM embeddings, range(32) AS t(k))""")
 def complex_parts(s: SparkSession, d: str) -> DataFrame:
     c = _c("c")
-    rows = _t(s, d, "embeddings").select("vec_id", ew.complex_(_c("embedding")[0], _c("embedding")[1]).alias("c"))
-    return rows.select("vec_id", ew.real(c).alias("re"), ew.imag(c).alias("im"), ew.imag(ew.conj(c)).alias("conj"), F.round(ew.angle(c), 9).alias("angle"), F.round(ew.magnitude(c), 9).alias("size"), F.round(ew.real(ew.complex_mul(c, c)), 9).alias("square"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long")), lambda k: F.struct(k.alias("k"), ew.complex_(F.get("embedding", 2 * k), F.get("embedding", 2 * k + 1)).alias("c")))
+    rows = _t(s, d, "embeddings").select("vec_id", F.inline(pairs))
+    return rows.select(
+        "vec_id", "k", ew.real(c).alias("re"), ew.imag(c).alias("im"), ew.imag(ew.conj(c)).alias("conj"), F.round(ew.angle(c), 9).alias("angle"), F.round(ew.magnitude(c), 9).alias("size"),
+        F.round(ew.real(ew.complex_mul(c, c)), 9).alias("square"), ew.real(ew.complex_add(c, c)).alias("twice"),
+    )
 
 
 @query("""SELECT event_id, greatest(x, 0) AS relu, round(1 / (1 + exp(-x)), 9) AS sigmoid, round(tanh(x), 9) AS tanh, CASE WHEN x > 0 THEN x ELSE 0.01 * x END AS leaky, round(ln(1 + exp(x)), 9) AS softplus
@@ -141,14 +153,29 @@ def boolean_mask(s: SparkSession, d: str) -> DataFrame:
     return ar.boolean_mask(a, _c("v") > 200000, ["o_orderkey"])
 
 
-@query(f"""SELECT k.pos AS i, a.j, a.v FROM {_NATION} a JOIN (VALUES (0, 3), (1, 0), (2, 3)) AS k(pos, i) ON a.i = k.i""")
+@query(f"""SELECT k.pos AS i, a.j, a.v FROM {_GRID} a JOIN (VALUES (0, 3), (1, 0), (2, 3)) AS k(pos, i) ON a.i = k.i""")
 def take(s: SparkSession, d: str) -> DataFrame:
-    return ar.take(_nation(s, d), "i", [3, 0, 3], 5)
+    return ar.take(_grid(s, d), "i", [3, 0, 3], _n(s, d))
 
 
-@query(f"SELECT CAST((i - 1) / 2 AS BIGINT) AS i, j, v FROM {_NATION} WHERE i >= 1 AND i < 5 AND (i - 1) % 2 = 0")
+@query(f"SELECT CAST((i - 1) / 2 AS BIGINT) AS i, j, v FROM {_GRID} WHERE i >= 1 AND (i - 1) % 2 = 0")
 def slice_rows(s: SparkSession, d: str) -> DataFrame:
-    return ar.slice_(_nation(s, d), "i", 1, 5, 2)
+    return ar.slice_(_grid(s, d), "i", 1, _n(s, d), 2)
+
+
+@query(f"SELECT CAST(j // 3 AS BIGINT) AS j, v FROM {_GRID} WHERE i = 5 AND j % 3 = 0")
+def slices(s: SparkSession, d: str) -> DataFrame:
+    return ar.slices(_grid(s, d), ["i", "j"], (_n(s, d), 64), [5, (0, 999, 3)])
+
+
+@query(f"SELECT v FROM {_GRID} WHERE i = 7 AND j = 9")
+def get(s: SparkSession, d: str) -> DataFrame:
+    return ar.get(_grid(s, d), ["i", "j"], (_n(s, d), 64), (7, 9))
+
+
+@query(f"SELECT i, j, CASE WHEN i = 7 AND j = 9 THEN 2.5 ELSE v END AS v FROM {_GRID}")
+def set_cell(s: SparkSession, d: str) -> DataFrame:
+    return ar.set_(_grid(s, d), ["i", "j"], (_n(s, d), 64), (7, 9), 2.5)
 
 
 @query("SELECT event_id AS idx FROM events WHERE value > 90")
@@ -196,6 +223,11 @@ def argmax(s: SparkSession, d: str) -> DataFrame:
     return ar.argmax(_prices(s, d), "idx", ["lane"])
 
 
+@query(f"SELECT CAST(0 AS BIGINT) AS i, j, round(sum(v), 6) AS sum, round(avg(v), 6) AS mean FROM {_GRID} GROUP BY j")
+def reduce_keeping_the_axis(s: SparkSession, d: str) -> DataFrame:
+    return ar.reduce_(_grid(s, d), ["sum", "mean"], ["j"], keep=["i"]).select("i", "j", F.round("sum", 6).alias("sum"), F.round("mean", 6).alias("mean"))
+
+
 @query("SELECT lane, arg_min(idx, struct_pack(a := v, b := idx)) AS argmin FROM (SELECT o_orderkey AS idx, o_custkey AS lane, o_totalprice AS v FROM orders) GROUP BY lane")
 def argmin(s: SparkSession, d: str) -> DataFrame:
     return ar.argmin(_prices(s, d), "idx", ["lane"])
@@ -276,66 +308,99 @@ def gradient(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT user_id, idx + j AS idx, round(sum(v * x), 6) AS v FROM {_LANES}, (VALUES (0, 1.0), (1, 2.0), (2, 0.5)) AS k(j, x) GROUP BY user_id, idx + j")
 def convolve(s: SparkSession, d: str) -> DataFrame:
-    return ar.convolve(_lanes(s, d), [1.0, 2.0, 0.5], 10**9, by=["user_id"]).select("user_id", "idx", F.round("v", 6).alias("v"))
+    return ar.convolve(_lanes(s, d), [1.0, 2.0, 0.5], by=["user_id"]).select("user_id", "idx", F.round("v", 6).alias("v"))
 
 
 @query(f"SELECT user_id, idx + j AS idx, round(sum(v * x), 6) AS v FROM {_LANES}, (VALUES (0, 0.5), (1, 2.0), (2, 1.0)) AS k(j, x) GROUP BY user_id, idx + j")
 def correlate(s: SparkSession, d: str) -> DataFrame:
-    return ar.correlate(_lanes(s, d), [1.0, 2.0, 0.5], 10**9, by=["user_id"]).select("user_id", "idx", F.round("v", 6).alias("v"))
+    return ar.correlate(_lanes(s, d), [1.0, 2.0, 0.5], by=["user_id"]).select("user_id", "idx", F.round("v", 6).alias("v"))
 
 
 @query("""SELECT event_id, round(CASE WHEN value < 10 THEN 0.0 WHEN value > 90 THEN 5.0 WHEN value < 50 THEN (value - 10) * 20.0 / 40 ELSE 20.0 + (value - 50) * -15.0 / 40 END, 9) AS linear,
-CASE WHEN value < 10 THEN 0.0 WHEN value > 90 THEN 5.0 WHEN value < 50 THEN CASE WHEN value - 10 <= 50 - value THEN 0.0 ELSE 20.0 END ELSE CASE WHEN value - 50 <= 90 - value THEN 20.0 ELSE 5.0 END END AS nearest FROM events""")
+CASE WHEN value < 10 THEN 0.0 WHEN value > 90 THEN 5.0 WHEN value < 50 THEN CASE WHEN value - 10 <= 50 - value THEN 0.0 ELSE 20.0 END ELSE CASE WHEN value - 50 <= 90 - value THEN 20.0 ELSE 5.0 END END AS nearest,
+round(CASE WHEN value < 10 OR value > 90 THEN -1.0 WHEN value < 50 THEN (value - 10) * 20.0 / 40 ELSE 20.0 + (value - 50) * -15.0 / 40 END, 9) AS filled,
+round(CASE WHEN value < 50 THEN (value - 10) * 20.0 / 40 ELSE 20.0 + (value - 50) * -15.0 / 40 END, 9) AS onward FROM events""")
 def interp1d(s: SparkSession, d: str) -> DataFrame:
-    knots = [(10, 0), (50, 20), (90, 5)]
-    return _t(s, d, "events").select("event_id", F.round(ar.interp1d(knots, _c("value")), 9).alias("linear"), ar.interp1d(knots, _c("value"), "nearest").alias("nearest"))
+    knots, x = [(10, 0), (50, 20), (90, 5)], _c("value")
+    return _t(s, d, "events").select(
+        "event_id", F.round(ar.interp1d(knots, x), 9).alias("linear"), ar.interp1d(knots, x, "nearest").alias("nearest"), F.round(ar.interp1d(knots, x, "linear", "fill", -1.0), 9).alias("filled"),
+        F.round(ar.interp1d(knots, x, "linear", "extrapolate"), 9).alias("onward"),
+    )
+
 
+def _ends(mode: str) -> str:
+    first = "greatest(0, (n + 2 - greatest(n, 3)) // 2)" if mode == "same" else "(least(n, 3) - 1)"
+    keep = f"p >= {first} AND p < {first} + " + ("greatest(n, 3)" if mode == "same" else "greatest(n, 3) - least(n, 3) + 1")
+    return f"""WITH l AS (SELECT *, max(idx) OVER (PARTITION BY user_id) + 1 AS n FROM {_LANES}),
+f AS (SELECT user_id, any_value(n) AS n, idx + j AS p, sum(v * x) AS v FROM l, (VALUES (0, 1.0), (1, 2.0), (2, 0.5)) AS k(j, x) GROUP BY user_id, idx + j)
+SELECT user_id, CAST(p - {first} AS BIGINT) AS idx, round(v, 6) AS v FROM f WHERE {keep}"""
 
-@query(f"SELECT i, j, v / 2 AS v FROM {_NATION} UNION ALL SELECT i + 5, j, v FROM {_NATION}")
+
+@query(_ends("same"))
+def convolve_same(s: SparkSession, d: str) -> DataFrame:
+    return ar.convolve(_lanes(s, d), [1.0, 2.0, 0.5], mode="same", by=["user_id"]).select("user_id", "idx", F.round("v", 6).alias("v"))
+
+
+@query(_ends("valid"))
+def convolve_valid(s: SparkSession, d: str) -> DataFrame:
+    return ar.convolve(_lanes(s, d), [1.0, 2.0, 0.5], mode="valid", by=["user_id"]).select("user_id", "idx", F.round("v", 6).alias("v"))
+
+
+@query(f"SELECT i, j, v / 2 AS v FROM {_GRID} UNION ALL SELECT i + {_ROWS}, j, v FROM {_GRID}")
 def concatenate(s: SparkSession, d: str) -> DataFrame:
-    a = _nation(s, d)
-    return ar.concatenate([(a.withColumn("v", _c("v") / 2), 5), (a, 5)], "i")
+    a, n = _grid(s, d), _n(s, d)
+    return ar.concatenate([(a.withColumn("v", _c("v") / 2), n), (a, n)], "i")
 
 
-@query(f"SELECT i, j, v, 0 AS k FROM {_NATION} UNION ALL SELECT i, j, v, 1 FROM {_NATION}")
+@query(f"SELECT i, j, v, 0 AS k FROM {_GRID} UNION ALL SELECT i, j, v, 1 FROM {_GRID}")
 def stack(s: SparkSession, d: str) -> DataFrame:
-    return ar.stack([_nation(s, d)] * 2, "k")
+    return ar.stack([_grid(s, d)] * 2, "k")
 
 
-@query(f"SELECT i, j + 5 * r AS j, v FROM {_NATION}, range(3) AS t(r)")
+@query(f"SELECT i, j + 64 * r AS j, v FROM {_GRID}, range(3) AS t(r)")
 def tile(s: SparkSession, d: str) -> DataFrame:
-    return ar.tile(_nation(s, d), "j", 5, 3)
+    return ar.tile(_grid(s, d), "j", 64, 3)
 
 
-@query(f"SELECT i, j * 3 + r AS j, v FROM {_NATION}, range(3) AS t(r)")
+@query(f"SELECT i, j * 3 + r AS j, v FROM {_GRID}, range(3) AS t(r)")
 def repeat(s: SparkSession, d: str) -> DataFrame:
-    return ar.repeat(_nation(s, d), "j", 3)
+    return ar.repeat(_grid(s, d), "j", 3)
 
 
-@query(f"SELECT 4 - i AS i, (j + 3) % 5 AS j, v FROM {_NATION}")
+@query(f"SELECT {_ROWS} - 1 - i AS i, (j + 62) % 64 AS j, v FROM {_GRID}")
 def flip_and_roll(s: SparkSession, d: str) -> DataFrame:
-    return ar.roll(ar.flip(_nation(s, d), "i", 5), "j", 5, -2)
+    return ar.roll(ar.flip(_grid(s, d), "i", _n(s, d)), "j", 64, -2)
 
 
-@query(f"SELECT i * 5 + j AS idx, v FROM {_NATION}")
+@query(f"SELECT i * 64 + j AS idx, v FROM {_GRID}")
 def flatten(s: SparkSession, d: str) -> DataFrame:
-    return ar.flatten(_nation(s, d), ["i", "j"], (5, 5))
+    return ar.flatten(_grid(s, d), ["i", "j"], (_n(s, d), 64))
+
 
+@query(f"SELECT i, j, CAST(0 AS BIGINT) AS k, v FROM {_GRID}")
+def expand_dims(s: SparkSession, d: str) -> DataFrame:
+    return ar.expand_dims(_grid(s, d), "k").select("i", "j", "k", "v")
 
-@query(f"SELECT j AS i, i AS j, v FROM {_NATION}")
+
+@query(f"SELECT i, j, v FROM {_GRID}")
+def squeeze(s: SparkSession, d: str) -> DataFrame:
+    return ar.squeeze(ar.expand_dims(_grid(s, d), "k"), "k")
+
+
+@query(f"SELECT j AS i, i AS j, v FROM {_GRID}")
 def transpose(s: SparkSession, d: str) -> DataFrame:
-    return ar.permute(_nation(s, d), ["i", "j"], ["j", "i"])
+    return ar.permute(_grid(s, d), ["i", "j"], ["j", "i"])
 
 
-@query(f"SELECT row_number() OVER (ORDER BY i, j) - 1 AS idx, v FROM {_NATION} WHERE i * 5 + j NOT IN (1, 7, 24)")
+@query(f"SELECT row_number() OVER (ORDER BY i, j) - 1 AS idx, v FROM {_GRID} WHERE i * 64 + j NOT IN (1, 7, 24)")
 def delete(s: SparkSession, d: str) -> DataFrame:
-    return ar.delete(ar.flatten(_nation(s, d), ["i", "j"], (5, 5)), [7, 1, 1, 24, 99])
+    return ar.delete(ar.flatten(_grid(s, d), ["i", "j"], (_n(s, d), 64)), [7, 1, 1, 24, 10**12])
 
 
-@query(f"SELECT a.i, a.j, a.v - m.v AS v FROM {_NATION} a JOIN (SELECT j, avg(v) AS v FROM {_NATION} GROUP BY j) m USING (j)")
+@query(f"SELECT a.i, a.j, round(a.v - m.v, 7) + 0.0 AS v FROM {_GRID} a JOIN (SELECT j, avg(v) AS v FROM {_GRID} GROUP BY j) m USING (j)")
 def broadcast_subtract(s: SparkSession, d: str) -> DataFrame:
-    a = _nation(s, d)
-    return ar.broadcast_binary(a, ar.reduce_(a, ["mean"], ["j"]).withColumnRenamed("mean", "v"), ["j"], ew.sub)
+    a = _grid(s, d)
+    return ar.broadcast_binary(a, ar.reduce_(a, ["mean"], ["j"]).withColumnRenamed("mean", "v"), ["j"], ew.sub).withColumn("v", F.round("v", 7) + 0.0)
 
 
 @query("SELECT i, round(i * 0.25 - 1, 9) AS a, round(i * 0.01, 9) AS l FROM range(100) AS t(i)")
@@ -349,6 +414,58 @@ def full(s: SparkSession, d: str) -> DataFrame:
     return create.full(s, (3, 4), 2.5)
 
 
+@query("SELECT i, CAST(i // 4 AS BIGINT) AS i0, CAST(i % 4 AS BIGINT) AS i1, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one, CASE WHEN i // 4 = i % 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS eye FROM range(16) AS t(i)")
+def constants(s: SparkSession, d: str) -> DataFrame:
+    zero, one, eye = create.zeros(s, (4, 4)).withColumnRenamed("v", "zero"), create.ones(s, (4, 4)).withColumnRenamed("v", "one"), create.eye(s, 4).select(_c("i").alias("i0"), _c("j").alias("i1"), _c("v").alias("eye"))
+    both = zero.join(one, ["i0", "i1"]).join(eye, ["i0", "i1"], "left")
+    return both.select((_c("i0") * 4 + _c("i1")).alias("i"), "i0", "i1", "zero", "one", F.coalesce("eye", F.lit(0.0)).alias("eye"))
+
+
+@query(f"SELECT count(*) AS n, count(DISTINCT i) AS rows, round(sum(v), 5) AS total FROM {_GRID}")
+def shuffle_rows(s: SparkSession, d: str) -> DataFrame:
+    a = create.shuffle(_grid(s, d), "i", _n(s, d), 42)
+    return a.agg(F.count("*").alias("n"), F.count_distinct("i").alias("rows"), F.round(F.sum("v"), 5).alias("total"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS wrong, CAST(100 AS BIGINT) AS n")
+def choice(s: SparkSession, d: str) -> DataFrame:
+    prices = _prices(s, d).select("idx", "v")
+    drawn = create.choice(prices, 50, 42).unionByName(create.choice(prices.select((F.row_number().over(_by_key()) - 1).cast("long").alias("idx"), "v"), 50, 42, replace=True))
+    return drawn.join(prices.select(_c("v").alias("p")).distinct(), _c("v") == _c("p"), "left").agg(F.count_if(_c("p").isNull()).alias("wrong"), F.count("*").alias("n"))
+
+
+def _by_key() -> Window:
+    return Window.orderBy("idx")
+
+
+@query("""SELECT p_partkey, p_size || ',1' AS pushed, CAST(p_size AS VARCHAR) AS popped, '2,' || p_size AS front, p_size AS last, CASE WHEN p_size = 3 THEN '4' ELSE p_size || ',4' END AS removed FROM part""")
+def list_columns(s: SparkSession, d: str) -> DataFrame:
+    one, n = F.array("p_size"), lambda k: F.lit(k).cast("int")
+    two = graph.push(one, n(1))
+    lists = {"pushed": two, "popped": graph.pop(two), "front": graph.prepend(one, n(2)), "removed": graph.remove_first(graph.push(one, n(4)), n(3))}
+    return _t(s, d, "part").select("p_partkey", graph.peek(one).alias("last"), *(F.array_join(F.transform(a, lambda x: x.cast("string")), ",").alias(k) for k, a in lists.items()))
+
+
+def _folder(s: SparkSession) -> str:
+    return f"{shared_folder(s)}/arrays-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey::DOUBLE AS c0, c_acctbal AS c1 FROM customer")
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "customer").select(_c("c_custkey").alias("i"), F.posexplode(F.array(_c("c_custkey").cast("double"), "c_acctbal")).alias("j", "v"))
+    path = _folder(s)
+    sources.write_csv(rows, path, 2)
+    return sources.read_csv(s, path, 2)
+
+
+@query(f"SELECT i, j, v FROM {_GRID}")
+def save_round_trip(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    sources.save(_grid(s, d), path, (_n(s, d), 64))
+    a, shape = sources.load(s, path)
+    return ar.slices(a, ["i", "j"], shape, [None, None])
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 9) AS dot FROM embeddings")
 def dot(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "embeddings").select("vec_id", F.round(linalg.dot(_c("embedding"), _c("embedding")), 9).alias("dot"))
@@ -360,37 +477,37 @@ def gram(s: SparkSession, d: str) -> DataFrame:
     return linalg.gram(_t(s, d, "embeddings"), "embedding", 64).select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query(f"SELECT a.i, b.j, round(sum(a.v * b.v), 6) AS v FROM {_NATION} a JOIN {_NATION} b ON a.j = b.i GROUP BY a.i, b.j")
+@query(f"SELECT a.j AS i, b.j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM {_GRID} a JOIN {_GRID} b USING (i) GROUP BY a.j, b.j")
 def matmul(s: SparkSession, d: str) -> DataFrame:
-    return linalg.matmul(_nation(s, d), _nation(s, d)).select("i", "j", F.round("v", 6).alias("v"))
+    a = _grid(s, d)
+    return linalg.matmul(ar.permute(a, ["i", "j"], ["j", "i"]), a).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query(f"SELECT round(sqrt(sum(v * v)), 9) AS norm, sum(CASE WHEN i = j THEN v END) AS trace FROM {_NATION}")
+@query(f"SELECT round(sqrt(sum(v * v)), 6) AS norm, round(sum(CASE WHEN i = j THEN v END), 6) AS trace FROM {_GRID}")
 def norm_and_trace(s: SparkSession, d: str) -> DataFrame:
-    return linalg.norm(_nation(s, d)).select(F.round("norm", 9).alias("norm")).crossJoin(F.broadcast(linalg.trace(_nation(s, d))))
+    a = _grid(s, d)
+    return linalg.norm(a).select(F.round("norm", 6).alias("norm")).crossJoin(F.broadcast(linalg.trace(a).select(F.round("trace", 6).alias("trace"))))  # one row each
 
 
-@query(f"SELECT i, count(*) AS n FROM {_NATION} WHERE v <> 0 GROUP BY i")
+@query(f"SELECT i, count(*) AS n FROM {_GRID} WHERE v <> 0 GROUP BY i")
 def sparse_rows(s: SparkSession, d: str) -> DataFrame:
-    return linalg.row_pointers(_nation(s, d), 5)
+    return linalg.row_pointers(_grid(s, d), _n(s, d))
 
 
-@query(f"SELECT i, j, CASE WHEN v > 5 THEN v ELSE 0.0 END AS v FROM {_NATION}")
+@query(f"SELECT i, j, CASE WHEN v > 0.1 THEN v ELSE 0.0 END AS v FROM {_GRID}")
 def sparse_round_trip(s: SparkSession, d: str) -> DataFrame:
-    return linalg.to_dense(linalg.from_dense(_nation(s, d).where("v > 5")), 5, 5)
+    return linalg.to_dense(linalg.from_dense(_grid(s, d).where("v > 0.1")), _n(s, d), 64)
 
 
-@query("SELECT event_id, round(((3 * x + 2) * x + 1) * x - 4, 9) AS p, round((9 * x + 4) * x + 1, 9) AS derivative FROM (SELECT event_id, value / 100 AS x FROM events)")
+@query("SELECT event_id, round(((3 * x + 2) * x + 1) * x - 4, 9) AS p FROM (SELECT event_id, value / 100 AS x FROM events)")
 def polyval(s: SparkSession, d: str) -> DataFrame:
-    p, x = [3.0, 2.0, 1.0, -4.0], _c("x")
-    return _t(s, d, "events").select("event_id", (_c("value") / 100).alias("x")).select("event_id", F.round(ew.polyval(p, x), 9).alias("p"), F.round(ew.polyval(linalg.polyder(p), x), 9).alias("derivative"))
+    return _t(s, d, "events").select("event_id", (_c("value") / 100).alias("x")).select("event_id", F.round(ew.polyval([3.0, 2.0, 1.0, -4.0], _c("x")), 9).alias("p"))
 
 
-@query("""SELECT k, round(sum(v * cos(-2 * pi() * k * idx / 25)), 6) + 0.0 AS re, round(sum(v * sin(-2 * pi() * k * idx / 25)), 6) + 0.0 AS im
-FROM (SELECT CAST(n_nationkey AS BIGINT) AS idx, CAST(n_regionkey AS DOUBLE) AS v FROM nation), range(25) AS t(k) GROUP BY k""")
+@query(f"""SELECT i, k, round(sum(v * cos(-2 * pi() * (k * j % 64) / 64)), 6) + 0.0 AS re, round(sum(v * sin(-2 * pi() * (k * j % 64) / 64)), 6) + 0.0 AS im FROM {_GRID}, range(64) AS t(k) GROUP BY i, k""")
 def dft(s: SparkSession, d: str) -> DataFrame:
-    a = _t(s, d, "nation").select(_c("n_nationkey").cast("long").alias("idx"), _c("n_regionkey").cast("double").alias("v"))
-    return linalg.dft(a, 25).select("k", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+    a = _grid(s, d).withColumnRenamed("j", "idx")
+    return linalg.dft(a, 64, ["i"]).select("i", "k", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
 @query("""SELECT user_id, event_id, round(exp(value / 100 - m) / sum(exp(value / 100 - m)) OVER (PARTITION BY user_id), 9) AS v
@@ -399,6 +516,18 @@ def softmax(s: SparkSession, d: str) -> DataFrame:
     return ar.softmax(_t(s, d, "events").select("user_id", "event_id", (_c("value") / 100).alias("v")), ["user_id"]).select("user_id", "event_id", F.round("v", 9).alias("v"))
 
 
+@query("SELECT event_id, round(exp(value / 100) / (SELECT sum(exp(value / 100)) FROM events) * 1e6, 6) AS v FROM events")
+def softmax_whole(s: SparkSession, d: str) -> DataFrame:
+    return ar.softmax(_t(s, d, "events").select("event_id", (_c("value") / 100).alias("v"))).select("event_id", F.round(_c("v") * 1e6, 6).alias("v"))
+
+
+@query("SELECT round(avg(-ln(CASE WHEN toxic = 1 THEN 0.1 + 0.5 * quality ELSE 0.9 - 0.5 * quality END)), 9) AS cce FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL")
+def class_loss(s: SparkSession, d: str) -> DataFrame:
+    p, y = 0.1 + 0.5 * _c("quality"), _c("toxic").cast("double")
+    rows = _t(s, d, "labels").where("toxic is not null and quality is not null").select(F.array(y, 1 - y).alias("y"), F.array(p, 1 - p).alias("p"))
+    return rows.agg(F.round(ar.loss("cce"), 9).alias("cce"))
+
+
 @query("""SELECT round(avg((y - p) ** 2), 9) AS mse, round(avg(abs(y - p)), 9) AS mae, round(avg(greatest(0, 1 - y * p)), 9) AS hinge, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 9) AS bce
 FROM (SELECT *, least(greatest(p, 1e-7), 1 - 1e-7) AS q FROM (SELECT CAST(toxic AS DOUBLE) AS y, 0.1 + 0.5 * quality AS p FROM labels))""")
 def losses(s: SparkSession, d: str) -> DataFrame:
@@ -459,152 +588,203 @@ def permutation(s: SparkSession, d: str) -> DataFrame:
     return create.permutation(s, 1000, 42)
 
 
-def _square(s: SparkSession, d: str) -> DataFrame:
-    return _nation(s, d).select(F.lit(0).cast("long").alias("m"), "i", "j", (_c("v") + F.when(_c("i") == _c("j"), 20.0).otherwise(0.0)).alias("v"))
+#: Rows and columns of a block of the square matrices here, of 64 by 64.
+_B = 32
 
 
-def _dense(kernel: str, symmetric: bool = False) -> None:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        a = _square(s, d)
-        if symmetric:
-            a = a.unionByName(a.select("m", _c("j").alias("i"), _c("i").alias("j"), "v")).groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
-        return linalg.dense(a, kernel, 5, 5)
+def _cells_rounded(a: DataFrame, places: int = 6) -> DataFrame:
+    return a.select("i", "j", (F.round("v", places) + 0.0).alias("v"))
 
-    run.__name__ = f"linalg_{kernel}"
-    query()(run)
 
+def _products(s: SparkSession, d: str) -> DataFrame:
+    """The 64 by 64 inner products of the columns of the embeddings."""
+    return linalg.gram(_t(s, d, "embeddings"), "embedding", 64)
 
-for _kernel, _symmetric in {"inverse": False, "determinant": False, "qr": False, "lu": False, "svd": False, "eigvals": False, "cholesky": True, "eig": True}.items():
-    _dense(_kernel, _symmetric)
 
+_PRODUCTS = f"SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 4) + 0.0 AS v FROM {_GRID} a JOIN {_GRID} b USING (i) GROUP BY a.j, b.j"
+_UNIT = "SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(64) AS a(i), range(64) AS b(i)"
 
-@query()
+
+def _mean(s: SparkSession, d: str) -> DataFrame:
+    return ar.reduce_(_grid(s, d), ["mean"], ["j"]).select("j", _c("mean").alias("u"))
+
+
+def _near_unit(s: SparkSession, d: str) -> DataFrame:
+    """The unit matrix and the product of the mean vector u with itself, I + u u'."""
+    u, zero = _mean(s, d), F.lit(0).cast("long")
+    product = linalg.matmul(u.select(_c("j").alias("i"), zero.alias("j"), _c("u").alias("v")), u.select(zero.alias("i"), "j", _c("u").alias("v")))
+    return product.unionByName(create.eye(s, 64)).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+_U = f"WITH u AS (SELECT j, avg(v) AS u FROM {_GRID} GROUP BY j), s AS (SELECT sum(u * u) AS s FROM u)"
+
+
+@query(f"{_U} SELECT a.j AS i, b.j AS j, round(CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END - a.u * b.u / (1 + s), 9) + 0.0 AS v FROM u a, u b, s")
+def linalg_inverse(s: SparkSession, d: str) -> DataFrame:
+    return _cells_rounded(blocks.inverse(_near_unit(s, d), 64, _B), 9)
+
+
+@query(f"{_U} SELECT round(1 + s, 9) AS determinant FROM s")
+def linalg_determinant(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(blocks.determinant(_near_unit(s, d), 64, _B),)], "x double").select(F.round("x", 9).alias("determinant"))
+
+
+@query(f"{_U}, y AS (SELECT j, k, u * j + k AS y FROM u, range(2) AS t(k)), p AS (SELECT k, sum(u.u * y) AS p FROM y JOIN u USING (j) GROUP BY k) SELECT j AS i, k AS j, round(y - u * p / (1 + s), 7) + 0.0 AS v FROM y JOIN u USING (j) JOIN p USING (k), s")
 def linalg_solve(s: SparkSession, d: str) -> DataFrame:
-    a = _square(s, d)
-    return linalg.solve(a, a.groupBy("m", "i").agg(F.sum("v").alias("v")), 5)
+    right = _mean(s, d).withColumn("k", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    right = right.select(_c("j").alias("i"), _c("k").alias("j"), (_c("u") * _c("j") + _c("k")).alias("v"))
+    return _cells_rounded(blocks.solve(_near_unit(s, d), right, 64, _B), 7)
 
 
-def _series(s: SparkSession, d: str) -> DataFrame:
-    return _lanes(s, d).select(_c("user_id").alias("key"), "idx", _c("v").alias("re"), F.lit(0.0).alias("im"))
+@query(f"{_PRODUCTS}")
+def lu_product(s: SparkSession, d: str) -> DataFrame:
+    return _cells_rounded(linalg.matmul(*blocks.lu(_products(s, d), 64, _B)), 4)
 
 
-def _wave(*columns: str) -> list[F.Column]:
-    return [*columns, *((F.round(x, 6) + 0.0).alias(x) for x in ("re", "im"))]
+@query(f"{_PRODUCTS}")
+def cholesky_product(s: SparkSession, d: str) -> DataFrame:
+    low = blocks.cholesky(_products(s, d), 64, _B)
+    return _cells_rounded(linalg.matmul(low, ar.permute(low, ["i", "j"], ["j", "i"])), 4)
 
 
-@query(f"""WITH a AS (SELECT user_id AS key, idx, v, count(*) OVER (PARTITION BY user_id) AS n FROM {_LANES})
-SELECT b.key, b.idx, round(sum(a.v * cos(-2 * pi() * (a.idx * b.idx % a.n) / a.n)), 6) + 0.0 AS re, round(sum(a.v * sin(-2 * pi() * (a.idx * b.idx % a.n) / a.n)), 6) + 0.0 AS im FROM a JOIN a b USING (key) GROUP BY b.key, b.idx""")
-def fft(s: SparkSession, d: str) -> DataFrame:
-    return linalg.fft(_series(s, d)).select(*_wave("key", "idx"))
+@query(_UNIT)
+def inverse_product(s: SparkSession, d: str) -> DataFrame:
+    a = _products(s, d)
+    return _cells_rounded(linalg.matmul(a, blocks.inverse(a, 64, _B)))
 
 
-@query(f"SELECT user_id AS key, idx, round(v, 6) AS re, 0.0::DOUBLE AS im FROM {_LANES}")
-def fft_round_trip(s: SparkSession, d: str) -> DataFrame:
-    return linalg.fft(linalg.fft(_series(s, d)), inverse=True).select(*_wave("key", "idx"))
+@query(_UNIT)
+def linalg_qr(s: SparkSession, d: str) -> DataFrame:
+    """The columns of Q are of length 1 and at right angles."""
+    q, _ = blocks.tall_qr(_t(s, d, "embeddings"), "embedding", 64)
+    return _cells_rounded(linalg.gram(q, "q", 64))
 
 
-def _waves(s: SparkSession, d: str) -> DataFrame:
-    return _nation(s, d).select("i", "j", _c("v").alias("re"), (_c("v") / 2).alias("im"))
+def _as_grid(rows: DataFrame, array: str) -> DataFrame:
+    return rows.select(_c("vec_id").alias("i"), F.posexplode(array).alias("j", "v")).select("i", _c("j").cast("long").alias("j"), (F.round("v", 5) + 0.0).alias("v"))
 
 
-@query(f"""SELECT k AS i, l AS j, round(sum(v * cos(t) - v / 2 * sin(t)), 6) + 0.0 AS re, round(sum(v * sin(t) + v / 2 * cos(t)), 6) + 0.0 AS im
-FROM (SELECT k, l, v, -2 * pi() * ((i * k + j * l) % 5) / 5 AS t FROM {_NATION}, range(5) AS x(k), range(5) AS y(l)) GROUP BY k, l""")
-def fft2(s: SparkSession, d: str) -> DataFrame:
-    return linalg.fftn(_waves(s, d), ["i", "j"]).select(*_wave("i", "j"))
+@query(f"SELECT i, j, round(v, 5) + 0.0 AS v FROM {_GRID}")
+def qr_product(s: SparkSession, d: str) -> DataFrame:
+    q, r = blocks.tall_qr(_t(s, d, "embeddings"), "embedding", 64)
+    return _as_grid(blocks.times(q, "q", r, "back"), "back")
 
 
-@query(f"SELECT i, j, round(v, 6) AS re, round(v / 2, 6) AS im FROM {_NATION}")
-def fft2_round_trip(s: SparkSession, d: str) -> DataFrame:
-    return linalg.fftn(linalg.fftn(_waves(s, d), ["i", "j"]), ["i", "j"], inverse=True).select(*_wave("i", "j"))
+@query(f"SELECT i, j, round(v, 5) + 0.0 AS v FROM {_GRID}")
+def svd_product(s: SparkSession, d: str) -> DataFrame:
+    u, sizes, vt = blocks.tall_svd(_t(s, d, "embeddings"), "embedding", 64)
+    return _as_grid(blocks.times(u, "u", sizes[:, None] * vt, "back"), "back")
+
 
+@query(f"SELECT CAST(64 AS BIGINT) AS n, round(sum(v * v), 4) AS squares FROM {_GRID}")
+def linalg_svd(s: SparkSession, d: str) -> DataFrame:
+    _, sizes, _ = blocks.tall_svd(_t(s, d, "embeddings"), "embedding", 64)
+    return s.createDataFrame([(float(x),) for x in sizes], "x double").agg(F.count("*").alias("n"), F.round(F.sum(_c("x") * _c("x")), 4).alias("squares"))
 
-def _part(x: DataFrame, part: str) -> DataFrame:
-    return x.where(_c("part") == part).select("i", "j", "v")
 
+@query(_PRODUCTS)
+def eig_product(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "embeddings")
+    w, v = blocks.axes_of(rows, "embedding", 64)
+    return _cells_rounded(linalg.matmul(blocks.as_cells(rows, v * w), blocks.as_cells(rows, v.T)), 4)
 
-_SQUARE = f"(SELECT i, j, v + CASE WHEN i = j THEN 20 ELSE 0 END AS v FROM {_NATION})"
-_SYMMETRIC = f"(SELECT a.i, a.j, a.v + b.v AS v FROM {_SQUARE} a JOIN {_SQUARE} b ON a.i = b.j AND a.j = b.i)"
 
+@query(f"SELECT round(sum(v * v), 4) AS total FROM {_GRID}")
+def eigvals_sum(s: SparkSession, d: str) -> DataFrame:
+    w, _ = blocks.axes_of(_t(s, d, "embeddings"), "embedding", 64)
+    return s.createDataFrame([(float(x),) for x in w], "x double").agg(F.round(F.sum("x"), 4).alias("total"))
+
+
+@query("SELECT count(*) AS n, round(sum(x * y), 2) AS xy, round(sum(x * x), 2) AS xx FROM (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem)")
+def least_squares(s: SparkSession, d: str) -> DataFrame:
+    """The slope times the squares gives the products back."""
+    rows = _t(s, d, "lineitem").select(F.array("l_quantity").alias("x"), _c("l_extendedprice").alias("y"))
+    slope = float(blocks.least_squares(rows, "x", "y", 1)[0])
+    sums = rows.agg(F.count("*").alias("n"), F.sum(_c("x")[0] * _c("x")[0]).alias("xx"))
+    return sums.select("n", F.round(_c("xx") * slope, 2).alias("xy"), F.round("xx", 2).alias("xx"))
+
+
+def _series(s: SparkSession, d: str) -> DataFrame:
+    return _lanes(s, d).select(_c("user_id").alias("key"), "idx", _c("v").alias("re"), F.lit(0.0).alias("im"))
 
-def _product(kernel: str, of, symmetric: bool = False, sql: str = "") -> None:  # noqa: ANN001
-    """Factors multiplied back give the matrix."""
 
-    def run(s: SparkSession, d: str) -> DataFrame:
-        from .operators.order import fixed
+def _wave(*columns: str) -> list[F.Column]:
+    return [*columns, *((F.round(x, 6) + 0.0).alias(x) for x in ("re", "im"))]
 
-        parts = fixed(QUERIES[f"linalg_{kernel}"](s, d))
-        return of(parts, _square(s, d).drop("m")).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
-    run.__name__ = f"{kernel}_product"
-    query(sql or f"SELECT i, j, round(v, 6) + 0.0 AS v FROM {_SYMMETRIC if symmetric else _SQUARE}")(run)
+@query(f"""WITH a AS (SELECT user_id AS key, idx, v, count(*) OVER (PARTITION BY user_id) AS n FROM {_LANES})
+SELECT b.key, b.idx, round(sum(a.v * cos(-2 * pi() * (a.idx * b.idx % a.n) / a.n)), 6) + 0.0 AS re, round(sum(a.v * sin(-2 * pi() * (a.idx * b.idx % a.n) / a.n)), 6) + 0.0 AS im FROM a JOIN a b USING (key) GROUP BY b.key, b.idx""")
+def fft(s: SparkSession, d: str) -> DataFrame:
+    return linalg.fft(_series(s, d)).select(*_wave("key", "idx"))
 
 
-def _scaled(x: DataFrame, values: DataFrame) -> DataFrame:
-    """Columns of x times the values (i)."""
-    return x.join(values.select(_c("i").alias("j"), _c("v").alias("s")), "j").select("i", "j", (_c("v") * _c("s")).alias("v"))
+@query(f"SELECT user_id AS key, idx, round(v, 6) AS re, 0.0::DOUBLE AS im FROM {_LANES}")
+def fft_round_trip(s: SparkSession, d: str) -> DataFrame:
+    return linalg.fft(linalg.fft(_series(s, d)), inverse=True).select(*_wave("key", "idx"))
 
 
-def _t_of(x: DataFrame) -> DataFrame:
-    return ar.permute(x, ["i", "j"], ["j", "i"])
+def _waves(s: SparkSession, d: str) -> DataFrame:
+    """Each embedding as an array of 8 by 8 complex numbers."""
+    return _grid(s, d).select("i", F.floor(_c("j") / 8).alias("p"), (_c("j") % 8).alias("q"), _c("v").alias("re"), (_c("v") / 2).alias("im"))
 
 
-_product("lu", lambda p, a: linalg.matmul(_part(p, "l"), _part(p, "u")))
-_product("qr", lambda p, a: linalg.matmul(_part(p, "q"), _part(p, "r")))
-_product("svd", lambda p, a: linalg.matmul(_scaled(_part(p, "u"), _part(p, "s")), _part(p, "vt")))
-_product("cholesky", lambda p, a: linalg.matmul(_part(p, "l"), _t_of(_part(p, "l"))), True)
-_product("eig", lambda p, a: linalg.matmul(_scaled(_part(p, "vectors"), _part(p, "values")), _t_of(_part(p, "vectors"))), True)
-_product("inverse", lambda p, a: linalg.matmul(a, _part(p, "inverse")), sql=f"SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM {_NATION}")
+@query(f"""SELECT i, k AS p, l AS q, round(sum(v * cos(t) - v / 2 * sin(t)), 6) + 0.0 AS re, round(sum(v * sin(t) + v / 2 * cos(t)), 6) + 0.0 AS im
+FROM (SELECT i, k, l, v, -2 * pi() * ((j // 8 * k + j % 8 * l) % 8) / 8 AS t FROM {_GRID}, range(8) AS x(k), range(8) AS y(l)) GROUP BY i, k, l""")
+def fft2(s: SparkSession, d: str) -> DataFrame:
+    return linalg.fftn(_waves(s, d), ["p", "q"], by=["i"]).select(*_wave("i", "p", "q"))
 
 
-@query(f"SELECT i, round(sum(v), 6) AS v FROM {_SQUARE} GROUP BY i")
-def solve_product(s: SparkSession, d: str) -> DataFrame:
-    x = linalg_solve(s, d).select("i", F.lit(0).cast("long").alias("j"), "v")
-    return linalg.matmul(_square(s, d).drop("m"), x).select("i", F.round("v", 6).alias("v"))
+@query(f"SELECT i, j // 8 AS p, j % 8 AS q, round(v, 6) + 0.0 AS re, round(v / 2, 6) + 0.0 AS im FROM {_GRID}")
+def fft2_round_trip(s: SparkSession, d: str) -> DataFrame:
+    there = linalg.fftn(_waves(s, d), ["p", "q"], by=["i"])
+    return linalg.fftn(there, ["p", "q"], inverse=True, by=["i"]).select(*_wave("i", "p", "q"))
 
 
-@query(f"SELECT round(sum(v), 6) AS total FROM {_SQUARE} WHERE i = j")
-def eigvals_sum(s: SparkSession, d: str) -> DataFrame:
-    return QUERIES["linalg_eigvals"](s, d).agg(F.round(F.sum("v"), 6).alias("total"))
+@query(f"""SELECT i, j, round(sum(v), 6) + 0.0 AS v FROM (SELECT i, j, v FROM {_GRID}) GROUP BY i, j""")
+def fftn_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The whole matrix of embeddings there and back."""
+    cells = _grid(s, d).select("i", "j", _c("v").alias("re"), F.lit(0.0).alias("im"))
+    return linalg.fftn(linalg.fftn(cells, ["i", "j"]), ["i", "j"], inverse=True).select("i", "j", (F.round("re", 6) + 0.0).alias("v"))
 
 
 @query("SELECT s_suppkey AS m, round(s_acctbal * 3 - s_nationkey * s_suppkey, 4) AS determinant FROM supplier")
 def determinants(s: SparkSession, d: str) -> DataFrame:
-    cells = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.cast("double").alias("v")) for i, j, v in ((0, 0, _c("s_acctbal")), (0, 1, _c("s_nationkey")), (1, 0, _c("s_suppkey")), (1, 1, F.lit(3)))))
-    a = _t(s, d, "supplier").select(_c("s_suppkey").alias("m"), F.inline(cells))
-    return linalg.dense(a, "determinant", 2, 2).select("m", F.round("v", 4).alias("determinant"))
+    cells = F.array(F.array(_c("s_acctbal"), _c("s_nationkey").cast("double")), F.array(_c("s_suppkey").cast("double"), F.lit(3.0)))
+    return _t(s, d, "supplier").select(_c("s_suppkey").alias("m"), F.round(linalg.small_determinant(cells, 2), 4).alias("determinant"))
 
 
-@query(f"SELECT i, j, v FROM {_NATION} UNION ALL SELECT i + 5, j, v * 2 FROM {_NATION}")
+@query(f"SELECT i, j, v FROM {_GRID} UNION ALL SELECT i + {_ROWS}, j, v * 2 FROM {_GRID}")
 def vstack(s: SparkSession, d: str) -> DataFrame:
-    a = _nation(s, d)
-    return ar.vstack([(a, 5), (a.withColumn("v", _c("v") * 2), 5)])
+    a, n = _grid(s, d), _n(s, d)
+    return ar.vstack([(a, n), (a.withColumn("v", _c("v") * 2), n)])
 
 
-@query(f"SELECT i, j, v FROM {_NATION} UNION ALL SELECT i, j + 5, v * 2 FROM {_NATION}")
+@query(f"SELECT i, j, v FROM {_GRID} UNION ALL SELECT i, j + 64, v * 2 FROM {_GRID}")
 def hstack(s: SparkSession, d: str) -> DataFrame:
-    a = _nation(s, d)
-    return ar.hstack([(a, 5), (a.withColumn("v", _c("v") * 2), 5)])
+    a = _grid(s, d)
+    return ar.hstack([(a, 64), (a.withColumn("v", _c("v") * 2), 64)])
 
 
-@query(f"SELECT i, j, v, 0 AS k FROM {_NATION} UNION ALL SELECT i, j, v * 2, 1 FROM {_NATION}")
+@query(f"SELECT i, j, v, 0 AS k FROM {_GRID} UNION ALL SELECT i, j, v * 2, 1 FROM {_GRID}")
 def dstack(s: SparkSession, d: str) -> DataFrame:
-    a = _nation(s, d)
+    a = _grid(s, d)
     return ar.dstack([a, a.withColumn("v", _c("v") * 2)])
 
 
-@query(f"SELECT CAST((i * 5 + j) // 10 AS BIGINT) AS i0, CAST((i * 5 + j) % 10 AS BIGINT) AS i1, v FROM {_NATION} WHERE i < 4")
+@query(f"SELECT CAST((i * 64 + j) // 32 AS BIGINT) AS i0, CAST((i * 64 + j) % 32 AS BIGINT) AS i1, v FROM {_GRID}")
 def reshape(s: SparkSession, d: str) -> DataFrame:
-    return ar.reshape(ar.slice_(_nation(s, d), "i", 0, 4), ["i", "j"], (4, 5), (2, 10))
+    n = _n(s, d)
+    return ar.reshape(_grid(s, d), ["i", "j"], (n, 64), (2 * n, 32))
 
 
-@query(f"SELECT r AS i, j, v FROM (SELECT j, avg(v) AS v FROM {_NATION} GROUP BY j), range(3) AS t(r)")
+@query(f"SELECT r AS i, j, round(v, 7) + 0.0 AS v FROM (SELECT j, avg(v) AS v FROM {_GRID} GROUP BY j), range(3) AS t(r)")
 def broadcast_to(s: SparkSession, d: str) -> DataFrame:
-    return ar.broadcast_to(ar.reduce_(_nation(s, d), ["mean"], ["j"]).withColumnRenamed("mean", "v"), "i", 3)
+    return ar.broadcast_to(ar.reduce_(_grid(s, d), ["mean"], ["j"]).withColumnRenamed("mean", "v"), "i", 3).withColumn("v", F.round("v", 7) + 0.0)
 
 
-@query(f"SELECT i * 5 + j AS idx FROM {_NATION} WHERE v <> 0")
+@query(f"SELECT i * 64 + j AS idx FROM {_GRID} WHERE v <> 0")
 def flatnonzero(s: SparkSession, d: str) -> DataFrame:
-    return ar.flatnonzero(_nation(s, d), ["i", "j"], (5, 5))
+    return ar.flatnonzero(_grid(s, d), ["i", "j"], (_n(s, d), 64))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size = 7 THEN -1 ELSE p_size END AS v FROM part")
@@ -612,22 +792,60 @@ def replace(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", ew.replace(_c("p_size"), 7, -1).alias("v"))
 
 
-@query("""SELECT vec_id, round((a * c + b * d) / (c * c + d * d), 6) AS re, round((b * c - a * d) / (c * c + d * d), 6) AS im, a - c AS dre, b - d AS dim
-FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE + 2 AS c, embedding[4]::DOUBLE AS d FROM embeddings)""")
+@query("""SELECT vec_id, k, round((a * c + b * d) / (c * c + d * d), 6) + 0.0 AS re, round((b * c - a * d) / (c * c + d * d), 6) + 0.0 AS im, a - c AS dre, b - d AS dim
+FROM (SELECT vec_id, k, embedding[4 * k + 1]::DOUBLE AS a, embedding[4 * k + 2]::DOUBLE AS b, embedding[4 * k + 3]::DOUBLE + 2 AS c, embedding[4 * k + 4]::DOUBLE AS d FROM embeddings, range(16) AS t(k))""")
 def complex_quotients(s: SparkSession, d: str) -> DataFrame:
-    e = _c("embedding")
-    rows = _t(s, d, "embeddings").select("vec_id", ew.complex_(e[0], e[1]).alias("x"), ew.complex_(e[2].cast("double") + 2, e[3]).alias("y"))
+    at = lambda k: F.get("embedding", k).cast("double")
+    fours = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")), lambda k: F.struct(k.alias("k"), ew.complex_(at(4 * k), at(4 * k + 1)).alias("x"), ew.complex_(at(4 * k + 2) + 2, at(4 * k + 3)).alias("y")))
+    rows = _t(s, d, "embeddings").select("vec_id", F.inline(fours))
     q, m = ew.complex_div(_c("x"), _c("y")), ew.complex_sub(_c("x"), _c("y"))
-    return rows.select("vec_id", F.round(ew.real(q), 6).alias("re"), F.round(ew.imag(q), 6).alias("im"), ew.real(m).alias("dre"), ew.imag(m).alias("dim"))
+    return rows.select("vec_id", "k", (F.round(ew.real(q), 6) + 0.0).alias("re"), (F.round(ew.imag(q), 6) + 0.0).alias("im"), ew.real(m).alias("dre"), ew.imag(m).alias("dim"))
+
+
+_POLY = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings)"
 
 
-@query("""SELECT * FROM (VALUES ('add', 0, 1.0::DOUBLE), ('add', 1, 3.0), ('add', 2, -2.0), ('sub', 0, 1.0), ('sub', 1, 1.0), ('sub', 2, -2.0), ('mul', 0, 1.0), ('mul', 1, 0.0), ('mul', 2, -4.0), ('mul', 3, 0.0),
-('der', 0, 2.0), ('der', 1, 2.0), ('int', 0, 0.333333), ('int', 1, 1.0), ('int', 2, -2.0), ('int', 3, 4.0), ('roots', 0, 0.732051), ('roots', 1, -2.732051)) AS t(what, k, v)""")
+@query(f"""SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a[i] * i)), 6) + 0.0 AS sum, round(list_sum(list_transform(range(1, 65), lambda i: a[i] * (i - 2))), 6) + 0.0 AS difference,
+round(list_sum(list_transform(range(1, 64), lambda i: a[i] * (64 - i) * i)), 5) + 0.0 AS derivative, round(list_sum(list_transform(range(1, 65), lambda i: a[i] / (65 - i) * i)) + 65 * 4.0, 6) + 0.0 AS integral FROM {_POLY}""")
 def polynomials(s: SparkSession, d: str) -> DataFrame:
-    p, q = [1.0, 2.0, -2.0], [1.0, 0.0]
-    found = {"add": linalg.polyadd(p, q), "sub": linalg.polyadd(p, q, -1.0), "mul": linalg.polymul([1.0, 2.0, 0.0], [1.0, -2.0]), "der": linalg.polyder(p), "int": linalg.polyint(p, k=4.0), "roots": linalg.roots(p)}
-    rows = [(what, k, round(x, 6) + 0.0) for what, c in found.items() for k, x in enumerate(c)]
-    return s.createDataFrame(rows, "what string, k int, v double")
+    """Each embedding as a polynomial: coefficient k of what is made of it times k + 1, summed."""
+    a = F.transform("embedding", lambda x: x.cast("double"))
+    weighed = lambda p, w: F.aggregate(F.transform(p, lambda x, i: x * w(i)), F.lit(0.0), lambda t, x: t + x)
+    ones, plain = F.transform(a, lambda x: x * 0.0), lambda i: (i + 1).cast("double")
+    out = {"sum": (linalg.polyadd(a, ones), 6), "difference": (linalg.polysub(F.transform(a, lambda x, i: x * i), a), 6), "derivative": (linalg.polyder(a), 5), "integral": (linalg.polyint(a, k=4.0), 6)}
+    weights = {"difference": lambda i: F.lit(1.0)}
+    return _t(s, d, "embeddings").select("vec_id", *((F.round(weighed(p, weights.get(k, plain)), r) + 0.0).alias(k) for k, (p, r) in out.items()))
+
+
+@query(f"""WITH p AS (SELECT vec_id, a[1:16] AS a, a[17:32] AS b FROM {_POLY}), t AS (SELECT vec_id, i, j, a[i + 1] * b[j + 1] AS x FROM p, range(16) AS r(i), range(16) AS q(j))
+SELECT vec_id, i + j AS k, round(sum(x), 6) + 0.0 AS v FROM t GROUP BY vec_id, i + j""")
+def poly_product(s: SparkSession, d: str) -> DataFrame:
+    product = linalg.polymul(F.slice("embedding", 1, 16), F.slice("embedding", 17, 16))
+    rows = _t(s, d, "embeddings").select("vec_id", F.posexplode(product).alias("k", "v"))
+    return rows.select("vec_id", _c("k").cast("long").alias("k"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("SELECT p_partkey, round(p_size / 2.0 + sqrt(p_size * p_size / 4.0 + 3), 6) AS high, round(p_size / 2.0 - sqrt(p_size * p_size / 4.0 + 3), 6) AS low FROM part")
+def poly_roots(s: SparkSession, d: str) -> DataFrame:
+    r = linalg.roots(F.array(F.lit(1.0), -_c("p_size").cast("double"), F.lit(-3.0)))
+    return _t(s, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", F.round(_c("r")[0], 6).alias("high"), F.round(_c("r")[1], 6).alias("low"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, x = x + 1 AS eq, x + 1 > x AS gt, x < x + 1 AS lt, greatest(x, x + 1) AS mx, least(x, x + 1) AS mn, CASE WHEN x = 9007199254740993 THEN -1 ELSE x END AS replaced
+FROM (SELECT l_orderkey, l_linenumber, 9007199254740992 + l_orderkey AS x FROM lineitem)""")
+def long_integers(s: SparkSession, d: str) -> DataFrame:
+    x = _c("x")
+    y = x + 1
+    rows = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.lit(2**53) + _c("l_orderkey")).alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", ew.equal(x, y).alias("eq"), ew.greater(y, x).alias("gt"), ew.less(x, y).alias("lt"), ew.maximum(x, y).alias("mx"), ew.minimum(x, y).alias("mn"), ew.replace(x, 2**53 + 1, -1).alias("replaced"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 4 = 1 THEN CAST('inf' AS DOUBLE) WHEN event_id % 4 = 2 THEN 1e300 ELSE floor(value) END AS low,
+CASE WHEN event_id % 4 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 4 = 1 THEN CAST('-inf' AS DOUBLE) WHEN event_id % 4 = 2 THEN -1e300 ELSE ceil(-value) + 0.0 END AS high FROM events""")
+def floors_of_odd_numbers(s: SparkSession, d: str) -> DataFrame:
+    k = _c("event_id") % 4
+    odd = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 2, F.lit(1e300)).otherwise(_c("value"))
+    return _t(s, d, "events").select("event_id", ew.floor(odd).alias("low"), (ew.ceil(-odd) + 0.0).alias("high"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey % 100 AS BIGINT) AS u, CAST(l_partkey % 97 AS BIGINT) AS v FROM lineitem),
