@@ -78,31 +78,45 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"feature": pa.array(list(counts), pa.string()), "u": pa.array([c[0] for c in counts.values()], pa.int64()), "p": pa.array([c[1] for c in counts.values()], pa.int64())})
 
 
-def nnpu(x_p: list[list[int]], x_u: list[list[int]], size_p: np.ndarray, size_u: np.ndarray, n: int, prior: float, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and size weight that minimise the non-negative risk with the sigmoid loss, by Adam on all rows."""
+@dataclass
+class _Rows:
+    """Features of documents, flat: row and feature of each, the logs of sizes, and how many rows."""
 
-    def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([f for r in rows for f in r], np.int64)
+    row: np.ndarray
+    feature: np.ndarray
+    size: np.ndarray
 
-    (rp, cp), (ru, cu) = flat(x_p), flat(x_u)
-    sp, su = np.log1p(size_p), np.log1p(size_u)
-    theta, m, v = np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2)
-    theta[n] = -1.0
+    @classmethod
+    def of(cls, rows: list[list[int]], sizes: np.ndarray) -> _Rows:
+        return cls(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([f for r in rows for f in r], np.int64), np.log1p(sizes))
+
+    def margins(self, theta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, theta[self.feature], len(self.size)) + theta[-2] + theta[-1] * self.size
+
+    def back(self, g: np.ndarray, n: int) -> np.ndarray:
+        return np.concatenate([np.bincount(self.feature, g[self.row], n), [g.sum(), (g * self.size).sum()]])
 
-    def margins(r: np.ndarray, c: np.ndarray, s: np.ndarray, rows: int) -> np.ndarray:
-        return np.bincount(r, theta[c], rows) + theta[n] + theta[n + 1] * s
 
-    def back(r: np.ndarray, c: np.ndarray, s: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(c, g[r], n), [g.sum(), (g * s).sum()]])
+def risk(theta: np.ndarray, positive: _Rows, unlabelled: _Rows, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the risk with the sigmoid loss, which of label y is sigmoid(-y margin), and their gradients.
 
+    They are the prior times the loss of the positive rows as positive, and what the unlabelled rows lose as negative, less the
+    prior times what the positive ones would: the risk of the negative rows, which cannot be below 0.
+    """
+    n = len(theta) - 2
+    yes_p, yes_u = (1 / (1 + np.exp(-np.clip(x.margins(theta), -30, 30))) for x in (positive, unlabelled))
+    slope_p, slope_u = positive.back(yes_p * (1 - yes_p) / len(yes_p), n), unlabelled.back(yes_u * (1 - yes_u) / len(yes_u), n)
+    return prior * float((1 - yes_p).mean()), float(yes_u.mean() - prior * yes_p.mean()), -prior * slope_p, slope_u - prior * slope_p
+
+
+def nnpu(x_p: list[list[int]], x_u: list[list[int]], size_p: np.ndarray, size_u: np.ndarray, n: int, prior: float, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and size weight that minimise the non-negative risk, by Adam on all rows; where its second part is below 0 a step goes up it."""
+    positive, unlabelled = _Rows.of(x_p, size_p), _Rows.of(x_u, size_u)
+    theta, m, v = np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2)
+    theta[n] = -1.0
     for step in range(1, epochs + 1):
-        gp, gu = margins(rp, cp, sp, len(x_p)), margins(ru, cu, su, len(x_u))
-        # the sigmoid loss of label y is sigmoid(-y g)
-        yes_p, yes_u = (1 / (1 + np.exp(-np.clip(g, -30, 30))) for g in (gp, gu))
-        slope_p, slope_u = yes_p * (1 - yes_p) / len(gp), yes_u * (1 - yes_u) / len(gu)
-        negative = yes_u.mean() - prior * yes_p.mean()
-        corrected = back(ru, cu, su, slope_u) - prior * back(rp, cp, sp, slope_p)
-        grad = -corrected if negative < 0 else corrected - prior * back(rp, cp, sp, slope_p)
+        _, negative, grad_p, grad_n = risk(theta, positive, unlabelled, prior)
+        grad = -grad_n if negative < 0 else grad_p + grad_n
         grad = grad + decay * np.concatenate([theta[:n], [0.0, theta[n + 1]]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
