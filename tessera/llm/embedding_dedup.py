@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, materialise, partitions
+from .common import connected_components, discard, forest, materialise, partitions
 from .vectors import listed, matrices, principal, taking_part, unit, valid
 
 #: Leading directions whose cells order the vectors.
@@ -198,6 +198,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     met = own.join(ends, "block").select(F.col("left").alias("a"), F.col("right").alias("b"), "block", "label", "node", "n", "e", "p")
     met = met.repartition(partitions(alike), "a", "b").sortWithinPartitions("a", "b", "block", "node")
     links = materialise(met.mapInArrow(_linked(threshold, epsilon), "u long, v long, n long"), "links")
+    for spent in (blocked, boxes, pairs):
+        discard(spent)
 
     roots = connected_components(links.where("v is not null").select("u", "v"))
     counts = links.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("more"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words, ranked, set_aside
+from .common import discard, materialise, n_words, ranked, set_aside
 
 #: Bits of a rank, narrowed LEVEL bits at a time.
 BITS, LEVEL = 40, 10
@@ -102,6 +102,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     words = narrow.join(filler, narrow.source.eqNullSafe(filler.own) & (narrow.rank == filler.fill)).groupBy("own", "fill").agg(F.sum("size").alias("more"))
     state = state.join(words, state.source.eqNullSafe(words.own), "left").withColumn("fill", F.when(F.abs(F.col("more") - F.col("gap")) < F.col("gap"), F.col("fill")))
     state = materialise(state.select(F.col("source").alias("own"), "source_size", "target", "sure", "low", "left", "fill"), "ranks")
+    discard(narrow)
     sampled = (((F.col("rank") < F.col("low")) & (F.col("left") > 0)) | F.coalesce(F.col("rank") == F.col("fill"), F.lit(False))).cast("long")
     out = sized.join(state, sized.source.eqNullSafe(state.own)).withColumn("copies", F.col("sure") + sampled)
     return out.select(*(F.col(f"row.{c}") for c in columns), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ranked
+from .common import discard, materialise, ranked
 
 #: Chunks whose ids a worker remembers at most.
 REMEMBERED = 600_000
@@ -155,6 +155,7 @@ def schedule(sizes: DataFrame, window: int, targets: dict[str | None, float] | N
     high = F.least(last + 1, F.floor((F.col("turn") + 1) * F.col("q")))
     pieces = turns.select("uid", (F.col("turn") * F.col("k") + F.col("phase")).alias("round"), "first", (low - F.col("at")).alias("start"), (high - low).alias("length")).where("length > 0")
     placed = ranked(pieces, ["round", "first", "uid", "start"], weight="length", label="pieces")
+    discard(queued)  # the pieces are written
     end = F.col("__start") + F.col("length")
     cut = placed.withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("__start") / window), F.floor((end - 1) / window))))
     begin = F.greatest(F.col("__start"), F.col("sequence_id") * window)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, materialise, partitions, text_key
+from .common import connected_components, discard, forest, materialise, partitions, text_key
 
 #: Fingerprints that the plan is made from at most.
 SAMPLE = 4096
@@ -223,7 +223,9 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     met = met.select(*key, F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "fp")
     groups = [*key, "left", "right"]
     met = met.repartition(partitions(distinct), *groups).sortWithinPartitions(*groups, "fp")
-    return met.mapInArrow(_links(radius), "u long, v long")
+    links = materialise(met.mapInArrow(_links(radius), "u long, v long"), "links")
+    discard(keyed)
+    return links
 
 
 def _outside(bits: list[int], radius: int) -> list[int]:
