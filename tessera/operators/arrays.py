@@ -328,8 +328,8 @@ def sort(a: DataFrame, axis: str, by: list[str]) -> DataFrame:
 
 
 def sort1d(a: DataFrame) -> DataFrame:
-    """A whole vector sorted by value, by range partitioning."""
-    return ordinal(a.drop("idx"), ["v"], "idx")
+    """A whole vector sorted by value, by range partitioning; the places of equal values part a value that many cells have."""
+    return ordinal(a.withColumnRenamed("idx", "__i"), ["v", "__i"], "idx").drop("__i")
 
 
 def argsort(a: DataFrame, axis: str, by: list[str]) -> DataFrame:

@@ -9,22 +9,35 @@ from ..errors import DepthLimit
 from .order import fixed
 
 
+#: Levels of a search that are kept as tables of their own.
+LEVELS = 16
+
+
 def bfs(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
     """(node, depth) of what can be reached along directed edges: a frontier join per level.  The start counts even without edges.
 
     Goes on until no level has new nodes; where `most` is given and nodes lie deeper, raises DepthLimit.
     """
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "node long, depth int")
-    frontier, depth = seen, 0
+    frontier = edges.sparkSession.createDataFrame([(start, 0)], "node long, depth int")
+    levels, depth = [frontier], 0
     while True:
         depth += 1
-        new = frontier.join(edges, frontier.node == edges.u).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
+        new = frontier.join(edges, frontier.node == edges.u).select(F.col("v").alias("node")).distinct().join(_all(levels), "node", "left_anti")
         frontier = fixed(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
+            return _all(levels)
         if most is not None and depth > most:
             raise DepthLimit(f"nodes lie deeper than {most} levels")
-        seen = fixed(seen.unionByName(frontier))
+        levels.append(frontier)
+        if len(levels) > LEVELS:  # what was visited is written anew only now and then
+            levels = [fixed(_all(levels))]
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def reachable(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
