@@ -8,14 +8,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sources
 from .functions import elementwise as ew
 from .operators import arrays as ar
 from .operators import blocks, create, graph, linalg
-from .operators.order import shared_folder
+from .operators.order import ordinal, shared_folder
 from .plans import Sequential, Sgd
 from .streaming import windowed
 
@@ -430,14 +430,11 @@ def shuffle_rows(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(0 AS BIGINT) AS wrong, CAST(100 AS BIGINT) AS n")
 def choice(s: SparkSession, d: str) -> DataFrame:
     prices = _prices(s, d).select("idx", "v")
-    drawn = create.choice(prices, 50, 42).unionByName(create.choice(prices.select((F.row_number().over(_by_key()) - 1).cast("long").alias("idx"), "v"), 50, 42, replace=True))
+    numbered = ordinal(prices.withColumnRenamed("idx", "key"), ["key"], "idx").select("idx", "v")
+    drawn = create.choice(prices, 50, 42).unionByName(create.choice(numbered, 50, 42, replace=True))
     return drawn.join(prices.select(_c("v").alias("p")).distinct(), _c("v") == _c("p"), "left").agg(F.count_if(_c("p").isNull()).alias("wrong"), F.count("*").alias("n"))
 
 
-def _by_key() -> Window:
-    return Window.orderBy("idx")
-
-
 @query("""SELECT p_partkey, p_size || ',1' AS pushed, CAST(p_size AS VARCHAR) AS popped, '2,' || p_size AS front, p_size AS last, CASE WHEN p_size = 3 THEN '4' ELSE p_size || ',4' END AS removed FROM part""")
 def list_columns(s: SparkSession, d: str) -> DataFrame:
     one, n = F.array("p_size"), lambda k: F.lit(k).cast("int")
