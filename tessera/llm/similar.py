@@ -11,8 +11,8 @@ every pair.  Lengths and the places of a common shingle bound the overlap from a
 by whole sets.
 
 Texts that share a shingle are first compared with one of them, the pivot; only pairs that this leaves in different groups are compared
-after that, so a large group of near copies does not make all of its pairs.  A pair is compared only if enough of its first shingles are
-common: of those behind the shorter list of first shingles no more than ceil(t n) - 1 can be.  A shingle with many texts is cut into blocks,
+after that, so a large group of near copies does not make all of its pairs.  A pair of a text and its pivot is compared only if enough of
+its first shingles are common, any other pair only where the sizes of both allow their first common shingle to stand.  A shingle with many texts is cut into blocks,
 and each pair of blocks is a group of its own.
 """
 
@@ -111,12 +111,12 @@ def _pairs(least: Fraction):
                 if not len(x):
                     break
                 y = x + shift
-                most = np.minimum(place[x], place[y]) + 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
+                # the shingles that similar sets of these sizes have in common; the first of them stands among the n - need + 1 first of each
+                need = -(-(n[x] + n[y]) * up // (up + down))
                 once = (left[x] == right[x]) | (block[x] != block[y])  # pairs within a block are compared in the block's own group
-                good = once & (root[x] != root[y]) & (most * (up + down) >= (n[x] + n[y]) * up)
+                good = once & (root[x] != root[y]) & (place[x] <= n[x] - need) & (place[y] <= n[y] - need)
                 if good.any():
-                    i, j = x[good], y[good]  # rows of a group come by node
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(node[i]), "b": pa.array(node[j]), "n_a": pa.array(n[i]), "n_b": pa.array(n[j])})
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(node[x[good]]), "b": pa.array(node[y[good]])})  # rows of a group come by node
 
         for batch in batches:
             c = [batch.column(k).to_numpy() for k in names]
@@ -135,7 +135,7 @@ def _pairs(least: Fraction):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, node, n, at), sorted by token and node, those whose token another node has too, each with the token's first node, the pivot."""
+    """Of rows (token, node, n, at), sorted by token and place, those whose token another node has too, each with the token's first node, the pivot."""
     names = ["token", "node", "n", "at"]
     last: list[np.ndarray] | None = None  # the row before, where it may still turn out to be shared
     pivot: list[np.ndarray] | None = None
@@ -219,12 +219,13 @@ def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fractio
     near = materialise(fingerprint_pairs(sets, radius), "near")
     heads = sets.where("n > 0").select("node", "n", "head").dropDuplicates(["node"])
     keyed = heads.select("node", "n", F.posexplode("head").alias("at", "token")).select("token", "node", "n", "at")
-    placed = keyed.repartition(partitions(sets), "token").sortWithinPartitions("token", "node")
+    placed = keyed.repartition(partitions(sets), "token").sortWithinPartitions("token", "at", "node")
     shared = materialise(placed.mapInArrow(_met, "token long, node long, n int, at int, to long, to_n int, to_at int"), "shared")
 
-    # the pivot is the least node of its shingle; what this misses is left to the exact pass
+    # the pivot has the fewest shingles that are rarer, so it is near what the others were copied from; what this misses is left to the exact pass
     met = shared.where((F.col("node") != F.col("to")) & _may(least, F.col("n"), F.col("to_n"), F.col("at"), F.col("to_at")))
-    pivots = _likely(met.select(F.col("to").alias("a"), F.col("node").alias("b"), F.col("to_n").alias("n_a"), F.col("n").alias("n_b")), least)
+    low, high = (f(F.struct("node", "n"), F.struct(F.col("to").alias("node"), F.col("to_n").alias("n"))) for f in (F.least, F.greatest))
+    pivots = _likely(met.select(low.alias("x"), high.alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")), least)
     links = _verified(docs, sets, near.unionByName(pivots), shingle, least)
     discard(near)
     roots = connected_components(links)
@@ -237,8 +238,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fractio
     groups = ["token", "left", "right"]
     open_ = open_.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "block")
     open_ = open_.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
-    found = open_.mapInArrow(_pairs(least), "a long, b long, n_a long, n_b long")
-    more = _verified(docs, sets, _likely(found, least), shingle, least)
+    more = _verified(docs, sets, open_.mapInArrow(_pairs(least), "a long, b long"), shingle, least)
     discard(rest)
     return links.unionByName(more)
 
