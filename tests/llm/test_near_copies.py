@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from tessera.llm import simhash
+from tessera.llm import simhash, similar
 from tessera.llm.simhash import near_groups, near_links
 
 
@@ -78,3 +78,36 @@ def test_groups(spark):
     want = sorted(((i, f"{f:016x}", least[k]) for (i, _), f, k in zip(rows, fps, label, strict=True)), key=repr)
     got = near_groups(docs).select("doc_id", "fingerprint", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == want
+
+
+def shingles(text, k=5):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_copies_with_edits(spark, monkeypatch, block):
+    # groups of copies with words changed, cut off and put in, on both sides of 0.8, none of which may be lost
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng, rows = random.Random(block), []
+    for _ in range(6):
+        n = rng.choice([8, 15, 30, 60, 150, 300])
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, n // 25))):
+                at, kind = rng.randrange(len(w)), rng.random()
+                if kind < 0.6:
+                    w[at] = f"e{rng.randrange(100_000)}"
+                elif kind < 0.8 and len(w) > 6:
+                    w = w[:at] or w
+                else:
+                    w = w[:at] + [f"i{rng.randrange(100_000)}" for _ in range(rng.randint(1, max(1, n // 12)))] + w[at:]
+            rows.append((len(rows), " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    near = [[j for j, y in enumerate(sets) if 10 * len(x & y) >= 8 * len(x | y)] for x in sets]
+    label = list(range(len(rows)))
+    while (new := [min(label[j] for j in n) for n in near]) != label:
+        label = new
+    got = similar.one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, k in enumerate(label) if i == k]
