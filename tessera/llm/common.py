@@ -48,6 +48,26 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys that joined_hot() broadcasts at most.
+HOT = 1 << 14
+#: Characters of such a key.
+LONG = 512
+
+
+def joined_hot(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows joined on their key with a table of one row for each key, of which `weight` says how many of rows hold it.
+
+    Keys that more than one in HOT of the rows hold are at most HOT, so they are broadcast, unless they have over LONG characters; the
+    others meet by a shuffle.  The column weight goes.  Both inputs are read more than once: they should be written tables, or cheap.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = (F.col(weight) * HOT > total) & (F.length(F.concat(*on)) <= LONG)
+    hot, rest = table.where(heavy).drop(weight), table.where(~heavy).drop(weight)
+    here = rows.join(F.broadcast(hot), on)
+    there = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return here.unionByName(there)
+
+
 def text_key() -> Column:
     """A hash of the text that, beside doc_id, tells apart rows which share a doc_id."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
