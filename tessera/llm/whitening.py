@@ -41,11 +41,21 @@ class Moments(NamedTuple):
     mean: np.ndarray
     scatter: np.ndarray
 
+    def centred(self, x: np.ndarray) -> np.ndarray:
+        """x less the mean."""
+        return x - self.mean if self.sums is None or x.dtype.kind != "i" else _less(x, self.sums, self.n)
+
     @property
     def covariance(self) -> np.ndarray:
         return (self.scatter + self.scatter.T) / (2 * self.n)
 
 
+def _less(x: np.ndarray, sums: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """x - sums / n of whole numbers, rounded once."""
+    whole = sums // n
+    return (x - whole) - (sums - whole * n) / n
+
+
 class Whitening(NamedTuple):
     """The leading components: eigenvalues, vectors as columns, and which eigenvalues are above 0."""
 
@@ -72,14 +82,16 @@ def updated(at: Moments, x: np.ndarray) -> Moments:
     x = x if whole else x.astype(float)
     counts = at.n + np.arange(1, len(x) + 1)[:, None]
     sums = start + np.cumsum(x, axis=0)
-    old, new = x - (sums - x) / np.maximum(counts - 1, 1), x - sums / counts
+    less = _less if whole else lambda y, s, k: y - s / k
+    old, new = less(x, sums - x, np.maximum(counts - 1, 1)), less(x, sums, counts)
     n = at.n + len(x)
     return Moments(n, sums[-1] if whole else None, sums[-1] / n, at.scatter + old.T @ new)
 
 
 def merged(a: Moments, b: Moments) -> Moments:
     """The parallel update formula."""
-    n, apart = a.n + b.n, b.mean - a.mean
+    n = a.n + b.n
+    apart = b.mean - a.mean if a.sums is None or b.sums is None else (b.sums // b.n - a.sums // a.n) + ((b.sums % b.n) / b.n - (a.sums % a.n) / a.n)
     whole = a.sums is not None and b.sums is not None and (np.abs(a.sums.astype(float)) + np.abs(b.sums.astype(float))).max(initial=0) < EXACT
     sums = a.sums + b.sums if whole else None
     mean = sums / n if whole else a.mean + apart * (b.n / n)
@@ -214,7 +226,7 @@ def fit(vectors: DataFrame, embedding: str = "embedding", components: int = 16)
         def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    yield pa.RecordBatch.from_pydict({"w": listed((b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - m.mean) @ scaled)})
+                    yield pa.RecordBatch.from_pydict({"w": listed(m.centred(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)) @ scaled)})
 
         white = moments(distinct.mapInArrow(projected, "w array<double>"), "w", int(kept.sum()))
         error = float(np.abs(white.covariance - np.eye(int(kept.sum()))).max())
@@ -253,7 +265,7 @@ def whiten(vectors: DataFrame, fitted: Whitening | None, embedding: str = "embed
         for b in batches:
             if b.num_rows:
                 x = b.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                w = (x - m.mean) @ scale
+                w = m.centred(x) @ scale
                 lists = pa.ListArray.from_arrays(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32), pa.array(w.ravel(), mask=np.tile(~fitted.kept, len(w))))
                 yield pa.RecordBatch.from_pydict({c: b.column(c) for c in b.schema.names if c != "__x"} | {"deviation": _deviations(x, m), "whitened": lists})
 
