@@ -78,18 +78,20 @@ def round_(x: Column) -> Column:
     return F.round(x)
 
 
-def _whole(f, x: Column) -> Column:  # noqa: ANN001
-    """f by way of longs; doubles that are not finite, or from 2**53 on, are whole already."""
-    d = _d(x)
-    return F.when(F.isnan(d) | (F.abs(d) >= 2.0**53), d).otherwise(f(x).cast("double"))
+def _cut(x: Column) -> tuple[Column, Column]:
+    """Whether x is whole because of its size, or not finite; and x without its fraction.  Both keep the type of x."""
+    large = F.lit(1 << 53)
+    return (x >= large) | (x <= -large), x - x % F.lit(1)
 
 
 def floor(x: Column) -> Column:
-    return _whole(F.floor, x)
+    large, t = _cut(x)
+    return F.when(large, x).otherwise(F.when(t > x, t - 1).otherwise(t))
 
 
 def ceil(x: Column) -> Column:
-    return _whole(F.ceil, x)
+    large, t = _cut(x)
+    return F.when(large, x).otherwise(F.when(t < x, t + 1).otherwise(t))
 
 
 def sign(x: Column) -> Column:
@@ -107,8 +109,9 @@ def minimum(a: Column, b: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    x = _d(x)
-    return F.when(x < low, F.lit(float(low))).when((x > high) & ~F.isnan(x), F.lit(float(high))).otherwise(x)
+    """Bounds without a fraction keep the type of whole numbers."""
+    lo, hi = (F.lit(int(z) if float(z).is_integer() and abs(z) < 2**63 else float(z)) for z in (low, high))
+    return F.when(_nan(x) | x.isNull(), x).otherwise(F.greatest(F.least(x, hi), lo))
 
 
 def equal(a: Column, b: Column) -> Column:

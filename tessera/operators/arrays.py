@@ -6,9 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import DimensionMismatch, IndexOutOfBounds, RankMismatch, ShapeMismatch
-from .order import ordinal
+from .order import haloed, in_lanes, ordinal
+from .select import median
 
 def v() -> Column:
     return F.col("v")
@@ -73,7 +75,9 @@ def expand_dims(a: DataFrame, axis: str) -> DataFrame:
 
 
 def squeeze(a: DataFrame, axis: str) -> DataFrame:
-    return a.drop(axis)
+    """a without an axis of size 1; a place other than 0 on it raises where it is read."""
+    first = F.when(F.col(axis) == 0, v()).otherwise(F.raise_error(F.lit(f"DimensionMismatch: axis {axis} is longer than 1")).cast(a.schema["v"].dataType))
+    return a.withColumn("v", first).drop(axis)
 
 
 def concatenate(parts: list[tuple[DataFrame, int]], axis: str) -> DataFrame:
@@ -257,15 +261,51 @@ def _numbers(x: Column) -> Column:
 #: Aggregates by name.  Extremes leave nan out; variance and deviation are of the population; an empty product is 1.
 REDUCTIONS = {
     "sum": F.sum, "mean": F.avg, "min": lambda x: F.min(_numbers(x)), "max": lambda x: F.max(_numbers(x)), "prod": lambda x: F.coalesce(F.product(x), F.lit(1.0)), "var": F.var_pop, "std": F.stddev_pop,
-    "median": F.median, "count": F.count,
+    "count": F.count,
 }
 
+#: Those of whole numbers, which keep their type: a sum past a long raises.  mean_trunc is the sum over the count, cut towards 0.
+WHOLE = {"sum": F.sum, "min": F.min, "max": F.max, "mean_trunc": lambda x: F.expr("div(sum(__x), count(__x))")}
+
 
 def reduce_(a: DataFrame, how: list[str], by: list[str] | None = None, value: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """keep: axes that are reduced and stay with size 1, as position 0."""
-    x = (v() if value is None else value).cast("double")
-    out = a.groupBy(*(by or [])).agg(*(REDUCTIONS[h](x).alias(h) for h in how))
-    return out.withColumns({c: F.lit(0).cast("long") for c in keep or []})
+    """keep: axes that are reduced and stay with size 1, as position 0.
+
+    Whole numbers are summed, multiplied and compared as longs, all else as doubles.  median is exact (see `select`).
+    """
+    by = by or []
+    a = a.withColumn("__x", v() if value is None else value)
+    whole = isinstance(a.schema["__x"].dataType, T.IntegralType)
+    own = a.withColumn("__x", F.col("__x").cast("long" if whole else "double"))
+    x = F.col("__x")
+
+    def aggregate(h: str) -> Column:
+        return (WHOLE[h](x) if whole and h in WHOLE else REDUCTIONS[h](x.cast("double"))).alias(h)
+
+    apart = {"median": lambda: median(own, by, "__x"), "prod": lambda: _whole_product(own, by)}
+    apart = {h: f for h, f in apart.items() if h in how and (h == "median" or whole)}
+    out = own.groupBy(*by).agg(*(aggregate(h) for h in how if h not in apart), F.lit(None).alias("__none")).drop("__none")
+    for f in apart.values():
+        out = _joined(out, f(), by, "left")
+    return out.select(*by, *how).withColumns({c: F.lit(0).cast("long") for c in keep or []})
+
+
+def _whole_product(a: DataFrame, by: list[str]) -> DataFrame:
+    """The product of the longs __x of each lane; 1 without cells, and past a long an error.
+
+    A product that is not 0 and fits a long has 63 factors beside 1 and -1 at most.  Sums of logarithms tell where that is so; there
+    these factors are gathered.
+    """
+    x = F.col("__x")
+    size = F.sum(F.when(x != 0, F.ln(F.abs(x.cast("double")))))
+    signs = a.groupBy(*by).agg(F.count_if(x == 0).alias("__zeros"), F.count_if(x < 0).alias("__negative"), F.coalesce(size, F.lit(0.0)).alias("__ln"))
+    factors = _joined(a.where("abs(cast(__x as double)) > 1"), signs.where("__zeros = 0 and __ln < 44"), by)
+    product = F.aggregate(F.collect_list(F.abs(x.cast("decimal(38,0)"))), F.lit(1).cast("decimal(38,0)"), lambda s, y: (s * y).cast("decimal(38,0)"))
+    sign = F.when(F.col("__negative") % 2 == 1, F.lit(-1)).otherwise(F.lit(1))
+    out = _joined(signs, factors.groupBy(*by).agg(product.alias("__p")), by, "left")
+    too_large = (F.col("__zeros") == 0) & (F.col("__ln") >= 44)
+    value = F.when(too_large, F.raise_error(F.lit("the product exceeds a long")).cast("long")).when(F.col("__zeros") > 0, F.lit(0).cast("long"))
+    return out.select(*by, value.otherwise((F.coalesce("__p", F.lit(1)) * sign).cast("long")).alias("prod"))
 
 
 def argmax(a: DataFrame, at: str, by: list[str] | None = None) -> DataFrame:
@@ -322,9 +362,8 @@ def in1d(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def sort(a: DataFrame, axis: str, by: list[str]) -> DataFrame:
-    """Each lane sorted along the axis."""
-    w = Window.partitionBy(*by).orderBy("v", axis)
-    return a.withColumn(axis, F.row_number().over(w).cast("long") - 1)
+    """Each lane sorted along the axis, by one sort of all lanes; equal values keep their order."""
+    return in_lanes(a.withColumnRenamed(axis, "__i"), by, ["v", "__i"], "__k").withColumn("__i", F.col("__k")).drop("__k").withColumnRenamed("__i", axis)
 
 
 def sort1d(a: DataFrame) -> DataFrame:
@@ -334,8 +373,7 @@ def sort1d(a: DataFrame) -> DataFrame:
 
 def argsort(a: DataFrame, axis: str, by: list[str]) -> DataFrame:
     """For each place of the sorted lane (k) the place in the lane."""
-    w = Window.partitionBy(*by).orderBy("v", axis)
-    return a.select(*by, (F.row_number().over(w) - 1).cast("long").alias("k"), F.col(axis))
+    return in_lanes(a.select(*by, axis, "v"), by, ["v", axis], "k").select(*by, "k", axis)
 
 
 def smallest(a: DataFrame, k: int, at: str = "idx") -> DataFrame:
@@ -348,18 +386,22 @@ def smallest(a: DataFrame, k: int, at: str = "idx") -> DataFrame:
 
 def diff(a: DataFrame, axis: str, by: list[str], n: int = 1) -> DataFrame:
     """The n-th forward difference along an axis numbered without gaps; the axis starts at 0 again."""
+    if n < 1:
+        return a
+    rows, w = haloed(a, axis, by, 0, n)
     for _ in range(n):
-        w = Window.partitionBy(*by).orderBy(axis)
         # a null cell gives null differences on both of its sides; only the last place of a lane goes
-        a = a.withColumns({"__more": F.lead(F.lit(True)).over(w), "v": F.lead("v").over(w) - v()}).where("__more").drop("__more")
-    return a
+        rows = rows.withColumns({"__more": F.lead(F.lit(True)).over(w), "v": F.lead("v").over(w) - v()}).where("__more")
+    return rows.where("__own").drop("__more", "__block", "__own")
 
 
 def gradient(a: DataFrame, axis: str, by: list[str]) -> DataFrame:
-    """Central differences inside, one-sided ones at both ends."""
-    w = Window.partitionBy(*by).orderBy(axis)
+    """Central differences inside, one-sided ones at both ends of a lane numbered without gaps; a null neighbour gives null."""
+    rows, w = haloed(a, axis, by, 1, 1)
     before, after = F.lag("v").over(w), F.lead("v").over(w)
-    return a.withColumn("v", F.when(before.isNull(), after - v()).when(after.isNull(), v() - before).otherwise((after - before) / 2.0))
+    first, last = F.lag(F.lit(True)).over(w).isNull(), F.lead(F.lit(True)).over(w).isNull()
+    x = F.when(first, after - v()).when(last, v() - before).otherwise((after - before) / 2.0)
+    return rows.withColumn("v", x).where("__own").drop("__block", "__own")
 
 
 def convolve(a: DataFrame, kernel: list[float], n: int | None = None, mode: str = "full", by: list[str] | None = None) -> DataFrame:
@@ -385,15 +427,15 @@ def convolve(a: DataFrame, kernel: list[float], n: int | None = None, mode: str
     return out.withColumn("__first", first).where((F.col("idx") >= F.col("__first")) & (F.col("idx") < F.col("__first") + kept)).withColumn("idx", F.col("idx") - F.col("__first")).drop("__n", "__first")
 
 
-def _joined(a: DataFrame, per_lane: DataFrame, by: list[str]) -> DataFrame:
+def _joined(a: DataFrame, per_lane: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """a with the columns of a table of one row per lane; null is a lane like others, and without lanes there is one row."""
     if not by:
-        return a.crossJoin(F.broadcast(per_lane))  # one row
+        return a.join(F.broadcast(per_lane), F.lit(True), how)  # one row
     lane = per_lane.withColumnsRenamed({c: f"__{c}" for c in by})
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return a.join(lane, same).drop(*(f"__{c}" for c in by))
+    return a.join(lane, same, how).drop(*(f"__{c}" for c in by))
 
 
 def correlate(a: DataFrame, kernel: list[float], n: int | None = None, mode: str = "full", by: list[str] | None = None) -> DataFrame:

@@ -4,14 +4,15 @@ A tall matrix has one row of Spark for each of its rows (key columns and an arra
 triangular factor are n by n and small: each task sends one such matrix, several levels combine them, and only
 the last one reaches the driver.  What is left for the rows is one product each.
 
-A square matrix too large for one task is cut into blocks of b by b.  The factorisation goes along the diagonal: the
-driver factors one b by b block, the row and the column of blocks next to it are solved in parallel, and the rest is updated
-by a join of the two.  Nothing larger than a block is in one task's hands; n / b steps, each written to the
-checkpoint folder.
+A square matrix too large for one task is cut into blocks of b by b.  The factorisation goes from panel to panel: a tournament of
+the tasks picks b pivot rows, the driver factors that one b by b block, the row and the column of blocks next to it are solved in
+parallel, and the rest is updated on a grid of tasks.  n / b steps, each written to the checkpoint folder; what a step has
+replaced is removed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, MatrixNotPositiveDefinite, SingularMatrix
-from .order import fixed
+from .order import fixed, release
 
 #: Columns of a tall matrix at most: n by n numbers have to fit on the driver.
 WIDEST = 4096
@@ -181,91 +182,255 @@ def cells_of(blocks: DataFrame, n: int, b: int) -> DataFrame:
     return out.where((F.col("i") < n) & (F.col("j") < n))
 
 
-def _lu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lu(x: np.ndarray, tiny: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     left, up = np.eye(len(x)), x.astype(float).copy()
     for k in range(len(x)):
-        if up[k, k] == 0:
+        if abs(up[k, k]) <= tiny:
             raise SingularMatrix("zero pivot")
         left[k + 1 :, k] = up[k + 1 :, k] / up[k, k]
         up[k + 1 :] -= np.outer(left[k + 1 :, k], up[k])
     return left, np.triu(up)
 
 
-def _each(blocks: DataFrame, b: int, f) -> DataFrame:  # noqa: ANN001
-    """f of each block."""
+def _best_rows(x: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows that elimination takes as pivots if it goes by the greatest entry of a column, in its order."""
+    rest, order = x.astype(float).copy(), np.arange(len(x))
+    for k in range(min(most, len(x), x.shape[1])):
+        p = k + int(np.abs(rest[k:, k]).argmax())
+        rest[[k, p]], order[[k, p]] = rest[[p, k]], order[[p, k]]
+        if rest[k, k] != 0:
+            rest[k + 1 :, k:] -= np.outer(rest[k + 1 :, k] / rest[k, k], rest[k, k:])
+    return order[:most]
+
+
+def _tournament(panel: DataFrame, count: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The b rows of a panel of `count` blocks that serve as pivots: their numbers, and the rows themselves, in order.
+
+    Each task eliminates within its own blocks and puts up b rows; FAN tasks' winners meet at a time, until b rows are left.
+    """
+    kind = "ids array<long>, x array<double>"
+
+    def winners(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = _best_rows(x, b)
+        return ids[best], x[best]
+
+    def sent(held: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"ids": _lists(held[0].reshape(1, -1)), "x": _lists(held[1].reshape(1, -1))})
+
+    def met(held: tuple | None, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return winners(ids, x) if held is None else winners(np.concatenate([held[0], ids]), np.vstack([held[1], x]))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for t in batches:
+            for bi, x in zip(t.column("bi").to_pylist(), _matrix(t.column("x"), b * b), strict=True):
+                held = met(held, bi * b + np.arange(b), x.reshape(b, b))
+        yield from sent(held)
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for t in batches:
+            for row in t.to_pylist():
+                held = met(held, np.array(row["ids"]), np.array(row["x"]).reshape(-1, b))
+        yield from sent(held)
+
+    out = panel.select("bi", "x").mapInArrow(own, kind)
+    while count > FAN:
+        count = -(-count // FAN)
+        out = out.repartition(count).mapInArrow(further, kind)
+    last = out.repartition(1).mapInArrow(further, kind).first()
+    return np.array(last.ids), np.array(last.x).reshape(-1, b)
+
+
+def _each(blocks: DataFrame, b: int, f, taken: dict[int, np.ndarray] | None = None) -> DataFrame:  # noqa: ANN001
+    """f of each block, in which the rows that are taken (by row of blocks) count as 0."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x = _matrix(t.column("x"), b * b).reshape(-1, b, b)
+            x = _cleared(_matrix(t.column("x"), b * b).reshape(-1, b, b), t.column("bi"), taken or {})
             yield pa.RecordBatch.from_pydict({"bi": t.column("bi"), "bj": t.column("bj"), "x": _lists(f(x).reshape(-1, b * b))})
 
     return blocks.select("bi", "bj", "x").mapInArrow(mapped, "bi long, bj long, x array<double>")
 
 
-def _less_products(rest: DataFrame, left: DataFrame, up: DataFrame, b: int) -> DataFrame:
-    """Blocks of rest less the product of the block of left in their row and that of up in their column."""
+def _cleared(x: np.ndarray, bi: pa.Array, taken: dict[int, np.ndarray]) -> np.ndarray:
+    if not taken:
+        return x
+    x = x.copy()
+    for k, row in enumerate(bi.to_pylist()):
+        if row in taken:
+            x[k, taken[row]] = 0
+    return x
+
+
+def _gathered(blocks: DataFrame, ids: np.ndarray, b: int, k: int) -> DataFrame:
+    """The rows of these numbers, in this order, as the blocks (k, bj)."""
+    where: dict[int, list[tuple[int, int]]] = {}
+    for at, i in enumerate(ids.tolist()):
+        where.setdefault(i // b, []).append((at, i % b))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x = _matrix(t.column("x"), b * b).reshape(-1, b, b)
+            own = [(bj, at, x[n, row]) for n, (bi, bj) in enumerate(zip(t.column("bi").to_pylist(), t.column("bj").to_pylist(), strict=True)) for at, row in where[bi]]
+            if own:
+                yield pa.RecordBatch.from_pydict({"bj": pa.array([o[0] for o in own]), "at": pa.array([o[1] for o in own], pa.int32()), "r": _lists(np.stack([o[2] for o in own]))})
+
+    # b rows of b numbers for each column of blocks
+    out = blocks.where(F.col("bi").isin(sorted(where))).select("bi", "bj", "x").mapInArrow(rows, "bj long, at int, r array<double>")
+    x = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda z: z["r"]))
+    return out.groupBy("bj").agg(x.alias("x")).select(F.lit(k).cast("long").alias("bi"), "bj", "x")
+
+
+def _grid_side(df: DataFrame, most: int) -> int:
+    """Cells along each side of a grid with about one cell for each shuffle partition."""
+    return max(1, min(most, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1))
+
+
+def _less_products(rest: DataFrame, left: DataFrame, up: DataFrame, b: int, side: int, taken: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """Blocks of rest less the product of the block of left in their row and that of up in their column.
+
+    Tasks form a grid: a block of rest goes to one, one of left to a row of them, one of up to a column.  A task holds those of left and up,
+    and the blocks of rest pass by.
+    """
+    g = _grid_side(rest, side)
+    cell = (F.col("bi") % g) * g + F.col("bj") % g
+    over = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))
+    sent = rest.select(cell.alias("cell"), F.lit(2).alias("kind"), "bi", "bj", "x")
+    sent = sent.unionByName(left.withColumn("o", over).select(((F.col("bi") % g) * g + F.col("o")).alias("cell"), F.lit(0).alias("kind"), "bi", "bj", "x"))
+    sent = sent.unionByName(up.withColumn("o", over).select((F.col("o") * g + F.col("bj") % g).alias("cell"), F.lit(1).alias("kind"), "bi", "bj", "x"))
 
     def updated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lefts, ups = {}, {}
         for t in batches:
-            x, y, old = (_matrix(t.column(c), b * b).reshape(-1, b, b) for c in ("l", "u", "x"))
-            yield pa.RecordBatch.from_pydict({"bi": t.column("bi"), "bj": t.column("bj"), "x": _lists((old - x @ y).reshape(-1, b * b))})
+            kinds, bi, bj, x = t.column("kind").to_numpy(), t.column("bi").to_pylist(), t.column("bj").to_pylist(), _matrix(t.column("x"), b * b).reshape(-1, b, b)
+            for n in np.flatnonzero(kinds < 2):
+                (lefts if kinds[n] == 0 else ups)[bi[n] if kinds[n] == 0 else bj[n]] = x[n]
+            own = np.flatnonzero(kinds == 2)
+            if len(own):
+                old = _cleared(x[own], pa.array([bi[n] for n in own]), taken or {})
+                zero = np.zeros((b, b))
+                new = np.stack([old[m] - lefts.get(bi[n], zero) @ ups.get(bj[n], zero) for m, n in enumerate(own)])
+                yield pa.RecordBatch.from_pydict({"bi": pa.array([bi[n] for n in own]), "bj": pa.array([bj[n] for n in own]), "x": _lists(new.reshape(-1, b * b))})
 
-    both = rest.join(left.select("bi", F.col("x").alias("l")), "bi").join(up.select("bj", F.col("x").alias("u")), "bj")
-    return both.mapInArrow(updated, "bi long, bj long, x array<double>")
+    placed = sent.repartitionById(g * g, F.col("cell").cast("int")).sortWithinPartitions("kind").select("kind", "bi", "bj", "x")
+    return placed.mapInArrow(updated, "bi long, bj long, x array<double>")
 
 
 def _block(blocks: DataFrame, k: int, b: int) -> np.ndarray:
     return np.array(blocks.where((F.col("bi") == k) & (F.col("bj") == k)).first().x).reshape(b, b)
 
 
-def blocked_lu(blocks: DataFrame, side: int, b: int, beside: bool = False) -> tuple[DataFrame, DataFrame]:
-    """L, with ones on its diagonal, and U of a matrix of side * side blocks, without exchanges of rows; a zero pivot raises.
+def blocked_lu(blocks: DataFrame, side: int, b: int, beside: bool = False, pivots: bool = False, tiny: float = 0.0) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """L, with ones on its diagonal, and U of a matrix of side * side blocks, and the rows' order.
+
+    Without pivots rows are not exchanged, and a zero pivot raises.  With them the pivots of a panel are found by a tournament: row `order[k]` of the
+    matrix is row k of L U.  Rows are not moved: those of a panel's pivots are gathered into a row of U's blocks and count as 0 in what is left.
+    So L's blocks stand at the rows' places in the matrix, and the triangle of each panel's pivots at the row of blocks -1 - k.
+    tiny: pivots up to that size raise.
 
     beside: further columns of blocks stand right of the matrix and go through the same steps, as part of U.
     """
-    rest, lefts, ups = fixed(blocks), [], []
+    rest, lefts, ups, order = fixed(blocks), [], [], []
     spark, kind = blocks.sparkSession, "bi long, bj long, x array<double>"
+    held: dict[int, set[int]] = {}
     for k in range(side):
-        low, high = _lu(_block(rest, k, b))
-        lefts.append(spark.createDataFrame([(k, k, low.ravel().tolist())], kind))
+        if pivots:
+            ids, x = _tournament(rest.where(F.col("bj") == k), side, b)
+            best = _best_rows(x, b)
+            ids, x = ids[best], x[best]
+        else:
+            ids, x = k * b + np.arange(b), _block(rest, k, b)
+        order.append(ids)
+        low, high = _lu(x, tiny)
+        lefts.append(spark.createDataFrame([(-1 - k if pivots else k, k, low.ravel().tolist())], kind))
         ups.append(spark.createDataFrame([(k, k, high.ravel().tolist())], kind))
         last = k == side - 1
         if last and not beside:
             break
         by_low, by_high = np.linalg.solve(low, np.eye(b)), np.linalg.solve(high, np.eye(b))
-        across = fixed(_each(rest.where((F.col("bi") == k) & (F.col("bj") > k)), b, lambda x, m=by_low: m @ x))
+        further = rest.where(F.col("bj") > k)
+        across = fixed(_each(_gathered(further, ids, b, k) if pivots else further.where(F.col("bi") == k), b, lambda x, m=by_low: m @ x))
         ups.append(across)
         if last:
             break
-        column = fixed(_each(rest.where((F.col("bj") == k) & (F.col("bi") > k)), b, lambda x, m=by_high: x @ m))
+        taken = {}
+        for i in ids.tolist():
+            held.setdefault(i // b, set()).add(i % b)
+            taken.setdefault(i // b, []).append(i % b)
+        taken = {bi: np.array(rows) for bi, rows in taken.items()}
+        left_over = ~F.col("bi").isin([bi for bi, rows in held.items() if len(rows) == b])
+        column = fixed(_each(rest.where((F.col("bj") == k) & left_over), b, lambda x, m=by_high: x @ m, taken))
         lefts.append(column)
-        rest = fixed(_less_products(rest.where((F.col("bi") > k) & (F.col("bj") > k)), column, across, b))
+        old, rest = rest, fixed(_less_products(further.where(left_over), column, across, b, side, taken))
+        release(old)
+    release(rest)
     out = []
     for parts in (lefts, ups):
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.unionByName(p)
         out.append(fixed(whole))
-    return out[0], out[1]
+        for p in parts:
+            release(p)
+    return out[0], out[1], np.concatenate(order)
 
 
 def lu(a: DataFrame, n: int, b: int = 256) -> tuple[DataFrame, DataFrame]:
-    """L and U of a matrix (i, j, v) as cells."""
-    left, up = blocked_lu(blocked(a, n, b), -(-n // b), b)
+    """L and U of a matrix (i, j, v) as cells, without exchanges of rows."""
+    left, up, _ = blocked_lu(blocked(a, n, b), -(-n // b), b)
     return cells_of(left, n, b), cells_of(up, n, b)
 
 
+def pivoted_lu(a: DataFrame, n: int, b: int = 256) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """L and U as cells, and the order: row order[k] of the matrix is row k of L U.  The order, n numbers, reaches the driver."""
+    side = -(-n // b)
+    left, up, order = blocked_lu(blocked(a, n, b), side, b, pivots=True)
+    places = a.sparkSession.createDataFrame([(int(i), k) for k, i in enumerate(order)], "i long, to long")
+    own = left.where("bi < 0").withColumn("bi", -1 - F.col("bi"))
+    low = cells_of(own, side * b, b).where("i >= j").unionByName(cells_of(left.where("bi >= 0"), side * b, b).where("v <> 0").join(F.broadcast(places), "i").select(F.col("to").alias("i"), "j", "v"))
+    return low.where((F.col("i") < n) & (F.col("j") < n)), cells_of(up, n, b), order[order < n]
+
+
+#: Pivots up to this size count as 0, which makes a matrix singular.
+TINY = 1e-9
+
+
+def _sign(order: np.ndarray) -> int:
+    """1 if the order takes an even number of exchanges, else -1: by its cycles."""
+    seen, cycles = np.zeros(len(order), bool), 0
+    for k in range(len(order)):
+        cycles += not seen[k]
+        while not seen[k]:
+            seen[k], k = True, order[k]  # noqa: PLW2901
+    return -1 if (len(order) - cycles) % 2 else 1
+
+
 def determinant(a: DataFrame, n: int, b: int = 256) -> float:
-    """The product of U's diagonal, of which no more than n numbers reach the driver; 0 where a pivot is 0."""
+    """The product of U's diagonal, of which no more than n numbers reach the driver, with the sign of the rows' order; 0 for a singular matrix, 1 for an empty one."""
+    if not n:
+        return 1.0
     try:
-        _, up = lu(a, n, b)
+        _, up, order = blocked_lu(blocked(a, n, b), -(-n // b), b, pivots=True, tiny=TINY)
     except SingularMatrix:
         return 0.0
-    return float(np.prod([r.v for r in up.where("i = j").select("v").collect()]))
+    size, power = float(_sign(order)), 0
+    for r in cells_of(up.where("bi = bj"), n, b).where("i = j").select("v").collect():
+        size, more = math.frexp(size * r.v)
+        power += more
+    try:
+        return math.ldexp(size, power)
+    except OverflowError:
+        return math.copysign(math.inf, size)
 
 
 def cholesky(a: DataFrame, n: int, b: int = 256) -> DataFrame:
-    """The lower factor of a symmetric matrix: the columns of L by the roots of U's diagonal."""
+    """The lower factor of a symmetric matrix: the columns of L by the roots of U's diagonal.  A matrix that is not symmetric, to 1e-9 of its greatest entry, raises."""
+    cells = a.select("i", "j", F.col("v").cast("double").alias("v"))
+    apart = cells.unionByName(cells.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("v")).alias("v"))).groupBy("i", "j").agg(F.abs(F.sum("v")).alias("d"))
+    if (apart.agg(F.max("d")).first()[0] or 0.0) > 1e-9 * (cells.agg(F.max(F.abs("v"))).first()[0] or 0.0):
+        raise MatrixNotPositiveDefinite("the matrix is not symmetric")
     try:
         left, up = lu(a, n, b)
     except SingularMatrix as e:
@@ -279,7 +444,7 @@ def cholesky(a: DataFrame, n: int, b: int = 256) -> DataFrame:
 def solve(a: DataFrame, y: DataFrame, n: int, b: int = 256) -> DataFrame:
     """x of A x = y for a matrix (i, j, v) and right sides (i, v), or (i, j, v) for several; x in the same form.
 
-    The right sides stand beside the matrix as further columns of blocks and go through the same steps; then the steps are undone from the
+    Pivots are found by a tournament; a singular matrix raises.  The right sides stand beside the matrix as further columns of blocks and go through the same steps; then the steps are undone from the
     last block up.
     """
     one = "j" not in y.columns
@@ -288,7 +453,7 @@ def solve(a: DataFrame, y: DataFrame, n: int, b: int = 256) -> DataFrame:
     side, wide = -(-n // b), -(-columns // b)
     tall = right.select("i", (F.col("j") + side * b).alias("j"), F.col("v").cast("double").alias("v"))
     beside = _filled(tall, _places(a, side, side, wide), b)
-    _, up = blocked_lu(blocked(a, n, b).unionByName(beside), side, b, beside=True)
+    _, up, _ = blocked_lu(blocked(a, n, b).unionByName(beside), side, b, beside=True, pivots=True, tiny=TINY)
     rest, solved = up.where(F.col("bj") >= side), None
     for k in range(side - 1, -1, -1):
         by_high = np.linalg.solve(_block(up, k, b), np.eye(b))
@@ -296,7 +461,7 @@ def solve(a: DataFrame, y: DataFrame, n: int, b: int = 256) -> DataFrame:
         solved = now if solved is None else solved.unionByName(now)
         if k:
             column = up.where((F.col("bj") == k) & (F.col("bi") < k))
-            rest = fixed(_less_products(rest.where(F.col("bi") < k), column, now, b))
+            rest = fixed(_less_products(rest.where(F.col("bi") < k), column, now, b, side))
     out = solved.select("bi", (F.col("bj") - side).alias("bj"), F.posexplode("x").alias("at", "v"))
     cells = out.select((F.col("bi") * b + F.floor(F.col("at") / b)).alias("i"), (F.col("bj") * b + F.col("at") % b).alias("j"), "v").where((F.col("i") < n) & (F.col("j") < columns))
     return cells.drop("j") if one else cells

@@ -80,9 +80,58 @@ def test_blocked_factors(spark):
 
 def test_no_pivot(spark):
     a = cells(spark, np.array([[0.0, 1], [1, 0]]))
-    assert blocks.determinant(a, 2, 1) == 0.0
     with pytest.raises(errors.SingularMatrix):
         blocks.lu(a, 2, 1)
     with pytest.raises(errors.MatrixNotPositiveDefinite):
         blocks.cholesky(cells(spark, np.array([[1.0, 2], [2, 1]])), 2, 1)
+    with pytest.raises(errors.MatrixNotPositiveDefinite):
+        blocks.cholesky(cells(spark, np.array([[4.0, 9], [2, 5]])), 2, 1)
     assert blocks.as_cells(a, np.eye(2)).where(F.col("v") == 1).count() == 2
+
+
+@pytest.mark.parametrize("b", [1, 2, 4])
+def test_exchange(spark, b):
+    a = cells(spark, np.array([[0.0, 1], [1, 0]]))
+    assert blocks.determinant(a, 2, b) == -1
+    assert np.allclose(dense(blocks.inverse(a, 2, b), (2, 2)), [[0, 1], [1, 0]])
+    small = cells(spark, np.array([[1e-20, 1.0], [1, 1]]))
+    y = spark.createDataFrame([(0, 1.0), (1, 2.0)], "i long, v double")
+    assert np.allclose([r.v for r in blocks.solve(small, y, 2, b).orderBy("i").collect()], [1, 1])
+    singular = cells(spark, np.array([[1.0, 2, 3], [2, 4, 6], [1, 0, 1]]))
+    assert blocks.determinant(singular, 3, b) == 0
+    with pytest.raises(errors.SingularMatrix):
+        blocks.inverse(singular, 3, b)
+    assert blocks.determinant(singular.where("false"), 0, b) == 1
+
+
+@pytest.mark.parametrize(("n", "b", "fan"), [(7, 2, 2), (9, 3, 32), (6, 6, 2)])
+def test_pivots(spark, monkeypatch, n, b, fan):
+    monkeypatch.setattr(blocks, "FAN", fan)
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, n))
+    x[np.arange(n), np.arange(n)] = 0  # every leading pivot is 0 or an accident
+    x[0] *= 1e-8
+    a = cells(spark, x)
+    low, up, order = blocks.pivoted_lu(a, n, b)
+    low, up = dense(low, (n, n)), dense(up, (n, n))
+    assert sorted(order) == list(range(n)) and np.allclose(low, np.tril(low)) and np.allclose(np.diag(low), 1) and np.allclose(up, np.triu(up))
+    assert np.allclose(low @ up, x[order], atol=1e-12) and np.abs(low).max() < 2**n
+    y = rng.standard_normal((n, 3))
+    assert np.allclose(dense(blocks.solve(a, cells(spark, y), n, b), (n, 3)), np.linalg.solve(x, y), rtol=1e-6)
+    assert np.isclose(blocks.determinant(a, n, b), np.linalg.det(x)) and np.allclose(dense(blocks.inverse(a, n, b), (n, n)), np.linalg.inv(x), rtol=1e-6)
+
+
+def test_tables_are_removed(spark):
+    import os
+
+    from tessera.operators.order import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    blocks.determinant(cells(spark, np.eye(6)[::-1]), 6, 2)
+    assert len(set(os.listdir(folder)) - before) <= 2  # L and U
+
+
+def test_large_determinant(spark):
+    big = cells(spark, np.diag([1e200, 1e200, 1e-8]))
+    assert blocks.determinant(big, 3, 2) == float("inf") and np.isclose(blocks.determinant(cells(spark, np.diag([1e200, 1e-8, 1e120])), 3, 2), 1e200 * 1e112)
