@@ -14,6 +14,11 @@ Texts that share a shingle are first compared with one of them, the pivot; only
 after that, so a large group of near copies does not make all of its pairs.  A pair of a text and its pivot is compared only if enough of
 its first shingles are common, any other pair only where the sizes of both allow their first common shingle to stand.  A shingle with many texts is cut into blocks,
 and each pair of blocks is a group of its own.
+
+Before whole sets are fetched, odd sketches are compared: BITS parities of the shingles of a set.  Each shingle that only one of two sets has
+changes one bit of the difference, so sets differ in at least as many shingles as sketches in bits, and a pair whose sketches are
+too far apart is no link.  Pairs of a group are held against this where they meet; members of a large group that are edited apart
+leave no rows behind.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from .simhash import BLOCK, kept_rows, majority, near_links, shingle_hashes
 
 #: Texts that the order of shingles is made from at most, and shingles that it ranks.
 SAMPLE, RANKED = 16_384, 200_000
+#: Parities of an odd sketch.
+BITS = 512
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -39,6 +46,12 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
+def odd_sketch(own: np.ndarray) -> np.ndarray:
+    """For each of BITS classes of hashes whether a set has an odd number of it, as longs."""
+    parity = np.bincount((own & (BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def _order(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several sampled texts hold, sorted, and in how many."""
 
@@ -61,14 +74,14 @@ def _first(n: int, least: Fraction) -> int:
 
 
 def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, key (of the text), node (of the set of shingles), fp (its fingerprint), n (its size) and head, its first shingles in the order."""
+    """doc_id, key (of the text), node (of the set of shingles), fp (its fingerprint), n (its size), sketch, and head, its first shingles in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                nodes, prints, sizes, heads = [], [], [], []
+                nodes, prints, sizes, heads, sketches = [], [], [], [], []
                 for t in b.column("text").slice(at, 500):
                     own = shingles(t.as_py(), shingle)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
@@ -76,14 +89,16 @@ def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarra
                     place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                     rank = np.where(known[place] == own, often[place], 0) if len(known) else np.zeros(len(own))
                     sizes.append(len(own))
+                    sketches.append(odd_sketch(own))
                     heads.append(own[np.argsort(rank, kind="stable")[: _first(len(own), least)]] if len(own) else own)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": b.column("doc_id").slice(at, 500), "key": b.column("key").slice(at, 500), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                    "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "head": pa.array(heads, pa.list_(pa.int64())),
+                    "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(sketches, pa.list_(pa.int64())),
+                    "head": pa.array(heads, pa.list_(pa.int64())),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    return rows.mapInArrow(sets, "doc_id long, key long, node long, fp long, n int, head array<long>")
+    return rows.mapInArrow(sets, "doc_id long, key long, node long, fp long, n int, sketch array<long>, head array<long>")
 
 
 def _may(least: Fraction, n: Column, m: Column, p: Column, q: Column) -> Column:
@@ -101,7 +116,7 @@ def _pairs(least: Fraction):
         names = ["token", "left", "right", "node", "root", "n", "at", "block"]
 
         def compared(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, left, right, node, root, n, place, block = c
+            token, left, right, node, root, n, place, block, sketch = c
             change = (token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
             group = np.concatenate([[0], np.cumsum(change)])
             x = np.arange(len(node))
@@ -115,11 +130,14 @@ def _pairs(least: Fraction):
                 need = -(-(n[x] + n[y]) * up // (up + down))
                 once = (left[x] == right[x]) | (block[x] != block[y])  # pairs within a block are compared in the block's own group
                 good = once & (root[x] != root[y]) & (place[x] <= n[x] - need) & (place[y] <= n[y] - need)
+                # sets of n and m shingles that are similar enough differ in n + m - 2 need at most
+                good[good] = np.bitwise_count(sketch[x[good]] ^ sketch[y[good]]).sum(axis=1) <= (n[x] + n[y] - 2 * need)[good]
                 if good.any():
                     yield pa.RecordBatch.from_pydict({"a": pa.array(node[x[good]]), "b": pa.array(node[y[good]])})  # rows of a group come by node
 
         for batch in batches:
             c = [batch.column(k).to_numpy() for k in names]
+            c.append(batch.column("sketch").flatten().to_numpy().reshape(-1, BITS // 64))
             c = [np.concatenate([h, x]) for h, x in zip(held, c, strict=True)] if held else c
             if not len(c[0]):
                 continue
@@ -179,9 +197,18 @@ def _tokens(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) ->
     return found.mapInArrow(tokens, "node long, tokens array<long>")
 
 
+def _near_enough(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes whose sketches differ in no more bits than similar sets of their sizes do in shingles."""
+    known = sets.select("node", "n", "sketch").dropDuplicates(["node"])
+    x, y = (known.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    n, up, whole = F.col("n_a") + F.col("n_b"), least.numerator, least.numerator + least.denominator
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
+    return pairs.join(x, "a").join(y, "b").where(differ <= n - 2 * F.ceil(n * up / F.lit(whole))).select("a", "b")
+
+
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Of pairs (a, b) of nodes those of enough similarity, by whole sets, as links (u, v)."""
-    pairs = materialise(pairs.distinct(), "pairs")
+    """Of pairs (a, b) of nodes those of enough similarity, by sketches and then by whole sets, as links (u, v)."""
+    pairs = materialise(_near_enough(pairs.distinct(), sets, least), "pairs")
     some = materialise(_tokens(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "tokens")
     x, y = (some.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b")
@@ -234,9 +261,10 @@ def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fractio
     # a shingle whose texts are one group already has nothing to compare
     several = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low < high")
     several = materialise(several.select("token", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "several")
-    open_ = rest.join(several, "token").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    sketches = sets.select("node", "sketch").dropDuplicates(["node"])
+    open_ = rest.join(several, "token").join(sketches, "node").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     groups = ["token", "left", "right"]
-    open_ = open_.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "block")
+    open_ = open_.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "block", "sketch")
     open_ = open_.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
     more = _verified(docs, sets, open_.mapInArrow(_pairs(least), "a long, b long"), shingle, least)
     discard(rest)
