@@ -107,8 +107,11 @@ def _may(least: Fraction, n: Column, m: Column, p: Column, q: Column) -> Column:
     return most * (least.numerator + least.denominator) >= (n + m) * least.numerator
 
 
-def _pairs(least: Fraction):
-    """Pairs of each group whose roots differ and that can be similar enough; the rows come sorted by group."""
+def _pairs(least: Fraction, nearest: bool):
+    """Pairs of each group whose roots differ and that can be similar enough; the rows come sorted by group.
+
+    nearest: only each row and the one whose sketch is nearest to its own.
+    """
     up, down = least.numerator, least.denominator
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +123,7 @@ def _pairs(least: Fraction):
             change = (token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
             group = np.concatenate([[0], np.cumsum(change)])
             x = np.arange(len(node))
+            best, partner = np.full(len(node), BITS + 1), np.full(len(node), -1)
             for shift in range(1, len(node)):
                 x = x[x + shift < len(node)]
                 x = x[group[x] == group[x + shift]]
@@ -129,11 +133,20 @@ def _pairs(least: Fraction):
                 # the shingles that similar sets of these sizes have in common; the first of them stands among the n - need + 1 first of each
                 need = -(-(n[x] + n[y]) * up // (up + down))
                 once = (left[x] == right[x]) | (block[x] != block[y])  # pairs within a block are compared in the block's own group
-                good = once & (root[x] != root[y]) & (place[x] <= n[x] - need) & (place[y] <= n[y] - need)
+                good = np.flatnonzero(once & (root[x] != root[y]) & (place[x] <= n[x] - need) & (place[y] <= n[y] - need))
                 # sets of n and m shingles that are similar enough differ in n + m - 2 need at most
-                good[good] = np.bitwise_count(sketch[x[good]] ^ sketch[y[good]]).sum(axis=1) <= (n[x] + n[y] - 2 * need)[good]
-                if good.any():
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(node[x[good]]), "b": pa.array(node[y[good]])})  # rows of a group come by node
+                apart = np.bitwise_count(sketch[x[good]] ^ sketch[y[good]]).sum(axis=1)
+                near = apart <= (n[x] + n[y] - 2 * need)[good]
+                p, q, apart = x[good[near]], y[good[near]], apart[near]
+                if not nearest and len(p):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(node[p]), "b": pa.array(node[q])})  # rows of a group come by node
+                for own, other in ((p, q), (q, p)):
+                    nearer = apart < best[own]
+                    best[own[nearer]], partner[own[nearer]] = apart[nearer], other[nearer]
+            if nearest:
+                p = np.flatnonzero(partner >= 0)
+                u, v = node[p], node[partner[p]]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(u, v)), "b": pa.array(np.maximum(u, v))})
 
         for batch in batches:
             c = [batch.column(k).to_numpy() for k in names]
@@ -255,9 +268,17 @@ def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fractio
     pivots = _likely(met.select(low.alias("x"), high.alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")), least)
     links = _verified(docs, sets, near.unionByName(pivots), shingle, least)
     discard(near)
-    roots = connected_components(links)
-    rest = materialise(shared.drop("to", "to_n", "to_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
+    # first each set and the nearest that it meets, which joins most; then whatever is still apart
+    for nearest in (True, False):
+        open_ = _open(shared, sets, connected_components(links))
+        links = links.unionByName(_verified(docs, sets, open_.mapInArrow(_pairs(least, nearest), "a long, b long"), shingle, least))
     discard(shared)
+    return links
+
+
+def _open(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of first shingles whose texts lie in several groups, dealt out by shingle and pair of blocks."""
+    rest = materialise(shared.drop("to", "to_n", "to_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
     # a shingle whose texts are one group already has nothing to compare
     several = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low < high")
     several = materialise(several.select("token", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "several")
@@ -265,10 +286,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fractio
     open_ = rest.join(several, "token").join(sketches, "node").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     groups = ["token", "left", "right"]
     open_ = open_.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "block", "sketch")
-    open_ = open_.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
-    more = _verified(docs, sets, open_.mapInArrow(_pairs(least), "a long, b long"), shingle, least)
-    discard(rest)
-    return links.unionByName(more)
+    return open_.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
 
 
 def one_of_similar(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
