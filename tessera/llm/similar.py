@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialise, partitions, text_key
+from .common import connected_components, discard, materialise, partitions, text_key, trim
 from .simhash import BLOCK, kept_rows, majority, near_links, shingle_hashes
 
 #: Texts that the order of shingles is made from at most, and shingles that it ranks.
@@ -79,10 +79,11 @@ def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarra
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
+        trim()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
+            for at in range(0, b.num_rows, 250):
                 nodes, prints, sizes, heads, sketches = [], [], [], [], []
-                for t in b.column("text").slice(at, 500):
+                for t in b.column("text").slice(at, 250):
                     own = shingles(t.as_py(), shingle)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
                     prints.append(majority(own.view(np.uint64)))
@@ -92,7 +93,7 @@ def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarra
                     sketches.append(odd_sketch(own))
                     heads.append(own[np.argsort(rank, kind="stable")[: _first(len(own), least)]] if len(own) else own)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": b.column("doc_id").slice(at, 500), "key": b.column("key").slice(at, 500), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    "doc_id": b.column("doc_id").slice(at, 250), "key": b.column("key").slice(at, 250), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
                     "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(sketches, pa.list_(pa.int64())),
                     "head": pa.array(heads, pa.list_(pa.int64())),
                 })
@@ -115,6 +116,7 @@ def _pairs(least: Fraction, nearest: bool):
     up, down = least.numerator, least.denominator
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         held: list[np.ndarray] | None = None
         names = ["token", "left", "right", "node", "root", "n", "at", "block"]
 
@@ -167,6 +169,7 @@ def _pairs(least: Fraction, nearest: bool):
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (token, node, n, at), sorted by token and place, those whose token another node has too, each with the token's first node, the pivot."""
+    trim()
     names = ["token", "node", "n", "at"]
     last: list[np.ndarray] | None = None  # the row before, where it may still turn out to be shared
     pivot: list[np.ndarray] | None = None
@@ -198,6 +201,7 @@ def _tokens(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) ->
     """(node, tokens) of some nodes, from one text of each."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 own = [shingles(t.as_py(), shingle) for t in b.column("text").slice(at, 500)]
