@@ -58,6 +58,11 @@ def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 0, bucket_byt
     null or repeat, and rows may repeat.  A very long text makes its bucket larger by as much.  Columns of any type may follow; own columns
     of the four names come back with `_in` appended.  An empty table gives an empty table.
     """
+    return _dealt(docs, shards, seed, bucket_bytes).drop("__task")
+
+
+def _dealt(docs: DataFrame, shards: int, seed: int, bucket_bytes: int) -> DataFrame:
+    """The shuffled shards with the column __task: tasks hold consecutive slots of every shard, in the order of their numbers."""
     docs = set_aside(docs, "size", "text_crc32", "shard", "slot")
     columns = [f"`{c}`" for c in docs.columns]
     odd = [c for c, f in zip(columns, docs.schema, strict=True) if _unordered(f.dataType)]
@@ -94,23 +99,32 @@ def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 0, bucket_byt
     before = counts.withColumn("inside", F.sum("n").over(at_run) - F.col("n")).join(runs, "run").select("bucket", (F.col("first") + F.col("inside")).alias("before"))
     before = materialise(before, "before")
 
-    scattered = rows.withColumn("slot", slot).withColumn("bucket", bucket)
-    scattered = scattered.withColumn("task", F.floor(F.col("bucket") * F.lit(tasks) / F.lit(buckets)).cast("int")).repartitionById(tasks, F.col("task"))
+    # what precedes a bucket goes to its task as one row more, so records are moved once
+    task = F.floor(F.col("bucket") * F.lit(tasks) / F.lit(buckets)).cast("int")
+    scattered = rows.withColumn("slot", slot).withColumn("bucket", bucket).select("hash", "tie", "row", "own", "bucket", F.lit(None).cast("long").alias("before"))
+    marks = before.select(*(F.lit(None).cast(scattered.schema[c].dataType).alias(c) for c in ("hash", "tie", "row", "own")), "bucket", "before")
+    scattered = scattered.unionByName(marks).withColumn("task", task).repartitionById(tasks, F.col("task"))
     if odd:  # ordered by what has an order; rows equal in that are equal in all
         record = F.struct(F.struct("hash", "tie").alias("key"), "row", "own")
-        in_order = F.array_sort(F.collect_list(record), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+        sort = lambda rows: F.array_sort(rows, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
     else:
-        in_order = F.array_sort(F.collect_list(F.struct("hash", "row", "own")))
-    gathered = scattered.groupBy("task", "bucket").agg(in_order.alias("rows")).sortWithinPartitions("task", "bucket")
-    shuffled = gathered.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    at = shuffled.select("bucket", F.posexplode("rows").alias("at", "record"))
-    dealt = at.join(before, "bucket").withColumn("place", F.col("before") + F.col("at"))
+        record, sort = F.struct("hash", "row", "own"), F.array_sort
+    own = F.collect_list(F.when(F.col("before").isNull(), record))
+    gathered = scattered.groupBy("task", "bucket").agg(sort(own).alias("rows"), F.max("before").alias("before")).sortWithinPartitions("task", "bucket")
+    shuffled = gathered.select("task", "before", F.shuffle("rows", F.lit(seed)).alias("rows"))
+    at = shuffled.select("task", "before", F.posexplode("rows").alias("at", "record"))
+    dealt = at.withColumn("place", F.col("before") + F.col("at"))
     return dealt.select(
         *(F.col(f"record.row.{c}") for c in columns), F.col("record.own.size").alias("size"), F.col("record.own.crc").alias("text_crc32"),
-        F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"),
+        F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"), F.col("task").alias("__task"),
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 0) -> None:
-    """The shuffled shards as Parquet, a folder shard=N for each; its files in the order of their names, read one after another, are the shard's slots in order."""
-    shuffled_shards(docs, shards, seed).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> None:
+    """The shuffled shards as Parquet, a folder shard=N for each, in it a folder run=K for each task, K of nine digits.
+
+    The files of a shard in the order of their paths, read one after another, are its slots in order, however many tasks there are.
+    """
+    run = F.lpad(F.col("__task").cast("string"), 9, "0")
+    dealt = _dealt(docs, shards, seed, bucket_bytes).withColumn("run", run).drop("__task")
+    dealt.sortWithinPartitions("shard", "run", "slot").write.partitionBy("shard", "run").parquet(path)

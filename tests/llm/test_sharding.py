@@ -3,6 +3,7 @@
 import collections
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,10 +78,17 @@ def test_columns_of_any_kind_and_name(spark):
     brute([(r[0], r[1]) for r in rows], out.collect(), 4)
 
 
-def test_written_shards(spark, tmp_path):
-    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
-    write_shards(docs, str(tmp_path / "out"), 3)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_written_shards(spark, tmp_path, broadcast):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text")).unionByName(spark.createDataFrame([(999, "y" * 400_000)], "doc_id long, text string"))
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        write_shards(docs, str(tmp_path / "out"), 3, bucket_bytes=2000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for k in range(3):
-        files = sorted((tmp_path / "out" / f"shard={k}").glob("*.parquet"))
-        slots = [r.slot for f in files for r in spark.read.parquet(str(f)).collect()]
-        assert slots == list(range(len(slots))) and len(slots) in (166, 167)
+        files = sorted((tmp_path / "out" / f"shard={k}").glob("run=*/*.parquet"))
+        assert len(files) > 100 and all(len(f.parent.name) == len("run=") + 9 for f in files)
+        slots = [x for f in files for x in pq.ParquetFile(f).read(["slot"])["slot"].to_pylist()]
+        assert slots == list(range(len(slots))) and len(slots) == 167
