@@ -76,6 +76,20 @@ def test_documents_are_taken_at_their_rate(spark):
         assert abs(np.mean(off)) < 3 * 0.5 / np.sqrt(len(off)) + 0.02, (key, np.mean(off))
 
 
+def test_preferred_documents(spark):
+    # odds of inclusion are multiplied by a preference: the ratio of the odds that come out is near the one asked for
+    rows = [(i, " ".join(["w"] * 10), "a", 4.0 if i % 2 else [None, 1.0, -3.0][i % 3]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, liking double").cache()
+    taken = collections.Counter()
+    for seed in range(6):
+        got = mixed(docs, (1,), 0.5, 2.0, seed, prefer="liking").select("doc_id", "copies").collect()
+        assert sum(r.copies for r in got) == 200
+        for r in got:
+            taken[r.doc_id % 2, r.copies] += 1
+    odds = [taken[k, 1] / taken[k, 0] for k in (0, 1)]
+    assert 3 < odds[1] / odds[0] < 5.3, odds
+
+
 def test_columns_of_any_kind_and_name(spark):
     names = ["rank", "row", "own", "sure", "low", "left", "fill", "__rank", "Size"]
     rows = [(i, "a b" * (i % 4), "s", {"k": i}, *range(len(names))) for i in range(12)]
