@@ -35,3 +35,7 @@ class InvalidShape(ArrayError):
 
 class DepthLimit(ArrayError):
     pass
+
+
+class NoConvergence(ArrayError):
+    pass

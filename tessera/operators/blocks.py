@@ -164,6 +164,53 @@ def _filled(cells: DataFrame, places: DataFrame, b: int) -> DataFrame:
     return places.join(held, ["bi", "bj"], "left").mapInArrow(dense, "bi long, bj long, x array<double>")
 
 
+def _held(cells: DataFrame, b: int) -> DataFrame:
+    """Blocks (bi, bj, x) of those places that have a cell."""
+    return _filled(cells, cells.select(F.floor(F.col("i") / b).alias("bi"), F.floor(F.col("j") / b).alias("bj")).distinct(), b)
+
+
+#: Numbers of a product that one task holds at most.
+HELD = 1 << 24
+
+
+def product(a: DataFrame, c: DataFrame, rows: int, columns: int, b: int = 256) -> DataFrame:
+    """The product of matrices (i, j, v) of `rows` rows and `columns` columns, in blocks; cells left out are 0.
+
+    Tasks form a grid: a block of the first matrix goes to one row of them, one of the second to one column.  A task meets the inner axis block
+    by block and adds up its own part of the product, so there is no row for each term, and an inner position that many cells have is no hot key.
+    Only blocks with cells are sent.
+    """
+    down, across = -(-rows // b), -(-columns // b)
+    g = max(_grid_side(a, max(down, across)), math.isqrt(-(-down * across * b * b // HELD) - 1 if down * across * b * b > HELD else 0) + 1)
+    over = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))
+    kind = "bi long, bj long, x array<double>"
+    left = _held(a, b).withColumn("o", over).select(((F.col("bi") % g) * g + F.col("o")).alias("cell"), F.col("bj").alias("inner"), F.lit(0).alias("side"), F.col("bi").alias("outer"), "x")
+    right = _held(c, b).withColumn("o", over).select((F.col("o") * g + F.col("bj") % g).alias("cell"), F.col("bi").alias("inner"), F.lit(1).alias("side"), F.col("bj").alias("outer"), "x")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
+        at = None
+        for t in batches:
+            x = _matrix(t.column("x"), b * b).reshape(-1, b, b)
+            for n, (inner, side, outer) in enumerate(zip(t.column("inner").to_pylist(), t.column("side").to_pylist(), t.column("outer").to_pylist(), strict=True)):
+                if inner != at:
+                    held, at = {}, inner
+                if side == 0:
+                    held[outer] = x[n].copy()
+                else:
+                    for bi, y in held.items():
+                        z = y @ x[n]
+                        total[bi, outer] = total[bi, outer] + z if (bi, outer) in total else z
+        for (bi, bj), z in total.items():
+            yield pa.RecordBatch.from_pydict({"bi": pa.array([bi]), "bj": pa.array([bj]), "x": _lists(z.reshape(1, -1))})
+
+    sent = left.unionByName(right).repartitionById(g * g, F.col("cell").cast("int")).sortWithinPartitions("inner", "side")
+    out = sent.select("inner", "side", "outer", "x").mapInArrow(summed, kind).select("bi", "bj", F.posexplode("x").alias("at", "v"))
+    out = out.select((F.col("bi") * b + F.floor(F.col("at") / b)).alias("i"), (F.col("bj") * b + F.col("at") % b).alias("j"), "v")
+    return out.where((F.col("i") < rows) & (F.col("j") < columns))
+
+
 def _places(a: DataFrame, rows: int, first: int, columns: int) -> DataFrame:
     return a.sparkSession.range(rows * columns).select(F.floor(F.col("id") / columns).alias("bi"), (F.col("id") % columns + first).alias("bj"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch
+from ..functions import draws
 
 
 def full(spark: SparkSession, shape: tuple[int, ...], value: float) -> DataFrame:
@@ -47,43 +48,30 @@ def linspace(spark: SparkSession, start: float, stop: float, num: int) -> DataFr
     return spark.range(num).select(F.col("id").alias("idx"), (F.lit(float(start)) + F.col("id") * F.lit(step)).alias("v"))
 
 
+def _drawn(spark: SparkSession, n: int, drawn: Column) -> DataFrame:
+    """n draws; each is fixed by the seed and its index, however the rows are partitioned."""
+    return spark.range(n).select(F.col("id").alias("idx"), drawn.alias("v"))
+
+
 def uniform(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("idx"), F.rand(seed).alias("v"))
+    return _drawn(spark, n, draws.uniform(seed, F.col("id")))
 
 
 def normal(spark: SparkSession, n: int, seed: int, mean: float = 0.0, sd: float = 1.0) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("idx"), (F.randn(seed) * sd + mean).alias("v"))
+    return _drawn(spark, n, draws.normal(seed, F.col("id"), mean, sd))
 
 
 def randint(spark: SparkSession, n: int, seed: int, low: int, high: int) -> DataFrame:
     """From low to high, high excluded."""
-    return spark.range(n).select(F.col("id").alias("idx"), (F.floor(F.rand(seed) * (high - low)) + low).alias("v"))
+    return _drawn(spark, n, draws.randint(seed, F.col("id"), low, high))
 
 
 def exponential(spark: SparkSession, n: int, seed: int, scale: float = 1.0) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("idx"), (-scale * F.log1p(-F.rand(seed))).alias("v"))
-
-
-#: Means above this are drawn as sums of several draws.
-POISSON_STEP = 1000.0
+    return _drawn(spark, n, draws.exponential(seed, F.col("id"), 1.0 / scale))
 
 
 def poisson(spark: SparkSession, n: int, seed: int, lam: float) -> DataFrame:
-    """By the inverse of the distribution function, over the counts that are not negligible; a large mean is the sum of smaller ones."""
-    parts = max(1, math.ceil(lam / POISSON_STEP))
-    mean = lam / parts
-    low = max(0, int(mean - 12 * math.sqrt(mean) - 20))
-    total, steps = 0.0, []
-    for k in range(low, int(mean + 12 * math.sqrt(mean) + 20)):
-        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else float(k == 0)
-        steps.append(min(total, 1.0))
-    rows = spark.range(n).select(F.col("id").alias("idx"), *(F.rand(seed + i).alias(f"u{i}") for i in range(parts)), F.lit(steps).alias("steps"))
-
-    def drawn_by(u):  # noqa: ANN001, ANN202  the steps rise: the number of those at or below the draw is the place of the count
-        return low + F.size(F.filter("steps", lambda s: s <= u))
-
-    drawn = [drawn_by(F.col(f"u{i}")) for i in range(parts)]
-    return rows.select("idx", sum(drawn[1:], drawn[0]).cast("long").alias("v"))
+    return _drawn(spark, n, draws.poisson(seed, F.col("id"), lam))
 
 
 def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
@@ -109,5 +97,5 @@ def choice(values: DataFrame, k: int, seed: int, replace: bool = False) -> DataF
             raise DimensionMismatch("fewer values than asked for")
         return out.select("v")
     n = values.count()
-    drawn = spark.range(k).select(F.floor(F.rand(seed) * n).alias("idx"))
+    drawn = spark.range(k).select(draws.randint(seed, F.col("id"), 0, n).alias("idx"))
     return drawn.join(values, "idx").select("v")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SingularMatrix
+from ..functions.roots import complex_roots, roots  # noqa: F401
 from .blocks import as_cells, gram_matrix
+from .signal import chirp
 
 
 def v() -> Column:
@@ -186,24 +187,6 @@ def _integrated(a: Column, k: float) -> Column:
     return F.array_append(F.transform(a, lambda x, i: x.cast("double") / (n - i)), F.lit(float(k)))
 
 
-def _real_roots(c) -> list[float] | None:  # noqa: ANN001
-    if c is None or not len(c):
-        return None if c is None else []
-    if c[0] == 0:
-        raise SingularMatrix("leading coefficient is 0")
-    return sorted(np.roots(np.asarray(c, float)).real.tolist(), reverse=True)
-
-
-def roots(a: Column) -> Column:
-    """The real parts of the roots, largest first: eigenvalues of the companion matrix, row by row in the tasks."""
-
-    @F.pandas_udf("array<double>")
-    def each(rows: pd.Series) -> pd.Series:
-        return rows.map(_real_roots, na_action=None)
-
-    return each(a.cast("array<double>"))
-
-
 # transforms: lanes are gathered in the JVM, and all lanes of one length in a batch are transformed at once
 
 #: Cells of a lane that is transformed in one piece.
@@ -237,39 +220,56 @@ def fft(series: DataFrame, inverse: bool = False, lane: int = LANE) -> DataFrame
     """The transform of each series (key, idx, re, im), numbered from 0 without gaps; the inverse is scaled by 1 / n.
 
     A series of n = a b cells, more than `lane`, is laid out as a by b: lanes of a cells are transformed, turned by their twiddles, and
-    transformed again across, b cells each, so no task holds more than a lane.  a is the divisor of n next above its root; a
-    prime number of cells is one lane.
+    transformed again across, b cells each, so no task holds more than a lane.  b is the divisor of n next below its root.  Where that
+    leaves lanes of more than `lane` cells, as for prime lengths, the transform is a convolution with a chirp, of a power of two.
     """
     lengths = series.groupBy("key").agg(F.count("*").alias("n"))
-    sizes = [r.n for r in lengths.where(F.col("n") > lane).select("n").distinct().collect()]  # lengths above `lane` that occur
-    cut = {n: next(a for a in range(math.isqrt(n - 1) + 1, n + 1) if n % a == 0) for n in sizes}
-    a = F.col("n").cast("long")
-    for n, k in cut.items():
-        a = F.when(F.col("n") == n, F.lit(k).cast("long")).otherwise(a)
-    known = lengths.withColumnRenamed("key", "key_").withColumn("a", a).withColumn("b", F.floor(F.col("n") / F.col("a")))
-    laid = series.join(known, series["key"].eqNullSafe(known.key_)).drop("key_").withColumns({"i": F.floor(F.col("idx") / F.col("b")), "j": F.col("idx") % F.col("b")})
-    first = _lanes(laid.select("key", "n", "a", "b", "j", "i", "re", "im"), ["key", "n", "a", "b", "j"], "i", inverse)
-    whole, more = first.where("b = 1"), first.where("b > 1")
-    out = whole.select("key", F.col("i").alias("idx"), "n", "re", "im")
-    if cut:
+    # one row for each length that is too long for a lane
+    sizes = lengths.where(F.col("n") > lane).select("n").distinct()
+    divisors = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("n"))), lambda d: F.col("n") % d == 0)
+    cut = sizes.withColumn("b", F.array_max(divisors)).withColumn("a", F.expr("n div b")).withColumnRenamed("n", "n_")
+    known = lengths.join(cut, F.col("n") == F.col("n_"), "left").select(F.col("key").alias("key_"), "n", F.coalesce("a", "n").alias("a"), F.coalesce("b", F.lit(1).cast("long")).alias("b"))
+    laid = series.join(known, series["key"].eqNullSafe(known.key_)).drop("key_").withColumns({"i": F.expr("idx div b"), "j": F.col("idx") % F.col("b")})
+    # above a power of two of lane^2 cells lanes grow, as its root does
+    plain = (F.col("a") <= lane) | (F.col("n") <= lane) | (F.bit_count("n") == 1)
+    first = _lanes(laid.where(plain).select("key", "n", "a", "b", "j", "i", "re", "im"), ["key", "n", "a", "b", "j"], "i", inverse)
+    out = first.where("b = 1").select("key", F.col("i").alias("idx"), "n", "re", "im")
+    if not sizes.isEmpty():
         turn = (2 if inverse else -2) * np.pi * (F.col("i") * F.col("j") % F.col("n")) / F.col("n")
         c, s = F.cos(turn), F.sin(turn)
-        turned = more.select("key", "n", "a", "b", "i", "j", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
+        turned = first.where("b > 1").select("key", "n", "a", "b", "i", "j", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
         across = _lanes(turned, ["key", "n", "a", "b", "i"], "j", inverse)
         out = out.unionByName(across.select("key", (F.col("i") + F.col("a") * F.col("j")).alias("idx"), "n", "re", "im"))
+        odd = laid.where(~plain).select("key", "n", "idx", F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+        if not odd.isEmpty():
+
+            def unscaled(x: DataFrame, back: bool = False) -> DataFrame:
+                return fft(x, back, lane)
+
+            out = out.unionByName(chirp(odd, inverse, unscaled).select("key", "idx", "n", "re", "im"))
     scale = F.col("n") if inverse else F.lit(1.0)
     return out.select("key", "idx", (F.col("re") / scale).alias("re"), (F.col("im") / scale).alias("im"))
 
 
 def fftn(cells: DataFrame, axes: list[str], inverse: bool = False, by: list[str] | None = None) -> DataFrame:
-    """The transform of an array (axes, re, im), or of one for each value of `by`, along two or more axes; a lane along an axis is the most that a task holds."""
+    """The transform of an array (axes, re, im), or of one for each value of `by`, along two or more axes; a lane along an axis is the most that a task holds.
+
+    Arrays of `by` may differ in size; the inverse is scaled by the cells of each.
+    """
     by = by or []
     out = cells.select(*by, *axes, "re", "im")
     for axis in axes:
         out = _lanes(out, [*by, *(x for x in axes if x != axis)], axis, inverse).select(*by, *axes, "re", "im")
     if inverse:
-        n = math.prod(int(r) for r in cells.agg(*(F.max(x) + 1 for x in axes)).first())
-        out = out.select(*by, *axes, *((F.col(c) / n).alias(c) for c in ("re", "im")))
+        size = F.lit(1).cast("long")
+        for x in axes:
+            size = size * (F.max(x) + 1)
+        sizes = cells.groupBy(*by).agg(size.alias("__cells"))
+        own = sizes.withColumnsRenamed({c: f"__{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        out = out.join(own if by else F.broadcast(own), same).select(*by, *axes, *((F.col(c) / F.col("__cells")).alias(c) for c in ("re", "im")))
     return out
 
 

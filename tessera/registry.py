@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from . import sources
 from .functions import elementwise as ew
 from .operators import arrays as ar
-from .operators import blocks, create, graph, linalg
-from .operators.order import ordinal, shared_folder
+from .functions import draws
+from .operators import blocks, create, graph, interp, krylov, linalg, select, signal
+from .operators.order import in_lanes, ordinal, shared_folder
 from .plans import Sequential, Sgd
+from .plans.tensor import Tensor, gradients
 from .streaming import windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -858,3 +860,192 @@ def train_dense(s: SparkSession, d: str) -> DataFrame:
     model = Sequential([64, 8, 1], ["tanh", "sigmoid"])
     model.fit(rows, Sgd(1.0), 3)
     return model.forward(rows).select("vec_id", "p")
+
+
+def _moved(a: DataFrame) -> DataFrame:
+    """A matrix of 64 rows with row i at place 7 i + 3 modulo 64, so that no pivot is where it was."""
+    return a.withColumn("i", (_c("i") * 7 + 3) % 64)
+
+
+_ODD = "(SELECT count(*) FROM range(64) a(i), range(64) b(j) WHERE i < j AND (7 * i + 3) % 64 > (7 * j + 3) % 64) % 2 = 1"
+
+
+@query(f"{_U} SELECT round(CASE WHEN {_ODD} THEN -1 - s ELSE 1 + s END, 9) AS determinant FROM s")
+def permuted_determinant(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(blocks.determinant(_moved(_near_unit(s, d)), 64, _B),)], "x double").select(F.round("x", 9).alias("determinant"))
+
+
+@query(ORACLES["linalg_solve"])
+def permuted_solve(s: SparkSession, d: str) -> DataFrame:
+    right = _mean(s, d).withColumn("k", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    right = right.select(_c("j").alias("i"), _c("k").alias("j"), (_c("u") * _c("j") + _c("k")).alias("v"))
+    return _cells_rounded(blocks.solve(_moved(_near_unit(s, d)), _moved(right), 64, _B), 7)
+
+
+@query(f"SELECT a.i, round(sum(a.v * b.v), 4) + 0.0 AS total, round(sum(CASE WHEN a.i = b.i THEN a.v * b.v END), 4) AS own FROM {_GRID} a JOIN {_GRID} b USING (j) GROUP BY a.i")
+def product_of_rows(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings times their transpose, in blocks; of each row of the product its sum and its diagonal cell."""
+    a, n = _grid(s, d), _n(s, d)
+    whole = blocks.product(a, ar.permute(a, ["i", "j"], ["j", "i"]), n, n)
+    return whole.groupBy("i").agg((F.round(F.sum("v"), 4) + 0.0).alias("total"), F.round(F.sum(F.when(_c("i") == _c("j"), _c("v"))), 4).alias("own"))
+
+
+_RANKED = "SELECT o_orderkey AS idx, o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r FROM orders"
+_PLACED = f"(SELECT row_number() OVER (ORDER BY CASE WHEN r < 700 THEN 0 WHEN r = 700 THEN 1 ELSE 2 END, idx) - 1 AS k, idx, v FROM ({_RANKED}))"
+
+
+@query(f"SELECT k AS idx, v FROM {_PLACED}")
+def partition(s: SparkSession, d: str) -> DataFrame:
+    return select.partition(_prices(s, d).select("idx", "v"), 700)
+
+
+@query(f"SELECT k, idx FROM {_PLACED}")
+def argpartition(s: SparkSession, d: str) -> DataFrame:
+    return select.argpartition(_prices(s, d).select("idx", "v"), 700)
+
+
+@query("SELECT user_id, median(value) AS median FROM events GROUP BY user_id")
+def median_of_lanes(s: SparkSession, d: str) -> DataFrame:
+    return select.median(_t(s, d, "events").select("user_id", _c("value").alias("v")), ["user_id"])
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    """The prices of all line items as one vector."""
+    return ordinal(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber", _c("l_extendedprice").alias("v")), ["l_orderkey", "l_linenumber", "v"], "idx").select("idx", "v")
+
+
+_ITEMS = "(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS idx, l_extendedprice AS v FROM lineitem)"
+
+
+@query(f"SELECT idx, round(d, 4) + 0.0 AS v FROM (SELECT idx, lead(v) OVER (ORDER BY idx) - v AS d FROM {_ITEMS}) WHERE d IS NOT NULL")
+def diff_of_one_lane(s: SparkSession, d: str) -> DataFrame:
+    return ar.diff(_items(s, d), "idx", []).select("idx", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@query(f"""SELECT idx, round(CASE WHEN b IS NULL THEN a - v WHEN a IS NULL THEN v - b ELSE (a - b) / 2 END, 4) + 0.0 AS v
+FROM (SELECT idx, v, lag(v) OVER (ORDER BY idx) AS b, lead(v) OVER (ORDER BY idx) AS a FROM {_ITEMS})""")
+def gradient_of_one_lane(s: SparkSession, d: str) -> DataFrame:
+    return ar.gradient(_items(s, d), "idx", []).select("idx", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY v, idx) - 1 AS k, idx FROM {_ITEMS}")
+def argsort_of_one_lane(s: SparkSession, d: str) -> DataFrame:
+    return ar.argsort(_items(s, d), "idx", [])
+
+
+@query("SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS k FROM lineitem")
+def places_in_uneven_lanes(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return in_lanes(rows, ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_orderkey", "l_linenumber"], "k").drop("l_extendedprice")
+
+
+def _interpolated(kind: str, low: str, high: str) -> str:
+    between = "y0 + (x - x0) * (y1 - y0) / (x1 - x0)" if kind == "linear" else "CASE WHEN x - x0 <= x1 - x THEN y0 ELSE y1 END"
+    return f"""WITH k AS (SELECT s_suppkey * 2.0::DOUBLE AS x0, s_acctbal AS y0, lead(s_suppkey * 2.0::DOUBLE) OVER w AS x1, lead(s_acctbal) OVER w AS y1, lag(s_suppkey * 2.0::DOUBLE) OVER w AS xb, lag(s_acctbal) OVER w AS yb FROM supplier WINDOW w AS (ORDER BY s_suppkey)),
+e AS (SELECT min(x0) AS lo, max(x0) AS hi, min_by(y0, x0) AS y_lo, max_by(y0, x0) AS y_hi FROM k), f AS (SELECT x0 AS xf, y0 AS yf, x1 AS xg, y1 AS yg FROM k ORDER BY x0 LIMIT 1),
+p AS (SELECT o_orderkey, o_totalprice / 1000 - 20 AS x FROM orders)
+SELECT p.o_orderkey, round(CASE WHEN x < lo THEN {low} WHEN x > hi THEN {high} WHEN x = x0 THEN y0 ELSE {between} END, 4) + 0.0 AS y FROM p ASOF LEFT JOIN k ON p.x >= k.x0, e, f"""
+
+
+def _points(s: SparkSession, d: str, kind: str, bounds: str) -> DataFrame:
+    knots = _t(s, d, "supplier").select((_c("s_suppkey") * 2.0).alias("x"), _c("s_acctbal").alias("y"))
+    points = _t(s, d, "orders").select("o_orderkey", (_c("o_totalprice") / 1000 - 20).alias("x"))
+    return interp.interpolate(points, knots, kind=kind, bounds=bounds, fill=-1.0).select("o_orderkey", (F.round("y", 4) + 0.0).alias("y"))
+
+
+@query(_interpolated("linear", "y_lo", "y_hi"))
+def interpolate_clamp(s: SparkSession, d: str) -> DataFrame:
+    return _points(s, d, "linear", "clamp")
+
+
+@query(_interpolated("nearest", "-1.0", "-1.0"))
+def interpolate_nearest(s: SparkSession, d: str) -> DataFrame:
+    return _points(s, d, "nearest", "fill")
+
+
+@query(_interpolated("linear", "yf + (x - xf) * (yg - yf) / (xg - xf)", "yb + (x - xb) * (y0 - yb) / (x0 - xb)"))
+def interpolate_extrapolate(s: SparkSession, d: str) -> DataFrame:
+    return _points(s, d, "linear", "extrapolate")
+
+
+def _two_vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    prices = ordinal(_t(s, d, "orders").select("o_orderkey", (_c("o_totalprice") / 1e5).alias("v")), ["o_orderkey"], "idx").select("idx", "v")
+    return prices, _t(s, d, "supplier").select(_c("s_suppkey").cast("long").alias("idx"), (_c("s_acctbal") / 1e4).alias("v"))
+
+
+_BOTH = "WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice / 1e5 AS v FROM orders), b AS (SELECT s_suppkey AS j, s_acctbal / 1e4 AS v FROM supplier), n AS (SELECT (SELECT count(*) FROM a) AS n, (SELECT count(*) FROM b) AS m)"
+
+
+@query(f"{_BOTH} SELECT a.i + b.j AS idx, round(sum(a.v * b.v), 6) + 0.0 AS v FROM a, b GROUP BY a.i + b.j")
+def convolve_tables(s: SparkSession, d: str) -> DataFrame:
+    a, b = _two_vectors(s, d)
+    return signal.convolve_tables(a, b).select("idx", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"{_BOTH} SELECT a.i - b.j AS idx, round(sum(a.v * b.v), 6) + 0.0 AS v FROM a, b, n WHERE a.i - b.j BETWEEN 0 AND n - m GROUP BY a.i - b.j")
+def correlate_tables(s: SparkSession, d: str) -> DataFrame:
+    a, b = _two_vectors(s, d)
+    return signal.correlate_tables(a, b, mode="valid").select("idx", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(ORACLES["fft"])
+def fft_of_any_length(s: SparkSession, d: str) -> DataFrame:
+    """Lanes of eight cells at most, so longer series of prime lengths go by the chirp."""
+    return linalg.fft(_series(s, d), lane=8).select(*_wave("key", "idx"))
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT p AS i, q AS j, round(sum(v * cos(-2 * pi() * ((i * p % n) / n + (j * q % 64) / 64))), 5) + 0.0 AS re, round(sum(v * sin(-2 * pi() * ((i * p % n) / n + (j * q % 64) / 64))), 5) + 0.0 AS im
+FROM {_GRID}, n, range(4) AS a(p), range(4) AS b(q) GROUP BY p, q""")
+def fftn_low(s: SparkSession, d: str) -> DataFrame:
+    """The transform of the whole matrix; of it the lowest frequencies."""
+    cells = _grid(s, d).select("i", "j", _c("v").alias("re"), F.lit(0.0).alias("im"))
+    return linalg.fftn(cells, ["i", "j"]).where("i < 4 and j < 4").select("i", "j", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"))
+
+
+@query("SELECT CAST(k AS INT) AS k, true AS found, true AS real FROM range(3) AS t(k)")
+def leading_eigenvalues(s: SparkSession, d: str) -> DataFrame:
+    """Of the symmetric matrix of quantities between suppliers and parts: whether each leading value and vector hold to within 1e-6 of it."""
+    trade = _t(s, d, "lineitem").groupBy(_c("l_suppkey").cast("long").alias("u"), _c("l_partkey").cast("long").alias("w")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    suppliers, parts = trade.agg(F.max("u"), F.max("w")).first()
+    n, place = suppliers + parts + 2, _c("w") + suppliers + 1
+    one_way = trade.select(_c("u").alias("i"), place.alias("j"), "v")
+    values, vectors = krylov.eigs(one_way.unionByName(one_way.select(_c("j").alias("i"), _c("i").alias("j"), "v")), n, 3, symmetric=True)
+    off = krylov.residuals(one_way.unionByName(one_way.select(_c("j").alias("i"), _c("i").alias("j"), "v")), values, vectors)
+    return s.createDataFrame([(k, bool(off[k] <= 1e-6 * abs(values[k]) and values[k] != 0), bool(values[k].imag == 0)) for k in range(3)], "k int, found boolean, real boolean")
+
+
+@query("SELECT p_partkey, CAST(k AS INT) AS k, 1.0::DOUBLE AS re, round((1 - 2 * k) * sqrt(p_size), 6) AS im FROM part, range(2) AS t(k)")
+def complex_roots(s: SparkSession, d: str) -> DataFrame:
+    """Of x^2 - 2 x + 1 + size: 1 and, turned both ways, i times the root of the size."""
+    r = linalg.complex_roots(F.array(F.lit(1.0), F.lit(-2.0), _c("p_size") + F.lit(1.0)))
+    return _t(s, d, "part").select("p_partkey", F.posexplode(r).alias("k", "z")).select("p_partkey", "k", F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
+
+
+def _generator(seed: int) -> str:
+    """The rounds of the generator as common table expressions over the orders' keys."""
+    out = "WITH r0 AS (SELECT o_orderkey AS id, o_orderkey & 4294967295 AS a, o_orderkey >> 32 AS b, 0::BIGINT AS c, 0::BIGINT AS d FROM orders)"
+    x, y = seed & draws.MASK, seed >> 32
+    for k in range(draws.ROUNDS):
+        high, low = (lambda m, c: f"(({m} * ({c} >> 16) + (({m} * ({c} & 65535)) >> 16)) >> 16)"), (lambda m, c: f"(((({m} * ({c} >> 16) + (({m} * ({c} & 65535)) >> 16)) & 65535) << 16) | (({m} * ({c} & 65535)) & 65535))")
+        m, n = draws.MULTIPLIERS
+        out += f", r{k + 1} AS (SELECT id, xor(xor({high(n, 'c')}, b), {x}::BIGINT) AS a, {low(n, 'c')} AS b, xor(xor({high(m, 'a')}, d), {y}::BIGINT) AS c, {low(m, 'a')} AS d FROM r{k})"
+        x, y = x + draws.STEPS[0] & draws.MASK, y + draws.STEPS[1] & draws.MASK
+    return out + f", u AS (SELECT id, ((a >> 5) * 67108864 + (b >> 6)) / 9007199254740992.0::DOUBLE AS u, ((c >> 5) * 67108864 + (d >> 6)) / 9007199254740992.0::DOUBLE AS v FROM r{draws.ROUNDS})"
+
+
+@query(f"{_generator(42)} SELECT id, round(2 + 3 * u, 9) AS uniform, round(sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v), 6) + 0.0 AS normal, CAST(floor(u * 10) AS BIGINT) - 5 AS whole, round(-ln(1 - u) / 0.5, 6) AS exponential FROM u")
+def seeded_draws(s: SparkSession, d: str) -> DataFrame:
+    i = _c("o_orderkey")
+    return _t(s, d, "orders").select(
+        i.alias("id"), F.round(draws.uniform(42, i, 2, 5), 9).alias("uniform"), (F.round(draws.normal(42, i), 6) + 0.0).alias("normal"), draws.randint(42, i, -5, 5).alias("whole"), F.round(draws.exponential(42, i, 0.5), 6).alias("exponential"),
+    )
+
+
+@query(f"""WITH z AS (SELECT i, 1 / (1 + exp(-sum(v * (0.1 * (j % 5 - 2))) - 0.25)) AS p FROM {_GRID} GROUP BY i), e AS (SELECT i, 2 * (p - label % 2) * p * (1 - p) AS e FROM z JOIN embeddings ON i = vec_id)
+SELECT CAST(j AS INT) AS j, round(sum(e * v), 6) + 0.0 AS g FROM e JOIN {_GRID} USING (i) GROUP BY j UNION ALL SELECT 64, round(sum(e), 6) + 0.0 FROM e""")
+def tensor_gradients(s: SparkSession, d: str) -> DataFrame:
+    """The derivative of the squared error of a sigmoid unit over all embeddings, by its 64 weights and its constant (64)."""
+    rows = _t(s, d, "embeddings").select("embedding", F.array((_c("label") % 2).cast("double")).alias("y"))
+    w, b = Tensor.weight([[0.1 * (j % 5 - 2)] for j in range(64)]), Tensor.weight([0.25])
+    _, (gw, gb) = gradients(rows, (Tensor.column("embedding", 64) @ w + b).sigmoid().mse_loss(Tensor.column("y", 1)), [w, b])
+    return s.createDataFrame([(j, float(g)) for j, g in enumerate([*gw.ravel(), *gb])], "j int, g double").select("j", (F.round("g", 6) + 0.0).alias("g"))
