@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import draws
+
 NAN, INF = float("nan"), float("inf")
 
 
@@ -183,9 +185,10 @@ def replace(x: Column, old: float, new: float) -> Column:
     return F.when(equal(x, F.lit(old)), F.lit(new)).otherwise(x)
 
 
-def dropout(x: Column, rate: float, seed: int) -> Column:
-    """0 by the chance `rate`, else scaled so that the mean stays; for training only."""
-    return F.when(F.rand(seed) > rate, x / F.lit(1.0 - rate)).otherwise(F.lit(0.0)) if rate < 1 else F.lit(0.0)
+def dropout(x: Column, rate: float, seed: int, index: Column | None = None) -> Column:
+    """0 by the chance `rate`, else scaled so that the mean stays; for training only.  With an index the outcome depends on seed and index alone."""
+    drawn = F.rand(seed) if index is None else draws.uniform(seed, index)
+    return F.when(drawn > rate, x / F.lit(1.0 - rate)).otherwise(F.lit(0.0)) if rate < 1 else F.lit(0.0)
 
 
 # complex numbers: struct<re: double, im: double>

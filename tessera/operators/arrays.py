@@ -225,7 +225,7 @@ def take(a: DataFrame, axis: str, positions: list[int], size: int) -> DataFrame:
     if any(not 0 <= p < size for p in positions):
         raise IndexOutOfBounds(f"{positions} of {size}")
     wanted = a.sparkSession.createDataFrame([(p, k) for k, p in enumerate(positions)], f"{axis} long, __k long")
-    return a.join(F.broadcast(wanted), axis).withColumn(axis, F.col("__k")).drop("__k")
+    return a.join(wanted, axis).withColumn(axis, F.col("__k")).drop("__k")
 
 
 def find(a: DataFrame, predicate: Column, at: str = "idx") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DepthLimit
-from .order import fixed
+from .order import fixed, release
 
 
 #: Levels of a search that are kept as tables of their own.
@@ -30,7 +30,8 @@ def bfs(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
             raise DepthLimit(f"nodes lie deeper than {most} levels")
         levels.append(frontier)
         if len(levels) > LEVELS:  # what was visited is written anew only now and then
-            levels = [fixed(_all(levels))]
+            old, levels = levels, [fixed(_all(levels))]
+            release(*(x for x in old if x is not frontier))
 
 
 def _all(levels: list[DataFrame]) -> DataFrame:

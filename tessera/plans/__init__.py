@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..operators.order import fixed, release
 from pyspark.sql import types as T
 
 from ..errors import RankMismatch
@@ -212,8 +214,8 @@ class Sequential:
         return [np.array([loss, count]), *grads]
 
     def fit(self, rows: DataFrame, optimiser: Sgd | RmsProp | Adam, epochs: int) -> list[float]:
-        """Full-batch epochs over rows with x and y (arrays): each partition sends one sum of gradients.  Returns the losses."""
-        losses = []
+        """Full-batch epochs over rows with x and y (arrays), written once: each partition sends one sum of gradients.  Returns the losses."""
+        losses, rows = [], fixed(rows.select("x", "y"))
         for epoch in range(epochs):
             model = self
             for layer in self.layers:
@@ -239,4 +241,5 @@ class Sequential:
                     old = getattr(layer, name)
                     setattr(layer, name, optimiser.step(f"{name}{k}", old, flat[at : at + old.size].reshape(old.shape) / flat[1]))
                     at += old.size
+        release(rows)
         return losses

@@ -135,3 +135,14 @@ def test_tables_are_removed(spark):
 def test_large_determinant(spark):
     big = cells(spark, np.diag([1e200, 1e200, 1e-8]))
     assert blocks.determinant(big, 3, 2) == float("inf") and np.isclose(blocks.determinant(cells(spark, np.diag([1e200, 1e-8, 1e120])), 3, 2), 1e200 * 1e112)
+
+
+@pytest.mark.parametrize("b", [1, 3, 16])
+def test_product(spark, monkeypatch, b):
+    monkeypatch.setattr(blocks, "HELD", 40)
+    rng = np.random.default_rng(b)
+    x, y = np.where(rng.random((7, 5)) < 0.5, rng.standard_normal((7, 5)), 0), rng.standard_normal((5, 8))
+    x[2] = 0
+    got = blocks.product(cells(spark, x), cells(spark, y), 7, 8, b)
+    assert np.allclose(dense(got, (7, 8)), x @ y) and got.groupBy("i", "j").count().where("count > 1").isEmpty()
+    assert blocks.product(cells(spark, x).where("false"), cells(spark, y), 7, 8, b).count() == 0

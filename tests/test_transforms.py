@@ -20,6 +20,13 @@ def test_split_lanes(spark, inverse):
         assert [i for i, _ in own] == list(range(len(x))) and np.allclose([z for _, z in own], (np.fft.ifft if inverse else np.fft.fft)(x))
 
 
+def test_arrays_of_several_sizes(spark):
+    held = {k: np.random.default_rng(k).standard_normal(shape) for k, shape in {1: (2, 2), 2: (4, 4), 3: (1, 5)}.items()}
+    cells = spark.createDataFrame([(k, *p, float(v), 0.0) for k, x in held.items() for p, v in np.ndenumerate(x)], "k long, i long, j long, re double, im double")
+    back = {(r.k, r.i, r.j): r.re for r in linalg.fftn(linalg.fftn(cells, ["i", "j"], by=["k"]), ["i", "j"], inverse=True, by=["k"]).collect()}
+    assert len(back) == 25 and all(abs(back[k, *p] - v) < 1e-12 for k, x in held.items() for p, v in np.ndenumerate(x))
+
+
 def test_arrays_of_axes(spark):
     x = np.random.default_rng(2).standard_normal((3, 4, 5))
     cells = spark.createDataFrame([(*p, float(v), 0.0) for p, v in np.ndenumerate(x)], "i long, j long, k long, re double, im double")
