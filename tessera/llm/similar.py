@@ -137,7 +137,7 @@ def _pairs(least: Fraction, nearest: bool):
                 once = (left[x] == right[x]) | (block[x] != block[y])  # pairs within a block are compared in the block's own group
                 good = np.flatnonzero(once & (root[x] != root[y]) & (place[x] <= n[x] - need) & (place[y] <= n[y] - need))
                 # sets of n and m shingles that are similar enough differ in n + m - 2 need at most
-                apart = np.bitwise_count(sketch[x[good]] ^ sketch[y[good]]).sum(axis=1)
+                apart = np.bitwise_count((sketch[x[good]] ^ sketch[y[good]]).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of a negative number it would count the bits of its size
                 near = apart <= (n[x] + n[y] - 2 * need)[good]
                 p, q, apart = x[good[near]], y[good[near]], apart[near]
                 if not nearest and len(p):
