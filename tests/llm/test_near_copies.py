@@ -111,3 +111,15 @@ def test_copies_with_edits(spark, monkeypatch, block):
         label = new
     got = similar.one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == [i for i, k in enumerate(label) if i == k]
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 20, 300, 3000):
+        a, b = (np.unique(rng.integers(-(2**63), 2**63 - 1, n)) for _ in range(2))
+        b = np.unique(np.concatenate([b[: n // 10], a[n // 10 :]]))
+        differ = len(np.setxor1d(a, b))
+        apart = int(np.bitwise_count((similar.odd_sketch(a) ^ similar.odd_sketch(b)).view(np.uint64)).sum())
+        assert apart <= differ and (n < 100 or apart > 0)
