@@ -36,7 +36,7 @@ def fixed(df: DataFrame) -> DataFrame:
 
 def release(*tables: DataFrame) -> None:
     """Remove tables that fixed() wrote and that nothing lazy reads any more; others are left alone."""
-    for table in tables:
+    for table in (t for t in tables if isinstance(t, DataFrame)):
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             if path.rsplit("/", 1)[-1].startswith("fixed-"):
                 folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
