@@ -15,8 +15,9 @@ label at `sure` or more becomes a span.
 
 All three kinds of weights are fitted together, by the pseudo-likelihood of a bounded sample.  Its labels are those of the base
 spans, and `other` for candidates that no pattern takes, unless such a one resembles a base span or stands next to another
-number: what these are is for the field to say, and they are left open.  Half of the base spans, by a hash, hide their
-shape, so that neighbours and repeats have something to explain.
+number: what these are is for the field to say, and they are left open.  Half of the labelled candidates, by a hash, are hidden,
+half of these wholly and half but for their length and the word before, so that only neighbours and other mentions tell what they
+are: the weights of skip edges are learnt from there and start at nothing.
 """
 
 from __future__ import annotations
@@ -244,9 +245,10 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, n in enumerate(nodes):
                 if label[i] is None:
                     continue
-                hidden = n.label is not None and zlib.crc32(f"{i} {n.keys[0]}".encode()) % 2
-                # a hidden candidate shows the word before it and how many digits it has
-                features = [n.features[0], n.features[-1]] if hidden else n.features
+                hidden = zlib.crc32(f"{i} {n.keys[0]}".encode()) % 4
+                # 1: shows the word before it and how many digits it has, 2: shows nothing
+                features = {1: [n.features[0], n.features[-1]], 2: ["hidden"]}.get(hidden, n.features)
+                hidden = hidden in (1, 2)
                 around = [label[j] if 0 <= j < len(nodes) else None for j in (i - 1, i + 1)]
                 counts["\t".join(features), "11111" if hidden else n.allowed, *(-1 if x is None else x for x in around), ",".join(map(str, linked[i])), label[i]] += 1
         keys = list(counts)
@@ -255,10 +257,6 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(list(counts.values()), pa.int64())})
 
 
-#: Scores of pairs of labels at skip edges that hold before anything is seen: candidates that resemble each other agree.
-_AGREE = 6.0 * np.diag([1.0] * len(KINDS) + [0.5])
-
-
 def objective(u: np.ndarray, c: np.ndarray, s: np.ndarray, data: _Data) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """The penalised negative log pseudo-likelihood and its gradients by unary, chain and skip weights."""
     z = data.barred.copy()
@@ -281,8 +279,8 @@ def objective(u: np.ndarray, c: np.ndarray, s: np.ndarray, data: _Data) -> tuple
     back = np.zeros_like(c)
     np.add.at(back, data.after[has_after], p[has_after])
     ds = data.linked.T @ p
-    loss += 0.05 * (u * u).sum() + 0.5 * (c * c).sum() + 0.25 * ((s - _AGREE) ** 2).sum()
-    return loss, du + 0.1 * u, dc + back.T + c, ds + 0.5 * (s - _AGREE)
+    loss += 0.05 * (u * u).sum() + 0.5 * (c * c).sum() + 0.05 * (s * s).sum()
+    return loss, du + 0.1 * u, dc + back.T + c, ds + 0.1 * s
 
 
 @dataclass
@@ -307,7 +305,7 @@ def fitted(observed: list, steps: int = 300) -> Model:
         np.array([[0.0 if x == "1" else -50.0 for x in r.allowed] for r in observed]).reshape(-1, k), np.array([r.before for r in observed], np.int64), np.array([r.after for r in observed], np.int64),
         np.array([[float(v) for v in r.linked.split(",")] for r in observed]).reshape(-1, k), np.array([r.y for r in observed], np.int64), np.array([r.n for r in observed], float),
     )
-    weights = [np.zeros((len(names), k)), np.zeros((k, k)), _AGREE.copy()]
+    weights = [np.zeros((len(names), k)), np.zeros((k, k)), np.zeros((k, k))]
     moved = [np.zeros_like(w) for w in weights]
     for _ in range(steps if observed else 0):
         _, *grads = objective(*weights, data)
@@ -321,8 +319,8 @@ def fitted(observed: list, steps: int = 300) -> Model:
 def train(docs: DataFrame, sample: int = 20000, shapes: int = 50000) -> Model:
     """A field fitted on about `sample` documents, those with the smallest hashes of doc_id, as the `shapes` commonest rows of _observed sum them up.
 
-    Documents that share a doc_id are in or out together; only sums come to the driver.  Without any candidate in the sample only the
-    prior holds, that candidates which resemble each other agree.
+    Documents that share a doc_id are in or out together; only sums come to the driver.  Without any candidate in the sample all weights
+    are 0, and the field adds nothing.
     """
     hashed = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
     bound = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]

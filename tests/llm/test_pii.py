@@ -131,6 +131,28 @@ def test_skip_edge_finds_the_second_mention(model):
     assert ("email", "john.smith") in found("john.smith@mail.example.com wrote. Then john.smith left.", model) and found("Then john.smith left.", model) == []
 
 
+def repeats(rng):
+    """Texts that name a phone as the patterns know it and, far on, without its plus."""
+    for _ in range(50):
+        a, b = rng.randint(200, 999), rng.randint(1000, 9999)
+        yield f"Call +1 ({a}) 555-{b} today." + " word" * rng.randint(50, 500) + f" Then {a}-555-{b} again.", f"{a}-555-{b}"
+
+
+def test_spans_that_only_skip_edges_give(model):
+    off = pii.Model(model.unary, model.chain, np.zeros_like(model.skip))
+    planted = list(repeats(random.Random(5)))
+    assert [found(t, model) for t, _ in planted] == [[("phone", p)] for _, p in planted]
+    assert all(found(t, off) == [] for t, _ in planted)
+
+
+def test_skip_weights_are_learnt(spark, model, corpus):
+    agree = np.diag(model.skip)[:4]
+    assert agree.min() > 2 and model.skip[~np.eye(5, dtype=bool)].max() < 0.5
+    once = [(i, " words stand here ".join(dict.fromkeys(t.split(" words stand here ")))) for i, t in corpus]
+    assert np.abs(pii.train(spark.createDataFrame(once, "doc_id long, text string")).skip).max() == 0
+    assert all((w == 0).all() for w in (pii.fitted([]).chain, pii.fitted([]).skip))
+
+
 def test_clean_texts_stay_clean(model, corpus):
     for text in ("token = 5d190bd7c06284de91015a36974748794293dd8a", "id 9807915762804490 and 9807915762804490", "1.2.3.444 and 300.1.1.1", "a@b and @home", "in 2024-2025, 12 000 000 of 1,234,567"):
         assert found(text, model) == [], text
