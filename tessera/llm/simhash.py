@@ -258,12 +258,18 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
 
 
 def kept_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """docs with one row of each root of named (doc_id, key of the text, root): one of the smallest doc_id, a null doc_id last."""
+    """docs with one row of each root of named (doc_id, key of the text, root): one of the smallest doc_id, a null doc_id last.
+
+    Of rows that share doc_id and text that stays which is least by its other columns, as JSON in order of their names.
+    """
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.key").alias("__key"))
     marked = docs.withColumn("__text", text_key())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
-    return marked.join(best, same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+    # to_json leaves out nulls, so a row without a value comes before or after those with one, but always in the same place
+    others = F.to_json(F.struct(F.col("text").isNull().alias("none"), *(F.col(f"`{c}`") for c in sorted(docs.columns) if c not in ("doc_id", "text"))))
+    one = marked.join(best, same, "left_semi").groupBy("doc_id", "__text").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), others).alias("__row"))
+    return one.select("__row.*")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:

@@ -19,6 +19,8 @@ Before whole sets are fetched, odd sketches are compared: BITS parities of the s
 changes one bit of the difference, so sets differ in at least as many shingles as sketches in bits, and a pair whose sketches are
 too far apart is no link.  Pairs of a group are held against this where they meet; members of a large group that are edited apart
 leave no rows behind.
+
+A set is known by 64 bits of a hash of 128; sets that these bits mix up are told apart by the others.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ def _first(n: int, least: Fraction) -> int:
 
 
 def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, key (of the text), node (of the set of shingles), fp (its fingerprint), n (its size), sketch, and head, its first shingles in the order."""
+    """doc_id, key (of the text), node (of the set of shingles), more (of its hash), fp (its fingerprint), n (its size), sketch, and head, its first shingles in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +84,12 @@ def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarra
         trim()
         for b in batches:
             for at in range(0, b.num_rows, 250):
-                nodes, prints, sizes, heads, sketches = [], [], [], [], []
+                nodes, more, prints, sizes, heads, sketches = [], [], [], [], [], []
                 for t in b.column("text").slice(at, 250):
                     own = shingles(t.as_py(), shingle)
-                    nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                    whole = xxhash.xxh3_128_intdigest(own.tobytes(), 7)
+                    nodes.append(whole & (1 << 64) - 1)
+                    more.append(whole >> 64)
                     prints.append(majority(own.view(np.uint64)))
                     place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                     rank = np.where(known[place] == own, often[place], 0) if len(known) else np.zeros(len(own))
@@ -93,13 +97,24 @@ def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarra
                     sketches.append(odd_sketch(own))
                     heads.append(own[np.argsort(rank, kind="stable")[: _first(len(own), least)]] if len(own) else own)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": b.column("doc_id").slice(at, 250), "key": b.column("key").slice(at, 250), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    "doc_id": b.column("doc_id").slice(at, 250), "key": b.column("key").slice(at, 250), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "more": pa.array(np.array(more, np.uint64).view(np.int64)),
                     "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(sketches, pa.list_(pa.int64())),
                     "head": pa.array(heads, pa.list_(pa.int64())),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    return rows.mapInArrow(sets, "doc_id long, key long, node long, fp long, n int, sketch array<long>, head array<long>")
+    return rows.mapInArrow(sets, "doc_id long, key long, node long, more long, fp long, n int, sketch array<long>, head array<long>")
+
+
+def told_apart(sets: DataFrame) -> DataFrame:
+    """sets (node, more, ...), a written table, in which each node has one `more`: the least keeps the node, the others get a new one."""
+    while True:
+        mixed = sets.groupBy("node").agg(F.min("more").alias("__least"), F.max("more").alias("__most")).where("__least < __most").drop("__most")
+        if mixed.isEmpty():
+            return sets
+        own = F.when(F.col("more") > F.col("__least"), F.xxhash64("node", "more")).otherwise(F.col("node"))
+        old, sets = sets, materialise(sets.join(mixed, "node", "left").withColumn("node", own).drop("__least"), "sets")
+        discard(old)
 
 
 def _may(least: Fraction, n: Column, m: Column, p: Column, q: Column) -> Column:
@@ -299,7 +314,7 @@ def one_of_similar(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction
     A group is what can be reached by steps between texts whose sets of `shingle`-word shingles have a Jaccard similarity
     of at least `least`; a text of fewer words is one shingle, and texts without words are similar to each other.
     """
-    sets = materialise(_sets(docs, shingle, least, _order(docs, shingle)), "sets")
+    sets = told_apart(materialise(_sets(docs, shingle, least, _order(docs, shingle)), "sets"))
     roots = connected_components(similar_links(docs, sets, shingle, least))
     named = sets.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     return kept_rows(docs, named)

@@ -123,3 +123,20 @@ def test_sketches_bound_the_difference():
         differ = len(np.setxor1d(a, b))
         apart = int(np.bitwise_count((similar.odd_sketch(a) ^ similar.odd_sketch(b)).view(np.uint64)).sum())
         assert apart <= differ and (n < 100 or apart > 0)
+
+
+def test_kept_row_does_not_depend_on_order(spark):
+    text = "one text that stands in several rows of one document here"
+    rows = [(1, text, "b", "en", {"x": 1}), (1, text, "a", "fr", {"x": 2}), (1, text, None, "de", None), (2, text, "a", "en", None), (None, None, "c", "en", None), (None, "", "b", "en", None), (None, "", "b", "en", {"x": 1})]
+    for parts, order in ((1, rows), (3, rows[::-1]), (7, rows[3:] + rows[:3])):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, lang string, `more.of` map<string, int>").repartition(parts)
+        kept = similar.one_of_similar(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, text, None, "de", None), (None, "", "b", "en", {"x": 1})], key=repr)
+
+
+def test_sets_that_share_a_node_are_told_apart(spark):
+    rows = [(5, 1, "a"), (5, 1, "b"), (5, 2, "c"), (5, 3, "d"), (5, 3, "e"), (6, 9, "f")]
+    sets = similar.materialise(spark.createDataFrame(rows, "node long, more long, name string"), "sets")
+    got = {r.name: r.node for r in similar.told_apart(sets).collect()}
+    assert got["a"] == got["b"] == 5 and got["f"] == 6 and got["d"] == got["e"] and len({got[x] for x in "acdf"}) == 4
