@@ -42,6 +42,8 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame, trained: str = "assi
     if role and text agree, whatever their numbers.  A null role or text is empty.  Rows without pair_id are left out.  Conversations
     that agree throughout give empty completions; where one is the beginning of the other its completion is empty.  Repeated rows are
     turns of their own.  Masks list start:end, comma-joined, over the completion.  Other columns are ignored.
+    Texts of any length are rendered whole and unescaped, so one that holds the marks of a turn reads as a turn.  An empty table on either
+    side gives an empty table.
     """
     both = _turns(chosen, "c").join(_turns(rejected, "r"), "pair_id")
     n = F.least(F.size("c"), F.size("r"))

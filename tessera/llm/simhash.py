@@ -249,7 +249,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
 
     component_id is the smallest doc_id that can be reached by steps of at most `radius` differing bits.  Null, empty and
     blank texts have fingerprint 0 and are linked like others.  Rows with one doc_id each have their row; a null doc_id is
-    passed over for the smallest, unless a component has no other.  An empty table gives an empty table.
+    passed over for the smallest, unless a component has no other.  A text of any length is read whole, in memory in proportion to it.
+    Other columns, of whatever name, are ignored.  An empty table gives an empty table.
     """
     prints, own = _rooted(docs, shingle, radius)
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
