@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 from ..errors import DimensionMismatch
 from .order import fixed
 
-#: Cells of a kernel that is sent to all tasks, and of the blocks that it meets at the least.
-SHORT = 1 << 14
+#: Cells of a kernel that is sent to all tasks at most.
+SHORT = 1 << 20
+#: Cells of the blocks that it meets at the least, and, unless it is longer itself, at the most.
+BLOCK, WIDE = 1 << 14, 1 << 20
 #: Cells of a kernel up to which products are summed directly.
 DIRECT = 256
 
 
-
 def convolve_tables(a: DataFrame, b: DataFrame, n: int | None = None, m: int | None = None, mode: str = "full") -> DataFrame:
     """(idx, v) of the convolution of two vectors (idx, v) of n and m cells; without a length a vector reaches to its last cell.
 
     Cells left out and nulls count as 0.  mode: full, same (as long as the longer one) or valid.
 
-    If the shorter vector has SHORT cells at most, it goes to all tasks, the longer one is cut into blocks, and the blocks' overlapping results
-    are summed by place.  If both are longer, the product of their transforms, of a common length, is transformed back.
+    If the shorter vector has SHORT cells at most, it goes to all tasks, the longer one is cut into blocks of at least its length, one in a task
+    at a time, and the blocks' overlapping results are summed by place.  If both are longer, the product of their transforms, of a common length, is transformed back.
     """
     n, m = (size if size is not None else (None if (last := x.agg(F.max("idx")).first()[0]) is None else last + 1) for x, size in ((a, n), (b, m)))
     if not n or not m:
@@ -50,23 +51,37 @@ def correlate_tables(a: DataFrame, b: DataFrame, n: int | None = None, m: int |
 
 def _overlapped(a: DataFrame, b: DataFrame, m: int) -> DataFrame:
     kernel = np.zeros(m)
-    for r in b.where(F.col("v").isNotNull()).select("idx", F.col("v").cast("double").alias("v")).collect():  # m cells at most
-        kernel[r.idx] += r.v
-    size = max(SHORT, m)
-    cells = F.collect_list(F.struct((F.col("idx") % size).cast("int").alias("at"), F.col("v").cast("double").alias("v")))
-    blocks = a.where(F.col("v").isNotNull()).groupBy(F.floor(F.col("idx") / size).alias("block")).agg(cells.alias("c")).select("block", F.col("c.at").alias("at"), F.col("c.v").alias("v"))
+    some = b.where(F.col("v").isNotNull()).select("idx", F.col("v").cast("double").alias("v")).toPandas()  # m cells at most
+    np.add.at(kernel, some["idx"].to_numpy(np.int64), some["v"].to_numpy(float))
+    # blocks of a few kernels' length, so that few places have two results to sum
+    size = max(BLOCK, min(4 * m, WIDE), m)
+    cells = a.where(F.col("v").isNotNull()).select(F.floor(F.col("idx") / size).alias("block"), (F.col("idx") % size).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = 1 << (size + m - 2).bit_length()
         turned = np.fft.rfft(kernel, wide) if m > DIRECT else None
-        for t in batches:
-            for block, at, v in zip(t.column("block").to_pylist(), t.column("at"), t.column("v"), strict=True):
-                x = np.zeros(size)
-                x[at.values.to_numpy()] = v.values.to_numpy()
-                y = np.convolve(x, kernel) if turned is None else np.fft.irfft(np.fft.rfft(x, wide) * turned, wide)[: size + m - 1]
-                yield pa.RecordBatch.from_pydict({"idx": pa.array(block * size + np.arange(len(y))), "v": pa.array(y)})
+        own, x = None, np.zeros(size)
 
-    return blocks.mapInArrow(products, "idx long, v double").groupBy("idx").agg(F.sum("v").alias("v"))
+        def result() -> Iterator[pa.RecordBatch]:
+            y = np.convolve(x, kernel) if turned is None else np.fft.irfft(np.fft.rfft(x, wide) * turned, wide)[: size + m - 1]
+            for k in range(0, len(y), BLOCK):
+                part = y[k : k + BLOCK]
+                yield pa.RecordBatch.from_pydict({"idx": pa.array(own * size + k + np.arange(len(part))), "v": pa.array(part)})
+
+        for t in batches:
+            blocks, at, v = (t.column(c).to_numpy() for c in ("block", "at", "v"))
+            starts = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
+            for k, end in zip(starts, [*starts[1:], len(blocks)], strict=True):
+                if blocks[k] != own:
+                    if own is not None:
+                        yield from result()
+                    own, x = int(blocks[k]), np.zeros(size)
+                x[at[k:end]] = v[k:end]
+        if own is not None:
+            yield from result()
+
+    dealt = cells.repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(products, "idx long, v double").groupBy("idx").agg(F.sum("v").alias("v"))
 
 
 def _by_transforms(a: DataFrame, b: DataFrame, n: int) -> DataFrame:

@@ -62,6 +62,17 @@ def test_convolve_tables(spark, monkeypatch, short, direct, n, m):
     assert np.allclose(got, np.correlate(x, y, "full"), atol=1e-12)
 
 
+def test_long_kernels_go_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(signal, "_by_transforms", None)  # of two long vectors alone
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal(90_000), rng.standard_normal(20_000)
+    rows = spark.range(90_000).select(F.col("id").alias("idx"))
+    a, b = (rows.where(F.col("idx") < len(v)).mapInPandas(lambda ts, v=v: (t.assign(v=v[t.idx]) for t in ts), "idx long, v double") for v in (x, y))
+    got = np.array([r.v for r in signal.convolve_tables(a, b, mode="valid").orderBy("idx").collect()])
+    at = np.array([0, 1, 35_000, 70_000])
+    assert len(got) == 70_001 and np.allclose(got[at], [x[k : k + 20_000] @ y[::-1] for k in at], atol=1e-9)
+
+
 def test_convolve_edges(spark):
     a = table(spark, [1, None, 2])
     assert [r.v for r in signal.convolve_tables(a, table(spark, [1, 1]), n=4).orderBy("idx").collect()] == [1, 1, 2, 2, 0]
