@@ -42,11 +42,24 @@ def _value(c: Column, z: Column) -> Column:
     return F.aggregate(c, start, step)
 
 
+def _of_two(c: Column) -> Column:
+    """The roots of x^2 + b x + c by their formula, the one of larger size first where they are real."""
+    b, last = c[1], c[2]
+
+    def of(d: Column) -> Column:
+        side = F.sqrt(F.abs(d))
+        far = (b + F.when(b < 0, -side).otherwise(side)) / -2
+        real = _let(far, lambda q: F.array(_z(q, F.lit(0.0)), _z(F.when(q == 0, 0.0).otherwise(last / q), F.lit(0.0))))
+        return F.when(d >= 0, real).otherwise(F.array(_z(b / -2, side / 2), _z(b / -2, side / -2)))
+
+    return _let(b * b - 4 * last, of)
+
+
 def complex_roots(a: Column) -> Column:
     """All roots, as an array of (re, im), by falling real and then imaginary part; repeated ones as often as they count.
 
     The method is Aberth's: each estimate takes Newton's step, corrected by its distances to the others, until none moves.  Parts below 1e-9 of the
-    size of a root are 0.  A constant has no roots, null and null coefficients give null, and a leading coefficient of 0 raises.
+    size of a root are 0.  The two roots of a square start from their formula.  A constant has no roots, null and null coefficients give null, and a leading coefficient of 0 raises.
     """
     a = a.cast("array<double>")
     lead = F.get(a, F.lit(0))
@@ -71,6 +84,9 @@ def complex_roots(a: Column) -> Column:
             new = F.transform(s["z"], one)
             return _let(new, lambda x: F.struct(F.transform(x, lambda y: _z(y["re"], y["im"])).alias("z"), F.array_max(F.transform(x, lambda y: y["by"])).alias("by")))
 
+        # two roots start from their formula, if it stays within range, and take a step or two
+        square = F.abs(own[1]) < 1e150
+        start = F.when((given["n"] == 2) & square & (F.abs(own[2]) < 1e300), _of_two(own)).otherwise(start)
         state = F.struct(start.alias("z"), F.lit(1.0).alias("by"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state, lambda s, _: F.when(s["by"] < 1e-15, s).otherwise(moved(s)))["z"]
 

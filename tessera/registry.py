@@ -21,6 +21,9 @@ from .plans import Sequential, Sgd
 from .plans.tensor import Tensor, gradients
 from .streaming import windowed
 
+#: Rows of a task of _spread().
+SPREAD = 2000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -39,6 +42,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt out to about a task for each SPREAD of them: a small file holds many rows, and what is computed of each may be long."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, min(most, -(-rows.count() // SPREAD))), *by)
+
+
 def _c(x: str) -> F.Column:
     return F.col(x)
 
@@ -827,7 +836,8 @@ def poly_product(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, round(p_size / 2.0 + sqrt(p_size * p_size / 4.0 + 3), 6) AS high, round(p_size / 2.0 - sqrt(p_size * p_size / 4.0 + 3), 6) AS low FROM part")
 def poly_roots(s: SparkSession, d: str) -> DataFrame:
     r = linalg.roots(F.array(F.lit(1.0), -_c("p_size").cast("double"), F.lit(-3.0)))
-    return _t(s, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", F.round(_c("r")[0], 6).alias("high"), F.round(_c("r")[1], 6).alias("low"))
+    rows = _spread(_t(s, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    return rows.select("p_partkey", r.alias("r")).select("p_partkey", F.round(_c("r")[0], 6).alias("high"), F.round(_c("r")[1], 6).alias("low"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, x = x + 1 AS eq, x + 1 > x AS gt, x < x + 1 AS lt, greatest(x, x + 1) AS mx, least(x, x + 1) AS mn, CASE WHEN x = 9007199254740993 THEN -1 ELSE x END AS replaced
@@ -1029,7 +1039,8 @@ def leading_eigenvalues(s: SparkSession, d: str) -> DataFrame:
 def complex_roots(s: SparkSession, d: str) -> DataFrame:
     """Of x^2 - 2 x + 1 + size: 1 and, turned both ways, i times the root of the size."""
     r = linalg.complex_roots(F.array(F.lit(1.0), F.lit(-2.0), _c("p_size") + F.lit(1.0)))
-    return _t(s, d, "part").select("p_partkey", F.posexplode(r).alias("k", "z")).select("p_partkey", "k", F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
+    rows = _spread(_t(s, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    return rows.select("p_partkey", F.posexplode(r).alias("k", "z")).select("p_partkey", "k", F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
 
 
 def _generator(seed: int) -> str:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import errors
+from tessera import errors, registry
 from tessera.functions import draws, roots
 from tessera.operators import interp, krylov, linalg, signal
 from tessera.plans.tensor import Tensor, gradients
@@ -142,6 +142,20 @@ def test_roots(spark):
     assert "Python" not in rows.select(roots.roots(F.col("p")))._jdf.queryExecution().toString()
 
 
+def test_roots_of_squares(spark):
+    # from the formula a double root is exact, which steps towards it are not
+    rows = spark.createDataFrame([([1.0, -6.0, 9.0],), ([1.0, 0.0, 0.0],), ([1.0, 0.0, 4.0],), ([1.0, -1e9, 1.0],)], "p array<double>")
+    got = [[(z.re, z.im) for z in r.z] for r in rows.select(roots.complex_roots(F.col("p")).alias("z")).collect()]
+    assert got[:3] == [[(3, 0), (3, 0)], [(0, 0), (0, 0)], [(0, 2), (0, -2)]]
+    assert got[3][0][0] == pytest.approx(1e9) and got[3][1][0] == pytest.approx(1e-9, rel=1e-12)
+
+
+def test_root_queries_are_dealt_out(spark, tmp_path):
+    spark.range(9000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("poly_roots", "complex_roots"):
+        assert registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 4  # of one file
+
+
 def test_generator(spark):
     # published test vectors of the generator: counter and key all 0, and all ones
     r = spark.range(1).select(draws.words(0, F.lit(0)).alias("w"), draws.words((1 << 64) - 1, F.lit(-1), 0xFFFFFFFF).alias("x")).first()
