@@ -11,20 +11,25 @@ from .order import fixed, release
 
 #: Levels of a search that are kept as tables of their own.
 LEVELS = 16
+#: Edges that a task tells apart.
+EDGES = 1 << 18
 
 
 def bfs(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
     """(node, depth) of what can be reached along directed edges: a frontier join per level.  The start counts even without edges.
 
-    Goes on until no level has new nodes; where `most` is given and nodes lie deeper, raises DepthLimit.
+    Goes on until no level has new nodes; where `most` is given and nodes lie deeper, raises DepthLimit.  The edges are written once, for all levels.
     """
+    edges = fixed(edges)
     frontier = edges.sparkSession.createDataFrame([(start, 0)], "node long, depth int")
     levels, depth = [frontier], 0
+    frontier = frontier.hint("broadcast")  # of one row, whose size Spark does not know: the edges need no sort for it
     while True:
         depth += 1
         new = frontier.join(edges, frontier.node == edges.u).select(F.col("v").alias("node")).distinct().join(_all(levels), "node", "left_anti")
         frontier = fixed(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
+            release(edges, frontier)
             return _all(levels)
         if most is not None and depth > most:
             raise DepthLimit(f"nodes lie deeper than {most} levels")
@@ -34,6 +39,16 @@ def bfs(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
             release(*(x for x in old if x is not frontier))
 
 
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """Each edge (u, v) once.
+
+    Edges are dealt out before they are told apart, EDGES or about so many to a task; a table of them for each part of the input would grow
+    with the part and save little where few edges repeat.
+    """
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGES))
+    return edges.repartition(parts, "u", "v").distinct()
+
+
 def _all(levels: list[DataFrame]) -> DataFrame:
     out = levels[0]
     for level in levels[1:]:

@@ -552,7 +552,7 @@ def bfs(s: SparkSession, d: str) -> DataFrame:
 
 def _trade(s: SparkSession, d: str) -> DataFrame:
     """Suppliers and the parts they sell, part k as node -1 - k, linked both ways."""
-    e = _t(s, d, "lineitem").select(_c("l_suppkey").cast("long").alias("u"), (-1 - _c("l_partkey").cast("long")).alias("v")).distinct()
+    e = graph.distinct_edges(_t(s, d, "lineitem").select(_c("l_suppkey").cast("long").alias("u"), (-1 - _c("l_partkey").cast("long")).alias("v")))
     return e.unionByName(e.select(_c("v").alias("u"), _c("u").alias("v")))
 
 

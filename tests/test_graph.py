@@ -38,3 +38,20 @@ def test_bfs_goes_on(spark, monkeypatch):
     start.sparkSession = type("S", (), {"createDataFrame": staticmethod(lambda *a: Frame(0))})()
     monkeypatch.setattr(graph, "fixed", lambda f: f)
     assert 2000 < graph.bfs(start, 0).last <= 3000
+
+
+def test_distinct_edges_in_parts(spark, monkeypatch):
+    # one partition holds all rows; tasks that tell them apart hold about EDGES each, however many there are
+    monkeypatch.setattr(graph, "EDGES", 500)
+    edges = spark.range(0, 20_000, 1, 1).selectExpr("id % 7000 AS u", "-1 - id % 7000 AS v")
+    parted = graph.distinct_edges(edges)
+    sizes = [n for n, in parted.selectExpr("spark_partition_id() AS p").groupBy("p").count().select("count").collect()]
+    assert sum(sizes) == 7000 and len(sizes) == 40 and max(sizes) < 500
+    assert parted._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_edges_are_read_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "fixed", lambda df, f=graph.fixed: (written.append(df.columns), f(df))[1])
+    chain = spark.range(4).selectExpr("id AS u", "id + 1 AS v")
+    assert graph.bfs(chain, 0).count() == 5 and written.count(["u", "v"]) == 1
