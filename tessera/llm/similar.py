@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from .simhash import BLOCK, kept_rows, majority, near_links, shingle_hashes
 
 #: Texts that the order of shingles is made from at most, and shingles that it ranks.
 SAMPLE, RANKED = 16_384, 200_000
+#: Rows of first shingles that are dealt out in one pass: so many, or so many for each text if that is more.
+PASS, EACH = 1 << 22, 8
 #: Parities of an odd sketch.
 BITS = 512
 
@@ -289,23 +292,38 @@ def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fractio
     discard(near)
     # first each set and the nearest that it meets, which joins most; then whatever is still apart
     for nearest in (True, False):
-        open_ = _open(shared, sets, connected_components(links))
-        links = links.unionByName(_verified(docs, sets, open_.mapInArrow(_pairs(least, nearest), "a long, b long"), shingle, least))
+        met = _still_apart(shared, sets, connected_components(links), least, nearest)
+        links = links.unionByName(_verified(docs, sets, reduce(DataFrame.unionByName, met), shingle, least))
+        for table in met:
+            discard(table)
     discard(shared)
     return links
 
 
-def _open(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of first shingles whose texts lie in several groups, dealt out by shingle and pair of blocks."""
+def _still_apart(shared: DataFrame, sets: DataFrame, roots: DataFrame, least: Fraction, nearest: bool) -> list[DataFrame]:
+    """Pairs (a, b) of _pairs() among the first shingles whose texts lie in several groups, as written tables, one for each pass.
+
+    Rows are dealt out by shingle and pair of blocks, so a shingle of many texts makes many more rows than it has texts.  They go in passes,
+    each of some of the shingles and pairs of blocks, and only one pass of them is on disk at a time.
+    """
     rest = materialise(shared.drop("to", "to_n", "to_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
     # a shingle whose texts are one group already has nothing to compare
     several = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low < high")
-    several = materialise(several.select("token", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "several")
+    several = materialise(several.select("token", "held", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "several")
+    dealt = several.agg(F.sum(F.col("held") * F.col("blocks"))).first()[0] or 0
+    passes = max(1, -(-dealt // max(PASS, EACH * sets.count())))
     sketches = sets.select("node", "sketch").dropDuplicates(["node"])
     open_ = rest.join(several, "token").join(sketches, "node").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     groups = ["token", "left", "right"]
     open_ = open_.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "block", "sketch")
-    return open_.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
+    met = []
+    for k in range(passes):
+        some = open_.where(F.pmod(F.xxhash64(*groups), F.lit(passes)) == k) if passes > 1 else open_
+        ordered = some.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
+        met.append(materialise(ordered.mapInArrow(_pairs(least, nearest), "a long, b long").distinct(), "met"))
+    discard(several)
+    discard(rest)
+    return met
 
 
 def one_of_similar(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:

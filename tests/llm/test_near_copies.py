@@ -140,3 +140,31 @@ def test_sets_that_share_a_node_are_told_apart(spark):
     sets = similar.materialise(spark.createDataFrame(rows, "node long, more long, name string"), "sets")
     got = {r.name: r.node for r in similar.told_apart(sets).collect()}
     assert got["a"] == got["b"] == 5 and got["f"] == 6 and got["d"] == got["e"] and len({got[x] for x in "acdf"}) == 4
+
+
+def test_passes_find_the_same_and_leave_nothing(spark, monkeypatch):
+    import os
+    import random
+
+    from tessera.operators.order import shared_folder
+
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        own = list(words)
+        for at in draw.sample(range(120), 2):
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(r.doc_id for r in similar.one_of_similar(docs).collect())
+    monkeypatch.setattr(similar, "PASS", 4000)
+    monkeypatch.setattr(similar, "EACH", 0)
+    monkeypatch.setattr(similar, "BLOCK", 5)
+    kinds = []
+    monkeypatch.setattr(similar, "materialise", lambda df, label, f=similar.materialise: (kinds.append(label), f(df, label))[1])
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert sorted(r.doc_id for r in similar.one_of_similar(docs).collect()) == want
+    assert kinds.count("met") > 2  # several passes
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith(("rest", "several", "met", "shared"))]
