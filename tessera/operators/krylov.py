@@ -78,7 +78,7 @@ def eigs(a: DataFrame, n: int, count: int = 6, symmetric: bool = False, steps: i
     """
     if not 0 < count <= n:
         raise DimensionMismatch(f"{count} of {n} values")
-    a = a.select("i", "j", F.col("v").cast("double").alias("v")).where("v <> 0")
+    a = fixed(a.select("i", "j", F.col("v").cast("double").alias("v")).where("v <> 0"))  # read in each step
     steps = min(n, steps or max(2 * count + 8, 20))
     basis, k, h = fixed(_start(a, n, seed)), 1, np.zeros((steps + 1, steps))
     for _ in range(restarts + 1):
@@ -107,7 +107,11 @@ def eigs(a: DataFrame, n: int, count: int = 6, symmetric: bool = False, steps: i
             old, basis = basis, fixed(_extended(rows, k, own, size))
             release(old, rows)
             k += 1
-        dim = k if closed else steps
+            if h[k - 1, k - 2] and k - 1 >= max(count + 6, steps // 2):  # a small matrix tells whether the steps left are needed
+                w, y = _leading(h[: k - 1, : k - 1], symmetric)
+                if (np.abs(h[k - 1, k - 2] * y[k - 2, :count]) <= tolerance * np.abs(w).max()).all():
+                    break
+        dim = k if closed else k - 1
         w, y = _leading(h[:dim, :dim], symmetric)
         got = min(count, dim)
         off = 0.0 if closed else float(h[dim, dim - 1])
@@ -131,7 +135,8 @@ def eigs(a: DataFrame, n: int, count: int = 6, symmetric: bool = False, steps: i
     else:
         raise NoConvergence(f"{count} values after {restarts} restarts")
     values = np.concatenate([w[:got], np.zeros(count - got)])
-    vectors = np.zeros((k if closed else steps + 1, 2 * count))
+    vectors = np.zeros((k, 2 * count))
+    release(a)
     vectors[:dim, :got], vectors[:dim, count : count + got] = y[:, :got].real, y[:, :got].imag
     both = times(basis, "q", vectors, "z")
     return values, both.select("i", F.slice("z", 1, count).alias("re"), F.slice("z", count + 1, count).alias("im"))

@@ -16,7 +16,7 @@ from .functions import elementwise as ew
 from .operators import arrays as ar
 from .functions import draws
 from .operators import blocks, create, graph, interp, krylov, linalg, select, signal
-from .operators.order import in_lanes, ordinal, shared_folder
+from .operators.order import fixed, in_lanes, ordinal, shared_folder
 from .plans import Sequential, Sgd
 from .plans.tensor import Tensor, gradients
 from .streaming import windowed
@@ -1025,6 +1025,7 @@ SELECT CAST(k AS INT) AS k, round((1 - 2 * k) * value, 3) AS value, true AS foun
 def leading_eigenvalues(s: SparkSession, d: str) -> DataFrame:
     """Of the symmetric matrix of quantities between suppliers and parts, whose leading values are a pair of opposite sign; found: whether the residual is within 1e-6."""
     trade = _t(s, d, "lineitem").groupBy(_c("l_suppkey").cast("long").alias("u"), _c("l_partkey").cast("long").alias("w")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    trade = fixed(trade)
     suppliers, parts = trade.agg(F.max("u"), F.max("w")).first()
     n, place = suppliers + parts + 2, _c("w") + suppliers + 1
     one_way = trade.select(_c("u").alias("i"), place.alias("j"), "v")

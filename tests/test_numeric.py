@@ -115,6 +115,15 @@ def test_krylov(spark, symmetric):
     assert np.allclose(x @ v, v * w, atol=1e-6) and np.allclose(np.linalg.norm(v, axis=0), 1)
 
 
+def test_krylov_stops_when_found(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(krylov, "_times_vector", lambda a, b, k, f=krylov._times_vector: (taken.append(a.inputFiles()), f(a, b, k))[1])
+    x = np.diag([50.0, -40.0, *np.linspace(0, 1, 28)])
+    w, z = krylov.eigs(cells(spark, x), 30, 2, True, tolerance=1e-7)
+    assert np.allclose(w, [50, -40]) and len(taken) < 20 and len(z.first().re) == 2
+    assert all(files for files in taken)  # a written table, not its making, is read in each step
+
+
 def test_krylov_edges(spark):
     w, _ = krylov.eigs(cells(spark, np.eye(5)), 5, 3, True)
     assert np.allclose(w, 1)
