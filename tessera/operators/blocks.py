@@ -13,7 +13,7 @@ replaced is removed.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,53 +164,110 @@ def _filled(cells: DataFrame, places: DataFrame, b: int) -> DataFrame:
     return places.join(held, ["bi", "bj"], "left").mapInArrow(dense, "bi long, bj long, x array<double>")
 
 
-def _held(cells: DataFrame, b: int) -> DataFrame:
-    """Blocks (bi, bj, x) of those places that have a cell."""
-    return _filled(cells, cells.select(F.floor(F.col("i") / b).alias("bi"), F.floor(F.col("j") / b).alias("bj")).distinct(), b)
+def _held(cells: DataFrame, b: int, c: int) -> DataFrame:
+    """Blocks of b by c (bi, bj, x) of those places that have a cell; a task makes one at a time."""
 
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, x = None, np.zeros(b * c)
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"bi": pa.array([own[0]]), "bj": pa.array([own[1]]), "x": _lists(x.reshape(1, -1))})
 
-#: Numbers of a product that one task holds at most.
+        for t in batches:
+            if not t.num_rows:
+                continue
+            bi, bj, at, v = (t.column(k).to_numpy() for k in ("bi", "bj", "at", "v"))
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(bi) != 0) | (np.diff(bj) != 0)]))
+            for k, end in zip(starts, [*starts[1:], len(bi)], strict=True):
+                if (bi[k], bj[k]) != own:
+                    if own is not None:
+                        yield made()
+                    own, x = (int(bi[k]), int(bj[k])), np.zeros(b * c)
+                x[at[k:end]] = v[k:end]
+        if own is not None:
+            yield made()
+
+    at = ((F.col("i") % b) * c + F.col("j") % c).cast("int")
+    dealt = cells.select(F.floor(F.col("i") / b).alias("bi"), F.floor(F.col("j") / c).alias("bj"), at.alias("at"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    return dealt.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(dense, "bi long, bj long, x array<double>")
+
+
+#: Numbers of a product, or of the blocks of a matrix that it is made of, that one task holds at most.
 HELD = 1 << 24
 
 
-def product(a: DataFrame, c: DataFrame, rows: int, columns: int, b: int = 256) -> DataFrame:
-    """The product of matrices (i, j, v) of `rows` rows and `columns` columns, in blocks; cells left out are 0.
+def _met(a: DataFrame, c: DataFrame, rows: int, columns: int, b: int, out: Callable[[Iterator[tuple[int, int, np.ndarray]]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """What out, a function of each task's blocks (bi, bj, z) of the product of matrices (i, j, v), makes of them, of the columns `kind`.
 
     Tasks form a grid: a block of the first matrix goes to one row of them, one of the second to one column.  A task meets the inner axis block
     by block and adds up its own part of the product, so there is no row for each term, and an inner position that many cells have is no hot key.
-    Only blocks with cells are sent.
+    An inner axis of b places at most is one block: those of the first matrix are held, those of the second pass by, and nothing of the product is kept, so
+    the grid need not grow with it.  Only blocks with cells are sent.
     """
     down, across = -(-rows // b), -(-columns // b)
-    g = max(_grid_side(a, max(down, across)), math.isqrt(-(-down * across * b * b // HELD) - 1 if down * across * b * b > HELD else 0) + 1)
+    inner = (a.agg(F.max("j")).first()[0] or 0) + 1
+    one, wide = inner <= b, min(b, inner)
+    least = -(-down * b * wide // HELD) if one else math.isqrt(-(-down * across * b * b // HELD) - 1 if down * across * b * b > HELD else 0) + 1
+    g = max(_grid_side(a, max(down, across)), least)
     over = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))
-    kind = "bi long, bj long, x array<double>"
-    left = _held(a, b).withColumn("o", over).select(((F.col("bi") % g) * g + F.col("o")).alias("cell"), F.col("bj").alias("inner"), F.lit(0).alias("side"), F.col("bi").alias("outer"), "x")
-    right = _held(c, b).withColumn("o", over).select((F.col("o") * g + F.col("bj") % g).alias("cell"), F.col("bi").alias("inner"), F.lit(1).alias("side"), F.col("bj").alias("outer"), "x")
+    left = _held(a, b, wide).withColumn("o", over).select(((F.col("bi") % g) * g + F.col("o")).alias("cell"), F.col("bj").alias("inner"), F.lit(0).alias("side"), F.col("bi").alias("outer"), "x")
+    right = _held(c, wide, b).withColumn("o", over).select((F.col("o") * g + F.col("bj") % g).alias("cell"), F.col("bi").alias("inner"), F.lit(1).alias("side"), F.col("bj").alias("outer"), "x")
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         total: dict[tuple[int, int], np.ndarray] = {}
         held: dict[int, np.ndarray] = {}
         at = None
         for t in batches:
-            x = _matrix(t.column("x"), b * b).reshape(-1, b, b)
-            for n, (inner, side, outer) in enumerate(zip(t.column("inner").to_pylist(), t.column("side").to_pylist(), t.column("outer").to_pylist(), strict=True)):
+            for inner, side, outer, given in zip(t.column("inner").to_pylist(), t.column("side").to_pylist(), t.column("outer").to_pylist(), t.column("x"), strict=True):
+                x = given.values.to_numpy()
                 if inner != at:
                     held, at = {}, inner
                 if side == 0:
-                    held[outer] = x[n].copy()
-                else:
-                    for bi, y in held.items():
-                        z = y @ x[n]
+                    held[outer] = x.reshape(b, wide).copy()
+                    continue
+                for bi, y in held.items():
+                    z = y @ x.reshape(wide, b)
+                    if one:
+                        yield bi, outer, z
+                    else:
                         total[bi, outer] = total[bi, outer] + z if (bi, outer) in total else z
-        for (bi, bj), z in total.items():
-            yield pa.RecordBatch.from_pydict({"bi": pa.array([bi]), "bj": pa.array([bj]), "x": _lists(z.reshape(1, -1))})
+        yield from ((*place, z) for place, z in total.items())
 
     sent = left.unionByName(right).repartitionById(g * g, F.col("cell").cast("int")).sortWithinPartitions("inner", "side")
-    out = sent.select("inner", "side", "outer", "x").mapInArrow(summed, kind).select("bi", "bj", F.posexplode("x").alias("at", "v"))
+    return sent.select("inner", "side", "outer", "x").mapInArrow(lambda batches: out(met(batches)), kind)
+
+
+def product(a: DataFrame, c: DataFrame, rows: int, columns: int, b: int = 256) -> DataFrame:
+    """The product of matrices (i, j, v) of `rows` rows and `columns` columns, in blocks; cells left out are 0."""
+
+    def each(found: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for bi, bj, z in found:
+            yield pa.RecordBatch.from_pydict({"bi": pa.array([bi]), "bj": pa.array([bj]), "x": _lists(z.reshape(1, -1))})
+
+    out = _met(a, c, rows, columns, b, each, "bi long, bj long, x array<double>").select("bi", "bj", F.posexplode("x").alias("at", "v"))
     out = out.select((F.col("bi") * b + F.floor(F.col("at") / b)).alias("i"), (F.col("bj") * b + F.col("at") % b).alias("j"), "v")
     return out.where((F.col("i") < rows) & (F.col("j") < columns))
 
 
+def product_by_rows(a: DataFrame, c: DataFrame, rows: int, columns: int, fold: Callable[[np.ndarray, int, int], np.ndarray], names: list[str], b: int = 256) -> DataFrame:
+    """(i, names) of each row of the product of matrices (i, j, v): what fold gives of each block of it, by its first row and column, summed.
+
+    fold(z, i, j) gives a number of each name for each row of z.  Blocks are folded in the tasks that make them, so no cell of the product becomes a row.
+    """
+
+    def folded(found: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for bi, bj, z in found:
+            x = fold(z, bi * b, bj * b)
+            own[bi] = own[bi] + x if bi in own else x
+        for bi, x in own.items():
+            yield pa.RecordBatch.from_pydict({"i": pa.array(bi * b + np.arange(b))} | {name: pa.array(np.ascontiguousarray(x[:, k])) for k, name in enumerate(names)})
+
+    kind = ", ".join(["i long", *(f"`{name}` double" for name in names)])
+    parts = _met(a, c, rows, columns, b, folded, kind)
+    return parts.where(F.col("i") < rows).groupBy("i").agg(*(F.sum(name).alias(name) for name in names))
+
+
 def _places(a: DataFrame, rows: int, first: int, columns: int) -> DataFrame:
     return a.sparkSession.range(rows * columns).select(F.floor(F.col("id") / columns).alias("bi"), (F.col("id") % columns + first).alias("bj"))
 

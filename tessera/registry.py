@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -895,9 +896,14 @@ def permuted_solve(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT a.i, round(sum(a.v * b.v), 4) + 0.0 AS total, round(sum(CASE WHEN a.i = b.i THEN a.v * b.v END), 4) AS own FROM {_GRID} a JOIN {_GRID} b USING (j) GROUP BY a.i")
 def product_of_rows(s: SparkSession, d: str) -> DataFrame:
     """The embeddings times their transpose, in blocks; of each row of the product its sum and its diagonal cell."""
-    a, n = _grid(s, d), _n(s, d)
-    whole = blocks.product(a, ar.permute(a, ["i", "j"], ["j", "i"]), n, n)
-    return whole.groupBy("i").agg((F.round(F.sum("v"), 4) + 0.0).alias("total"), F.round(F.sum(F.when(_c("i") == _c("j"), _c("v"))), 4).alias("own"))
+    a = _grid(s, d)
+    n = a.agg(F.coalesce(F.max("i") + 1, F.lit(0))).first()[0]
+
+    def fold(z: np.ndarray, i: int, j: int) -> np.ndarray:
+        return np.stack([z.sum(axis=1), np.diagonal(z) if i == j else np.zeros(len(z))], axis=1)
+
+    sums = blocks.product_by_rows(a, ar.permute(a, ["i", "j"], ["j", "i"]), n, n, fold, ["total", "own"])
+    return sums.join(a.where("j = 0").select("i"), "i", "left_semi").select("i", (F.round("total", 4) + 0.0).alias("total"), F.round("own", 4).alias("own"))
 
 
 _RANKED = "SELECT o_orderkey AS idx, o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r FROM orders"

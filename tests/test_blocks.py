@@ -146,3 +146,30 @@ def test_product(spark, monkeypatch, b):
     got = blocks.product(cells(spark, x), cells(spark, y), 7, 8, b)
     assert np.allclose(dense(got, (7, 8)), x @ y) and got.groupBy("i", "j").count().where("count > 1").isEmpty()
     assert blocks.product(cells(spark, x).where("false"), cells(spark, y), 7, 8, b).count() == 0
+
+
+def test_products_of_thin_matrices(spark, monkeypatch):
+    # 90 rows of 3: the grid is as large as the tasks and the matrix ask for, not as the product of 8100 cells
+    monkeypatch.setattr(blocks, "HELD", 100)
+    x = np.random.default_rng(4).standard_normal((90, 3))
+    a, c = cells(spark, x), cells(spark, x.T)
+    got = blocks.product(a, c, 90, 90, 4)
+    assert got.rdd.getNumPartitions() == 9 and np.allclose(dense(got, (90, 90)), x @ x.T) and got.count() == 8100
+
+
+@pytest.mark.parametrize("b", [2, 4])
+def test_product_by_rows(spark, b):
+    x = np.random.default_rng(b).standard_normal((9, 3))
+    fold = lambda z, i, j: np.stack([z.sum(axis=1), np.diagonal(z) if i == j else np.zeros(len(z))], axis=1)
+    got = blocks.product_by_rows(cells(spark, x), cells(spark, x.T), 9, 9, fold, ["total", "own"], b).orderBy("i").collect()
+    assert [r.i for r in got] == list(range(9))
+    assert np.allclose([r.total for r in got], (x @ x.T).sum(axis=1)) and np.allclose([r.own for r in got], (x * x).sum(axis=1))
+
+
+def test_rows_of_the_product_have_vectors(spark, tmp_path):
+    rows = [(0, [1.0] + [0.0] * 63), (2, [3.0] + [0.0] * 63), (3, None), (700, [0.0] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    from tessera import registry
+
+    got = registry.product_of_rows(spark, str(tmp_path)).orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(0, 4, 1), (2, 12, 9), (700, 0, 0)]
