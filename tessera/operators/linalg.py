@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import SingularMatrix
 from ..functions.roots import complex_roots, roots  # noqa: F401
 from .blocks import as_cells, gram_matrix
+from .order import fixed
 from .signal import chirp
 
 
@@ -193,27 +194,56 @@ def _integrated(a: Column, k: float) -> Column:
 LANE = 1 << 14
 
 
-def _lanes(series: DataFrame, by: list[str], at: str, inverse: bool) -> DataFrame:
-    """The unscaled transform along `at` (0 to n - 1 without gaps) of each lane: columns by, at, re, im."""
-    lane = F.array_sort(F.collect_list(F.struct(at, F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))))
-    held = series.groupBy(*by).agg(lane.alias("lane")).select(*by, F.col("lane.re").alias("re"), F.col("lane.im").alias("im"))
+def _lanes(series: DataFrame, by: list[str], at: str, inverse: bool, size: str | None = None) -> DataFrame:
+    """The unscaled transform along `at` (0 to n - 1 without gaps) of each lane: columns by, at, re, im.
+
+    size: the one of the columns `by` that is a lane's length; its last cells may be left out and count as 0.  Without it a lane is as long as its cells.
+    """
+    cells = series.select(*by, F.col(at).cast("long").alias(at), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    dealt = (cells.repartition(*by) if by else cells.repartition(1)).sortWithinPartitions(*by, at)
+
+    def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        places, re, im = (t.column(c).to_numpy() for c in (at, "re", "im"))
+        start = np.flatnonzero(places == 0)
+        runs = np.diff(start, append=len(places))
+        sizes = t.column(size).to_numpy()[start] if size else runs
+        flat = re + 1j * im
+        for n in np.unique(sizes):
+            own, mask = np.flatnonzero(sizes == n), np.repeat(sizes == n, runs)
+            x = np.zeros((len(own), n), complex)
+            x[np.repeat(np.arange(len(own)), runs[own]), places[mask]] = flat[mask]
+            y = (np.fft.ifft(x, axis=1) * n if inverse else np.fft.fft(x, axis=1)).ravel()
+            kept = t.select(by).take(pa.array(np.repeat(start[own], n))).combine_chunks()
+            yield pa.RecordBatch.from_pydict({c: _chunk(kept.column(c)) for c in by} | {at: pa.array(np.tile(np.arange(n), len(own))), "re": pa.array(y.real.copy()), "im": pa.array(y.imag.copy())})
 
     def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the cells of a lane that goes on
         for b in batches:
-            sizes = np.diff(b.column("re").offsets.to_numpy())
-            flat = b.column("re").flatten().to_numpy(zero_copy_only=False) + 1j * b.column("im").flatten().to_numpy(zero_copy_only=False)
-            start = np.concatenate([[0], np.cumsum(sizes)])
-            for n in np.unique(sizes):
-                own = np.flatnonzero(sizes == n)
-                x = flat[start[own][:, None] + np.arange(n)]
-                y = np.fft.ifft(x, axis=1) * n if inverse else np.fft.fft(x, axis=1)
-                offsets = np.arange(0, y.size + 1, n, dtype=np.int32)
-                kept = b.take(pa.array(own))
-                yield pa.RecordBatch.from_pydict({c: kept.column(c) for c in by} | {k: pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v).ravel())) for k, v in (("re", y.real), ("im", y.imag))})
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.select(*by).schema)
-    out = held.mapInArrow(transformed, f"{kinds}{', ' if by else ''}re array<double>, im array<double>")
-    return out.select(*by, F.posexplode(F.arrays_zip("re", "im")).alias(at, "z")).select(*by, F.col(at).cast("long").alias(at), "z.re", "z.im")
+            begins = np.flatnonzero(b.column(at).to_numpy() == 0)
+            if not len(begins):
+                held += [b] if b.num_rows else []
+                continue
+            last = int(begins[-1])
+            if held or last:
+                yield from whole(pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks())
+            held = [b.slice(last)]
+        if held:
+            yield from whole(pa.Table.from_batches(held).combine_chunks())
+
+    return dealt.mapInArrow(transformed, cells.schema)
+
+
+def _chunk(x: pa.ChunkedArray) -> pa.Array:
+    return x.chunk(0) if x.num_chunks == 1 else pa.concat_arrays(x.chunks)
+
+
+def _laid_out(cells: DataFrame, by: list[str], inverse: bool) -> DataFrame:
+    """The unscaled transform of series (by, idx, re, im) of a b cells each, a and b among the columns `by`, in two steps of lanes of a and of b cells.  Last cells that are left out count as 0."""
+    a, b, i, j = F.col("a"), F.col("b"), F.col("i"), F.col("j")
+    first = _lanes(cells.select(*by, F.expr("idx div b").alias("i"), (F.col("idx") % b).alias("j"), "re", "im"), [*by, "j"], "i", inverse, "a")
+    turn = (2 if inverse else -2) * np.pi * (i * j % (a * b)) / (a * b)
+    turned = first.withColumns({"c": F.cos(turn), "s": F.sin(turn)}).select(*by, "i", "j", F.expr("re * c - im * s").alias("re"), F.expr("re * s + im * c").alias("im"))
+    return _lanes(turned, [*by, "i"], "j", inverse, "b").select(*by, (i + a * j).alias("idx"), "re", "im")
 
 
 def fft(series: DataFrame, inverse: bool = False, lane: int = LANE) -> DataFrame:
@@ -224,33 +254,34 @@ def fft(series: DataFrame, inverse: bool = False, lane: int = LANE) -> DataFrame
     leaves lanes of more than `lane` cells, as for prime lengths, the transform is a convolution with a chirp, of a power of two.
     """
     lengths = series.groupBy("key").agg(F.count("*").alias("n"))
-    # one row for each length that is too long for a lane
-    sizes = lengths.where(F.col("n") > lane).select("n").distinct()
+    # one row for each length that is too long for a lane; lengths that differ are few, as together they are no more than the cells
     divisors = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("n"))), lambda d: F.col("n") % d == 0)
-    cut = sizes.withColumn("b", F.array_max(divisors)).withColumn("a", F.expr("n div b")).withColumnRenamed("n", "n_")
-    known = lengths.join(cut, F.col("n") == F.col("n_"), "left").select(F.col("key").alias("key_"), "n", F.coalesce("a", "n").alias("a"), F.coalesce("b", F.lit(1).cast("long")).alias("b"))
-    laid = series.join(known, series["key"].eqNullSafe(known.key_)).drop("key_").withColumns({"i": F.expr("idx div b"), "j": F.col("idx") % F.col("b")})
     # above a power of two of lane^2 cells lanes grow, as its root does
-    plain = (F.col("a") <= lane) | (F.col("n") <= lane) | (F.bit_count("n") == 1)
-    first = _lanes(laid.where(plain).select("key", "n", "a", "b", "j", "i", "re", "im"), ["key", "n", "a", "b", "j"], "i", inverse)
-    out = first.where("b = 1").select("key", F.col("i").alias("idx"), "n", "re", "im")
-    if not sizes.isEmpty():
-        turn = (2 if inverse else -2) * np.pi * (F.col("i") * F.col("j") % F.col("n")) / F.col("n")
-        c, s = F.cos(turn), F.sin(turn)
-        turned = first.where("b > 1").select("key", "n", "a", "b", "i", "j", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
-        across = _lanes(turned, ["key", "n", "a", "b", "i"], "j", inverse)
-        out = out.unionByName(across.select("key", (F.col("i") + F.col("a") * F.col("j")).alias("idx"), "n", "re", "im"))
-        odd = laid.where(~plain).select("key", "n", "idx", F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    cut = lengths.where(F.col("n") > lane).select("n").distinct().withColumn("b", F.array_max(divisors)).withColumn("a", F.expr("n div b"))
+    cut = fixed(cut.withColumn("odd", (F.col("a") > lane) & (F.bit_count("n") != 1)))
+    known = lengths.withColumnRenamed("key", "key_")
+    cells = series.select("key", "idx", F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im")).join(known, series["key"].eqNullSafe(known.key_)).drop("key_")
+    if cut.isEmpty():
+        out = _lanes(cells, ["key", "n"], "idx", inverse)
+    else:
+        cells = fixed(cells)
+        out = _lanes(cells.where(F.col("n") <= lane), ["key", "n"], "idx", inverse)
+        laid = cells.join(F.broadcast(cut.where("not odd").drop("odd")), "n")
+        out = out.unionByName(_laid_out(laid, ["key", "n", "a", "b"], inverse).select("key", "n", "idx", "re", "im"))
+        odd = cut.where("odd").select("n")
         if not odd.isEmpty():
-
-            def unscaled(x: DataFrame, back: bool = False) -> DataFrame:
-                return fft(x, back, lane)
-
-            out = out.unionByName(chirp(odd, inverse, unscaled).select("key", "idx", "n", "re", "im"))
+            out = out.unionByName(chirp(cells.join(F.broadcast(odd), "n"), odd, inverse, _of_powers).select("key", "n", "idx", "re", "im"))
     scale = F.col("n") if inverse else F.lit(1.0)
     return out.select("key", "idx", (F.col("re") / scale).alias("re"), (F.col("im") / scale).alias("im"))
 
 
+def _of_powers(cells: DataFrame, by: list[str], inverse: bool = False) -> DataFrame:
+    """The unscaled transform of series (by, idx, re, im) whose length, the column size of `by`, is a power of two."""
+    half = F.call_function("shiftright", F.bit_count(F.col("size") - 1).cast("int"), F.lit(1))
+    laid = cells.withColumn("b", F.call_function("shiftleft", F.lit(1).cast("long"), half)).withColumn("a", F.expr("size div b"))
+    return _laid_out(laid, [*by, "a", "b"], inverse).select(*by, "idx", "re", "im")
+
+
 def fftn(cells: DataFrame, axes: list[str], inverse: bool = False, by: list[str] | None = None) -> DataFrame:
     """The transform of an array (axes, re, im), or of one for each value of `by`, along two or more axes; a lane along an axis is the most that a task holds.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,38 +109,27 @@ def _times(re: Column, im: Column, c: Column, s: Column) -> tuple[Column, Column
     return re * c - im * s, re * s + im * c
 
 
-def chirp(series: DataFrame, inverse: bool, transform) -> DataFrame:  # noqa: ANN001
-    """The unscaled transform of series (key, n, idx, re, im) of any lengths n, by transforms of powers of two.
+def chirp(series: DataFrame, lengths: DataFrame, inverse: bool, transform: Callable[..., DataFrame]) -> DataFrame:
+    """The unscaled transform of series (key, n, idx, re, im) of the lengths (n), by transforms of powers of two.
 
     exp(-2 pi i j k / n) is the product of a chirp at j, one at k, and one at k - j turned back: a convolution with the chirp, which depends
-    on n alone.
+    on n alone.  transform: that of series (by, idx, re, im) of `size` cells, the last of which may be left out.
     """
-    series = fixed(series)
     sign = 1 if inverse else -1
     n, k = F.col("n"), F.col("idx")
     size = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2((2 * n - 1).cast("double"))).cast("int"))
-    lengths = series.select("n").distinct()
-    wide = lengths.select("n", size.alias("size"))
-    kind = series.schema["key"].dataType
-
-    def keyed(df: DataFrame, own: Column, which: int) -> DataFrame:
-        return df.withColumn("key", F.struct(F.lit(which).alias("w"), "n", own.alias("k")))
-
-    c, s = _wave(k, n, sign)
-    re, im = _times(F.col("re"), F.col("im"), c, s)
-    first = series.select("key", "n", "idx", re.alias("re"), im.alias("im"))
-    pads = series.groupBy("key", "n").agg(F.lit(0).alias("z")).join(wide, "n").select("key", "n", F.explode(F.sequence("n", F.col("size") - 1)).alias("idx"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
-    left = keyed(first.unionByName(pads), F.col("key"), 0)
-    places = wide.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
+    own = ["key", "n", "size"]
+
+    def turned(df: DataFrame, c: Column, s: Column) -> DataFrame:
+        re, im = _times(F.col("re"), F.col("im"), F.col("c"), F.col("s"))
+        return df.withColumns({"c": c, "s": s}).select(*own, "idx", re.alias("re"), im.alias("im"))
+
+    first = turned(series.withColumn("size", size), *_wave(k, n, sign))
+    places = lengths.select("n", size.alias("size")).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
     near = F.least(F.col("idx"), F.col("size") - F.col("idx"))
     c, s = _wave(near, n, -sign)
-    held = near < n
-    right = keyed(places.select("n", "idx", F.when(held, c).otherwise(0.0).alias("re"), F.when(held, s).otherwise(0.0).alias("im")), F.lit(None).cast(kind), 1)
-    turned = fixed(transform(fixed(left.select("key", "idx", "re", "im").unionByName(right.select("key", "idx", "re", "im")))))
-    x = turned.where("key.w = 0").select(F.col("key"), F.col("key.n").alias("n"), "idx", "re", "im")
-    y = turned.where("key.w = 1").select(F.col("key.n").alias("n"), "idx", F.col("re").alias("c"), F.col("im").alias("s"))
-    re, im = _times(F.col("re"), F.col("im"), F.col("c"), F.col("s"))
-    back = transform(fixed(x.join(y, ["n", "idx"]).select("key", "idx", re.alias("re"), im.alias("im"))), True).select(F.col("key.k").alias("key"), F.col("key.n").alias("n"), "idx", "re", "im").where("idx < n")
-    c, s = _wave(k, n, sign)
-    re, im = _times(F.col("re"), F.col("im"), c, s)
-    return back.select("key", "idx", "n", re.alias("re"), im.alias("im"))
+    right = places.select("n", "size", "idx", F.when(near < n, c).otherwise(0.0).alias("re"), F.when(near < n, s).otherwise(0.0).alias("im"))
+    y = fixed(transform(right, ["n", "size"]).select("n", "idx", F.col("re").alias("cy"), F.col("im").alias("sy")))
+    product = turned(transform(first, own).join(y, ["n", "idx"]), F.col("cy"), F.col("sy"))
+    back = transform(product, own, True).where("idx < n")
+    return turned(back, *_wave(k, n, sign)).withColumns({x: F.col(x) / F.col("size") for x in ("re", "im")}).drop("size")

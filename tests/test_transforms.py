@@ -20,6 +20,27 @@ def test_split_lanes(spark, inverse):
         assert [i for i, _ in own] == list(range(len(x))) and np.allclose([z for _, z in own], (np.fft.ifft if inverse else np.fft.fft)(x))
 
 
+def test_lanes_across_batches(spark):
+    # lanes are met cell by cell, in batches that end within them, and cells left out at their ends are not sent
+    rng = np.random.default_rng(5)
+    series = {k: rng.standard_normal(n) for k, n in enumerate((29, 30, 3, 29, 16, 1))}
+    rows = spark.createDataFrame([(k, i, float(v), 0.0) for k, x in series.items() for i, v in enumerate(x)], "key long, idx long, re double, im double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        turned = linalg.fft(rows, lane=6)
+        got = turned.collect()
+        padded = linalg._of_powers(rows.where("key < 2").withColumn("size", F.lit(64).cast("long")), ["key", "size"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in turned._jdf.queryExecution().toString()
+    for k, x in series.items():
+        own = sorted((r.idx, complex(r.re, r.im)) for r in got if r.key == k)
+        assert [i for i, _ in own] == list(range(len(x))) and np.allclose([z for _, z in own], np.fft.fft(x))
+    for k in (0, 1):
+        own = sorted((r.idx, complex(r.re, r.im)) for r in padded if r.key == k)
+        assert len(own) == 64 and np.allclose([z for _, z in own], np.fft.fft(series[k], 64))
+
+
 def test_arrays_of_several_sizes(spark):
     held = {k: np.random.default_rng(k).standard_normal(shape) for k, shape in {1: (2, 2), 2: (4, 4), 3: (1, 5)}.items()}
     cells = spark.createDataFrame([(k, *p, float(v), 0.0) for k, x in held.items() for p, v in np.ndenumerate(x)], "k long, i long, j long, re double, im double")
