@@ -11,8 +11,8 @@ from .order import fixed, release
 
 #: Levels of a search that are kept as tables of their own.
 LEVELS = 16
-#: Edges that a task tells apart.
-EDGES = 1 << 18
+#: Edges that a task tells apart.  Tasks are no more than they need be: to deal rows out to over 200 parts Spark holds those of a whole part of the input.
+EDGES = 1 << 21
 
 
 def bfs(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:

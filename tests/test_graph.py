@@ -50,6 +50,12 @@ def test_distinct_edges_in_parts(spark, monkeypatch):
     assert parted._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
 
 
+def test_edges_go_to_few_tasks(spark):
+    # a million edges are no reason for more tasks than the session asks for
+    edges = spark.range(0, 1_200_000, 1, 2).selectExpr("id AS u", "-1 - id AS v")
+    assert graph.distinct_edges(edges).rdd.getNumPartitions() == 4
+
+
 def test_edges_are_read_once(spark, monkeypatch):
     written = []
     monkeypatch.setattr(graph, "fixed", lambda df, f=graph.fixed: (written.append(df.columns), f(df))[1])
