@@ -208,7 +208,9 @@ def _met(a: DataFrame, c: DataFrame, rows: int, columns: int, b: int, out: Calla
     inner = (a.agg(F.max("j")).first()[0] or 0) + 1
     one, wide = inner <= b, min(b, inner)
     least = -(-down * b * wide // HELD) if one else math.isqrt(-(-down * across * b * b // HELD) - 1 if down * across * b * b > HELD else 0) + 1
-    g = max(_grid_side(a, max(down, across)), least)
+    # thin blocks go to no more tasks than the session asks for, as Spark holds what it deals out to over 200
+    few = math.isqrt(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    g = max(1, min(few, max(down, across)) if one else _grid_side(a, max(down, across)), least)
     over = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))
     left = _held(a, b, wide).withColumn("o", over).select(((F.col("bi") % g) * g + F.col("o")).alias("cell"), F.col("bj").alias("inner"), F.lit(0).alias("side"), F.col("bi").alias("outer"), "x")
     right = _held(c, wide, b).withColumn("o", over).select((F.col("o") * g + F.col("bj") % g).alias("cell"), F.col("bi").alias("inner"), F.lit(1).alias("side"), F.col("bj").alias("outer"), "x")
