@@ -21,22 +21,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Set while a table is written: Spark removes the shuffle files of a query when the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set besides where materialise() is told so: bytes of a batch that goes to a worker; Spark's own is 64 MB.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts the lineage, fixes what depends on the order of rows, and survives lost executors.  The shuffle files that led to
-    the table go as soon as it is written.
+    the table go as soon as it is written.  batch: about how many bytes of rows go to a worker at a time, if not as many as the session says.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {_CLEANUP: spark.conf.get(_CLEANUP, "false")} | ({_BATCH: spark.conf.get(_BATCH, "64m")} if batch else {})
+    for k in before:
+        spark.conf.set(k, "true" if k == _CLEANUP else str(batch))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +51,17 @@ def discard(table: DataFrame) -> None:
         folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: What a worker keeps from task to task, until forget().
+KEPT: dict = {}
+
+
+def forget() -> None:
+    """Drop what an earlier stage has kept in this worker; costs nothing where there is nothing."""
+    if KEPT:
+        KEPT.clear()
+        trim()
+
+
 def trim() -> None:
     """Give memory that a worker has freed back to the machine: workers are kept, and what one stage left would count against the next."""
     gc.collect()
@@ -114,6 +129,7 @@ def ranked(df: DataFrame, order: list[str], weight: str | None = None, label: st
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
+        forget()
         for b in batches:
             w = b.column("__w").to_numpy(zero_copy_only=False).astype(np.int64)
             ends = total + np.cumsum(w)

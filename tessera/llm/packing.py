@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, ranked
+from .common import KEPT, discard, forget, materialise, ranked, trim
 
 #: Chunks whose ids a worker remembers at most.
 REMEMBERED = 600_000
+#: Bytes of texts that go to a worker at a time: what is remembered needs the memory.
+BATCH = 1 << 22
 
 
 class Encoder:
@@ -103,13 +105,11 @@ class _Chunks(dict):
         return ids
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    """The worker's encoder, kept while documents are encoded; the stages after that forget it."""
+    if ("encoder", path, pattern) not in KEPT:
+        KEPT["encoder", path, pattern] = Encoder(path, pattern)
+    return KEPT["encoder", path, pattern]
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str, end: int = 1) -> DataFrame:
@@ -124,6 +124,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end: int = 1) -> DataFra
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": b.column("doc_id").slice(at, 500), "source": b.column("source").slice(at, 500), "ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // 2 for x in ids], pa.int64()),
                 })
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(encode, "doc_id long, source string, ids binary, n long")
 
@@ -168,15 +169,18 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out: dict[str, list] = {c.split()[0]: [] for c in _PIECES.split(", ")}
-        for doc_id, ids, n, pieces in zip(b.column("doc_id").to_pylist(), b.column("ids"), b.column("n").to_pylist(), b.column("pieces").to_pylist(), strict=True):
-            wide = np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")
-            for p in pieces:
-                own = wide[p["start"] : p["start"] + p["length"]].tobytes()
-                for k, v in zip(out, (doc_id, p["start"], p["length"], zlib.crc32(own), n, p["sequence_id"], p["offset"], own), strict=True):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
+    forget()
+    for whole in batches:
+        for b in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+            out: dict[str, list] = {c.split()[0]: [] for c in _PIECES.split(", ")}
+            for doc_id, ids, n, pieces in zip(b.column("doc_id").to_pylist(), b.column("ids"), b.column("n").to_pylist(), b.column("pieces").to_pylist(), strict=True):
+                wide = np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")
+                for p in pieces:
+                    own = wide[p["start"] : p["start"] + p["length"]].tobytes()
+                    for k, v in zip(out, (doc_id, p["start"], p["length"], zlib.crc32(own), n, p["sequence_id"], p["offset"], own), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
+    trim()
 
 
 def packed(docs: DataFrame, path: str, pattern: str, window: int = 2048, end: int = 1, targets: dict[str | None, float] | None = None) -> DataFrame:
@@ -192,7 +196,7 @@ def packed(docs: DataFrame, path: str, pattern: str, window: int = 2048, end: in
     """
     if any(not 0 < w < float("inf") for w in (targets or {}).values()):
         raise ValueError("targets must be above 0")
-    tokens = materialise(tokenised(docs, path, pattern, end).withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    tokens = materialise(tokenised(docs, path, pattern, end).withColumn("uid", F.monotonically_increasing_id()), "tokens", BATCH)
     pieces = schedule(tokens.select("uid", "source", "n"), window, targets)
     lists = pieces.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     return tokens.select("uid", "doc_id", "ids", "n").join(lists, "uid").select("doc_id", "ids", "n", "pieces").mapInArrow(_pieces, _PIECES)

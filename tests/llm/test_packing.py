@@ -4,10 +4,11 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import queries
+from tessera.llm import common, packing, queries
 from tessera.llm.packing import packed, schedule
 
 
@@ -85,3 +86,39 @@ def test_edges(spark):
     assert max(r.sequence_id for r in got) == (sum(sums.values()) - 1) // 2048
     with pytest.raises(ValueError, match="above 0"):
         packed(docs, *queries.vocabulary(), targets={"a": 0.0})
+
+
+def test_workers_forget_the_encoder():
+    """What is remembered for encoding counted against each later stage of a pipeline, as workers are kept."""
+    packing._encoder(*queries.vocabulary())
+    assert common.KEPT
+    assert not list(packing._pieces(iter([]))) and not common.KEPT
+
+
+def test_batches_of_texts_are_bounded(spark, monkeypatch):
+    seen = []
+    real = packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, label, *batch: seen.append((label, *batch)) or real(df, label, *batch))
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("abcdefghi "), 200).alias("text"))
+    packed(docs.limit(3), *queries.vocabulary())
+    assert seen[0] == ("tokens", packing.BATCH)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows]), "bytes": pa.array([b.nbytes])})
+
+    before = spark.conf.get(common._BATCH)
+    got = common.materialise(docs.select("text").mapInArrow(sizes, "rows long, bytes long"), "sizes", 1 << 20).collect()
+    assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) < 3 << 19 and spark.conf.get(common._BATCH) == before
+
+
+def test_pieces_go_out_in_parts():
+    n = 1201
+    ids = [bytes(range(2 * (i % 5 + 1))) for i in range(n)]
+    pieces = [[{"start": 0, "length": len(x) // 2, "sequence_id": i, "offset": 0}] for i, x in enumerate(ids)]
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "sequence_id", "offset")]))
+    given = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // 2 for x in ids], pa.int64()), "pieces": pa.array(pieces, kind)})
+    out = list(packing._pieces(iter([given])))
+    assert [b.num_rows for b in out] == [500, 500, 201]
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(n)) and all(r["ids"] == np.frombuffer(x, "<u2").astype("<u4").tobytes() for r, x in zip(rows, ids, strict=True))
