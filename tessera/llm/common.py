@@ -65,6 +65,11 @@ def forget() -> None:
 def trim() -> None:
     """Give memory that a worker has freed back to the machine: workers are kept, and what one stage left would count against the next."""
     gc.collect()
+    release()
+
+
+def release() -> None:
+    """As trim(), but for what only a collection of garbage finds: Spark's workers do that after each task anyway."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)

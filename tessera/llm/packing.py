@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, discard, forget, materialise, ranked, trim
+from .common import KEPT, discard, forget, materialise, ranked, release
 
 #: Chunks whose ids a worker remembers at most.
 REMEMBERED = 600_000
@@ -124,7 +124,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end: int = 1) -> DataFra
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": b.column("doc_id").slice(at, 500), "source": b.column("source").slice(at, 500), "ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // 2 for x in ids], pa.int64()),
                 })
-        trim()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(encode, "doc_id long, source string, ids binary, n long")
 
@@ -180,7 +180,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k, v in zip(out, (doc_id, p["start"], p["length"], zlib.crc32(own), n, p["sequence_id"], p["offset"], own), strict=True):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
-    trim()
+    release()
 
 
 def packed(docs: DataFrame, path: str, pattern: str, window: int = 2048, end: int = 1, targets: dict[str | None, float] | None = None) -> DataFrame:
