@@ -264,12 +264,15 @@ def kept_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
     Of rows that share doc_id and text that stays which is least by its other columns, as JSON in order of their names.
     """
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.key").alias("__key"))
-    marked = docs.withColumn("__text", text_key())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    best = best.select(F.col("best.none").alias("__none"), F.coalesce(F.col("best.doc_id"), F.lit(0)).alias("__id"), F.col("best.key").alias("__text"))
+    # plain keys, which the groups share, so that texts are dealt out once
+    on = ["__none", "__id", "__text"]
+    number = F.col("doc_id").cast("long")
+    marked = docs.withColumns({"__none": number.isNull(), "__id": F.coalesce(number, F.lit(0)), "__text": text_key()})
+    groups = on if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else [*on, "doc_id"]
     # to_json leaves out nulls, so a row without a value comes before or after those with one, but always in the same place
     others = F.to_json(F.struct(F.col("text").isNull().alias("none"), *(F.col(f"`{c}`") for c in sorted(docs.columns) if c not in ("doc_id", "text"))))
-    one = marked.join(best, same, "left_semi").groupBy("doc_id", "__text").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), others).alias("__row"))
+    one = marked.join(best, on, "left_semi").groupBy(*groups).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), others).alias("__row"))
     return one.select("__row.*")
 
 

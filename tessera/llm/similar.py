@@ -18,7 +18,9 @@ and each pair of blocks is a group of its own.
 Before whole sets are fetched, odd sketches are compared: BITS parities of the shingles of a set.  Each shingle that only one of two sets has
 changes one bit of the difference, so sets differ in at least as many shingles as sketches in bits, and a pair whose sketches are
 too far apart is no link.  Pairs of a group are held against this where they meet; members of a large group that are edited apart
-leave no rows behind.
+leave no rows behind.  Sketches of sets much larger than BITS tell nothing there, but similar sets of that size have many of their first shingles in
+common, where other texts have one or two by chance: only pairs with enough of them, MOST at the most, go on, and are held against sketches
+as wide as the sets are large.
 
 A set is known by 64 bits of a hash of 128; sets that these bits mix up are told apart by the others.
 """
@@ -42,8 +44,12 @@ from .simhash import BLOCK, kept_rows, majority, near_links, shingle_hashes
 SAMPLE, RANKED = 16_384, 200_000
 #: Rows of first shingles that are dealt out in one pass: so many, or so many for each text if that is more.
 PASS, EACH = 1 << 22, 8
-#: Parities of an odd sketch.
+#: Parities of an odd sketch, where texts meet.
 BITS = 512
+#: First shingles that a pair must have in common, at the most.
+MOST = 16
+#: Shingles of the pairs that are compared by whole sets in one pass: so many, or a quarter of those of all texts if that is more.
+WHOLE = 1 << 22
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -51,9 +57,9 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
-def odd_sketch(own: np.ndarray) -> np.ndarray:
-    """For each of BITS classes of hashes whether a set has an odd number of it, as longs."""
-    parity = np.bincount((own & (BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def odd_sketch(own: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """For each of `bits` classes of hashes, a power of two, whether a set has an odd number of it, as longs; of half as many it is the XOR of both halves."""
+    parity = np.bincount((own & (bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -69,7 +75,9 @@ def _order(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     bound = keyed.select("key").distinct().orderBy("key").limit(SAMPLE).agg(F.max("key")).first()[0]
     some = keyed.where(F.col("key") <= F.lit(bound)).dropDuplicates(["key"])
     counts = some.select("text").mapInArrow(exploded, "token long").groupBy("token").count().where("count > 2")
-    rows = counts.orderBy(F.desc("count"), "token").limit(RANKED).toPandas().sort_values("token")
+    table = materialise(counts.orderBy(F.desc("count"), "token").limit(RANKED), "order")
+    rows = table.toPandas().sort_values("token")
+    discard(table)
     return rows["token"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
 
@@ -79,7 +87,7 @@ def _first(n: int, least: Fraction) -> int:
 
 
 def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, key (of the text), node (of the set of shingles), more (of its hash), fp (its fingerprint), n (its size), sketch, and head, its first shingles in the order."""
+    """doc_id, key (of the text), node (of the set of shingles), more (of its hash), fp (its fingerprint), n (its size), sketch, wide (as sketch, of n parities or more; null up to BITS), and head, its first shingles in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +95,7 @@ def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarra
         trim()
         for b in batches:
             for at in range(0, b.num_rows, 250):
-                nodes, more, prints, sizes, heads, sketches = [], [], [], [], [], []
+                nodes, more, prints, sizes, heads, sketches, wide = [], [], [], [], [], [], []
                 for t in b.column("text").slice(at, 250):
                     own = shingles(t.as_py(), shingle)
                     whole = xxhash.xxh3_128_intdigest(own.tobytes(), 7)
@@ -98,15 +106,16 @@ def _sets(docs: DataFrame, shingle: int, least: Fraction, ranks: tuple[np.ndarra
                     rank = np.where(known[place] == own, often[place], 0) if len(known) else np.zeros(len(own))
                     sizes.append(len(own))
                     sketches.append(odd_sketch(own))
+                    wide.append(odd_sketch(own, 1 << (len(own) - 1).bit_length()) if len(own) > BITS else None)
                     heads.append(own[np.argsort(rank, kind="stable")[: _first(len(own), least)]] if len(own) else own)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": b.column("doc_id").slice(at, 250), "key": b.column("key").slice(at, 250), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "more": pa.array(np.array(more, np.uint64).view(np.int64)),
                     "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(sketches, pa.list_(pa.int64())),
-                    "head": pa.array(heads, pa.list_(pa.int64())),
+                    "wide": pa.array(wide, pa.list_(pa.int64())), "head": pa.array(heads, pa.list_(pa.int64())),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    return rows.mapInArrow(sets, "doc_id long, key long, node long, more long, fp long, n int, sketch array<long>, head array<long>")
+    return rows.mapInArrow(sets, "doc_id long, key long, node long, more long, fp long, n int, sketch array<long>, wide array<long>, head array<long>")
 
 
 def told_apart(sets: DataFrame) -> DataFrame:
@@ -127,12 +136,16 @@ def _may(least: Fraction, n: Column, m: Column, p: Column, q: Column) -> Column:
 
 
 def _pairs(least: Fraction, nearest: bool):
-    """Pairs of each group whose roots differ and that can be similar enough; the rows come sorted by group.
+    """Pairs (a, b) of each group whose roots differ and that can be similar enough; the rows come sorted by group.
 
-    nearest: only each row and the one whose sketch is nearest to its own.
+    asks: of how many tokens a pair that is similar enough comes at least.  nearest: only each row and the one whose sketch is nearest to its own.
     """
     up, down = least.numerator, least.denominator
 
+    def rows_of(node: np.ndarray, asks: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        u, v = node[p], node[q]
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(u, v)), "b": pa.array(np.maximum(u, v)), "asks": pa.array(asks.astype(np.int32))})
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         held: list[np.ndarray] | None = None
@@ -143,30 +156,32 @@ def _pairs(least: Fraction, nearest: bool):
             change = (token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
             group = np.concatenate([[0], np.cumsum(change)])
             x = np.arange(len(node))
-            best, partner = np.full(len(node), BITS + 1), np.full(len(node), -1)
+            best, partner, asked = np.full(len(node), BITS + 1), np.full(len(node), -1), np.zeros(len(node), np.int64)
+            short = -(-n * up // down)
             for shift in range(1, len(node)):
                 x = x[x + shift < len(node)]
                 x = x[group[x] == group[x + shift]]
                 if not len(x):
                     break
                 y = x + shift
-                # the shingles that similar sets of these sizes have in common; the first of them stands among the n - need + 1 first of each
+                # the shingles that similar sets of these sizes have in common; asks of them stand among the n - need + asks first of each: if the first
+                # of one end before those of the other, what is common and not in both is behind them, where there are need - asks
                 need = -(-(n[x] + n[y]) * up // (up + down))
+                asks = np.minimum(MOST, 1 + need - np.maximum(short[x], short[y]))  # as far as heads go; under 1: sizes too different
                 once = (left[x] == right[x]) | (block[x] != block[y])  # pairs within a block are compared in the block's own group
-                good = np.flatnonzero(once & (root[x] != root[y]) & (place[x] <= n[x] - need) & (place[y] <= n[y] - need))
+                good = np.flatnonzero(once & (root[x] != root[y]) & (asks > 0) & (place[x] < n[x] - need + asks) & (place[y] < n[y] - need + asks))
                 # sets of n and m shingles that are similar enough differ in n + m - 2 need at most
                 apart = np.bitwise_count((sketch[x[good]] ^ sketch[y[good]]).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of a negative number it would count the bits of its size
                 near = apart <= (n[x] + n[y] - 2 * need)[good]
-                p, q, apart = x[good[near]], y[good[near]], apart[near]
+                p, q, asks, apart = x[good[near]], y[good[near]], asks[good[near]], apart[near]
                 if not nearest and len(p):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(node[p]), "b": pa.array(node[q])})  # rows of a group come by node
+                    yield rows_of(node, asks, p, q)
                 for own, other in ((p, q), (q, p)):
                     nearer = apart < best[own]
-                    best[own[nearer]], partner[own[nearer]] = apart[nearer], other[nearer]
+                    best[own[nearer]], partner[own[nearer]], asked[own[nearer]] = apart[nearer], other[nearer], asks[nearer]
             if nearest:
                 p = np.flatnonzero(partner >= 0)
-                u, v = node[p], node[partner[p]]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(u, v)), "b": pa.array(np.maximum(u, v))})
+                yield rows_of(node, asked[p], p, partner[p])
 
         for batch in batches:
             c = [batch.column(k).to_numpy() for k in names]
@@ -225,34 +240,51 @@ def _tokens(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) ->
                 own = [shingles(t.as_py(), shingle) for t in b.column("text").slice(at, 500)]
                 yield pa.RecordBatch.from_pydict({"node": b.column("node").slice(at, 500), "tokens": pa.array(own, pa.list_(pa.int64()))})
 
+    on = ["none", "id", "key"]  # plain keys, by which equal rows are told too, so that texts are dealt out once
     held = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("x"))
     held = held.select("node", F.col("x.doc_id").alias("id"), F.col("x.key").alias("key"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("own"))
-    found = texts.join(held, (F.col("own") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"])
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text", text_key().alias("key"))
+    held, found = (x.withColumns({"none": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0))}) for x in (held, found))
+    found = found.join(held, on).dropDuplicates(on).select("node", "text")
     return found.mapInArrow(tokens, "node long, tokens array<long>")
 
 
 def _near_enough(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes whose sketches differ in no more bits than similar sets of their sizes do in shingles."""
-    known = sets.select("node", "n", "sketch").dropDuplicates(["node"])
+    """Pairs (a, b, n) of nodes whose sketches differ in no more bits than similar sets of their sizes do in shingles; n: the shingles of both."""
+    known = sets.select("node", "n", F.coalesce("wide", "sketch").alias("sketch")).dropDuplicates(["node"])
     x, y = (known.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    n, up, whole = F.col("n_a") + F.col("n_b"), least.numerator, least.numerator + least.denominator
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
-    return pairs.join(x, "a").join(y, "b").where(differ <= n - 2 * F.ceil(n * up / F.lit(whole))).select("a", "b")
+    n, need = F.col("n_a") + F.col("n_b"), F.ceil((F.col("n_a") + F.col("n_b")) * least.numerator / F.lit(least.numerator + least.denominator))
+    bits = F.least(F.size("sketch_a"), F.size("sketch_b"))
+
+    def folded(s: str) -> Column:
+        parts = F.sequence(F.lit(0), (F.size(s) / bits).cast("int") - 1)
+        narrow = F.transform(F.sequence(F.lit(1), bits), lambda i: F.aggregate(parts, F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get(F.col(s), k * bits + i - 1))))
+        return F.when(F.size(s) > bits, narrow).otherwise(F.col(s))
+
+    differ = F.aggregate(F.zip_with(folded("sketch_a"), folded("sketch_b"), lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
+    return pairs.join(x, "a").join(y, "b").where((F.least("n_a", "n_b") >= need) & (differ <= n - 2 * need)).select("a", "b", n.cast("long").alias("n"))
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Of pairs (a, b) of nodes those of enough similarity, by sketches and then by whole sets, as links (u, v)."""
+    """Of pairs (a, b) of nodes those of enough similarity, by sketches and then by whole sets, as links (u, v).
+
+    Whole sets are written and sent in passes, each of some of the pairs, and only one pass of them is on disk at a time.
+    """
     pairs = materialise(_near_enough(pairs.distinct(), sets, least), "pairs")
-    some = materialise(_tokens(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "tokens")
-    x, y = (some.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    enough = common * (least.numerator + least.denominator) >= (F.size("tokens_a") + F.size("tokens_b")) * least.numerator
-    links = materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    discard(some)
+    most = max(WHOLE, (sets.agg(F.sum("n").cast("long")).first()[0] or 0) // 4)
+    passes = max(1, -(-(pairs.agg(F.sum("n")).first()[0] or 0) // most))
+    links = []
+    for k in range(passes):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == k).select("a", "b")
+        some = materialise(_tokens(docs, sets, part.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "tokens")
+        x, y = (some.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+        both = part.join(x, "a").join(y, "b")
+        common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        enough = common * (least.numerator + least.denominator) >= (F.size("tokens_a") + F.size("tokens_b")) * least.numerator
+        links.append(materialise(both.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
+        discard(some)
     discard(pairs)
-    return links
+    return reduce(DataFrame.unionByName, links)
 
 
 def _likely(met: DataFrame, least: Fraction) -> DataFrame:
@@ -293,7 +325,10 @@ def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fractio
     # first each set and the nearest that it meets, which joins most; then whatever is still apart
     for nearest in (True, False):
         met = _still_apart(shared, sets, connected_components(links), least, nearest)
-        links = links.unionByName(_verified(docs, sets, reduce(DataFrame.unionByName, met), shingle, least))
+        common = reduce(DataFrame.unionByName, met).groupBy("a", "b", "asks").agg(F.sum("common").alias("common"))
+        # a set and the nearest that it meets need not meet at each of their shingles: what a quarter of them leaves out is left to the last pass
+        likely = common.where(F.col("common") * (4 if nearest else 1) >= F.col("asks")).select("a", "b")
+        links = links.unionByName(_verified(docs, sets, likely, shingle, least))
         for table in met:
             discard(table)
     discard(shared)
@@ -301,7 +336,9 @@ def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, least: Fractio
 
 
 def _still_apart(shared: DataFrame, sets: DataFrame, roots: DataFrame, least: Fraction, nearest: bool) -> list[DataFrame]:
-    """Pairs (a, b) of _pairs() among the first shingles whose texts lie in several groups, as written tables, one for each pass.
+    """Pairs (a, b, asks, common) of _pairs() among the first shingles whose texts lie in several groups, as written tables, one for each pass.
+
+    common: at how many of a pass's shingles a pair meets.
 
     Rows are dealt out by shingle and pair of blocks, so a shingle of many texts makes many more rows than it has texts.  They go in passes,
     each of some of the shingles and pairs of blocks, and only one pass of them is on disk at a time.
@@ -320,7 +357,7 @@ def _still_apart(shared: DataFrame, sets: DataFrame, roots: DataFrame, least: Fr
     for k in range(passes):
         some = open_.where(F.pmod(F.xxhash64(*groups), F.lit(passes)) == k) if passes > 1 else open_
         ordered = some.repartition(partitions(sets), *groups).sortWithinPartitions(*groups, "node")
-        met.append(materialise(ordered.mapInArrow(_pairs(least, nearest), "a long, b long").distinct(), "met"))
+        met.append(materialise(ordered.mapInArrow(_pairs(least, nearest), "a long, b long, asks int").groupBy("a", "b", "asks").agg(F.count("*").alias("common")), "met"))
     discard(several)
     discard(rest)
     return met

@@ -168,3 +168,67 @@ def test_passes_find_the_same_and_leave_nothing(spark, monkeypatch):
     assert sorted(r.doc_id for r in similar.one_of_similar(docs).collect()) == want
     assert kinds.count("met") > 2  # several passes
     assert not [x for x in set(os.listdir(folder)) - before if x.startswith(("rest", "several", "met", "shared"))]
+
+
+def long_texts(draw, n, size):
+    """Texts of made-up words; each two of them have four phrases of their own in common."""
+    texts = [[f"{k}r{j}" for j in range(draw.randint(size, size * 5 // 4))] for k in range(n)]
+    for k in range(n):
+        for m in range(k):
+            for phrase in range(4):
+                for own in (texts[k], texts[m]):
+                    own.insert(draw.randrange(len(own)), " ".join(f"{k}and{m}by{phrase}{j}" for j in range(5)))
+    return [" ".join(x) for x in texts]
+
+
+def test_long_texts_that_share_a_phrase_do_not_reach_whole_sets(spark, monkeypatch):
+    draw = random.Random(3)
+    texts = long_texts(draw, 14, 2000)
+    copy = texts[7].split(" ")
+    for at in range(0, len(copy), 60):
+        copy[at] = f"changed{at}"
+    rows = list(enumerate([*texts, " ".join(copy)]))
+    sizes = []
+    monkeypatch.setattr(similar, "materialise", lambda df, label, f=similar.materialise: (out := f(df, label), label == "pairs" and sizes.append(out.count()))[0])
+    got = sorted(r.doc_id for r in similar.one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == list(range(14))
+    assert sum(sizes) <= 2  # of 91 pairs of texts, all of which share phrases
+
+
+def test_whole_sets_go_in_passes(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = []
+    for k in range(12):
+        words = [f"{k}w{j}" for j in range(draw.choice([100, 200, 900]))]
+        for _ in range(4):
+            own = list(words)
+            for at in draw.sample(range(len(own)), len(own) // 150):
+                own[at] = f"x{draw.random()}"
+            rows.append((len(rows) if draw.random() > 0.1 else None, " ".join(own)))
+    docs = spark.createDataFrame([*rows, rows[0], rows[5]], "doc_id long, text string")
+    want = sorted(((r.doc_id, r.text) for r in similar.one_of_similar(docs).collect()), key=repr)
+    monkeypatch.setattr(similar, "WHOLE", 0)
+    kinds = []
+    monkeypatch.setattr(similar, "materialise", lambda df, label, f=similar.materialise: (kinds.append(label), f(df, label))[1])
+    assert sorted(((r.doc_id, r.text) for r in similar.one_of_similar(docs).collect()), key=repr) == want
+    assert kinds.count("tokens") > 3  # one for each verification without passes
+
+
+def test_wide_sketches_fold(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = {}
+    for k, n in enumerate((3, 400, 700, 2000, 2001, 9000)):
+        own = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        for part in (1, 2):
+            sets[10 * k + part] = own[: max(1, n * 9 // 10)] if part == 2 else own
+    rows = [(k, len(x), similar.odd_sketch(x).tolist(), similar.odd_sketch(x, 1 << (len(x) - 1).bit_length()).tolist() if len(x) > similar.BITS else None) for k, x in sets.items()]
+    known = spark.createDataFrame(rows, "node long, n int, sketch array<long>, wide array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    for least in (similar.Fraction(4, 5), similar.Fraction(1, 10)):
+        got = {(r.a, r.b): r.n for r in similar._near_enough(pairs, known, least).collect()}
+        alike = {(a, b) for a in sets for b in sets if a < b and len(np.intersect1d(sets[a], sets[b])) >= least * len(np.union1d(sets[a], sets[b]))}
+        assert alike <= got.keys() and all(n == len(sets[a]) + len(sets[b]) for (a, b), n in got.items())
+        if least > similar.Fraction(1, 2):
+            assert got.keys() == alike  # sets of that size are told from each other
